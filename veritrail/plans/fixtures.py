@@ -159,6 +159,10 @@ SELECT analysis_id, company_id, report_year,
        min(created_at) AS started_at, max(created_at) AS completed_at, max(created_at) AS created_at
 FROM {d_answers_raw} GROUP BY analysis_id, company_id, report_year"""
 
+# The questions each analysis was asked, and the ones that came back with a usable answer.
+VIEWS["d_asked"] = """
+SELECT DISTINCT analysis_id, company_id, report_year, question_pk FROM {d_answers_raw}"""
+
 VIEWS["d_progress"] = """
 SELECT user_id AS analysis_id, event_id, ts,
        CASE event_type WHEN 'signup' THEN 'started' WHEN 'error' THEN 'heartbeat' ELSE 'answer' END AS kind
