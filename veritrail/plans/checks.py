@@ -70,3 +70,53 @@ SELECT analysis_id, company_id, report_year, {sql_round('environmental', 2)} AS
        {sql_round('social', 2)} AS social_score, {sql_round('governance', 2)} AS governance_score,
        {sql_round('overall', 2)} AS overall_score, {sql_rating('overall')} AS overall_rating
 FROM {{o_exact}}"""
+
+
+def sql_blocks(text: str) -> str:
+    strip = "list_filter(list_transform({}, lambda s: trim(s, ' ' || chr(9) || chr(10) || chr(13))), lambda s: s <> '')"
+    blocks = strip.format(f"string_split_regex({text}, '\\n\\s*\\n')")
+    lines = strip.format(f"string_split({text}, chr(10))")
+    return f"CASE WHEN len({blocks}) <= 1 AND contains({text}, chr(10)) THEN {lines} ELSE {blocks} END"
+
+
+def sql_packing(paragraphs: str) -> str:
+    """Chunks of ``paragraphs`` (doc_id, parts, pages): word counts are folded one paragraph per round."""
+    return f"""
+WITH RECURSIVE counted AS (
+  SELECT doc_id, parts, pages, list_transform(parts, lambda s: len(list_filter(string_split_regex(s, '\\s+'), lambda w: w <> ''))) AS counts
+  FROM ({paragraphs}) WHERE len(parts) > 0),
+fold AS (
+  SELECT doc_id, counts, 0 AS i, 0 AS first, 0 AS fresh, 0::BIGINT AS words, NULL::INT AS c_first, NULL::INT AS c_fresh,
+         NULL::INT AS c_last, NULL::BIGINT AS c_words FROM counted
+  UNION ALL
+  SELECT doc_id, counts, i + 1, CASE WHEN closing THEN i - 1 ELSE first END, CASE WHEN closing THEN i ELSE fresh END,
+         CASE WHEN closing THEN counts[i] ELSE words END + counts[i + 1],
+         CASE WHEN closing THEN first END, CASE WHEN closing THEN fresh END, CASE WHEN closing THEN i - 1 END,
+         CASE WHEN closing THEN words END
+  FROM (SELECT *, words + counts[i + 1] > 500 AND first < i AS closing FROM fold WHERE i < len(counts))),
+ranges AS (
+  SELECT doc_id, c_first AS a, c_fresh AS f, c_last AS b, c_words AS words FROM fold WHERE c_last IS NOT NULL
+  UNION ALL SELECT doc_id, first, fresh, i - 1, words FROM fold WHERE i = len(counts)),
+placed AS (
+  SELECT r.doc_id, row_number() OVER (PARTITION BY r.doc_id ORDER BY b) - 1 AS chunk_index,
+         array_to_string(c.parts[a + 1:b + 1], chr(10) || chr(10)) AS content, words AS token_count,
+         list_sort(list_distinct(list_filter(c.pages[f + 1:b + 1], lambda p: p > 0))) AS page_list
+  FROM ranges r JOIN counted c USING (doc_id))
+SELECT doc_id, CAST(chunk_index AS INT) AS chunk_index, content, CAST(token_count AS INT) AS token_count,
+       list_min(page_list) AS page_number, CASE WHEN len(page_list) > 0 THEN page_list END AS page_range FROM placed"""
+
+
+_SENTENCES = (
+    "list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)),"
+    " lambda s: trim(s, ' ' || chr(9) || chr(10) || chr(13))), lambda s: s <> '')"
+)
+VIEWS["o_chunks"] = sql_packing(
+    f"""SELECT doc_id, CASE WHEN len(b) <= 1 AND length(text) > 2000 THEN {_SENTENCES} ELSE b END AS parts,
+    list_transform(CASE WHEN len(b) <= 1 AND length(text) > 2000 THEN {_SENTENCES} ELSE b END, lambda s: 0) AS pages
+    FROM (SELECT doc_id, text, {sql_blocks('text')} AS b FROM {{d_documents}})"""
+)
+VIEWS["o_paged_chunks"] = sql_packing(
+    f"""SELECT conv_id AS doc_id, flatten(list(parts ORDER BY turn)) AS parts,
+    flatten(list(list_transform(parts, lambda s: CAST(turn + 1 AS INT)) ORDER BY turn)) AS pages
+    FROM (SELECT conv_id, turn, {sql_blocks('text')} AS parts FROM {{conversations}}) GROUP BY conv_id"""
+)
