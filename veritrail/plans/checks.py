@@ -120,3 +120,46 @@ VIEWS["o_paged_chunks"] = sql_packing(
     flatten(list(list_transform(parts, lambda s: CAST(turn + 1 AS INT)) ORDER BY turn)) AS pages
     FROM (SELECT conv_id, turn, {sql_blocks('text')} AS parts FROM {{conversations}}) GROUP BY conv_id"""
 )
+
+
+STOP = """'para', 'como', 'mais', 'sobre', 'qual', 'quais', 'pela', 'pelo', 'seus', 'suas', 'esse', 'essa', 'esses', 'esta',
+ 'este', 'sido', 'cada', 'ainda', 'mesmo', 'entre', 'sendo', 'outros', 'outras', 'muito', 'pode', 'deve', 'onde', 'apos',
+ 'forma', 'tipo', 'anos', 'possui', 'empresa', 'tema', 'seguintes', 'temas', 'relacionada'"""
+
+# Query vectors: the mean vector of every label. Query texts: the benchmark passages.
+VIEWS["o_query_vectors"] = """
+SELECT label AS query_id, list(m ORDER BY i) AS v
+FROM (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i
+      FROM {embeddings}) GROUP BY label, i) GROUP BY label"""
+VIEWS["o_vector_pairs"] = """
+SELECT d.company_id, d.report_year, e.vec_id AS doc_id, 0 AS chunk_index, q.query_id,
+       round(list_cosine_similarity(e.embedding::DOUBLE[], q.v), 9) AS score
+FROM {embeddings} e JOIN {d_documents} d ON d.doc_id = e.vec_id AND d.status = 'ready' CROSS JOIN {o_query_vectors} q"""
+VIEWS["o_keyword_pairs"] = f"""
+SELECT * FROM (
+  SELECT d.company_id, d.report_year, c.doc_id, c.chunk_index, b.query_id,
+         len(list_filter(b.words, lambda w: contains(lower(c.content), w))) AS score
+  FROM {{o_chunks}} c JOIN {{d_documents}} d ON d.doc_id = c.doc_id AND d.status = 'ready'
+  CROSS JOIN (SELECT item_id AS query_id, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'),
+              lambda w: length(w) > 3 AND w NOT IN ({STOP}))) AS words FROM {{benchmark}}) b)
+WHERE score > 0"""
+
+
+def sql_rank(pairs: str, scope: str, k: int) -> str:
+    by = f"{scope}, query_id" if scope else "query_id"
+    return (f"SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY score DESC, doc_id, chunk_index) AS rank"
+            f" FROM {pairs} QUALIFY rank <= {k}")
+
+
+VIEWS["o_hybrid"] = f"""
+SELECT company_id, report_year, doc_id, chunk_index, query_id, score, rank, 'vector' AS method
+FROM ({sql_rank("{o_vector_pairs} WHERE score >= 0.3", 'company_id, report_year', 20)})
+UNION ALL
+SELECT company_id, report_year, doc_id, chunk_index, query_id, score::DOUBLE, rank, 'keyword'
+FROM ({sql_rank('{o_keyword_pairs}', 'company_id, report_year', 20)}) k
+WHERE NOT EXISTS (SELECT 1 FROM {{o_vector_pairs}} v WHERE v.score >= 0.3 AND v.company_id = k.company_id
+                  AND v.report_year = k.report_year AND v.query_id = k.query_id)"""
+VIEWS["o_hybrid_texts"] = """
+SELECT h.*, c.content, d.filename, CAST(h.doc_id % 40 + 1 AS INT) AS page_number,
+       CASE WHEN h.doc_id % 3 = 0 THEN h.doc_id % 40 + 3 END AS last_page
+FROM {o_hybrid} h JOIN {o_chunks} c USING (doc_id, chunk_index) JOIN {d_documents} d USING (doc_id)"""

@@ -1 +1,197 @@
+"""Vector, keyword and hybrid retrieval and what is built from the hits."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from veritrail import lookups as L
+from veritrail.operators import answers as A
+from veritrail.operators import documents as D
+from veritrail.operators import retrieval as R
+from veritrail.operators.chunking import chunk_texts
+from veritrail.plans.checks import LATEST, sql_rank
+from veritrail.plans.registry import query
+from veritrail.plans.scoring_queries import usable_details
+
+SCOPE = ["company_id", "report_year"]
+KEYS = ["doc_id", "chunk_index"]
+
+
+def searchable_chunks(fx):
+    """Chunks of ready documents with company, year and file name."""
+    documents = D.ready_documents(fx["d_documents"]).select(*SCOPE, "doc_id", "filename", "text")
+    return chunk_texts(documents, [*SCOPE, "doc_id", "filename"])
+
+
+def chunk_vectors(fx):
+    """The vectors of ready documents, as their first chunk's."""
+    documents = D.ready_documents(fx["d_documents"]).select(*SCOPE, "doc_id", "filename")
+    vectors = fx["embeddings"].select(F.col("vec_id").alias("doc_id"), "embedding")
+    return documents.join(vectors, "doc_id").withColumn("chunk_index", F.lit(0))
+
+
+def query_vectors(fx):
+    """One query per label: the mean of its vectors."""
+    values = fx["embeddings"].select(F.col("label").alias("query_id"), F.posexplode("embedding").alias("i", "x"))
+    means = values.groupBy("query_id", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    ordered = F.array_sort(F.collect_list(F.struct("i", "m")))
+    return means.groupBy("query_id").agg(F.transform(ordered, lambda p: p["m"]).alias("embedding"))
+
+
+def query_texts(fx):
+    return fx["benchmark"].select(F.col("item_id").alias("query_id"), "text")
+
+
+@query("vector_topk", f"""
+SELECT query_id, rank, h.doc_id, filename, round(score, 6) AS similarity
+FROM ({sql_rank("{o_vector_pairs} WHERE score >= 0.3", '', 20)}) h JOIN {{d_documents}} d USING (doc_id)""")
+def _(fx):
+    chunks = chunk_vectors(fx)
+    hits = R.vector_topk(chunks, query_vectors(fx), KEYS)
+    named = hits.join(fx["d_documents"].select("doc_id", "filename"), "doc_id")
+    return named.select("query_id", "rank", "doc_id", "filename", F.round("score", 6).alias("similarity"))
+
+
+@query("keyword_topk", f"""
+SELECT company_id, report_year, query_id, rank, doc_id, chunk_index, CAST(score AS INT) AS score
+FROM ({sql_rank('{o_keyword_pairs}', 'company_id, report_year', 20)})""")
+def _(fx):
+    hits = R.keyword_topk(searchable_chunks(fx), query_texts(fx), KEYS, SCOPE)
+    return hits.select(*SCOPE, "query_id", "rank", *KEYS, "score")
+
+
+def hybrid(fx):
+    """Queries 0-9 have a vector and a text, the others a text only."""
+    vectors = R.vector_topk(chunk_vectors(fx), query_vectors(fx).withColumn("query_id", F.col("query_id").cast("long")), KEYS, SCOPE)
+    words = R.keyword_topk(searchable_chunks(fx), query_texts(fx), KEYS, SCOPE)
+    return R.hybrid_topk(vectors, words, SCOPE)
+
+
+@query("hybrid_topk", """
+SELECT company_id, report_year, query_id, rank, doc_id, chunk_index, round(score, 6) AS score, method FROM {o_hybrid}""")
+def _(fx):
+    return hybrid(fx).select(*SCOPE, "query_id", "rank", *KEYS, F.round("score", 6).alias("score"), "method")
+
+
+def hybrid_texts(fx):
+    """Hits with their text; the page columns stand in for what paged documents bring."""
+    page = (F.col("doc_id") % 40 + 1).cast("int")
+    last = F.when(F.col("doc_id") % 3 == 0, F.array(page, page + 2))
+    chunks = searchable_chunks(fx).select(*KEYS, "filename", "content")
+    return hybrid(fx).join(chunks, KEYS).withColumn("page_number", page).withColumn("page_range", last)
+
+
+@query("theme_terms", """
+WITH first AS (SELECT *, row_number() OVER (PARTITION BY theme_id ORDER BY display_order, question_pk) AS r
+  FROM {d_question_texts} QUALIFY r <= 5)
+SELECT t.theme_id AS query_id, concat(t.name, ' ', string_agg(array_to_string(list_filter(string_split_regex(trim(question_text), '\\s+'),
+       lambda w: length(w) > 5)[1:3], ' '), ' ' ORDER BY r)) AS text
+FROM first JOIN {d_themes} t USING (theme_id) GROUP BY t.theme_id, t.name""")
+def _(fx):
+    return R.theme_terms(fx["d_themes"], fx["d_question_texts"])
+
+
+_COVERAGE = f"""
+WITH hits AS ({sql_rank("{o_vector_pairs} WHERE score >= 0.3", 'company_id, report_year', 10)}),
+coverage AS (
+  SELECT s.company_id, s.report_year, q.query_id, count(h.doc_id) AS found,
+         CASE WHEN count(h.doc_id) >= 5 THEN 'OK' WHEN count(h.doc_id) >= 1 THEN 'PARCIAL' ELSE 'SEM DADOS' END AS status
+  FROM (SELECT DISTINCT company_id, report_year FROM {{d_documents}} WHERE status = 'ready') s
+  CROSS JOIN {{o_query_vectors}} q LEFT JOIN hits h
+    ON h.company_id = s.company_id AND h.report_year = s.report_year AND h.query_id = q.query_id GROUP BY 1, 2, 3)
+"""
+
+
+def coverage(fx):
+    queries = query_vectors(fx)
+    hits = R.vector_topk(chunk_vectors(fx), queries, KEYS, SCOPE, k=L.COVERAGE_DEPTH)
+    return R.theme_coverage(D.ready_documents(fx["d_documents"]), queries, hits, SCOPE)
+
+
+@query("theme_coverage", _COVERAGE + "SELECT * FROM coverage")
+def _(fx):
+    return coverage(fx)
+
+
+@query("coverage_verdict", _COVERAGE + """
+SELECT *, CASE WHEN missing = 0 THEN 'complete' WHEN missing <= 3 THEN 'usable' ELSE 'insufficient' END AS verdict
+FROM (SELECT company_id, report_year, count(*) FILTER (WHERE status = 'OK') AS good,
+      count(*) FILTER (WHERE status = 'PARCIAL') AS partial, count(*) FILTER (WHERE status = 'SEM DADOS') AS missing
+      FROM coverage GROUP BY 1, 2)""")
+def _(fx):
+    return R.coverage_verdict(coverage(fx), SCOPE)
+
+
+_CONTEXT = """
+SELECT company_id, report_year, query_id, count(*) AS n, string_agg('[FONTE: ' || filename ||
+  CASE WHEN last_page IS NOT NULL THEN ', páginas ' || page_number || '-' || last_page ELSE ', p.' || page_number END
+  || ']' || chr(10) || left(content, 1200), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context
+FROM {o_hybrid_texts} GROUP BY 1, 2, 3"""
+
+
+@query("theme_context", f"""
+SELECT company_id, report_year, query_id, CAST(n AS INT) AS chunks, context FROM ({_CONTEXT})""")
+def _(fx):
+    return R.theme_context(hybrid_texts(fx), SCOPE)
+
+
+_SOURCE = """
+SELECT company_id, report_year, query_id, string_agg(label, '; ' ORDER BY r) AS derived_source
+FROM (SELECT company_id, report_year, query_id, label, min(rank) AS r FROM (
+  SELECT *, filename || CASE WHEN last_page IS NOT NULL THEN ', p.' || page_number || '-' || last_page
+            ELSE ', p.' || page_number END AS label FROM {o_hybrid_texts} WHERE rank <= 5) GROUP BY 1, 2, 3, 4)
+GROUP BY 1, 2, 3"""
+
+
+@query("derived_source", _SOURCE)
+def _(fx):
+    return R.derived_source(hybrid_texts(fx), SCOPE)
+
+
+@query("question_batches", """
+SELECT question_pk, theme_id, CAST(row_number() OVER (PARTITION BY theme_id ORDER BY display_order, question_pk) AS INT) AS position,
+       CAST((row_number() OVER (PARTITION BY theme_id ORDER BY display_order, question_pk) - 1) // 5 + 1 AS BIGINT) AS batch
+FROM {d_questions}""")
+def _(fx):
+    return R.question_batches(fx["d_questions"]).select("question_pk", "theme_id", "position", "batch")
+
+
+@query("prompt_rows", f"""
+WITH ranked AS (SELECT *, row_number() OVER (PARTITION BY theme_id ORDER BY display_order, question_pk) AS position FROM {{d_question_texts}}),
+lines AS (SELECT theme_id, (position - 1) // 5 + 1 AS batch, count(*) AS questions, string_agg(((position - 1) % 5 + 1) || '. [ID: ' ||
+    question_id || '] ' || CASE WHEN starts_with(question_text, question_id)
+      THEN ltrim(substr(question_text, length(question_id) + 1), ' .') ELSE question_text END, chr(10) ORDER BY position) AS question_text
+  FROM ranked GROUP BY 1, 2),
+hits AS ({sql_rank("{o_vector_pairs} WHERE score >= 0.3", 'report_year', 20)}),
+contexts AS (SELECT report_year, query_id, string_agg('[FONTE: ' || filename || ']' || chr(10) || left(content, 1200),
+    chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context
+  FROM (SELECT h.report_year, h.query_id, h.rank, d.filename, c.content FROM hits h JOIN {{o_chunks}} c USING (doc_id, chunk_index)
+        JOIN {{d_documents}} d USING (doc_id)) GROUP BY 1, 2)
+SELECT report_year, theme_id, CAST(batch AS BIGINT) AS batch, CAST(questions AS INT) AS questions, question_text, context
+FROM lines JOIN contexts ON query_id = theme_id""")
+def _(fx):
+    hits = R.vector_topk(chunk_vectors(fx), query_vectors(fx), KEYS, ["report_year"])
+    texts = hits.join(searchable_chunks(fx).drop("report_year", "company_id"), KEYS)
+    contexts = R.theme_context(texts, ["report_year"]).drop("chunks")
+    return R.prompt_rows(R.question_batches(fx["d_question_texts"]), contexts, ["report_year"])
+
+
+# An answer's theme retrieves like the query of the same number.
+@query("backfill_source", f"""
+WITH kept AS (SELECT * FROM {{d_answer_details}} WHERE answer <> 'talvez'
+  QUALIFY row_number() OVER (PARTITION BY analysis_id, question_pk ORDER BY {LATEST}) = 1),
+sources AS (SELECT query_id, string_agg(filename, '; ' ORDER BY r) AS derived_source FROM (
+  SELECT query_id, filename, min(rank) AS r FROM ({sql_rank("{o_vector_pairs} WHERE score >= 0.3", '', 20)})
+  JOIN {{d_documents}} USING (doc_id) WHERE rank <= 5 GROUP BY 1, 2) GROUP BY 1)
+SELECT k.analysis_id, k.question_pk, CASE WHEN source_reference IS NULL OR trim(source_reference) = ''
+    OR regexp_matches(lower(trim(source_reference)), 'nenhuma evidencia|nenhuma evidência|documentos analisados|trechos fornecidos|informação não encontrada|informacao nao encontrada|não encontrada|nao encontrada|n/a|não aplicável|nao aplicavel')
+    THEN coalesce(s.derived_source, 'Documentos da empresa') ELSE source_reference END AS source_reference
+FROM kept k JOIN {{d_questions}} q USING (question_pk) LEFT JOIN sources s ON s.query_id = q.theme_id""")
+def _(fx):
+    hits = R.vector_topk(chunk_vectors(fx), query_vectors(fx), KEYS)
+    documents = fx["d_documents"].select("doc_id", "filename")
+    pages = F.lit(None).cast("array<int>")
+    named = hits.join(documents, "doc_id").withColumn("page_number", F.lit(None).cast("int")).withColumn("page_range", pages)
+    sources = R.derived_source(named, []).withColumnRenamed("query_id", "theme_id")
+    answers = usable_details(fx).join(fx["d_questions"].select("question_pk", "theme_id"), "question_pk")
+    return A.backfill_source(answers, sources, ["theme_id"]).select("analysis_id", "question_pk", "source_reference")
