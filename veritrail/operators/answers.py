@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from veritrail import lookups as L
 from veritrail.functions.answers import agent_name, answer_score, is_generic_source, normalize_answer
 from veritrail.functions.text import strip
-from veritrail.operators.keys import first_per_key
+from veritrail.operators.keys import first_per_key, unfold_array
 
 ANSWER_KEY = ["analysis_id", "question_pk"]
 
@@ -71,8 +71,7 @@ def match_answers(questions: DataFrame, answers: DataFrame, batch: Sequence[str]
     )
     candidate = F.struct(F.col("_place").alias("place"), F.col("answer_row").alias("answer_row"))
     around = (
-        replies.join(lengths, batch)
-        .withColumn("_cut", F.explode(cuts))
+        unfold_array(replies.join(lengths, batch), [*batch, "_place", "answer_row"], cuts, "_cut")
         .groupBy(*batch, F.col("_cut").alias("_key"))
         .agg(F.min(candidate).alias("_candidate"))
         .join(open_questions, [*batch, "_key"], "left_semi")
@@ -88,7 +87,7 @@ def match_answers(questions: DataFrame, answers: DataFrame, batch: Sequence[str]
         )
     )
     inside = (
-        open_questions.withColumn("_part", F.explode(parts))
+        unfold_array(open_questions, [*batch, "_key"], parts, "_part")
         .join(replies.withColumnRenamed("_key", "_part"), [*batch, "_part"])
         .select(*batch, "_key", candidate.alias("_candidate"))
     )

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from veritrail import lookups as L
 from veritrail.functions.numbers import exact_round
 from veritrail.functions.text import SPACE, let, non_empty, word_count
-from veritrail.operators.keys import running_number
+from veritrail.operators.keys import running_number, unfold_array
 
 _BLANK_LINE = rf"\n[{SPACE}]*\n"
 _SENTENCE_END = rf"(?<=[.!?])[{SPACE}]+"
@@ -110,7 +110,7 @@ def _chunks(paragraphs: Column, max_words: int, overlap: bool) -> Column:
 
 
 def _explode(documents: DataFrame, chunks: Column, keep: Sequence[str]) -> DataFrame:
-    exploded = documents.select(*keep, F.posexplode(chunks).alias("chunk_index", "_chunk"))
+    exploded = unfold_array(documents, keep, chunks, "_chunk", "chunk_index")
     return exploded.select(*keep, "chunk_index", "_chunk.*")
 
 

@@ -18,6 +18,16 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k:
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
 
 
+def unfold_array(df: DataFrame, keep: Sequence[str], array: Column, element: str, position: str = "_position") -> DataFrame:
+    """One row per array element, with its position from 0; empty and null arrays give none.
+
+    The outer form with a filter behind it: the inner form makes the optimizer test the
+    array's size in a pushed-down filter, and so compute a costly array twice.
+    """
+    rows = df.select(*keep, F.posexplode_outer(array).alias(position, element))
+    return rows.where(F.col(position).isNotNull())
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row per key: the first in ``order``."""
     return top_per_key(df, keys, order, 1, "_first").drop("_first")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from veritrail import lookups as L
 from veritrail.functions.answers import strip_question_id
 from veritrail.functions.text import words
-from veritrail.operators.keys import top_per_key
+from veritrail.operators.keys import top_per_key, unfold_array
 
 MAX_LOCAL_QUERIES = 4096
 MAX_LOCAL_TERMS = 200_000
@@ -133,7 +133,7 @@ def query_terms(queries: DataFrame, stop_words: list[str] = L.STOP_WORDS) -> Dat
     terms = F.array_distinct(
         F.filter(words(F.lower("text")), lambda w: (F.length(w) > 3) & ~w.isin(stop_words))
     )
-    return queries.select("query_id", F.explode(terms).alias("word"))
+    return unfold_array(queries, ["query_id"], terms, "word").drop("_position")
 
 
 class _TermIndex:
@@ -209,7 +209,7 @@ def keyword_topk(chunks: DataFrame, queries: DataFrame, keys: Sequence[str], sco
 
 def _joined_keywords(chunks: DataFrame, terms: DataFrame, columns: list[str]) -> DataFrame:
     """Many words: tokens of the corpus meet words through their substrings, by equi-joins."""
-    tokens = chunks.select(*columns, F.explode(F.array_distinct(words(F.col("content")))).alias("token"))
+    tokens = unfold_array(chunks, columns, F.array_distinct(words(F.col("content"))), "token").drop("_position")
     lengths = terms.select(F.collect_set(F.length("word"))).scalar()
     cuts = F.array_distinct(
         F.flatten(
@@ -222,7 +222,7 @@ def _joined_keywords(chunks: DataFrame, terms: DataFrame, columns: list[str]) ->
         )
     )
     inside = (
-        tokens.select("token").distinct().withColumn("word", F.explode(cuts))
+        unfold_array(tokens.select("token").distinct(), ["token"], cuts, "word").drop("_position")
         .join(terms.select("word").distinct(), "word")
     )
     found = tokens.join(inside, "token").select(*columns, "word").distinct()

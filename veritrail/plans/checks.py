@@ -163,3 +163,22 @@ VIEWS["o_hybrid_texts"] = """
 SELECT h.*, c.content, d.filename, CAST(h.doc_id % 40 + 1 AS INT) AS page_number,
        CASE WHEN h.doc_id % 3 = 0 THEN h.doc_id % 40 + 3 END AS last_page
 FROM {o_hybrid} h JOIN {o_chunks} c USING (doc_id, chunk_index) JOIN {d_documents} d USING (doc_id)"""
+
+
+_ENTITIES = [("&oacute;", "ó"), ("&otilde;", "õ"), ("&ccedil;", "ç"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
+_BLANKS = "' ' || chr(9) || chr(10) || chr(13)"
+
+
+def sql_nodes(html: str) -> str:
+    """The trimmed, decoded texts between the tags of the fixture's pages."""
+    text = f"regexp_replace({html}, '<[a-zA-Z/!?][^>]*>', chr(1), 'g')"
+    for name, char in _ENTITIES:
+        text = f"replace({text}, '{name}', '{char}')"
+    return f"list_filter(list_transform(string_split({text}, chr(1)), lambda s: trim(s, {_BLANKS})), lambda s: s <> '')"
+
+
+def sql_clean(text: str) -> str:
+    squeezed = f"regexp_replace(regexp_replace({text}, '\\n{{{{3,}}}}', chr(10) || chr(10), 'g'), '[ \\t]+', ' ', 'g')"
+    squeezed = squeezed.replace("{{3,}}", "{3,}")
+    lines = f"list_transform(string_split({squeezed}, chr(10)), lambda s: trim(s, {_BLANKS}))"
+    return f"trim(array_to_string({lines}, chr(10)), {_BLANKS})"

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritrail.functions.text import let
+from veritrail.operators.keys import unfold_array
 
 ANSWERS = (
     "array<struct<question_id:string,answer:string,justification:string,source_reference:string,"
@@ -25,5 +26,5 @@ def ingest_answers(replies: DataFrame, keep: Sequence[str], payload: str = "payl
     inner = F.coalesce(*[F.get_json_object(body, f"$.{name}") for name in WRAPPERS], body)
     as_array = let(inner, lambda j: F.when(j.startswith("["), j).otherwise(F.concat(F.lit("["), j, F.lit("]"))))
     answers = F.from_json(F.when(body.startswith("["), body).otherwise(as_array), ANSWERS)
-    rows = replies.select(*keep, F.posexplode(answers).alias("ordinal", "_answer"))
+    rows = unfold_array(replies, keep, answers, "_answer", "ordinal")
     return rows.where(F.col("_answer").isNotNull()).select(*keep, "ordinal", "_answer.*")
