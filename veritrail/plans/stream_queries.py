@@ -1 +1,80 @@
+"""The streaming jobs, run over the test tables as streams to their end."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from veritrail.plans.fixtures import VIEWS
+from veritrail.plans.registry import query
+from veritrail.session import work_path
+from veritrail.streaming.answers import deliver_answers
+from veritrail.streaming.ingest import ingest_documents
+from veritrail.streaming.progress import track_progress
+from veritrail.streaming.runs import read_table_stream
+from veritrail.streaming.stalls import watch_stalls
+
+ANSWER_ID = ["l_orderkey", "l_linenumber", "analysis_id", "question_pk", "created_at", "answer"]
+
+
+def stream_of(fx, view: str, table: str):
+    """A view whose only table is read as a stream."""
+    return fx.spark.sql(VIEWS[view], **{table: read_table_stream(fx.spark, fx.folder, f"{table}.parquet")})
+
+
+@query("stream_answers", """
+SELECT DISTINCT l_orderkey, l_linenumber, analysis_id, question_pk, created_at, answer FROM {d_answers_raw}""")
+def _(fx):
+    stream = stream_of(fx, "d_answers_raw", "lineitem").select(*ANSWER_ID)
+    delivered = deliver_answers(stream, ANSWER_ID, work_path(fx.spark, "answers"))
+    return delivered.withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
+
+
+# A theme counts as answered with two to four questions here, so that some complete.
+_NEEDED = "2 + theme_id % 3"
+
+
+@query("stream_progress", f"""
+WITH themes AS (SELECT theme_id, name, dimension, CAST({_NEEDED} AS BIGINT) AS needed FROM {{d_themes}}),
+whole AS (SELECT CAST(sum(needed) AS BIGINT) AS total FROM themes),
+counts AS (SELECT analysis_id, theme_id, count(DISTINCT question_pk) AS n FROM {{d_answers_raw}} JOIN {{d_questions}} USING (question_pk) GROUP BY 1, 2),
+totals AS (SELECT analysis_id, CAST(sum(n) AS BIGINT) AS answered FROM counts GROUP BY 1)
+SELECT DISTINCT analysis_id, 'dimension_start' AS event, dimension AS subject, 0::BIGINT AS answered_count, total FROM counts JOIN themes USING (theme_id), whole
+UNION ALL SELECT analysis_id, 'theme_start', name, 0, needed FROM counts JOIN themes USING (theme_id)
+UNION ALL SELECT analysis_id, 'theme_complete', name, n, needed FROM counts JOIN themes USING (theme_id) WHERE n >= needed
+UNION ALL SELECT analysis_id, 'progress', NULL, answered, total FROM totals, whole
+UNION ALL SELECT analysis_id, 'analysis_complete', NULL, answered, total FROM totals, whole WHERE answered >= total""")
+def _(fx):
+    questions = fx["d_questions"].select("question_pk", "theme_id")
+    stream = stream_of(fx, "d_answers_raw", "lineitem").select("analysis_id", "question_pk").join(questions, "question_pk")
+    themes = fx["d_themes"].withColumn("question_count", F.expr(_NEEDED))
+    return track_progress(stream, themes, work_path(fx.spark, "progress"))
+
+
+@query("stream_stalls", """
+WITH seen AS (SELECT analysis_id, max(ts) FILTER (WHERE kind = 'answer') AS last_answer,
+    min(ts) FILTER (WHERE kind = 'started') AS started_at, max(ts) FILTER (WHERE kind = 'heartbeat') AS heartbeat_at,
+    count(*) FILTER (WHERE kind = 'answer') AS partial_answers
+  FROM {d_progress} WHERE ts <= TIMESTAMP '2024-01-31 00:00:00' GROUP BY 1),
+aged AS (SELECT *, epoch(TIMESTAMP '2024-01-31 00:00:00') - epoch(last_answer) AS idle,
+    epoch(TIMESTAMP '2024-01-31 00:00:00') - epoch(started_at) AS age,
+    epoch(TIMESTAMP '2024-01-31 00:00:00') - epoch(heartbeat_at) AS beat FROM seen)
+SELECT analysis_id, partial_answers, CASE WHEN last_answer IS NOT NULL THEN 'no progress'
+       WHEN started_at IS NULL THEN 'no start time' ELSE 'no answers' END AS reason
+FROM aged WHERE (beat IS NULL OR beat >= 36000) AND CASE WHEN last_answer IS NOT NULL THEN idle > 43200
+       WHEN started_at IS NULL THEN TRUE ELSE age > 86400 END""")
+def _(fx):
+    stream = stream_of(fx, "d_progress", "events")
+    stalled = watch_stalls(stream, "2024-01-31 00:00:00", work_path(fx.spark, "stalls"), 43200, 86400, 36000)
+    return stalled.select("analysis_id", "partial_answers", "reason")
+
+
+@query("stream_ingest", """
+SELECT doc_id, report_year, CASE WHEN n IS NULL OR doc_id % 50 = 0 THEN 'error' ELSE 'ready' END AS status,
+       CASE WHEN doc_id % 50 = 0 THEN 0 ELSE coalesce(n, 0) END AS chunk_count,
+       CASE WHEN n IS NULL OR doc_id % 50 = 0 THEN 0 ELSE page_count END AS page_count
+FROM {d_documents} LEFT JOIN (SELECT doc_id, count(*) AS n FROM {o_chunks} GROUP BY 1) USING (doc_id)""")
+def _(fx):
+    emptied = F.when(F.col("doc_id") % 50 == 0, F.lit(" \n ")).otherwise(F.col("text"))
+    stream = stream_of(fx, "d_documents", "documents").withColumn("text", emptied)
+    _, status = ingest_documents(stream, work_path(fx.spark, "ingest"))
+    return status.drop("batch")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritrail import lookups as L
+from veritrail.operators.keys import first_per_key
+from veritrail.streaming.runs import finish, per_batch
 
 
 def last_signs(events: DataFrame) -> DataFrame:
@@ -45,3 +47,23 @@ def stalled_analyses(events: DataFrame, as_of: str, idle_seconds: int = L.IDLE_S
     now = F.lit(as_of).cast(events.schema["ts"].dataType)
     known = events.where(F.col("ts") <= now)
     return judge(last_signs(known), now, idle_seconds, startup_seconds, heartbeat_seconds)
+
+
+def watch_stalls(stream: DataFrame, as_of: str, path: str, idle_seconds: int = L.IDLE_SECONDS,
+                 startup_seconds: int = L.STARTUP_SECONDS, heartbeat_seconds: int = L.HEARTBEAT_SECONDS) -> DataFrame:
+    """The same from a stream: signs of life are kept as a running aggregate and judged at ``as_of``.
+
+    Every micro-batch writes the analyses that changed to its own folder; writing it again
+    replaces it. The newest line of an analysis counts.
+    """
+    now = F.lit(as_of).cast("timestamp")
+    timed = stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    signs = last_signs(timed.where(F.col("ts") <= now))
+
+    def write(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{path}/signs/batch={batch}")
+
+    finish(per_batch(signs, path, write, "update"))
+    written = stream.sparkSession.read.parquet(f"{path}/signs")
+    newest = first_per_key(written, ["analysis_id"], [F.desc("batch")])
+    return judge(newest, now, idle_seconds, startup_seconds, heartbeat_seconds)
