@@ -14,7 +14,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE_CHARS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
-SPACE = "".join(rf"\x{{{ord(c):x}}}" for c in SPACE_CHARS)  # for use inside [...]
+
+
+def _char_class(chars: str) -> str:
+    """The characters as ranges, for use inside ``[...]`` of a regular expression."""
+    parts, first = [], None
+    for char, following in zip(chars, chars[1:] + "\0"):
+        first = first or char
+        if ord(following) != ord(char) + 1:
+            parts.append(rf"\x{{{ord(first):x}}}-\x{{{ord(char):x}}}")
+            first = None
+    return "".join(parts)
+
+
+SPACE = _char_class(SPACE_CHARS)
+_ODD_SPACING = f"[{_char_class(SPACE_CHARS.replace(' ', ''))}]|  "
 
 
 def let(value: Column, body) -> Column:
@@ -32,7 +46,17 @@ def words(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(f"[^{SPACE}]+"))
+    """Number of whitespace-separated words. Singly spaced text, the usual case, counts its spaces."""
+
+    def count(bare: Column) -> Column:
+        spaces = F.length(bare) - F.length(F.replace(bare, F.lit(" "), F.lit("")))
+        return (
+            F.when(bare == "", F.lit(0))
+            .when(~bare.rlike(_ODD_SPACING), spaces + 1)
+            .otherwise(F.regexp_count(bare, F.lit(f"[^{SPACE}]+")))
+        )
+
+    return let(strip(text), count)
 
 
 def non_empty(parts: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from veritrail import lookups as L
 from veritrail.functions.answers import agent_name, answer_score, is_generic_source, normalize_answer
 from veritrail.functions.text import strip
+from veritrail.session import written
 from veritrail.operators.keys import first_per_key, unfold_array
 
 ANSWER_KEY = ["analysis_id", "question_pk"]
@@ -33,86 +34,91 @@ def _id_key(column: Column) -> Column:
     return F.lower(strip(column))
 
 
+def _cuts(text: Column, lengths: Column) -> Column:
+    """The distinct parts of ``text`` that have one of the ``lengths``."""
+    return F.array_distinct(
+        F.flatten(
+            F.transform(
+                F.filter(lengths, lambda n: n <= F.length(text)),
+                lambda n: F.transform(
+                    F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substr(text, i, n)
+                ),
+            )
+        )
+    )
+
+
 def match_answers(questions: DataFrame, answers: DataFrame, batch: Sequence[str]) -> DataFrame:
     """Give every question of a batch its answer: equal id first, else containment.
 
     ``questions`` carries ``batch`` columns and ``question_id``; ``answers`` carries
-    them too, plus ``ordinal`` (its place in the reply) and an ``answer_row`` payload.
-    Ids are compared trimmed and in lower case. Of answers with one id the last counts,
-    at the place of the first. A question without an equal id takes the earliest answer
-    whose id contains its id or lies inside it; a blank answer id matches nothing.
-
-    Containment is an equi-join on substrings. Questions meet the substrings of the
-    answer ids, cut to the id lengths that occur among the batch's open questions and
-    already reduced to the earliest answer per substring, so no pair of rows is formed
-    that is not a match, and answers inside a question's id are found among the (few)
-    substrings of that id.
+    them too, plus ``ordinal`` (its place in the reply, unique in the batch) and an
+    ``answer_row`` payload. Ids are compared trimmed and in lower case. Of answers with
+    one id the last counts, at the place of the first. A question without an equal id
+    takes the earliest answer whose id contains its id or lies inside it; a blank answer
+    id matches nothing.
+
+    Containment is an equi-join on parts of the ids, and only of the lengths that occur
+    on the other side of the batch: no pair of rows is formed that is not a match. Parts
+    of answer ids are reduced to the earliest place before they are shuffled. The
+    payloads stay out of it; the places found fetch them at the end. The replies, read
+    five times here, are written once.
     """
     batch = list(batch)
     keyed = answers.withColumn("_key", _id_key(F.col("question_id"))).where(F.col("_key") != "")
-    replies = keyed.groupBy(*batch, "_key").agg(
-        F.min("ordinal").alias("_place"),
-        F.max(F.struct("ordinal", "answer_row"))["answer_row"].alias("answer_row"),
+    replies = written(
+        keyed.groupBy(*batch, "_key").agg(
+            F.min("ordinal").alias("_place"), F.max(F.struct("ordinal", "answer_row"))["answer_row"].alias("answer_row")
+        ),
+        "replies",
     )
+    places = replies.select(*batch, "_key", "_place")
     wanted = questions.withColumn("_key", _id_key(F.col("question_id")))
-    exact = wanted.join(replies.select(*batch, "_key", F.col("answer_row").alias("_exact")), [*batch, "_key"], "left")
-    open_questions = exact.where(F.col("_exact").isNull() & (F.col("_key") != "")).select(*batch, "_key").distinct()
+    exact = wanted.join(replies.withColumnRenamed("answer_row", "_exact").drop("_place"), [*batch, "_key"], "left")
 
-    lengths = open_questions.groupBy(*batch).agg(F.array_distinct(F.collect_set(F.length("_key"))).alias("_lengths"))
-    cuts = F.array_distinct(
-        F.flatten(
-            F.transform(
-                F.filter("_lengths", lambda n: n < F.length("_key")),
-                lambda n: F.transform(
-                    F.sequence(F.lit(1), F.length("_key") - n + 1), lambda i: F.substr(F.col("_key"), i, n)
-                ),
-            )
-        )
-    )
-    candidate = F.struct(F.col("_place").alias("place"), F.col("answer_row").alias("answer_row"))
+    unanswered = wanted.where(F.col("_key") != "").select(*batch, "_key").distinct()
+    unanswered = unanswered.join(places, [*batch, "_key"], "left_anti")
+    sizes = F.collect_set(F.length("_key")).alias("_lengths")
     around = (
-        unfold_array(replies.join(lengths, batch), [*batch, "_place", "answer_row"], cuts, "_cut")
-        .groupBy(*batch, F.col("_cut").alias("_key"))
-        .agg(F.min(candidate).alias("_candidate"))
-        .join(open_questions, [*batch, "_key"], "left_semi")
-    )
-    parts = F.array_distinct(
-        F.flatten(
-            F.transform(
-                F.sequence(F.lit(1), F.length("_key")),
-                lambda i: F.transform(
-                    F.sequence(F.lit(1), F.length("_key") - i + 1), lambda n: F.substr(F.col("_key"), i, n)
-                ),
-            )
+        unfold_array(
+            places.join(unanswered.groupBy(*batch).agg(sizes), batch),
+            [*batch, "_place"], _cuts(F.col("_key"), F.col("_lengths")), "_cut",
         )
+        .groupBy(*batch, F.col("_cut").alias("_key"))
+        .agg(F.min("_place").alias("_place"))
+        .join(unanswered, [*batch, "_key"], "left_semi")
     )
     inside = (
-        unfold_array(open_questions, [*batch, "_key"], parts, "_part")
-        .join(replies.withColumnRenamed("_key", "_part"), [*batch, "_part"])
-        .select(*batch, "_key", candidate.alias("_candidate"))
+        unfold_array(
+            unanswered.join(places.groupBy(*batch).agg(sizes), batch),
+            [*batch, "_key"], _cuts(F.col("_key"), F.col("_lengths")), "_cut",
+        )
+        .join(places.withColumnRenamed("_key", "_cut"), [*batch, "_cut"])
+        .select(*batch, "_key", "_place")
     )
     loose = (
         around.unionByName(inside)
         .groupBy(*batch, "_key")
-        .agg(F.min("_candidate")["answer_row"].alias("_loose"))
+        .agg(F.min("_place").alias("_place"))
+        .join(replies.select(*batch, "_place", F.col("answer_row").alias("_loose")), [*batch, "_place"])
+        .drop("_place")
     )
+    match = F.when(F.col("_exact").isNotNull(), F.lit("exact")).when(F.col("_loose").isNotNull(), F.lit("contained"))
     return (
         exact.join(loose, [*batch, "_key"], "left")
-        .withColumn(
-            "match",
-            F.when(F.col("_exact").isNotNull(), F.lit("exact"))
-            .when(F.col("_loose").isNotNull(), F.lit("contained"))
-            .otherwise(F.lit("none")),
-        )
+        .withColumn("match", match.otherwise(F.lit("none")))
         .withColumn("answer_row", F.coalesce("_exact", "_loose"))
         .drop("_key", "_exact", "_loose")
     )
 
 
 def fill_answers(questions: DataFrame, answers: DataFrame, keys: Sequence[str] = ANSWER_KEY) -> DataFrame:
-    """Every asked question gets an answer; the missing ones get the not-applicable default."""
+    """Every asked question gets an answer; the missing ones get the not-applicable default.
+
+    Both sides are fact tables; the texts of the answers make size estimates too low, hence the merge join.
+    """
     found = F.col("answer").isNotNull()
-    return questions.join(answers, list(keys), "left").select(
+    return questions.join(answers.hint("merge"), list(keys), "left").select(
         *questions.columns,
         F.coalesce("answer", F.lit(L.NOT_APPLICABLE)).alias("answer"),
         F.when(found, F.col("justification")).otherwise(F.lit(L.DEFAULT_JUSTIFICATION)).alias("justification"),

@@ -119,14 +119,15 @@ def _printable(column: str):
 def export_detail(asked: DataFrame, questions: DataFrame, themes: DataFrame, answers: DataFrame) -> DataFrame:
     """Every asked question with its answer, ``—`` where there is none.
 
-    ``asked`` holds the (analysis, question) pairs of the runs; write the result with
+    ``asked`` holds the (analysis, question) pairs of the runs. Answers are a fact table of
+    long texts, which size estimates undervalue, hence the merge join. Write the result with
     ``partitionBy("dimension")`` and sort by the two order columns for one sheet each.
     """
     placed = questions.join(
         themes.select("theme_id", "dimension", F.col("display_order").alias("theme_order")), "theme_id"
     )
     rows = asked.select("analysis_id", "question_pk").join(placed, "question_pk")
-    return rows.join(answers, ["analysis_id", "question_pk"], "left").select(
+    return rows.join(answers.hint("merge"), ["analysis_id", "question_pk"], "left").select(
         "analysis_id", "question_pk", "dimension", "theme_order", "display_order", "question_id",
         strip_question_id(F.col("question_text"), F.col("question_id")).alias("question"),
         F.coalesce("answer", F.lit("—")).alias("answer"),

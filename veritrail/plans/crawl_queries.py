@@ -30,7 +30,7 @@ SELECT page_id, html, {sql_clean(f"array_to_string({sql_nodes('article')}, chr(1
 
 
 def page_texts(fx):
-    return P.extract_pages(fx["d_pages"])
+    return P.extract_pages(fx.spread("d_pages", "page_id"))
 
 
 @query("page_text", """
@@ -117,7 +117,7 @@ UNION ALL SELECT page_id, 4, CAST(generate_subscripts(raw, 1) - 1 AS INT), unnes
 
 
 def found_links(fx):
-    return K.find_links(fx["d_pages"])
+    return K.find_links(fx.spread("d_pages", "page_id"))
 
 
 def ranked_links(fx):

@@ -8,7 +8,7 @@ from veritrail import lookups as L
 from veritrail.operators import evaluation as E
 from veritrail.plans.checks import sql_round
 from veritrail.plans.registry import query
-from veritrail.plans.scoring_queries import clean_answers, overall_scores
+from veritrail.plans.scoring_queries import stored_answers, stored_scores
 
 _MATCH = """
 WITH refs AS (SELECT q.question_pk, w.question_id, w.sheet AS theme_name, trim(w.answer) AS answer, w.source,
@@ -55,7 +55,7 @@ SELECT analysis_id, company_id, report_year, matches, mismatches,
        {sql_round('x', 1)} AS accuracy
 FROM shares""")
 def _(fx):
-    return E.accuracy(clean_answers(fx), fx["d_reference"])
+    return E.accuracy(stored_answers(fx), fx["d_reference"])
 
 
 @query("mismatches", """
@@ -64,14 +64,14 @@ SELECT question_pk, r.question_id, r.theme_id, a.analysis_id, r.answer AS expect
 FROM {o_answers} a JOIN {d_reference} r USING (question_pk) WHERE r.answer <> 'N/A' AND a.answer <> r.answer
 ORDER BY question_pk, analysis_id LIMIT 20""")
 def _(fx):
-    found = E.mismatches(clean_answers(fx), fx["d_reference"])
+    found = E.mismatches(stored_answers(fx), fx["d_reference"])
     return found.withColumn("confidence_score", F.round("confidence_score", 6))
 
 
 def analyst_scores(fx):
     """A second set of scores per analysis, on a coarser scale."""
     names = [f"{d}_score" for d in L.DIMENSIONS] + ["overall_score"]
-    return overall_scores(fx).select(
+    return stored_scores(fx).select(
         "analysis_id", "company_id", "report_year", *[(F.floor(F.col(n)) + 0.53).alias(n) for n in names]
     )
 
@@ -84,4 +84,4 @@ _DELTAS = ", ".join(
 
 @query("score_delta", f"SELECT analysis_id, company_id, report_year, {_DELTAS} FROM {{o_overall}}")
 def _(fx):
-    return E.score_delta(overall_scores(fx), analyst_scores(fx))
+    return E.score_delta(stored_scores(fx), analyst_scores(fx))

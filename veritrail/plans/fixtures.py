@@ -7,9 +7,12 @@ start from the same rows. ``{name}`` refers to another view or to a test table.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from veritrail.session import written
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
     "pages benchmark labels conversations"
@@ -54,9 +57,9 @@ SELECT q.question_pk, q.theme_id, q.display_order, q.question_id,
 FROM {d_questions} q JOIN {part} p ON p.p_partkey = q.question_pk"""
 
 VIEWS["d_materiality"] = """
-SELECT s.sector, t.theme_id, ((t.theme_id * 7 + length(s.sector)) % 4) * 0.5E0 AS weight
-FROM (SELECT DISTINCT sector FROM {d_companies}) s CROSS JOIN {d_themes} t
-WHERE (t.theme_id + length(s.sector)) % 6 <> 0"""
+SELECT DISTINCT c.sector, t.theme_id, ((t.theme_id * 7 + length(c.sector)) % 4) * 0.5E0 AS weight
+FROM {d_companies} c JOIN {d_themes} t ON t.theme_id % 5 = c.company_id % 5
+WHERE (t.theme_id + length(c.sector)) % 6 <> 0"""
 
 VIEWS["d_answers_raw"] = """
 SELECT l_suppkey * 10000 + year(l_shipdate) AS analysis_id, l_suppkey AS company_id,
@@ -219,6 +222,22 @@ class Fixtures:
         return self._frames[name]
 
 
+    def spread(self, name: str, key: str) -> DataFrame:
+        """A table of long texts over all cores: the test files have one row group each, so one task would read it."""
+        frame, cores = self[name], self.spark.sparkContext.defaultParallelism
+        return frame.repartition(cores, key) if frame.rdd.getNumPartitions() <= cores else frame
+
+    def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """The result of ``build``, written to the shared folder once per session and read from there.
+
+        For tables that later steps read again and again: recomputing them would repeat the work,
+        caching them would lose it with an executor.
+        """
+        if name not in self._frames:
+            self._frames[name] = written(build(), name)
+        return self._frames[name]
+
+
 _open: dict[tuple[int, str], Fixtures] = {}
 
 

@@ -8,7 +8,7 @@ from veritrail.operators import companies as K
 from veritrail.operators import reports as R
 from veritrail.plans.checks import LATEST, RAW_ORDER, sql_round
 from veritrail.plans.registry import query
-from veritrail.plans.scoring_queries import clean_answers, overall_scores, theme_scores, usable_details
+from veritrail.plans.scoring_queries import stored_answers, stored_scores, stored_theme_scores, usable_details
 from veritrail.plans.source_queries import text_chunks
 from veritrail.streaming import replay, stalls
 
@@ -21,7 +21,7 @@ FROM (SELECT analysis_id, count(question_pk) AS answered, (SELECT count(*) FROM
              count(question_pk)::DOUBLE / (SELECT count(*) FROM {{d_questions}}) * 100 AS x
       FROM {{d_analyses}} LEFT JOIN {{o_answers}} USING (analysis_id) GROUP BY analysis_id)""")
 def _(fx):
-    return R.progress(fx["d_analyses"], clean_answers(fx), fx["d_questions"])
+    return R.progress(fx["d_analyses"], stored_answers(fx), fx["d_questions"])
 
 
 @query("analysis_results", """
@@ -30,8 +30,8 @@ SELECT a.analysis_id, a.question_pk, a.answer, q.question_id, q.question_text, q
 FROM {o_answers} a LEFT JOIN {d_questions} q USING (question_pk) LEFT JOIN {d_themes} t USING (theme_id)
 LEFT JOIN {o_theme_scores} s ON s.analysis_id = a.analysis_id AND s.theme_id = q.theme_id""")
 def _(fx):
-    answers = clean_answers(fx).select("analysis_id", "question_pk", "answer")
-    results = R.analysis_results(answers, fx["d_questions"], fx["d_themes"], theme_scores(fx))
+    answers = stored_answers(fx).select("analysis_id", "question_pk", "answer")
+    results = R.analysis_results(answers, fx["d_questions"], fx["d_themes"], stored_theme_scores(fx))
     return results.drop("theme_id", "rating")
 
 
@@ -78,7 +78,7 @@ LEFT JOIN (SELECT dimension, count(*) AS questions FROM {d_questions} JOIN {d_th
 LEFT JOIN (SELECT analysis_id, dimension, count(*) AS answered FROM {o_answers} JOIN {d_questions} USING (question_pk)
            JOIN {d_themes} USING (theme_id) GROUP BY 1, 2) USING (analysis_id, dimension)""")
 def _(fx):
-    return R.dimension_progress(fx["d_analyses"], clean_answers(fx), fx["d_questions"], fx["d_themes"])
+    return R.dimension_progress(fx["d_analyses"], stored_answers(fx), fx["d_questions"], fx["d_themes"])
 
 
 @query("latest_analyses", """
@@ -86,7 +86,7 @@ WITH newest AS (SELECT * FROM {d_analyses} ORDER BY created_at DESC, analysis_id
 SELECT analysis_id, company_id, report_year, status, count(question_pk) AS answers
 FROM newest LEFT JOIN {o_answers} USING (analysis_id, company_id, report_year) GROUP BY ALL""")
 def _(fx):
-    latest = R.latest_analyses(fx["d_analyses"], clean_answers(fx))
+    latest = R.latest_analyses(fx["d_analyses"], stored_answers(fx))
     return latest.select("analysis_id", "company_id", "report_year", "status", "answers")
 
 
@@ -132,7 +132,7 @@ SELECT a.analysis_id, t.display_order, concat(CAST(t.theme_number AS VARCHAR), '
 FROM {{d_analyses}} a CROSS JOIN {{d_themes}} t
 LEFT JOIN {{o_theme_scores}} s ON s.analysis_id = a.analysis_id AND s.theme_id = t.theme_id""")
 def _(fx):
-    return R.export_summary(fx["d_analyses"], fx["d_themes"], fx["d_questions"], theme_scores(fx))
+    return R.export_summary(fx["d_analyses"], fx["d_themes"], fx["d_questions"], stored_theme_scores(fx))
 
 
 @query("sector_class", """
@@ -217,6 +217,6 @@ SELECT analysis_id, row_number() OVER (PARTITION BY analysis_id ORDER BY phase,
 @query("replay_log", _REPLAY)
 def _(fx):
     log = replay.replay_log(
-        clean_answers(fx), fx["d_question_texts"], fx["d_themes"], theme_scores(fx), overall_scores(fx)
+        stored_answers(fx), fx["d_question_texts"], fx["d_themes"], stored_theme_scores(fx), stored_scores(fx)
     )
     return log.select("analysis_id", "seq", "event", "subject", "answer", "answered_count", "score", "rating")

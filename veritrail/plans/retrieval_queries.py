@@ -8,10 +8,10 @@ from veritrail import lookups as L
 from veritrail.operators import answers as A
 from veritrail.operators import documents as D
 from veritrail.operators import retrieval as R
-from veritrail.operators.chunking import chunk_texts
 from veritrail.plans.checks import LATEST, sql_rank
 from veritrail.plans.registry import query
 from veritrail.plans.scoring_queries import usable_details
+from veritrail.plans.source_queries import text_chunks
 
 SCOPE = ["company_id", "report_year"]
 KEYS = ["doc_id", "chunk_index"]
@@ -19,8 +19,8 @@ KEYS = ["doc_id", "chunk_index"]
 
 def searchable_chunks(fx):
     """Chunks of ready documents with company, year and file name."""
-    documents = D.ready_documents(fx["d_documents"]).select(*SCOPE, "doc_id", "filename", "text")
-    return chunk_texts(documents, [*SCOPE, "doc_id", "filename"])
+    documents = D.ready_documents(fx["d_documents"]).select(*SCOPE, "doc_id", "filename")
+    return text_chunks(fx).join(documents, "doc_id")
 
 
 def chunk_vectors(fx):

@@ -37,6 +37,22 @@ def overall_scores(fx):
     return S.overall_scores(weighted_scores(fx))
 
 
+# The stored tables that reports, exports and evaluations read.
+def stored_answers(fx):
+    return fx.stored("answers", lambda: clean_answers(fx))
+
+
+def stored_theme_scores(fx):
+    return fx.stored("theme_scores", lambda: S.theme_scores(stored_answers(fx), fx["d_questions"]))
+
+
+def stored_scores(fx):
+    weighted = lambda: S.weight_themes(
+        stored_theme_scores(fx), fx["d_companies"], fx["d_themes"], fx["d_materiality"]
+    )
+    return fx.stored("scores", lambda: S.overall_scores(weighted()))
+
+
 @query("theme_scores", f"""
 SELECT analysis_id, company_id, report_year, theme_id, scored, matches, raw_score, {sql_rating('raw_score')} AS rating
 FROM {{o_theme_scores}}""")

@@ -17,8 +17,13 @@ def _(fx):
     return D.ready_documents(fx["d_documents"]).select("doc_id", "company_id", "report_year", "filename")
 
 
+def fresh_chunks(fx):
+    return C.chunk_texts(fx.spread("d_documents", "doc_id"), ["doc_id"])
+
+
 def text_chunks(fx):
-    return C.chunk_texts(fx["d_documents"], ["doc_id"])
+    """The stored chunk table, which retrieval and reports read."""
+    return fx.stored("chunks", lambda: fresh_chunks(fx))
 
 
 def paged_documents(fx):
@@ -29,7 +34,7 @@ def paged_documents(fx):
 
 @query("chunks", "SELECT doc_id, chunk_index, content, token_count, page_number FROM {o_chunks}")
 def _(fx):
-    return text_chunks(fx).drop("page_range")
+    return fresh_chunks(fx).drop("page_range")
 
 
 @query("paged_chunks", """
@@ -139,7 +144,7 @@ def _(fx):
 
 def reply_payloads(fx):
     """Raw answers as JSON replies: single objects, bare arrays and the three named arrays."""
-    raw = fx["d_answer_details"].join(fx["d_questions"].select("question_pk", "question_id"), "question_pk")
+    raw = fx.spread("d_answer_details", "l_orderkey").join(fx["d_questions"].select("question_pk", "question_id"), "question_pk")
     one = F.struct("question_id", "answer", "justification", "source_reference", "improvement_points", "confidence_score")
     sub = F.struct(F.concat("question_id", F.lit(".1")).alias("question_id"), F.lit("N/A").alias("answer"))
     shape = F.col("l_linenumber") % 6

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(cores: str | int = "*", app: str = "veritrail") -> SparkSession:
@@ -41,3 +41,11 @@ def shared_dir(spark: SparkSession) -> str:
 def work_path(spark: SparkSession, purpose: str) -> str:
     """A fresh sub-folder name for one run of a job."""
     return f"{shared_dir(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: computed once for several readers,
+    with no lineage to repeat when an executor is lost."""
+    path = work_path(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

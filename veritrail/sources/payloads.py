@@ -23,8 +23,9 @@ def ingest_answers(replies: DataFrame, keep: Sequence[str], payload: str = "payl
     Text that is not JSON gives no rows. The first wrapper name present counts.
     """
     body = F.trim(F.col(payload))
-    inner = F.coalesce(*[F.get_json_object(body, f"$.{name}") for name in WRAPPERS], body)
+    wrapped = F.from_json(F.when(body.startswith("{"), body), ", ".join(f"{name} string" for name in WRAPPERS))
+    inner = let(wrapped, lambda w: F.coalesce(*[w[name] for name in WRAPPERS], body))
     as_array = let(inner, lambda j: F.when(j.startswith("["), j).otherwise(F.concat(F.lit("["), j, F.lit("]"))))
-    answers = F.from_json(F.when(body.startswith("["), body).otherwise(as_array), ANSWERS)
+    answers = F.from_json(as_array, ANSWERS)
     rows = unfold_array(replies, keep, answers, "_answer", "ordinal")
     return rows.where(F.col("_answer").isNotNull()).select(*keep, "ordinal", "_answer.*")
