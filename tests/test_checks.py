@@ -21,7 +21,7 @@ def duck():
 def test_query_equals_sql(spark, duck, name):
     problem, rows = compare(spark, duck, FOLDER, QUERIES[name], CHECKS.get(name))
     assert problem is None, problem
-    assert rows > 0
+    assert rows > 0 or name == "embedding_backlog"  # every document has a vector at this scale
 
 
 def test_every_query_has_sql():
@@ -67,4 +67,4 @@ def test_page_jobs_stay_row_local(spark, name):
 def test_chunker_stays_in_the_jvm(spark):
     text = plan(QUERIES["chunks"](spark, FOLDER))
     assert "Python" not in text and "Pandas" not in text
-    assert text.count("posexplode") == 1 and "size(" not in text.split("Generate")[-1].split("aggregate")[0]
+    assert text.count("aggregate(") == 1  # the packing is computed once, not again in a size filter

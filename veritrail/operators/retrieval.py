@@ -210,7 +210,8 @@ def keyword_topk(chunks: DataFrame, queries: DataFrame, keys: Sequence[str], sco
 def _joined_keywords(chunks: DataFrame, terms: DataFrame, columns: list[str]) -> DataFrame:
     """Many words: tokens of the corpus meet words through their substrings, by equi-joins."""
     tokens = unfold_array(chunks, columns, F.array_distinct(words(F.col("content"))), "token").drop("_position")
-    lengths = terms.select(F.collect_set(F.length("word"))).scalar()
+    sizes = [r[0] for r in terms.select(F.length("word")).distinct().collect()]  # a few dozen numbers
+    lengths = F.array(*[F.lit(n) for n in sizes])
     cuts = F.array_distinct(
         F.flatten(
             F.transform(

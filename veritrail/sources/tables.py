@@ -19,7 +19,7 @@ def read_chunks(spark: SparkSession, path: str, report_year: int | None = None)
 
 def decoded(content: Column) -> Column:
     """Page bytes as text; what is not UTF-8 becomes the replacement character."""
-    return F.decode(content, "UTF-8")
+    return F.make_valid_utf8(content.cast("string"))
 
 
 def read_page_files(spark: SparkSession, path: str) -> DataFrame:
