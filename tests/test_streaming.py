@@ -1,5 +1,6 @@
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from veritrail.streaming.answers import deliver_answers
@@ -22,14 +23,15 @@ def answer(n, analysis=1, question=None, theme=None):
     return (f"a{n}", analysis, question, question % 3 if theme is None else theme, START + timedelta(seconds=n))
 
 
-def test_answers_are_delivered_once_and_resumed(spark, tmp_path):
+@pytest.mark.parametrize("late", [None, "1 hour"])
+def test_answers_are_delivered_once_and_resumed(spark, tmp_path, late):
     folder, out = tmp_path / "in", str(tmp_path / "out")
     add(spark, folder, [answer(1), answer(2), answer(2)], ANSWERS, "1")
     add(spark, folder, [answer(2), answer(3)], ANSWERS, "2")
     stream = lambda: read_table_stream(spark, str(folder), files_per_batch=1)
-    assert sorted(r.id for r in deliver_answers(stream(), ["id"], out).collect()) == ["a1", "a2", "a3"]
+    assert sorted(r.id for r in deliver_answers(stream(), ["id"], out, late).collect()) == ["a1", "a2", "a3"]
     add(spark, folder, [answer(3), answer(4)], ANSWERS, "3")
-    assert sorted(r.id for r in deliver_answers(stream(), ["id"], out).collect()) == ["a1", "a2", "a3", "a4"]
+    assert sorted(r.id for r in deliver_answers(stream(), ["id"], out, late).collect()) == ["a1", "a2", "a3", "a4"]
 
 
 def test_progress_over_several_batches(spark, tmp_path):
@@ -56,6 +58,15 @@ def test_progress_over_several_batches(spark, tmp_path):
     assert events() == sorted(first + second + third)
 
 
+def test_late_answers_are_not_lost(spark, tmp_path):
+    folder = tmp_path / "in"
+    add(spark, folder, [answer(100_000)], ANSWERS, "1")
+    add(spark, folder, [answer(1), answer(100_000)], ANSWERS, "2")
+    add(spark, folder, [answer(2)], ANSWERS, "3")
+    stream = read_table_stream(spark, str(folder), files_per_batch=1)
+    assert deliver_answers(stream, ["id"], str(tmp_path / "out")).count() == 3
+
+
 EVENTS = "analysis_id long, kind string, ts timestamp"
 
 

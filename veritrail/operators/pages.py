@@ -7,14 +7,8 @@ from pyspark.sql import functions as F
 
 from veritrail import lookups as L
 from veritrail.functions.html import page_text
-from veritrail.functions.text import contains_any, strip
-
-
-def extract_pages(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Add ``text`` and the estimated page count."""
-    texts = pages.withColumn("text", page_text(F.col(html)))
-    estimate = F.greatest(F.lit(1), F.floor(F.length("text") / L.CHARS_PER_PAGE))
-    return texts.withColumn("page_count", estimate.cast("int"))
+from veritrail.functions.text import contains_any, let, strip
+from veritrail.operators.keys import unfold_array
 
 
 def unusable_reason(text: Column, html: Column) -> Column:
@@ -31,3 +25,21 @@ def unusable_reason(text: Column, html: Column) -> Column:
         .when((scripts > 5) & (size < 1000), F.lit("scripts"))
         .when(contains_any(markup, L.FRAMEWORK_MARKS) & (scripts > 3) & tables & (numbers <= 3), F.lit("unrendered table"))
     )
+
+
+def extract_pages(pages: DataFrame, html: str = "html") -> DataFrame:
+    """Add ``text``, the estimated page count and ``unusable`` (the reason, or null).
+
+    The three come as one unfolded struct, so that a filter on them cannot be pushed below
+    and have the text extracted a second time.
+    """
+
+    def describe(text: Column) -> Column:
+        estimate = F.greatest(F.lit(1), F.floor(F.length(text) / L.CHARS_PER_PAGE))
+        return F.struct(
+            text.alias("text"), estimate.cast("int").alias("page_count"),
+            unusable_reason(text, F.col(html)).alias("unusable"),
+        )
+
+    described = unfold_array(pages, pages.columns, F.array(let(page_text(F.col(html)), describe)), "_page")
+    return described.select(*pages.columns, "_page.*")

@@ -26,7 +26,7 @@ from veritrail.operators.keys import top_per_key, unfold_array
 MAX_LOCAL_QUERIES = 4096
 MAX_LOCAL_TERMS = 200_000
 CELLS_PER_STEP = 4_000_000
-BLOCK_CHUNKS, BLOCK_QUERIES = 20_000, 2_000
+BLOCK_CHUNKS, BLOCK_QUERIES = 5_000, 2_000
 
 
 def best_rows(group: np.ndarray, score: np.ndarray, tie: np.ndarray, k: int) -> np.ndarray:

@@ -106,13 +106,13 @@ SELECT doc_id, CAST(chunk_index AS INT) AS chunk_index, content, CAST(token_coun
        list_min(page_list) AS page_number, CASE WHEN len(page_list) > 0 THEN page_list END AS page_range FROM placed"""
 
 
-_SENTENCES = (
+SENTENCES = (
     "list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)),"
     " lambda s: trim(s, ' ' || chr(9) || chr(10) || chr(13))), lambda s: s <> '')"
 )
 VIEWS["o_chunks"] = sql_packing(
-    f"""SELECT doc_id, CASE WHEN len(b) <= 1 AND length(text) > 2000 THEN {_SENTENCES} ELSE b END AS parts,
-    list_transform(CASE WHEN len(b) <= 1 AND length(text) > 2000 THEN {_SENTENCES} ELSE b END, lambda s: 0) AS pages
+    f"""SELECT doc_id, CASE WHEN len(b) <= 1 AND length(text) > 2000 THEN {SENTENCES} ELSE b END AS parts,
+    list_transform(CASE WHEN len(b) <= 1 AND length(text) > 2000 THEN {SENTENCES} ELSE b END, lambda s: 0) AS pages
     FROM (SELECT doc_id, text, {sql_blocks('text')} AS b FROM {{d_documents}})"""
 )
 VIEWS["o_paged_chunks"] = sql_packing(

@@ -9,7 +9,8 @@ from veritrail.functions import urls as U
 from veritrail.functions.text import clean_text
 from veritrail.operators import links as K
 from veritrail.operators import pages as P
-from veritrail.plans.checks import sql_clean, sql_nodes
+from veritrail.plans import flows
+from veritrail.plans.checks import SENTENCES, sql_blocks, sql_clean, sql_nodes, sql_packing
 from veritrail.plans.fixtures import VIEWS
 from veritrail.plans.registry import query
 
@@ -68,10 +69,22 @@ SELECT page_id, CASE WHEN length(text) < 500 THEN 'short'
 FROM (SELECT *, len(regexp_extract_all(lower(html), '<script')) AS scripts FROM {o_page_text})"""
 
 
+VIEWS["o_web_chunks"] = sql_packing(f"""
+SELECT page_id AS doc_id, CASE WHEN len(b) <= 1 AND length(text) > 2000 THEN {SENTENCES} ELSE b END AS parts,
+       list_transform(CASE WHEN len(b) <= 1 AND length(text) > 2000 THEN {SENTENCES} ELSE b END, lambda s: 0) AS pages
+FROM (SELECT page_id, text, {sql_blocks('text')} AS b FROM {{o_page_text}}
+      WHERE page_id NOT IN (SELECT page_id FROM ({_REASON}) WHERE reason IS NOT NULL))""")
+
+
+@query("web_chunks", "SELECT doc_id AS page_id, chunk_index, content, token_count FROM {o_web_chunks}")
+def _(fx):
+    chunks = flows.chunk_web_pages(fx.spread("d_pages", "page_id"), ["page_id"])
+    return chunks.select("page_id", "chunk_index", "content", "token_count")
+
+
 @query("unusable_pages", f"SELECT * FROM ({_REASON}) WHERE reason IS NOT NULL")
 def _(fx):
-    judged = page_texts(fx).select("page_id", P.unusable_reason(F.col("text"), F.col("html")).alias("reason"))
-    return judged.where(F.col("reason").isNotNull())
+    return page_texts(fx).where(F.col("unusable").isNotNull()).select("page_id", F.col("unusable").alias("reason"))
 
 
 _HEADER = """CASE page_id % 4 WHEN 0 THEN 'Application/PDF; qs=1' WHEN 1 THEN 'text/html; charset=utf-8'

@@ -25,8 +25,7 @@ def stream_of(fx, view: str, table: str):
 SELECT DISTINCT l_orderkey, l_linenumber, analysis_id, question_pk, created_at, answer FROM {d_answers_raw}""")
 def _(fx):
     stream = stream_of(fx, "d_answers_raw", "lineitem").select(*ANSWER_ID)
-    delivered = deliver_answers(stream, ANSWER_ID, work_path(fx.spark, "answers"))
-    return delivered.withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
+    return deliver_answers(stream, ANSWER_ID, work_path(fx.spark, "answers"))
 
 
 # A theme counts as answered with two to four questions here, so that some complete.

@@ -21,6 +21,7 @@ def build_session(cores: str | int = "*", app: str = "veritrail") -> SparkSessio
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(parallelism))
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.sources.fileCompressionFactor", "4.0")  # files unpack; broadcast by what they hold
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )

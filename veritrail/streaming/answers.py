@@ -7,17 +7,24 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritrail.streaming.runs import append_to_files, finish
+from veritrail.streaming.runs import append_to_files, finish, state_on_disk
 
 
-def new_answers(stream: DataFrame, ids: Sequence[str], time: str = "created_at", late: str = "1 hour") -> DataFrame:
-    """The stream with every answer id once. Ids are remembered for ``late`` of event time."""
+def new_answers(stream: DataFrame, ids: Sequence[str], time: str = "created_at", late: str | None = None) -> DataFrame:
+    """The stream with every answer id once.
+
+    By default ids are remembered for good, so no answer is lost however late it comes.
+    Where answers are known to come within ``late`` of event time, ids are kept that long only.
+    """
+    if late is None:
+        return stream.dropDuplicates(list(ids))
     timed = stream.withColumn(time, F.col(time).cast("timestamp"))
     return timed.withWatermark(time, late).dropDuplicatesWithinWatermark(list(ids))
 
 
-def deliver_answers(stream: DataFrame, ids: Sequence[str], path: str, late: str = "1 hour") -> DataFrame:
+def deliver_answers(stream: DataFrame, ids: Sequence[str], path: str, late: str | None = None) -> DataFrame:
     """Append the new answers to the table under ``path``; a second run continues where this one ended."""
     spark = stream.sparkSession
-    finish(append_to_files(new_answers(stream, ids, late=late), path))
+    with state_on_disk(spark):
+        finish(append_to_files(new_answers(stream, ids, late=late), path))
     return spark.read.parquet(f"{path}/data")

@@ -9,10 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from veritrail.streaming.runs import append_to_files, finish
+from veritrail.streaming.runs import append_to_files, finish, state_on_disk
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 EVENTS = "analysis_id long, event string, subject string, answered_count long, total long"
 MAX_THEMES = 10_000
 
@@ -103,10 +101,6 @@ def progress_events(stream: DataFrame, themes: dict[int, tuple[int, str, str, in
 def track_progress(stream: DataFrame, themes: DataFrame, path: str) -> DataFrame:
     """Append progress events to the table under ``path``."""
     spark = stream.sparkSession
-    earlier = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)
-    try:
+    with state_on_disk(spark):
         finish(append_to_files(progress_events(stream, theme_catalogue(themes)), path))
-    finally:
-        spark.conf.set(PROVIDER, earlier)
     return spark.read.parquet(f"{path}/data")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.query import StreamingQuery
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def read_table_stream(spark: SparkSession, folder: str, file: str | None = None, files_per_batch: int | None = None) -> DataFrame:
     """A folder of parquet files as a stream; ``file`` narrows it to matching names."""
@@ -19,6 +23,17 @@ def read_table_stream(spark: SparkSession, folder: str, file: str | None = None,
     return reader.parquet(folder)
 
 
+@contextmanager
+def state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB, so it may outgrow the executors' memory."""
+    earlier = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(PROVIDER, earlier)
+
+
 def append_to_files(stream: DataFrame, path: str) -> StreamingQuery:
     """Exactly-once parquet sink; ``path`` holds both data and checkpoint, so a restart resumes."""
     return (

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veritrail import lookups as L
 from veritrail.operators.keys import first_per_key
-from veritrail.streaming.runs import finish, per_batch
+from veritrail.streaming.runs import finish, per_batch, state_on_disk
 
 
 def last_signs(events: DataFrame) -> DataFrame:
@@ -63,7 +63,8 @@ def watch_stalls(stream: DataFrame, as_of: str, path: str, idle_seconds: int = L
     def write(changed: DataFrame, batch: int) -> None:
         changed.write.mode("overwrite").parquet(f"{path}/signs/batch={batch}")
 
-    finish(per_batch(signs, path, write, "update"))
+    with state_on_disk(stream.sparkSession):
+        finish(per_batch(signs, path, write, "update"))
     written = stream.sparkSession.read.parquet(f"{path}/signs")
     newest = first_per_key(written, ["analysis_id"], [F.desc("batch")])
     return judge(newest, now, idle_seconds, startup_seconds, heartbeat_seconds)
