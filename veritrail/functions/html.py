@@ -135,7 +135,7 @@ def table_text(table: Column) -> Column:
 def page_text(html: Column) -> Column:
     """The readable text of a page: block texts joined by blank lines, tables as lines."""
     markup = without_elements(html, _RAW + _FLAT)
-    area = content_area(without_nested(markup, [t for t in L.DROPPED_TAGS if t not in _RAW + _FLAT]))
+    area = let(without_nested(markup, [t for t in L.DROPPED_TAGS if t not in _RAW + _FLAT]), content_area)
     parts = F.transform(
         F.split(area, r"(?i)(?=<table\b)|(?<=</table>)"),
         lambda p: F.when(F.startswith(F.lower(p), F.lit("<table")), non_empty(F.array(table_text(p)))).otherwise(text_nodes(p)),
@@ -145,9 +145,13 @@ def page_text(html: Column) -> Column:
 
 def raw_attribute(tag: Column, name: str) -> Column:
     """Value of an attribute of an opening tag as written; null when it is not there."""
-    pattern = rf"""(?is)^<[^>]*?(?<![\w-]){name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    value = F.concat(*[F.coalesce(F.regexp_extract(tag, pattern, i), F.lit("")) for i in (1, 2, 3)])
-    return F.when(tag.rlike(pattern), value)
+    pattern = rf"""(?is)^<[^>]*?(?<![\w-]){name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+
+    def unquoted(value: Column) -> Column:
+        quoted = value.startswith('"') | value.startswith("'")
+        return F.when(quoted, F.substr(value, F.lit(2), F.length(value) - 2)).when(value != "", value)
+
+    return let(F.regexp_extract(tag, pattern, 1), unquoted)
 
 
 def attribute(tag: Column, name: str) -> Column:

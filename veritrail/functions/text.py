@@ -146,7 +146,11 @@ def _decode_reference(part: Column) -> Column:
 
 def unescape(text: Column) -> Column:
     """Decode HTML character references, each exactly once."""
-    pieces = F.transform(
-        F.split(text, "(?=&)"), lambda p: F.when(p.startswith("&"), _decode_reference(p)).otherwise(p)
-    )
-    return F.when(F.contains(text, F.lit("&")), F.array_join(pieces, "")).otherwise(text)
+
+    def decode(t: Column) -> Column:
+        pieces = F.transform(
+            F.split(t, "(?=&)"), lambda p: F.when(p.startswith("&"), _decode_reference(p)).otherwise(p)
+        )
+        return F.when(F.contains(t, F.lit("&")), F.array_join(pieces, "")).otherwise(t)
+
+    return let(text, decode)
