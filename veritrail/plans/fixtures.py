@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritrail.session import written
+from veritrail.session import ship_package, written
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
@@ -245,5 +245,6 @@ def fixtures(spark: SparkSession, folder: str) -> Fixtures:
     """The fixtures of a folder, opened once per session."""
     key = (id(spark._jsparkSession), folder)
     if key not in _open or _open[key].spark is not spark:
+        ship_package(spark)
         _open[key] = Fixtures(spark, folder)
     return _open[key]

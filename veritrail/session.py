@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +28,26 @@ def build_session(cores: str | int = "*", app: str = "veritrail") -> SparkSessio
     )
 
 
+_shipped: list[str] = []
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application; their Python workers import it."""
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="veritrail-package-"), "veritrail.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as target:
+        for folder, _, files in os.walk(root):
+            for file in sorted(files):
+                if file.endswith(".py"):
+                    path = os.path.join(folder, file)
+                    target.write(path, os.path.join("veritrail", os.path.relpath(path, root)))
+    spark.sparkContext.addPyFile(archive)
+    _shipped.append(application)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach: ``spark.checkpoint.dir`` of the session.
 

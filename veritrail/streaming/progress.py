@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -14,6 +16,10 @@ from veritrail.streaming.runs import append_to_files, finish, state_on_disk
 EVENTS = "analysis_id long, event string, subject string, answered_count long, total long"
 MAX_THEMES = 10_000
 
+# Spark first loads the processor in a Python process of the driver that knows no shipped
+# packages, so the processor travels with its code.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def distinct_in_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Map-side combine: an analysis sends at most its catalogue per incoming batch, however hot it is."""
