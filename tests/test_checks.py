@@ -32,6 +32,19 @@ def test_entry(spark):
     assert entry(spark).count() > 0
 
 
+def test_invariants(spark):
+    scores = QUERIES["overall_scores"](spark, FOLDER).collect()
+    assert all(0 <= r.overall_score <= 10 for r in scores)
+    ordered = sorted(scores, key=lambda r: -r.overall_score)
+    letters = [r.overall_rating for r in ordered]
+    assert letters == sorted(letters)
+    filled = QUERIES["fill_answers"](spark, FOLDER)
+    assert filled.count() == filled.select("analysis_id", "question_pk").distinct().count()
+    log = QUERIES["replay_log"](spark, FOLDER).where("event = 'question_answered'").groupBy("analysis_id").count()
+    stream = QUERIES["stream_progress"](spark, FOLDER).where("event = 'progress'")
+    assert {(r[0], r[1]) for r in log.collect()} == {(r.analysis_id, r.answered_count) for r in stream.collect()}
+
+
 def plan(frame) -> str:
     return frame._jdf.queryExecution().executedPlan().toString()
 
