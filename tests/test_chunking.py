@@ -1,9 +1,6 @@
 import random
 import re
 
-import pytest
-from pyspark.sql import functions as F
-
 from veritrail.operators import chunking as C
 
 

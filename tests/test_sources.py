@@ -14,7 +14,7 @@ def test_payload_shapes(spark):
     payloads = [
         json.dumps(a), json.dumps([a, b]), json.dumps({"answers": [a, b]}), json.dumps({"results": [b]}), json.dumps({"respostas": [a]}),
         json.dumps({"answers": a}), json.dumps({"answers": [a], "results": [b, b]}), "not json", "", "[]", json.dumps({"answers": []}),
-        " " + json.dumps({"note": {"answers": 1}, "results": [b]}),
+        " " + json.dumps({"note": {"answers": 1}, "results": [b]}), json.dumps({"answers": [a, b]})[:-9], "5", '"text"', "null",
     ]
     frame = spark.createDataFrame(list(enumerate(payloads)), "i int, payload string")
     got: dict = {}
@@ -24,8 +24,13 @@ def test_payload_shapes(spark):
     assert {i: got[i] for i in (0, 1, 2, 3, 4, 5, 6, 11)} == {
         0: [one], 1: [one, two], 2: [one, two], 3: [(0, "1.2", "Não")], 4: [one], 5: [one], 6: [one], 11: [(0, "1.2", "Não")],
     }
-    assert not {8, 9, 10} & set(got)
-    assert all(answer is None for _, _, answer in got.get(7, []))
+    assert not {7, 8, 9, 10, 12, 13, 14, 15} & set(got)
+
+
+def test_payload_numbers_and_strings(spark):
+    rows = [("[{\"question_id\": 1.1, \"answer\": \"Sim\", \"confidence_score\": \"0.9\"}, {\"confidence_score\": 1}, {\"confidence_score\": \"high\"}]",)]
+    got = ingest_answers(spark.createDataFrame(rows, "payload string"), []).orderBy("ordinal").collect()
+    assert [(r.question_id, r.confidence_score) for r in got] == [("1.1", 0.9), (None, 1.0), (None, None)]
 
 
 def test_cells(spark):

@@ -99,6 +99,12 @@ LINK_KEYWORDS = [
 ]
 DOCUMENT_EXTENSIONS = [".pdf", ".xlsx", ".xls", ".docx"]
 PDF_ATTRIBUTES = ["onclick", "data-href", "data-url", "data-src", "data-file", "data-download"]
+PDF_IN_ATTRIBUTE_PATTERN = r"""(?i)(https?://[^\s'"<>]+\.pdf[^\s'"<>]*)"""
+PDF_IN_SOURCE_PATTERN = r"""(?i)(https?://[^\s'"<>\\]+\.pdf(?:\?[^\s'"<>\\]*)?)"""
+SIZE_SUFFIX_PATTERN = r"(?i)\s*\(?\d+\s*(kb|mb|gb)\)?$"
+DOWNLOAD_SUFFIX_PATTERN = r"(?i)\s*-\s*download$"
+NAME_EXTENSION_PATTERN = r"(?i)\.(pdf|xlsx|docx)$"
+MIN_PAGE_CHARS = 100
 PDF_BONUS = 3
 EMBEDDED_LINK_TEXT = "Embedded Document"
 
@@ -164,6 +170,7 @@ ADMIN_SHEETS = [
     "Capa", "Sumário", "Conceito&Orientações", "Dados da empresa", "Abrev_Temas",
     "Assinaturas", "Padronização_dados", "Padronização", "Notas",
 ]
+QUESTION_ID_PATTERN = r"^(\d+\.\d+(?:\.\d+)*)"
 UNSCORED_SHEETS = ["Controvérsias", "Materialidade", "Resultado"]
 THEME_NAMES = [  # a theme's sheet carries the theme's own name
     "Recursos Hídricos", "Recursos Energéticos", "Sistema Gestão Socioambiental",
@@ -182,6 +189,7 @@ SENTENCE_SPLIT_FACTOR = 4
 EMBEDDING_BATCH, EMBEDDING_CHARS = 20, 8000
 QUESTION_BATCH = 5
 SEARCH_DEPTH, COVERAGE_DEPTH = 20, 10
+COVERAGE_GOOD, COVERAGE_PARTIAL, COVERAGE_NONE = "OK", "PARCIAL", "SEM DADOS"
 SIMILARITY_THRESHOLD = 0.3
 CONTEXT_CHUNKS, CONTEXT_CHARS = 20, 1200
 SOURCE_CHUNKS = 5

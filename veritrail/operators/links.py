@@ -23,9 +23,6 @@ from veritrail.functions.urls import (
     without_query,
 )
 
-MIN_PAGE_CHARS = 100
-_PDF_IN_ATTRIBUTE = r"""(?i)(https?://[^\s'"<>]+\.pdf[^\s'"<>]*)"""
-_PDF_IN_SOURCE = r"""(?i)(https?://[^\s'"<>\\]+\.pdf(?:\?[^\s'"<>\\]*)?)"""
 _NO_LINKS = "array<struct<generator:int,position:int,url:string,text:string>>"
 
 
@@ -67,7 +64,7 @@ def _attribute_pdfs(markup: Column) -> Column:
             rest = F.array_join(F.slice(pieces, i + 1, F.size(pieces)), "")
             name = F.lower(F.regexp_extract(piece, "^<([a-zA-Z][a-zA-Z0-9]*)", 1))
             values = unescape(F.concat_ws("\n", *[raw_attribute(piece, n) for n in L.PDF_ATTRIBUTES]))
-            urls = F.regexp_extract_all(values, F.lit(_PDF_IN_ATTRIBUTE), 1)
+            urls = F.regexp_extract_all(values, F.lit(L.PDF_IN_ATTRIBUTE_PATTERN), 1)
             text = inner_text(element_at_start(rest, name))
             return F.when(
                 piece.rlike(rf"(?is)^{opening}") & F.contains(F.lower(piece), F.lit(".pdf")),
@@ -89,7 +86,7 @@ def _frames(markup: Column, base: Column) -> Column:
 
 
 def _source_pdfs(html: Column) -> Column:
-    return F.transform(F.regexp_extract_all(html, F.lit(_PDF_IN_SOURCE), 1), lambda u: _link(u, F.lit("")))
+    return F.transform(F.regexp_extract_all(html, F.lit(L.PDF_IN_SOURCE_PATTERN), 1), lambda u: _link(u, F.lit("")))
 
 
 def find_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -102,7 +99,7 @@ def find_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
         _tagged(_anchors(m, b), 1), _tagged(_attribute_pdfs(m), 2),
         _tagged(_frames(m, b), 3), _tagged(_source_pdfs(F.col(html)), 4),
     )
-    found = F.when(F.length(html) >= MIN_PAGE_CHARS, links).otherwise(F.array().cast(_NO_LINKS))
+    found = F.when(F.length(html) >= L.MIN_PAGE_CHARS, links).otherwise(F.array().cast(_NO_LINKS))
     return with_base.withColumn("links", found).drop("_markup", "_base")
 
 
@@ -149,10 +146,10 @@ def rank_links(pages: DataFrame, keywords: list[str] = L.LINK_KEYWORDS) -> DataF
 def link_name(url: Column, text: Column) -> Column:
     """The link's text without size and download remarks, else the file name made readable."""
     bare = strip(text)
-    sized = F.regexp_replace(bare, r"(?i)\s*\(?\d+\s*(kb|mb|gb)\)?$", "")
-    by_text = strip(F.regexp_replace(sized, r"(?i)\s*-\s*download$", ""))
+    sized = F.regexp_replace(bare, L.SIZE_SUFFIX_PATTERN, "")
+    by_text = strip(F.regexp_replace(sized, L.DOWNLOAD_SUFFIX_PATTERN, ""))
     file = url_decoded(F.substring_index(url_path(url), "/", -1))
-    words = F.translate(F.regexp_replace(file, r"(?i)\.(pdf|xlsx|docx)$", ""), "-_", "  ")
+    words = F.translate(F.regexp_replace(file, L.NAME_EXTENSION_PATTERN, ""), "-_", "  ")
     by_file = F.coalesce(F.nullif(strip(words), F.lit("")), F.lit(L.DEFAULT_DOCUMENT_NAME))
     return F.when((F.length(bare) > 5) & (F.length(bare) < 200), by_text).otherwise(by_file)
 

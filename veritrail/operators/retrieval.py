@@ -263,16 +263,16 @@ def theme_coverage(scopes: DataFrame, queries: DataFrame, hits: DataFrame, scope
     themes = queries.select(F.collect_set("query_id")).scalar()
     slots = scopes.select(*scope).distinct().withColumn("query_id", F.explode(themes))
     counted = slots.join(found, [*scope, "query_id"], "left").na.fill(0, ["found"])
-    status = F.when(F.col("found") >= 5, F.lit("OK")).when(F.col("found") >= 1, F.lit("PARCIAL"))
-    return counted.withColumn("status", status.otherwise(F.lit("SEM DADOS")))
+    status = F.when(F.col("found") >= 5, F.lit(L.COVERAGE_GOOD)).when(F.col("found") >= 1, F.lit(L.COVERAGE_PARTIAL))
+    return counted.withColumn("status", status.otherwise(F.lit(L.COVERAGE_NONE)))
 
 
 def coverage_verdict(coverage: DataFrame, scope: Sequence[str]) -> DataFrame:
     """Theme totals per scope and whether an analysis is worth running."""
     totals = coverage.groupBy(*scope).agg(
-        F.count_if(F.col("status") == "OK").alias("good"),
-        F.count_if(F.col("status") == "PARCIAL").alias("partial"),
-        F.count_if(F.col("status") == "SEM DADOS").alias("missing"),
+        F.count_if(F.col("status") == L.COVERAGE_GOOD).alias("good"),
+        F.count_if(F.col("status") == L.COVERAGE_PARTIAL).alias("partial"),
+        F.count_if(F.col("status") == L.COVERAGE_NONE).alias("missing"),
     )
     verdict = F.when(F.col("missing") == 0, F.lit("complete")).when(F.col("missing") <= 3, F.lit("usable"))
     return totals.withColumn("verdict", verdict.otherwise(F.lit("insufficient")))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from veritrail.operators import companies as K
 from veritrail.operators import reports as R
-from veritrail.plans.checks import LATEST, RAW_ORDER, sql_round
+from veritrail.plans.checks import LATEST, sql_round
 from veritrail.plans.registry import query
 from veritrail.plans.scoring_queries import stored_answers, stored_scores, stored_theme_scores, usable_details
 from veritrail.plans.source_queries import text_chunks

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veritrail import lookups as L
 from veritrail.functions.text import strip
 
-_ID = r"^(\d+\.\d+(?:\.\d+)*)"
+_ID = L.QUESTION_ID_PATTERN
 _COLUMNS = ["A", "B", "C", "D", "E", "F", "L"]
 
 

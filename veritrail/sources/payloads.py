@@ -12,7 +12,7 @@ from veritrail.operators.keys import unfold_array
 
 ANSWERS = (
     "array<struct<question_id:string,answer:string,justification:string,source_reference:string,"
-    "improvement_points:string,confidence_score:double>>"
+    "improvement_points:string,confidence_score:string>>"
 )
 WRAPPERS = ["answers", "results", "respostas"]
 
@@ -20,7 +20,8 @@ WRAPPERS = ["answers", "results", "respostas"]
 def ingest_answers(replies: DataFrame, keep: Sequence[str], payload: str = "payload") -> DataFrame:
     """Accepts a bare array, an object that wraps the array (or one answer) under a known name, or one answer.
 
-    Text that is not JSON gives no rows. The first wrapper name present counts.
+    Text that is not JSON gives no rows. The first wrapper name present counts. Ids and
+    confidences may come as numbers or as strings.
     """
     body = F.trim(F.col(payload))
     wrapped = F.from_json(F.when(body.startswith("{"), body), ", ".join(f"{name} string" for name in WRAPPERS))
@@ -28,4 +29,5 @@ def ingest_answers(replies: DataFrame, keep: Sequence[str], payload: str = "payl
     as_array = let(inner, lambda j: F.when(j.startswith("["), j).otherwise(F.concat(F.lit("["), j, F.lit("]"))))
     answers = F.from_json(as_array, ANSWERS)
     rows = unfold_array(replies, keep, answers, "_answer", "ordinal")
-    return rows.where(F.col("_answer").isNotNull()).select(*keep, "ordinal", "_answer.*")
+    answers = rows.where(F.col("_answer").isNotNull()).select(*keep, "ordinal", "_answer.*")
+    return answers.withColumn("confidence_score", F.col("confidence_score").try_cast("double"))
