@@ -210,7 +210,7 @@ events AS (
     FROM themes JOIN {o_theme_scores} s USING (analysis_id, theme_id)
   UNION ALL SELECT o.analysis_id, 2, -1, -1, 5, -1, 'analysis_complete', NULL, NULL, n, overall_score, overall_rating
     FROM {o_overall} o JOIN (SELECT analysis_id, count(*) AS n FROM numbered GROUP BY 1) USING (analysis_id))
-SELECT analysis_id, row_number() OVER (PARTITION BY analysis_id ORDER BY phase, theme_order, theme_id, kind, display_order) AS seq,
+SELECT analysis_id, CAST(row_number() OVER (PARTITION BY analysis_id ORDER BY phase, theme_order, theme_id, kind, display_order) AS INT) AS seq,
        event, subject, answer, answered_count, score, rating FROM events"""
 
 

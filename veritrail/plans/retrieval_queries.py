@@ -43,7 +43,7 @@ def query_texts(fx):
 
 
 @query("vector_topk", f"""
-SELECT query_id, rank, h.doc_id, filename, round(score, 6) AS similarity
+SELECT query_id, CAST(rank AS INT) AS rank, h.doc_id, filename, round(score, 6) AS similarity
 FROM ({sql_rank("{o_vector_pairs} WHERE score >= 0.3", '', 20)}) h JOIN {{d_documents}} d USING (doc_id)""")
 def _(fx):
     chunks = chunk_vectors(fx)
@@ -53,7 +53,7 @@ def _(fx):
 
 
 @query("keyword_topk", f"""
-SELECT company_id, report_year, query_id, rank, doc_id, chunk_index, CAST(score AS INT) AS score
+SELECT company_id, report_year, query_id, CAST(rank AS INT) AS rank, doc_id, chunk_index, CAST(score AS INT) AS score
 FROM ({sql_rank('{o_keyword_pairs}', 'company_id, report_year', 20)})""")
 def _(fx):
     hits = R.keyword_topk(searchable_chunks(fx), query_texts(fx), KEYS, SCOPE)
@@ -68,7 +68,7 @@ def hybrid(fx):
 
 
 @query("hybrid_topk", """
-SELECT company_id, report_year, query_id, rank, doc_id, chunk_index, round(score, 6) AS score, method FROM {o_hybrid}""")
+SELECT company_id, report_year, query_id, CAST(rank AS INT) AS rank, doc_id, chunk_index, round(score, 6) AS score, method FROM {o_hybrid}""")
 def _(fx):
     return hybrid(fx).select(*SCOPE, "query_id", "rank", *KEYS, F.round("score", 6).alias("score"), "method")
 
