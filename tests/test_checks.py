@@ -4,12 +4,13 @@ import os
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from tests.compare import compare, connect
+from veritrail.plans.registry import check_sql, spark_queries
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables not there")
-QUERIES, CHECKS = queries(), oracle_sql()
+QUERIES, CHECKS = spark_queries(), check_sql()
 
 
 @pytest.fixture(scope="module")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -49,20 +50,34 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach: ``spark.checkpoint.dir`` of the session.
+    """The folder all executors can reach: ``spark.checkpoint.dir``, or the one given to ``setCheckpointDir``.
 
-    Only where the session names none (tests, a laptop) a local folder is made up and set.
+    Only a session on one machine (tests, a laptop) that names none gets a local folder; a cluster must name one.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not folder:
+        given = context._jsc.sc().getCheckpointDir()
+        folder = given.get() if given.isDefined() else None
+    if not folder:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="veritrail-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
 def work_path(spark: SparkSession, purpose: str) -> str:
-    """A fresh sub-folder name for one run of a job."""
-    return f"{shared_dir(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    """A fresh sub-folder name for one run of a job; it is removed when the session ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    hadoop_path, files = _files(spark, path)
+    files.deleteOnExit(hadoop_path)
+    return path
+
+
+def _files(spark: SparkSession, path: str):
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path, hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def written(df: DataFrame, purpose: str) -> DataFrame:
@@ -70,4 +85,36 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     with no lineage to repeat when an executor is lost."""
     path = work_path(df.sparkSession, purpose)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Job:
+    """The intermediate tables of one run, in a folder of their own in the shared folder.
+
+    ``keep`` writes a table and reads it back, ``drop`` removes one that is no longer read, and ``finish``
+    writes the result beside the folder, removes the folder and gives the result back.
+    """
+
+    def __init__(self, spark: SparkSession, purpose: str):
+        self.spark, self.purpose = spark, purpose
+        self.folder = work_path(spark, purpose)
+
+    def keep(self, df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+        path = f"{self.folder}/{name}"
+        writer = df.write.option("compression", "zstd")
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+        return self.read(name, df)
+
+    def read(self, name: str, like: DataFrame) -> DataFrame:
+        return self.spark.read.schema(like.schema).parquet(f"{self.folder}/{name}")
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            path, files = _files(self.spark, f"{self.folder}/{name}")
+            files.delete(path, True)
+
+    def finish(self, df: DataFrame) -> DataFrame:
+        result = written(df, f"{self.purpose}-result")
+        path, files = _files(self.spark, self.folder)
+        files.delete(path, True)
+        return result
