@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrail.llm import byte_bpe
+from veritrail.llm import byte_bpe, secret_grammar
 from veritrail.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +37,18 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("raw", 256).alias("decoded_sha256"),
     )
+
+
+def _joined(spans: str):
+    """kind:start:end of all spans, comma-joined."""
+    return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
+
+
+@query("op4_secret_grammar")
+def op4_secret_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_grammar.find_secrets(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+    count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id", *[count(kind).alias(f"n_{kind}") for kind in secret_grammar.KINDS],
+        F.sha2(_joined("base_spans"), 256).alias("base_sha256"), _joined("spans").alias("spans"),
+    )
