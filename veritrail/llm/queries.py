@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrail.llm import byte_bpe, secret_grammar
+from veritrail.llm import byte_bpe, language_id, secret_grammar
 from veritrail.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +52,11 @@ def op4_secret_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *[count(kind).alias(f"n_{kind}") for kind in secret_grammar.KINDS],
         F.sha2(_joined("base_spans"), 256).alias("base_sha256"), _joined("spans").alias("spans"),
     )
+
+
+@query("op6_language_id")
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    model = language_id.fit(docs, ~language_id.held_out())
+    return language_id.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
