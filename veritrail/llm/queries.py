@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrail.llm import byte_bpe, language_id, secret_grammar
+from veritrail.llm import byte_bpe, language_id, preference_format, secret_grammar
 from veritrail.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,56 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.fit(docs, ~language_id.held_out())
     return language_id.predict(docs.select("doc_id", "text"), model).select(
         "doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
+# The table has no rejected answers: a conversation's rejected twin has the last assistant turn of its neighbour
+# (2k and 2k + 1) in place of its own, so all turns before that one are shared.
+OP2_SQL = """
+WITH last_turn AS (
+  SELECT conv_id, max(turn) AS turn FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+answer AS (
+  SELECT c.conv_id, c.turn, c.text FROM conversations c JOIN last_turn l ON l.conv_id = c.conv_id AND l.turn = c.turn),
+twin AS (
+  SELECT c.conv_id, c.turn, c.role,
+         CASE WHEN l.turn = c.turn THEN coalesce(n.text, '') ELSE c.text END AS text
+  FROM conversations c LEFT JOIN last_turn l ON l.conv_id = c.conv_id AND l.turn = c.turn
+  LEFT JOIN answer n ON n.conv_id = CASE WHEN c.conv_id % 2 = 0 THEN c.conv_id + 1 ELSE c.conv_id - 1 END AND l.turn IS NOT NULL),
+both_sides AS (
+  SELECT 'c' AS side, conv_id AS pair, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT 'r', conv_id, turn, coalesce(role, ''), coalesce(text, '') FROM twin),
+first_other AS (
+  SELECT pair, min(turn) AS turn FROM (
+    SELECT pair, turn FROM both_sides GROUP BY pair, turn
+    HAVING count(*) <> 2 OR min(role) <> max(role) OR min(text) <> max(text)) GROUP BY pair),
+rendered AS (
+  SELECT b.side, b.pair, b.turn, b.role, f.turn IS NULL OR b.turn < f.turn AS shared,
+         '<|' || b.role || '|>' || chr(10) || b.text || '<|end|>' || chr(10) AS piece, length(b.role) + 5 AS head
+  FROM both_sides b LEFT JOIN first_other f ON f.pair = b.pair),
+placed AS (
+  SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY side, pair ORDER BY turn
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM rendered)
+SELECT pair,
+       CAST(count(*) FILTER (WHERE shared AND side = 'c') AS INT) AS prompt_turns,
+       coalesce(string_agg(piece, '' ORDER BY turn) FILTER (WHERE shared AND side = 'c'), '') AS prompt,
+       coalesce(string_agg(piece, '' ORDER BY turn) FILTER (WHERE NOT shared AND side = 'c'), '') AS chosen,
+       coalesce(string_agg(piece, '' ORDER BY turn) FILTER (WHERE NOT shared AND side = 'r'), '') AS rejected,
+       coalesce(string_agg(CAST(place + head AS BIGINT) || ':' || CAST(place + length(piece) AS BIGINT), ',' ORDER BY turn)
+                FILTER (WHERE NOT shared AND side = 'c' AND role = 'assistant'), '') AS chosen_mask,
+       coalesce(string_agg(CAST(place + head AS BIGINT) || ':' || CAST(place + length(piece) AS BIGINT), ',' ORDER BY turn)
+                FILTER (WHERE NOT shared AND side = 'r' AND role = 'assistant'), '') AS rejected_mask
+FROM placed WHERE pair IS NOT NULL GROUP BY pair"""
+
+
+@query("op2_preference_format", OP2_SQL)
+def op2_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    answers = turns.where("role = 'assistant'").groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("answer"))
+    neighbour = F.when(F.col("conv_id") % 2 == 0, F.col("conv_id") + 1).otherwise(F.col("conv_id") - 1)
+    swap = answers.select("conv_id", F.col("answer.turn").alias("turn"), neighbour.alias("from")).join(
+        answers.select(F.col("conv_id").alias("from"), F.col("answer.text").alias("other")), "from", "left").select(
+        "conv_id", "turn", F.coalesce("other", F.lit("")).alias("other"))
+    twin = turns.join(swap, ["conv_id", "turn"], "left").select(
+        "conv_id", "turn", "role", F.coalesce("other", "text").alias("text"))
+    pairs = preference_format.format_preferences(turns, twin, key="conv_id")
+    ranges = lambda c: F.concat_ws(",", F.transform(c, lambda r: F.concat_ws(":", r["start"], r["end"])))
+    return pairs.withColumns({c: ranges(c) for c in ("chosen_mask", "rejected_mask")})
