@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrail.llm import byte_bpe, language_id, preference_format, secret_grammar
+from veritrail.llm import byte_bpe, language_id, one_bit_codes, preference_format, secret_grammar
 from veritrail.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,9 @@ def op2_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = preference_format.format_preferences(turns, twin, key="conv_id")
     ranges = lambda c: F.concat_ws(",", F.transform(c, lambda r: F.concat_ws(":", r["start"], r["end"])))
     return pairs.withColumns({c: ranges(c) for c in ("chosen_mask", "rejected_mask")})
+
+
+@query("op8_one_bit_codes")
+def op8_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet").select("vec_id", "embedding")
+    return one_bit_codes.search(vectors, F.col("vec_id") % 50 == 0)
