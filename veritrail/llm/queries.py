@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrail.llm import byte_bpe, language_id, one_bit_codes, preference_format, secret_grammar
+from veritrail.llm import byte_bpe, differencing, language_id, one_bit_codes, preference_format, secret_grammar
 from veritrail.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,10 @@ def op2_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet").select("vec_id", "embedding")
     return one_bit_codes.search(vectors, F.col("vec_id") % 50 == 0)
+
+
+@query("op10_differencing")
+def op10_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = differencing.shard_rows(documents(spark, sf_dir).select("doc_id", "text"))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                       F.lit(None).cast("int").alias("grown_shard"))
