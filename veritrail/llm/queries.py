@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrail.llm import byte_bpe, differencing, language_id, one_bit_codes, preference_format, secret_grammar, spaced_seeds
+from veritrail.llm import byte_bpe, differencing, language_id, minmax_dedup, one_bit_codes, preference_format, secret_grammar, spaced_seeds
 from veritrail.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +132,8 @@ def op10_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet").select("item_id", "text")
     return spaced_seeds.find_overlaps(documents(spark, sf_dir).select("doc_id", "text"), benchmark)
+
+
+@query("op5_minmax_dedup")
+def op5_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax_dedup.classes(documents(spark, sf_dir).select("doc_id", "text"))
