@@ -1,6 +1,79 @@
-"""placeholder"""
-ORACLE_SQL = None
+"""The corpus pipeline: language, near-duplicates, benchmark passages, secrets, byte-level BPE.
 
+Every stage takes ``(spark, docs, sf_dir)``, works on all rows the one before kept, and gives the columns of its input;
+the last adds the ids. Stages are deterministic, and repeated rows, nulls and empty texts are treated as their operators
+state. Extra columns pass through all stages.
+"""
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from veritrail.llm import byte_bpe, language_id, minmax_dedup, secret_grammar, spaced_seeds
+from veritrail.session import Job
+
+LEAST_LANGUAGE_SCORE = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts whose language is not certain enough go: no letters, or no language with half of the weight."""
+    model = language_id.fit(docs, ~language_id.held_out())
+    told = language_id.predict(docs.withColumn("_own", F.struct(*docs.columns)), model)
+    sure = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
+    return told.where(sure).select("_own.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every class of near-duplicates the document with the smallest id stays; texts without a word all stay."""
+    keyed = docs.withColumn("_row", F.struct("doc_id", F.sha2("text", 256).alias("sha")))
+    found = minmax_dedup.classes(keyed.select("_row", "text"), key="_row")
+    stay = found.where("kept").select("_row", (F.col("n_shingles") == 0).alias("_empty")).distinct()
+    first = F.row_number().over(Window.partitionBy("_row").orderBy(F.lit(1)))
+    kept = keyed.join(stay, keyed["_row"].eqNullSafe(stay["_row"])).select(keyed["*"], "_empty")
+    return kept.withColumn("_copy", first).where("_empty OR _copy = 1").select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap a benchmark item go."""
+    benchmark = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet").select("item_id", "text")
+    return spaced_seeds.keep_clean(docs, benchmark)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked in the text, and the number of characters follows; all documents stay."""
+    masked = secret_grammar.redact(secret_grammar.find_secrets(docs))
+    size = F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return masked.withColumn("n_chars", size).select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with its ids, their number, and whether they decode to the same bytes."""
+    coded = byte_bpe.decode(byte_bpe.encode(docs))
+    same = F.col("raw") == F.coalesce("text", F.lit("")).cast("binary")
+    return coded.select(*[c for c in docs.columns if c not in ("ids", "n_tokens", "same_bytes")], "ids",
+                        F.size("ids").cast("long").alias("n_tokens"), same.alias("same_bytes"))
+
+
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("decontaminate", decontaminate),
+    ("mask_secrets", mask_secrets),
+    ("tokens", tokens),
+]
+
+ORACLE_SQL = None  # merged automata, hashed bands and byte-pair merges have no SQL form; tested against a plain version
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that all stages leave of ``documents``; each stage's result is written and read again."""
+    job = Job(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    before = None
+    for name, stage in STAGES:
+        docs = job.keep(stage(spark, docs, sf_dir), name)
+        if before:
+            job.drop(before)
+        before = name
+    return docs
