@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrail.llm import byte_bpe, differencing, language_id, minmax_dedup, one_bit_codes, preference_format, secret_grammar, spaced_seeds
+from veritrail.llm import byte_bpe, differencing, language_id, lm_scoring, minmax_dedup, one_bit_codes, preference_format, secret_grammar, spaced_seeds
 from veritrail.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,3 +137,8 @@ def op7_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_minmax_dedup")
 def op5_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax_dedup.classes(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+@query("op1_lm_scoring")
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_texts(documents(spark, sf_dir).select("doc_id", "text"), ~lm_scoring.held_out(), lm_scoring.deleted())
