@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrail.llm import byte_bpe, differencing, language_id, lm_scoring, minmax_dedup, one_bit_codes, preference_format, secret_grammar, spaced_seeds
+from veritrail.llm import byte_bpe, differencing, language_id, lm_scoring, minmax_dedup, one_bit_codes, preference_format, secret_grammar, spaced_seeds, window_dedup
 from veritrail.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,3 +142,11 @@ def op5_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_lm_scoring")
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_texts(documents(spark, sf_dir).select("doc_id", "text"), ~lm_scoring.held_out(), lm_scoring.deleted())
+
+
+@query("op3_window_dedup")
+def op3_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = window_dedup.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
+    return done.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                       F.sha2("kept", 256).alias("kept_sha256"))
