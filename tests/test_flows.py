@@ -28,11 +28,14 @@ def test_questions_to_scores(spark):
     hits = flows.retrieve(themes, questions, chunks, documents)
     assert {(r.query_id, r.chunk_index) for r in hits.collect()} == {(1, 0), (2, 1)}
 
-    prompts = flows.build_prompts(questions, hits).orderBy("theme_id", "batch").collect()
+    asked = questions.selectExpr("1L AS analysis_id", "7L AS company_id", "2024 AS report_year", "question_pk")
+    prompts = flows.build_prompts(asked, questions, hits).orderBy("theme_id", "batch").collect()
     assert [(r.theme_id, r.batch, r.questions) for r in prompts] == [(1, 1, 5), (1, 2, 1), (2, 1, 1)]
     assert prompts[0].context == "[FONTE: rel.pdf, p.3]\nEnergia solar e metas energéticas"
+    had = spark.createDataFrame([(1, 11), (1, 12)], "analysis_id long, question_pk long")
+    rest = flows.build_prompts(asked, questions, hits, had).orderBy("theme_id", "batch").collect()
+    assert [(r.theme_id, r.batch, r.questions) for r in rest] == [(1, 1, 4), (2, 1, 1)]
 
-    asked = questions.selectExpr("1L AS analysis_id", "7L AS company_id", "2024 AS report_year", "question_pk")
     replies = spark.createDataFrame([
         (1, 1, 1, json.dumps({"answers": [
             {"question_id": "1.1.1", "answer": "sim", "source_reference": "N/A", "confidence_score": 2},
@@ -57,3 +60,21 @@ def test_questions_to_scores(spark):
     row = overall.first()
     assert (row.environmental_score, row.social_score, row.governance_score) == (6.67, 0.0, 10.0)
     assert (row.overall_score, row.overall_rating) == (round(6.67 * 0.35 + 3.5, 2), "C")
+
+
+def test_second_reply_white_space_and_missing_values(spark):
+    questions = spark.createDataFrame([(1, 1, 1, "1.1.1", "a", "Sim", "social"), (2, 1, 2, "1.1.2", "b", "Sim", "social")],
+                                      "question_pk long, theme_id int, display_order int, question_id string, question_text string, expected_answer string, dimension string")
+    asked = questions.selectExpr("1L AS analysis_id", "7L AS company_id", "2024 AS report_year", "question_pk")
+    replies = spark.createDataFrame([
+        (1, 1, 1, 0, '\n\t{"answers": [{"question_id": "1.1.1", "answer": "Sim"}]}'),
+        (1, 1, 1, 1, ' \t["x", {"question_id": "1.1.2", "justification": "porque", "confidence_score": "0.7"}]'),
+        (1, 1, 1, 2, "nothing"),
+    ], "analysis_id long, theme_id int, batch long, reply int, payload string")
+    hits = spark.createDataFrame([], "company_id long, report_year int, query_id int, rank int, filename string, page_number int, page_range array<int>")
+    rows = {r.question_pk: r for r in flows.take_in_answers(asked, replies, questions, hits).collect()}
+    assert len(rows) == 2 and rows[1].answer == "Sim"
+    assert (rows[2].answer, rows[2].justification, rows[2].confidence_score) == ("N/A", "porque", 0.7)
+    from veritrail.sources.payloads import rejected_replies
+    odd = rejected_replies(replies, ["analysis_id", "reply"]).collect()
+    assert sorted((r.reply, r.reason, r.payload) for r in odd) == [(1, "not an object", "x"), (2, "no answer", "nothing")]

@@ -130,7 +130,11 @@ def test_coverage(spark):
 def test_prompts(spark):
     questions = spark.createDataFrame([(3, i, i, f"1.1.{i}", f"1.1.{i}. Pergunta {i}") for i in range(1, 8)],
                                       "theme_id int, question_pk int, display_order int, question_id string, question_text string")
+    scopes = spark.createDataFrame([(1,), (2,), (3,)], "company_id int")
     contexts = spark.createDataFrame([(1, 3, "c1"), (2, 3, "c2")], "company_id int, query_id int, context string")
-    rows = R.prompt_rows(R.question_batches(questions), contexts, SCOPE).orderBy("company_id", "batch").collect()
-    assert [(r.company_id, r.batch, r.questions, r.context) for r in rows] == [(1, 1, 5, "c1"), (1, 2, 2, "c1"), (2, 1, 5, "c2"), (2, 2, 2, "c2")]
+    asked = R.question_batches(questions.crossJoin(scopes), scope=SCOPE)
+    rows = R.prompt_rows(asked, contexts, SCOPE).orderBy("company_id", "batch").collect()
+    none = "Nenhum trecho relevante encontrado."
+    assert [(r.company_id, r.batch, r.questions, r.context) for r in rows] == [
+        (1, 1, 5, "c1"), (1, 2, 2, "c1"), (2, 1, 5, "c2"), (2, 2, 2, "c2"), (3, 1, 5, none), (3, 2, 2, none)]
     assert rows[1].question_text == "1. [ID: 1.1.6] Pergunta 6\n2. [ID: 1.1.7] Pergunta 7"

@@ -52,8 +52,8 @@ def match_answers(questions: DataFrame, answers: DataFrame, batch: Sequence[str]
     """Give every question of a batch its answer: equal id first, else containment.
 
     ``questions`` carries ``batch`` columns and ``question_id``; ``answers`` carries
-    them too, plus ``ordinal`` (its place in the reply, unique in the batch) and an
-    ``answer_row`` payload. Ids are compared trimmed and in lower case. Of answers with
+    them too, plus ``ordinal`` (its place among all replies of the batch: a number or a struct
+    that orders them; ties go to the smaller id) and an ``answer_row`` payload. Ids are compared trimmed and in lower case. Of answers with
     one id the last counts, at the place of the first. A question without an equal id
     takes the earliest answer whose id contains its id or lies inside it; a blank answer
     id matches nothing.
@@ -72,7 +72,8 @@ def match_answers(questions: DataFrame, answers: DataFrame, batch: Sequence[str]
         ),
         "replies",
     )
-    places = replies.select(*batch, "_key", "_place")
+    # an answer is known by its key; the place only says which comes first
+    places = replies.select(*batch, "_key", F.struct("_place", "_key").alias("_place"))
     wanted = questions.withColumn("_key", _id_key(F.col("question_id")))
     exact = wanted.join(replies.withColumnRenamed("answer_row", "_exact").drop("_place"), [*batch, "_key"], "left")
 
@@ -100,8 +101,9 @@ def match_answers(questions: DataFrame, answers: DataFrame, batch: Sequence[str]
         around.unionByName(inside)
         .groupBy(*batch, "_key")
         .agg(F.min("_place").alias("_place"))
-        .join(replies.select(*batch, "_place", F.col("answer_row").alias("_loose")), [*batch, "_place"])
-        .drop("_place")
+        .select(*batch, "_key", F.col("_place._key").alias("_found"))
+        .join(replies.select(*batch, F.col("_key").alias("_found"), F.col("answer_row").alias("_loose")), [*batch, "_found"])
+        .drop("_found")
     )
     match = F.when(F.col("_exact").isNotNull(), F.lit("exact")).when(F.col("_loose").isNotNull(), F.lit("contained"))
     return (
@@ -115,10 +117,11 @@ def match_answers(questions: DataFrame, answers: DataFrame, batch: Sequence[str]
 def fill_answers(questions: DataFrame, answers: DataFrame, keys: Sequence[str] = ANSWER_KEY) -> DataFrame:
     """Every asked question gets an answer; the missing ones get the not-applicable default.
 
+    An answer that came without a value keeps its texts and confidence; only the value is the default.
     Both sides are fact tables; the texts of the answers make size estimates too low, hence the merge join.
     """
-    found = F.col("answer").isNotNull()
-    return questions.join(answers.hint("merge"), list(keys), "left").select(
+    found = F.col("_given").isNotNull()
+    return questions.join(answers.withColumn("_given", F.lit(True)).hint("merge"), list(keys), "left").select(
         *questions.columns,
         F.coalesce("answer", F.lit(L.NOT_APPLICABLE)).alias("answer"),
         F.when(found, F.col("justification")).otherwise(F.lit(L.DEFAULT_JUSTIFICATION)).alias("justification"),

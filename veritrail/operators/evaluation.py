@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veritrail import lookups as L
 from veritrail.functions.numbers import exact_round
 from veritrail.functions.text import strip
+from veritrail.operators.keys import top_per_key
 from veritrail.operators.scoring import ANALYSIS
 
 
@@ -51,9 +52,11 @@ def expected_answers(questions: DataFrame, reference: DataFrame) -> DataFrame:
     )
 
 
-def accuracy(answers: DataFrame, reference: DataFrame) -> DataFrame:
+def accuracy(answers: DataFrame, reference: DataFrame, analyses: DataFrame | None = None) -> DataFrame:
     """Hits and misses per analysis; reference N/A is skipped, unanswered questions are counted apart.
 
+    With ``analyses`` those without any answer have a row too.
+
     Only answered questions meet the reference. What an analysis did not answer follows
     from the reference totals, so the full analysis x question grid is never built.
     """
@@ -66,6 +69,8 @@ def accuracy(answers: DataFrame, reference: DataFrame) -> DataFrame:
         F.count_if(F.col("answer") == F.col("reference_answer")).alias("matches"),
         F.count_if(F.col("answer") != F.col("reference_answer")).alias("mismatches"),
     )
+    if analyses is not None:
+        counts = analyses.select(*ANALYSIS).distinct().join(counts, list(ANALYSIS), "left").fillna(0, ["matches", "mismatches"])
     compared = F.col("matches") + F.col("mismatches")
     percent = F.when(compared > 0, F.col("matches") / compared * 100.0).otherwise(F.lit(0.0))
     return counts.select(
@@ -74,20 +79,18 @@ def accuracy(answers: DataFrame, reference: DataFrame) -> DataFrame:
     ).withColumn("accuracy", exact_round(F.col("accuracy"), 1))
 
 
-def mismatches(answers: DataFrame, reference: DataFrame, analysis_id: int | None = None, n: int = 20) -> DataFrame:
-    """The first ``n`` differing answers in reference order (a report; then by analysis)."""
-    chosen = answers if analysis_id is None else answers.where(F.col("analysis_id") == analysis_id)
+def mismatches(answers: DataFrame, reference: DataFrame, n: int = 20) -> DataFrame:
+    """The first ``n`` differing answers of every analysis in reference order (a report)."""
     judged = reference.where(F.col("answer") != L.NOT_APPLICABLE).select(
         "question_pk", "question_id", "theme_id", F.col("answer").alias("expected")
     )
-    return (
-        chosen.join(judged, "question_pk")
+    wrong = (
+        answers.join(judged, "question_pk")
         .where(F.col("answer") != F.col("expected"))
         .select("question_pk", "question_id", "theme_id", "analysis_id", "expected",
                 F.col("answer").alias("got"), "confidence_score")
-        .orderBy("question_pk", "analysis_id")
-        .limit(n)
     )
+    return top_per_key(wrong, ["analysis_id"], [F.col("question_pk")], n, "place").drop("place")
 
 
 def score_delta(scores: DataFrame, analyst: DataFrame) -> DataFrame:

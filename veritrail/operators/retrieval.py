@@ -321,32 +321,36 @@ def derived_source(hits: DataFrame, scope: Sequence[str]) -> DataFrame:
     )
 
 
-def question_batches(questions: DataFrame, size: int = L.QUESTION_BATCH) -> DataFrame:
-    """Groups of five questions per theme in display order."""
-    order = Window.partitionBy("theme_id").orderBy("display_order", "question_pk")
+def question_batches(questions: DataFrame, size: int = L.QUESTION_BATCH, scope: Sequence[str] = ()) -> DataFrame:
+    """Groups of five questions per theme (and scope) in display order."""
+    order = Window.partitionBy(*scope, "theme_id").orderBy("display_order", "question_pk")
     position = F.row_number().over(order)
     return questions.withColumn("position", position).withColumn(
         "batch", F.floor((F.col("position") - 1) / size) + 1
     )
 
 
-def prompt_rows(batches: DataFrame, contexts: DataFrame, scope: Sequence[str]) -> DataFrame:
-    """One row per scope and batch: the numbered questions and the theme's context.
+def prompt_rows(batches: DataFrame, contexts: DataFrame, scope: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """One row per asked batch: the numbered questions and the theme's context.
 
-    ``contexts(*scope, query_id, context)`` is keyed by theme.
+    ``batches`` has the asked questions with ``scope`` (and further ``keys``, an analysis say), theme_id, batch and
+    position; ``contexts(*scope, query_id, context)`` is keyed by theme. A batch whose theme has no hits is asked
+    too, with the text that says so.
     """
+    by = [*keys, *scope, "theme_id", "batch"]
     number = (F.pmod(F.col("position") - 1, F.lit(L.QUESTION_BATCH)) + 1).cast("string")
     line = F.concat(
         number, F.lit(". [ID: "), F.col("question_id"), F.lit("] "),
         strip_question_id(F.col("question_text"), F.col("question_id")),
     )
     asked = (
-        batches.select("theme_id", "batch", F.struct("position", line.alias("line")).alias("_line"))
-        .groupBy("theme_id", "batch")
+        batches.select(*by, F.struct("position", line.alias("line")).alias("_line"))
+        .groupBy(*by)
         .agg(F.array_sort(F.collect_list("_line")).alias("_lines"))
-        .select("theme_id", "batch", F.size("_lines").alias("questions"),
+        .select(*by, F.size("_lines").alias("questions"),
                 F.array_join(F.transform("_lines", lambda q: q["line"]), "\n").alias("question_text"))
     )
-    return asked.join(contexts.withColumnRenamed("query_id", "theme_id"), "theme_id").select(
-        *scope, "theme_id", "batch", "questions", "question_text", "context"
+    found = contexts.withColumnRenamed("query_id", "theme_id")
+    return asked.join(found, [*scope, "theme_id"], "left").select(
+        *by, "questions", "question_text", F.coalesce("context", F.lit(L.NO_CONTEXT_TEXT)).alias("context")
     )

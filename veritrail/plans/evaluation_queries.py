@@ -62,7 +62,7 @@ def _(fx):
 SELECT question_pk, r.question_id, r.theme_id, a.analysis_id, r.answer AS expected, a.answer AS got,
        round(a.confidence_score, 6) AS confidence_score
 FROM {o_answers} a JOIN {d_reference} r USING (question_pk) WHERE r.answer <> 'N/A' AND a.answer <> r.answer
-ORDER BY question_pk, analysis_id LIMIT 20""")
+QUALIFY row_number() OVER (PARTITION BY a.analysis_id ORDER BY question_pk) <= 20""")
 def _(fx):
     found = E.mismatches(stored_answers(fx), fx["d_reference"])
     return found.withColumn("confidence_score", F.round("confidence_score", 6))

@@ -57,22 +57,33 @@ def retrieve(themes: DataFrame, questions: DataFrame, chunks: DataFrame, documen
     return written(hits.join(texts, HIT), "hits")
 
 
-def build_prompts(questions: DataFrame, hits: DataFrame) -> DataFrame:
-    """One prompt row per company, year, theme and five questions."""
+def build_prompts(asked: DataFrame, questions: DataFrame, hits: DataFrame, answers: DataFrame | None = None) -> DataFrame:
+    """One prompt row per analysis, theme and five asked questions.
+
+    ``asked`` has analysis_id, company_id, report_year, question_pk. With the ``answers`` an analysis already has,
+    only the remaining questions are asked: a resumed analysis goes on where it stopped.
+    """
+    open_questions = asked if answers is None else A.remaining_questions(asked, answers)
+    wanted = open_questions.join(questions.select("question_pk", "question_id", "question_text", "theme_id", "display_order"), "question_pk")
     contexts = R.theme_context(hits, SCOPE).drop("chunks")
-    return R.prompt_rows(R.question_batches(questions), contexts, SCOPE)
+    batches = R.question_batches(wanted, scope=["analysis_id"])
+    return R.prompt_rows(batches, contexts, SCOPE, ["analysis_id"])
 
 
 def take_in_answers(asked: DataFrame, replies: DataFrame, questions: DataFrame, hits: DataFrame) -> DataFrame:
     """JSON replies -> one stored answer record per asked question.
 
     ``asked`` has analysis_id, company_id, report_year, question_pk; ``replies`` has
-    analysis_id, theme_id, batch and payload; ``questions`` carries the theme's dimension.
+    analysis_id, theme_id, batch and payload, and ``reply`` (its number in the batch) where a batch
+    is asked again; ``questions`` carries the theme's dimension. What could not be read is in
+    ``sources.payloads.rejected_replies``.
     """
     batch = ["analysis_id", "theme_id", "batch"]
     batches = R.question_batches(questions).select("question_pk", "question_id", "theme_id", "batch")
     fields = ["answer", "justification", "source_reference", "improvement_points", "confidence_score"]
-    given = ingest_answers(replies, batch).withColumn("answer_row", F.struct(*fields))
+    numbered = replies if "reply" in replies.columns else replies.withColumn("reply", F.lit(0))
+    given = ingest_answers(numbered, [*batch, "reply"]).withColumn("answer_row", F.struct(*fields)).withColumn(
+        "ordinal", F.struct("reply", "ordinal"))
     expected = asked.join(batches, "question_pk")
     matched = A.match_answers(expected, given.select(*batch, "question_id", "ordinal", "answer_row"), batch)
     found = matched.where(F.col("answer_row").isNotNull()).select("analysis_id", "question_pk", "answer_row.*")

@@ -28,6 +28,7 @@ def _load() -> None:
     from veritrail.plans import (  # noqa: F401
         crawl_queries,
         evaluation_queries,
+        flow_queries,
         report_queries,
         retrieval_queries,
         scoring_queries,

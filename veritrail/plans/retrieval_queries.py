@@ -157,23 +157,27 @@ def _(fx):
 
 
 @query("prompt_rows", f"""
-WITH ranked AS (SELECT *, row_number() OVER (PARTITION BY theme_id ORDER BY display_order, question_pk) AS position FROM {{d_question_texts}}),
-lines AS (SELECT theme_id, (position - 1) // 5 + 1 AS batch, count(*) AS questions, string_agg(((position - 1) % 5 + 1) || '. [ID: ' ||
+WITH asked AS (SELECT DISTINCT report_year, question_pk FROM {{d_asked}}),
+ranked AS (SELECT a.report_year, q.*, row_number() OVER (PARTITION BY a.report_year, theme_id ORDER BY display_order, question_pk) AS position
+  FROM asked a JOIN {{d_question_texts}} q USING (question_pk)),
+lines AS (SELECT report_year, theme_id, (position - 1) // 5 + 1 AS batch, count(*) AS questions, string_agg(((position - 1) % 5 + 1) || '. [ID: ' ||
     question_id || '] ' || CASE WHEN starts_with(question_text, question_id)
       THEN ltrim(substr(question_text, length(question_id) + 1), ' .') ELSE question_text END, chr(10) ORDER BY position) AS question_text
-  FROM ranked GROUP BY 1, 2),
+  FROM ranked GROUP BY 1, 2, 3),
 hits AS ({sql_rank("{o_vector_pairs} WHERE score >= 0.3", 'report_year', 20)}),
 contexts AS (SELECT report_year, query_id, string_agg('[FONTE: ' || filename || ']' || chr(10) || left(content, 1200),
     chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context
   FROM (SELECT h.report_year, h.query_id, h.rank, d.filename, c.content FROM hits h JOIN {{o_chunks}} c USING (doc_id, chunk_index)
         JOIN {{d_documents}} d USING (doc_id)) GROUP BY 1, 2)
-SELECT report_year, theme_id, CAST(batch AS BIGINT) AS batch, CAST(questions AS INT) AS questions, question_text, context
-FROM lines JOIN contexts ON query_id = theme_id""")
+SELECT l.report_year, theme_id, CAST(batch AS BIGINT) AS batch, CAST(questions AS INT) AS questions, question_text,
+       coalesce(context, 'Nenhum trecho relevante encontrado.') AS context
+FROM lines l LEFT JOIN contexts c ON c.query_id = l.theme_id AND c.report_year = l.report_year""")
 def _(fx):
     hits = R.vector_topk(chunk_vectors(fx), query_vectors(fx), KEYS, ["report_year"])
     texts = hits.join(searchable_chunks(fx).drop("report_year", "company_id"), KEYS)
     contexts = R.theme_context(texts, ["report_year"]).drop("chunks")
-    return R.prompt_rows(R.question_batches(fx["d_question_texts"]), contexts, ["report_year"])
+    asked = fx["d_asked"].select("report_year", "question_pk").distinct().join(fx["d_question_texts"], "question_pk")
+    return R.prompt_rows(R.question_batches(asked, scope=["report_year"]), contexts, ["report_year"])
 
 
 # An answer's theme retrieves like the query of the same number.

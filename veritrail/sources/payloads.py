@@ -4,30 +4,50 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritrail.functions.text import let
+from veritrail.functions.text import let, strip
 from veritrail.operators.keys import unfold_array
 
-ANSWERS = (
-    "array<struct<question_id:string,answer:string,justification:string,source_reference:string,"
-    "improvement_points:string,confidence_score:string>>"
+ANSWER = (
+    "struct<question_id:string,answer:string,justification:string,source_reference:string,"
+    "improvement_points:string,confidence_score:string>"
 )
 WRAPPERS = ["answers", "results", "respostas"]
 
 
+def _elements(payload: str) -> Column:
+    """The reply's answers as JSON texts: null where the text is not JSON."""
+    body = strip(F.col(payload))
+    wrapped = F.from_json(F.when(body.startswith("{"), body), ", ".join(f"{name} string" for name in WRAPPERS))
+    inner = strip(let(wrapped, lambda w: F.coalesce(*[w[name] for name in WRAPPERS], body)))
+    as_array = let(inner, lambda j: F.when(j.startswith("["), j).otherwise(F.concat(F.lit("["), j, F.lit("]"))))
+    return F.from_json(as_array, "array<string>")
+
+
+def _is_object(element: Column) -> Column:
+    return strip(element).startswith("{")
+
+
 def ingest_answers(replies: DataFrame, keep: Sequence[str], payload: str = "payload") -> DataFrame:
     """Accepts a bare array, an object that wraps the array (or one answer) under a known name, or one answer.
 
     Text that is not JSON gives no rows. The first wrapper name present counts. Ids and
     confidences may come as numbers or as strings.
     """
-    body = F.trim(F.col(payload))
-    wrapped = F.from_json(F.when(body.startswith("{"), body), ", ".join(f"{name} string" for name in WRAPPERS))
-    inner = let(wrapped, lambda w: F.coalesce(*[w[name] for name in WRAPPERS], body))
-    as_array = let(inner, lambda j: F.when(j.startswith("["), j).otherwise(F.concat(F.lit("["), j, F.lit("]"))))
-    answers = F.from_json(as_array, ANSWERS)
-    rows = unfold_array(replies, keep, answers, "_answer", "ordinal")
-    answers = rows.where(F.col("_answer").isNotNull()).select(*keep, "ordinal", "_answer.*")
+    # elements are read one by one: one that is no object does not spoil the others
+    rows = unfold_array(replies, keep, _elements(payload), "_element", "ordinal").where(_is_object(F.col("_element")))
+    answers = rows.select(*keep, "ordinal", F.from_json("_element", ANSWER).alias("_answer")).select(
+        *keep, "ordinal", "_answer.*")
     return answers.withColumn("confidence_score", F.col("confidence_score").try_cast("double"))
+
+
+def rejected_replies(replies: DataFrame, keep: Sequence[str], payload: str = "payload") -> DataFrame:
+    """What ``ingest_answers`` leaves out: whole replies without an answer, and elements that are no object."""
+    parts = replies.select(*keep, F.col(payload).alias("payload"), _elements(payload).alias("_elements"))
+    empty = parts.where(~F.coalesce(F.exists("_elements", lambda e: F.coalesce(_is_object(e), F.lit(False))), F.lit(False)))
+    whole = empty.select(*keep, F.lit("no answer").alias("reason"), "payload")
+    odd = unfold_array(parts.join(empty.select(*keep), list(keep), "left_anti"), keep, F.col("_elements"), "_element", "_at")
+    odd = odd.where(~F.coalesce(_is_object(F.col("_element")), F.lit(False)))
+    return whole.unionByName(odd.select(*keep, F.lit("not an object").alias("reason"), F.col("_element").alias("payload")))
