@@ -32,14 +32,12 @@ def brute_vector(rows, queries, k, threshold):
     return {(c, q, n + 1): h[1] for (c, q), hits in best.items() for n, h in enumerate(sorted(hits)[:k])}
 
 
-@pytest.mark.parametrize("max_local", [100, 3])
-def test_vector_topk(spark, max_local, monkeypatch):
-    monkeypatch.setattr(R, "BLOCK_CHUNKS", 60)
-    monkeypatch.setattr(R, "BLOCK_QUERIES", 4)
+@pytest.mark.parametrize("block_bytes", [1 << 20, 150])
+def test_vector_topk(spark, block_bytes):
     rows, chunks = vectors(spark, 400, 6, 1)
     queries = [(q, np.random.default_rng(q + 50).normal(size=6).round(2).tolist()) for q in range(9)]
     asked = spark.createDataFrame(queries, "query_id int, embedding array<double>")
-    hits = R.vector_topk(chunks, asked, KEYS, SCOPE, k=7, threshold=0.3, max_local=max_local)
+    hits = R.vector_topk(chunks, asked, KEYS, SCOPE, k=7, threshold=0.3, block_bytes=block_bytes)
     got = {(r.company_id, r.query_id, r["rank"]): r.doc_id for r in hits.collect()}
     assert got == brute_vector(rows, queries, 7, 0.3)
 
@@ -58,14 +56,14 @@ def brute_words(rows, queries, k):
     return {(c, q, n + 1): (h[1], -h[0]) for (c, q), hits in best.items() for n, h in enumerate(sorted(hits)[:k])}
 
 
-@pytest.mark.parametrize("max_local", [1000, 2])
-def test_keyword_topk(spark, max_local):
+@pytest.mark.parametrize("block_bytes", [1 << 20, 90])
+def test_keyword_topk(spark, block_bytes):
     generator = random.Random(2)
     rows = [(1 if i % 3 == 0 else i % 4, i, i % 2, " ".join(generator.sample(TEXTS, 2))) for i in range(120)]
     queries = [(1, "energia água para empresa"), (2, "Resíduos SÓLIDOS energ"), (3, "qual tema"), (4, "administração conselho"), (5, "energia energia")]
     chunks = spark.createDataFrame(rows, "company_id int, doc_id long, chunk_index int, content string")
     asked = spark.createDataFrame(queries, "query_id int, text string")
-    hits = R.keyword_topk(chunks, asked, KEYS, SCOPE, k=5, max_local=max_local)
+    hits = R.keyword_topk(chunks, asked, KEYS, SCOPE, k=5, block_bytes=block_bytes)
     got = {(r.company_id, r.query_id, r["rank"]): (r.doc_id, r.score) for r in hits.collect()}
     assert got == brute_words(rows, queries, 5)
 
@@ -123,7 +121,7 @@ def test_coverage(spark):
     coverage = R.theme_coverage(scopes, queries, hits, SCOPE)
     got = {(r.company_id, r.query_id): (r.found, r.status) for r in coverage.collect()}
     assert got[1, 0] == (10, "OK") and got[1, 1] == (1, "PARCIAL") and got[1, 2] == got[2, 0] == (0, "SEM DADOS")
-    verdicts = {r.company_id: (r.good, r.partial, r.missing, r.verdict) for r in R.coverage_verdict(coverage, SCOPE).collect()}
+    verdicts = {r.company_id: (r.good, r.partial, r.missing, r.verdict) for r in R.coverage_verdict(scopes, queries, hits, SCOPE).collect()}
     assert verdicts == {1: (1, 1, 3, "usable"), 2: (0, 0, 5, "insufficient")}
 
 

@@ -1,10 +1,9 @@
 """Finding the chunks that speak to a query: cosine, keyword and hybrid top-k.
 
-Queries are the questionnaire's themes, chunks are the corpus. The chunks never move:
-when the queries are few (their number is checked) every task scores its own chunks
-against all of them and passes on at most k rows per query and batch; the final rank
-merges those. Beyond the bound the work is split into bounded blocks instead. Both ways
-are exact.
+Queries are the questionnaire's themes, chunks are the corpus. The chunks never move: queries
+are taken in blocks of bounded bytes, each sent to all tasks, where every task scores its own
+chunks and passes on at most k rows per query and batch; the final rank merges the blocks.
+One block is the ordinary case of the same code, and the result does not depend on the blocks.
 
 ``scope`` names chunk columns (company, year) inside which the search runs.
 """
@@ -23,10 +22,17 @@ from veritrail.functions.answers import strip_question_id
 from veritrail.functions.text import words
 from veritrail.operators.keys import top_per_key, unfold_array
 
-MAX_LOCAL_QUERIES = 4096
-MAX_LOCAL_TERMS = 200_000
+BLOCK_BYTES = 8 << 20  # of query vectors or words that go to the tasks at once
 CELLS_PER_STEP = 4_000_000
-BLOCK_CHUNKS, BLOCK_QUERIES = 5_000, 2_000
+
+
+def _blocks(queries: DataFrame, size: Column, block_bytes: int) -> Iterator[pd.DataFrame]:
+    """The rows of ``queries`` in blocks of about ``block_bytes``; all rows of a query are in one."""
+    total = queries.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    blocks = max(1, -(-int(total) // block_bytes))
+    number = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    for i in range(blocks):
+        yield queries.where(number == i).toPandas()
 
 
 def best_rows(group: np.ndarray, score: np.ndarray, tie: np.ndarray, k: int) -> np.ndarray:
@@ -77,7 +83,7 @@ def _cosine_hits(pdf: pd.DataFrame, matrix: np.ndarray, query_ids: list, scope:
 
 def vector_topk(chunks: DataFrame, queries: DataFrame, keys: Sequence[str], scope: Sequence[str] = (),
                 k: int = L.SEARCH_DEPTH, threshold: float = L.SIMILARITY_THRESHOLD,
-                max_local: int = MAX_LOCAL_QUERIES) -> DataFrame:
+                block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Cosine top-k: ``queries(query_id, embedding)`` against ``chunks(*scope, *keys, embedding)``.
 
     Similarity is rounded to nine digits; equal ones rank by ``keys``.
@@ -86,48 +92,21 @@ def vector_topk(chunks: DataFrame, queries: DataFrame, keys: Sequence[str], scop
     known = chunks.where(F.col("embedding").isNotNull()).select(*scope, *keys, "embedding")
     asked = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding")
     schema = _result_schema(chunks, scope + keys, queries, "double")
-    few = asked.limit(max_local + 1).toPandas()
-    if len(few) <= max_local:
-        query_ids = few["query_id"].tolist()
-        matrix = chunks.sparkSession.sparkContext.broadcast(_unit(few["embedding"]) if len(few) else np.zeros((0, 1)))
+    hits = None
+    for block in _blocks(asked, F.size("embedding") * 8, block_bytes):
+        query_ids = block["query_id"].tolist()
+        matrix = chunks.sparkSession.sparkContext.broadcast(_unit(block["embedding"]) if len(block) else np.zeros((0, 1)))
 
-        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def score(batches: Iterator[pd.DataFrame], matrix=matrix, query_ids=query_ids) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 if len(pdf) and query_ids:
                     yield from _cosine_hits(pdf, matrix.value, query_ids, scope, keys, k, threshold)
 
-        hits = known.mapInPandas(score, schema)
-    else:
-        hits = _blocked_cosine(known, asked, schema, scope, keys, k, threshold)
+        found = known.mapInPandas(score, schema)
+        hits = found if hits is None else hits.unionByName(found)
     return top_per_key(hits, [*scope, "query_id"], [F.desc("score"), *[F.col(c) for c in keys]], k)
 
 
-def _blocked_cosine(chunks: DataFrame, queries: DataFrame, schema: str, scope: list[str], keys: list[str],
-                    k: int, threshold: float) -> DataFrame:
-    """Many queries: every block of chunks meets every block of queries, both of bounded size."""
-    chunk_blocks = chunks.count() // BLOCK_CHUNKS + 1
-    query_blocks = queries.count() // BLOCK_QUERIES + 1
-
-    def spread(df: DataFrame, own: str, own_blocks: int, by: list[str], other: str, other_blocks: int) -> DataFrame:
-        return df.withColumn(own, F.pmod(F.xxhash64(*by), F.lit(own_blocks))).withColumn(
-            other, F.explode(F.sequence(F.lit(0), F.lit(other_blocks - 1)))
-        )
-
-    left = spread(chunks, "_cb", chunk_blocks, keys, "_qb", query_blocks)
-    right = spread(queries, "_qb", query_blocks, ["query_id"], "_cb", chunk_blocks)
-    columns = [c.split(" ")[0].strip("`") for c in schema.split(", ")]
-
-    def score(left_pdf: pd.DataFrame, right_pdf: pd.DataFrame) -> pd.DataFrame:
-        if left_pdf.empty or right_pdf.empty:
-            return pd.DataFrame(columns=columns)
-        parts = list(_cosine_hits(left_pdf, _unit(right_pdf["embedding"]), right_pdf["query_id"].tolist(),
-                                  scope, keys, k, threshold))
-        return pd.concat(parts) if parts else pd.DataFrame(columns=columns)
-
-    blocks = left.groupBy("_cb", "_qb").cogroup(right.groupBy(F.col("_cb").cast("long"), "_qb"))
-    return blocks.applyInPandas(score, schema)
-
-
 def query_terms(queries: DataFrame, stop_words: list[str] = L.STOP_WORDS) -> DataFrame:
     """Distinct search words of every query: lower case, longer than three letters, no stop words."""
     terms = F.array_distinct(
@@ -137,7 +116,7 @@ def query_terms(queries: DataFrame, stop_words: list[str] = L.STOP_WORDS) -> Dat
 
 
 class _TermIndex:
-    """Which query words occur inside a text.
+    """Which query words occur inside texts.
 
     A word has no whitespace, so it occurs in a text exactly when it occurs in one of the
     text's tokens. What a token contains is looked up once and remembered.
@@ -146,90 +125,76 @@ class _TermIndex:
     def __init__(self, terms: pd.DataFrame):
         self.query_ids = list(dict.fromkeys(terms["query_id"]))
         position = {q: i for i, q in enumerate(self.query_ids)}
-        self.queries_of = {
-            word: np.array([position[q] for q in group]) for word, group in terms.groupby("word")["query_id"]
-        }
-        self.lengths = sorted({len(w) for w in self.queries_of})
-        self.seen: dict[str, tuple[str, ...]] = {}
-
-    def inside(self, token: str) -> tuple[str, ...]:
+        self.words: dict[str, int] = {}
+        queries_of: list[list[int]] = []
+        for query, word in zip(terms["query_id"], terms["word"]):
+            if word not in self.words:
+                self.words[word] = len(queries_of)
+                queries_of.append([])
+            queries_of[self.words[word]].append(position[query])
+        self.sizes = np.array([len(q) for q in queries_of], int)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.queries = np.array([q for of in queries_of for q in of], int)
+        self.lengths = sorted({len(w) for w in self.words})
+        self.seen: dict[str, tuple[int, ...]] = {}
+
+    def inside(self, token: str) -> tuple[int, ...]:
         found = self.seen.get(token)
         if found is None:
             size = len(token)
             found = tuple({
-                token[i : i + n] for n in self.lengths if n <= size for i in range(size - n + 1)
-                if token[i : i + n] in self.queries_of
+                self.words[token[i : i + n]] for n in self.lengths if n <= size for i in range(size - n + 1)
+                if token[i : i + n] in self.words
             })
             if len(self.seen) > 500_000:
                 self.seen.clear()
             self.seen[token] = found
         return found
 
-    def counts(self, text: str) -> np.ndarray:
-        """How many of its words each query finds in the text."""
-        hit = {word for token in set(text.split()) for word in self.inside(token)}
-        total = np.zeros(len(self.query_ids), "int32")
-        for word in hit:
-            total[self.queries_of[word]] += 1
-        return total
+    def counts(self, texts: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, query, how many of the query's words the text has) where there are any."""
+        row: list[int] = []
+        word: list[int] = []
+        for i, text in enumerate(texts):
+            for token in set(text.split()):
+                of = self.inside(token)
+                word += of
+                row += [i] * len(of)
+        pair = np.unique(np.array(row, int) * max(1, len(self.words)) + np.array(word, int))
+        text, word = pair // max(1, len(self.words)), pair % max(1, len(self.words))
+        times = self.sizes[word]
+        entry = np.repeat(self.first[word] - np.cumsum(times) + times, times) + np.arange(times.sum())
+        cell, score = np.unique(np.repeat(text, times) * len(self.query_ids) + self.queries[entry], return_counts=True)
+        return cell // len(self.query_ids), cell % len(self.query_ids), score.astype("int32")
 
 
 def keyword_topk(chunks: DataFrame, queries: DataFrame, keys: Sequence[str], scope: Sequence[str] = (),
-                 k: int = L.SEARCH_DEPTH, max_local: int = MAX_LOCAL_TERMS) -> DataFrame:
+                 k: int = L.SEARCH_DEPTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Keyword top-k: the score is the number of a query's words that occur in the chunk.
 
     ``queries(query_id, text)`` against ``chunks(*scope, *keys, content)``; chunks without
     any word do not count, equal scores rank by ``keys``.
     """
     scope, keys = list(scope), list(keys)
-    terms = query_terms(queries)
-    lowered = chunks.select(*scope, *keys, F.lower("content").alias("content"))
-    few = terms.limit(max_local + 1).toPandas()
-    if len(few) <= max_local:
-        index = chunks.sparkSession.sparkContext.broadcast(_TermIndex(few))
+    lowered = chunks.select(*scope, *keys, F.lower("content").alias("content")).where(F.col("content").isNotNull())
+    schema = _result_schema(chunks, scope + keys, queries, "int")
+    hits = None
+    for block in _blocks(query_terms(queries), F.octet_length("word") + 16, block_bytes):
+        index = chunks.sparkSession.sparkContext.broadcast(_TermIndex(block))
 
-        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def score(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             found = index.value
-            step = max(1, CELLS_PER_STEP // max(1, len(found.query_ids)))
             for pdf in batches:
-                for start in range(0, len(pdf) if found.query_ids else 0, step):
-                    part = pdf.iloc[start : start + step]
-                    counts = np.stack([found.counts(text) for text in part["content"]])
-                    row, query = np.nonzero(counts)
+                if len(pdf) and found.query_ids:
+                    row, query, counts = found.counts(pdf["content"])
                     if len(row):
-                        yield _pick(part, scope, keys, row, query, counts[row, query], found.query_ids, k)
+                        yield _pick(pdf, scope, keys, row, query, counts, found.query_ids, k)
 
-        hits = lowered.where(F.col("content").isNotNull()).mapInPandas(
-            score, _result_schema(chunks, scope + keys, queries, "int")
-        )
-    else:
-        hits = _joined_keywords(lowered, terms, scope + keys)
+        part = lowered.mapInPandas(score, schema)
+        hits = part if hits is None else hits.unionByName(part)
     return top_per_key(hits, [*scope, "query_id"], [F.desc("score"), *[F.col(c) for c in keys]], k)
 
 
-def _joined_keywords(chunks: DataFrame, terms: DataFrame, columns: list[str]) -> DataFrame:
-    """Many words: tokens of the corpus meet words through their substrings, by equi-joins."""
-    tokens = unfold_array(chunks, columns, F.array_distinct(words(F.col("content"))), "token").drop("_position")
-    sizes = [r[0] for r in terms.select(F.length("word")).distinct().collect()]  # a few dozen numbers
-    lengths = F.array(*[F.lit(n) for n in sizes])
-    cuts = F.array_distinct(
-        F.flatten(
-            F.transform(
-                F.filter(lengths, lambda n: n <= F.length("token")),
-                lambda n: F.transform(
-                    F.sequence(F.lit(1), F.length("token") - n + 1), lambda i: F.substr(F.col("token"), i, n)
-                ),
-            )
-        )
-    )
-    inside = (
-        unfold_array(tokens.select("token").distinct(), ["token"], cuts, "word").drop("_position")
-        .join(terms.select("word").distinct(), "word")
-    )
-    found = tokens.join(inside, "token").select(*columns, "word").distinct()
-    return found.join(terms, "word").groupBy(*columns, "query_id").agg(F.count("*").cast("int").alias("score"))
-
-
 def hybrid_topk(vector_hits: DataFrame, keyword_hits: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """Vector hits, and keyword hits only for the queries that have none."""
     answered = [*scope, "query_id"]
@@ -267,13 +232,19 @@ def theme_coverage(scopes: DataFrame, queries: DataFrame, hits: DataFrame, scope
     return counted.withColumn("status", status.otherwise(F.lit(L.COVERAGE_NONE)))
 
 
-def coverage_verdict(coverage: DataFrame, scope: Sequence[str]) -> DataFrame:
-    """Theme totals per scope and whether an analysis is worth running."""
-    totals = coverage.groupBy(*scope).agg(
-        F.count_if(F.col("status") == L.COVERAGE_GOOD).alias("good"),
-        F.count_if(F.col("status") == L.COVERAGE_PARTIAL).alias("partial"),
-        F.count_if(F.col("status") == L.COVERAGE_NONE).alias("missing"),
-    )
+def coverage_verdict(scopes: DataFrame, queries: DataFrame, hits: DataFrame, scope: Sequence[str],
+                     k: int = L.COVERAGE_DEPTH) -> DataFrame:
+    """Theme totals per scope and whether an analysis is worth running.
+
+    Only themes with hits are counted per scope; the missing ones follow from the number of themes.
+    """
+    scope = list(scope)
+    total = queries.select(F.count_distinct("query_id")).scalar()
+    found = hits.where(F.col("rank") <= k).groupBy(*scope, "query_id").agg(F.count("*").alias("found"))
+    counts = found.groupBy(*scope).agg(F.count_if(F.col("found") >= 5).alias("good"),
+                                       F.count_if(F.col("found") < 5).alias("partial"))
+    totals = scopes.select(*scope).distinct().join(counts, scope, "left").na.fill(0, ["good", "partial"])
+    totals = totals.withColumn("missing", total - F.col("good") - F.col("partial"))
     verdict = F.when(F.col("missing") == 0, F.lit("complete")).when(F.col("missing") <= 3, F.lit("usable"))
     return totals.withColumn("verdict", verdict.otherwise(F.lit("insufficient")))
 

@@ -103,14 +103,15 @@ coverage AS (
 
 
 def coverage(fx):
+    """What a coverage report starts from: the searchable scopes, the themes, and the hits of each."""
     queries = query_vectors(fx)
     hits = R.vector_topk(chunk_vectors(fx), queries, KEYS, SCOPE, k=L.COVERAGE_DEPTH)
-    return R.theme_coverage(D.ready_documents(fx["d_documents"]), queries, hits, SCOPE)
+    return D.ready_documents(fx["d_documents"]), queries, hits, SCOPE
 
 
 @query("theme_coverage", _COVERAGE + "SELECT * FROM coverage")
 def _(fx):
-    return coverage(fx)
+    return R.theme_coverage(*coverage(fx))
 
 
 @query("coverage_verdict", _COVERAGE + """
@@ -119,7 +120,7 @@ FROM (SELECT company_id, report_year, count(*) FILTER (WHERE status = 'OK') AS g
       count(*) FILTER (WHERE status = 'PARCIAL') AS partial, count(*) FILTER (WHERE status = 'SEM DADOS') AS missing
       FROM coverage GROUP BY 1, 2)""")
 def _(fx):
-    return R.coverage_verdict(coverage(fx), SCOPE)
+    return R.coverage_verdict(*coverage(fx))
 
 
 _CONTEXT = """
