@@ -1,6 +1,5 @@
 from datetime import datetime, timedelta
 
-import pytest
 from pyspark.sql import functions as F
 
 from veritrail.streaming.answers import deliver_answers
@@ -23,15 +22,14 @@ def answer(n, analysis=1, question=None, theme=None):
     return (f"a{n}", analysis, question, question % 3 if theme is None else theme, START + timedelta(seconds=n))
 
 
-@pytest.mark.parametrize("late", [None, "1 hour"])
-def test_answers_are_delivered_once_and_resumed(spark, tmp_path, late):
+def test_answers_are_delivered_once_and_resumed(spark, tmp_path):
     folder, out = tmp_path / "in", str(tmp_path / "out")
     add(spark, folder, [answer(1), answer(2), answer(2)], ANSWERS, "1")
     add(spark, folder, [answer(2), answer(3)], ANSWERS, "2")
     stream = lambda: read_table_stream(spark, str(folder), files_per_batch=1)
-    assert sorted(r.id for r in deliver_answers(stream(), ["id"], out, late).collect()) == ["a1", "a2", "a3"]
+    assert sorted(r.id for r in deliver_answers(stream(), ["id"], out).collect()) == ["a1", "a2", "a3"]
     add(spark, folder, [answer(3), answer(4)], ANSWERS, "3")
-    assert sorted(r.id for r in deliver_answers(stream(), ["id"], out, late).collect()) == ["a1", "a2", "a3", "a4"]
+    assert sorted(r.id for r in deliver_answers(stream(), ["id"], out).collect()) == ["a1", "a2", "a3", "a4"]
 
 
 def test_progress_over_several_batches(spark, tmp_path):
@@ -104,13 +102,16 @@ def test_stalls_batch_and_stream(spark, tmp_path):
 def test_ingest_by_batch(spark, tmp_path):
     folder = tmp_path / "in"
     schema = "doc_id long, report_year int, page_count long, text string"
+    add(spark, folder, [(9, 2024, 1, " \n "), (8, 2024, 1, None)], schema, "0")  # a batch of blank documents only
+    chunks, status = ingest_documents(read_table_stream(spark, str(folder), files_per_batch=1), str(tmp_path / "out"))
+    assert chunks.count() == 0 and {(r.doc_id, r.status) for r in status.collect()} == {(9, "error"), (8, "error")}
     add(spark, folder, [(1, 2024, 3, "um dois\n\ntres"), (2, 2024, 1, " \n ")], schema, "1")
     add(spark, folder, [(3, 2023, 2, " ".join(["w"] * 600) + "\n\nfim")], schema, "2")
     stream = lambda: read_table_stream(spark, str(folder), files_per_batch=1)
     chunks, status = ingest_documents(stream(), str(tmp_path / "out"))
     assert {(r.doc_id, r.status, r.chunk_count, r.page_count) for r in status.collect()} == {
-        (1, "ready", 1, 3), (2, "error", 0, 0), (3, "ready", 2, 2)}
+        (9, "error", 0, 0), (8, "error", 0, 0), (1, "ready", 1, 3), (2, "error", 0, 0), (3, "ready", 2, 2)}
     assert chunks.where(F.col("report_year") == 2023).count() == 2
     add(spark, folder, [(4, 2023, 1, "novo")], schema, "3")
     chunks, status = ingest_documents(stream(), str(tmp_path / "out"))
-    assert status.count() == 4 and chunks.count() == 4
+    assert status.count() == 6 and chunks.count() == 4

@@ -1,30 +1,42 @@
-"""Delivery of new answers, each once."""
+"""Delivery of new answers, each once and in created order."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, LongType, StructField, StructType
 
-from veritrail.streaming.runs import append_to_files, finish, state_on_disk
+from veritrail.streaming.runs import finish, per_batch
 
 
-def new_answers(stream: DataFrame, ids: Sequence[str], time: str = "created_at", late: str | None = None) -> DataFrame:
-    """The stream with every answer id once.
+def deliver_answers(stream: DataFrame, ids: Sequence[str], path: str, time: str = "created_at") -> DataFrame:
+    """Append every answer once to the table under ``path``; a second run continues where this one ended.
 
-    By default ids are remembered for good, so no answer is lost however late it comes.
-    Where answers are known to come within ``late`` of event time, ids are kept that long only.
+    The delivered table is its own memory: it is divided by batch and by the day of ``time``, and a batch is compared
+    with the earlier batches' rows of its own days only. So nothing grows in a state store, and an answer is delivered
+    however late it comes. The same id has the same time. Within a batch's day rows stand in created order; a repeated
+    batch replaces its own folder.
     """
-    if late is None:
-        return stream.dropDuplicates(list(ids))
-    timed = stream.withColumn(time, F.col(time).cast("timestamp"))
-    return timed.withWatermark(time, late).dropDuplicatesWithinWatermark(list(ids))
-
-
-def deliver_answers(stream: DataFrame, ids: Sequence[str], path: str, late: str | None = None) -> DataFrame:
-    """Append the new answers to the table under ``path``; a second run continues where this one ended."""
     spark = stream.sparkSession
-    with state_on_disk(spark):
-        finish(append_to_files(new_answers(stream, ids, late=late), path))
-    return spark.read.parquet(f"{path}/data")
+    ids = list(ids)
+    table = f"{path}/data"
+    shape = StructType([*stream.schema.fields, StructField("day", DateType()), StructField("batch", LongType())])
+
+    def write(batch_df: DataFrame, batch: int) -> None:
+        session = batch_df.sparkSession
+        new = batch_df.dropDuplicates(ids).withColumn("day", F.to_date(time))
+        days = [r.day for r in new.select("day").distinct().collect()]  # calendar days of one batch
+        if batch and days:
+            of_days = F.col("day").isin([d for d in days if d is not None])
+            old = session.read.schema(shape).parquet(table).where((F.col("batch") < batch) & (of_days | F.col("day").isNull()))
+            old = old.select(*[F.col(c).alias(f"_{c}") for c in ids])
+            same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ids])
+            new = new.join(old, same, "left_anti")
+        new.repartition("day").sortWithinPartitions("day", time, *ids).write.mode("overwrite").partitionBy("day").parquet(
+            f"{table}/batch={batch}")
+
+    finish(per_batch(stream, path, write))
+    return spark.read.schema(shape).parquet(table).drop("day", "batch")

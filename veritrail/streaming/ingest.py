@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from veritrail.operators.chunking import chunk_texts
 from veritrail.sources.sinks import write_chunks
@@ -17,11 +18,17 @@ def ingest_documents(stream: DataFrame, path: str) -> tuple[DataFrame, DataFrame
     ``ready`` with its counts. A repeated batch replaces its own folders.
     """
     spark = stream.sparkSession
+    chunked = lambda rows: chunk_texts(rows, ["doc_id", "report_year"])
+    shape = chunked(stream).schema
+    status = StructType([stream.schema["doc_id"], stream.schema["report_year"], StructField("status", StringType()),
+                         StructField("chunk_count", LongType()), StructField("page_count", stream.schema["page_count"].dataType)])
 
     def write(batch_df: DataFrame, batch: int) -> None:
         target = f"{path}/chunks/batch={batch}"
-        write_chunks(chunk_texts(batch_df, ["doc_id", "report_year"]), target)
-        counts = batch_df.sparkSession.read.parquet(target).groupBy("doc_id").agg(F.count("*").alias("chunk_count"))
+        write_chunks(chunked(batch_df), target)
+        # a batch of blank documents leaves no file to infer columns from
+        stored = batch_df.sparkSession.read.schema(shape).parquet(target)
+        counts = stored.groupBy("doc_id").agg(F.count("*").alias("chunk_count"))
         found = F.col("chunk_count").isNotNull()
         batch_df.select("doc_id", "report_year", "page_count").join(counts, "doc_id", "left").select(
             "doc_id", "report_year",
@@ -31,4 +38,6 @@ def ingest_documents(stream: DataFrame, path: str) -> tuple[DataFrame, DataFrame
         ).write.mode("overwrite").parquet(f"{path}/status/batch={batch}")
 
     finish(per_batch(stream, path, write))
-    return spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/status")
+    by_batch = lambda schema: StructType([*schema.fields, StructField("batch", LongType())])
+    return (spark.read.schema(by_batch(shape)).parquet(f"{path}/chunks"),
+            spark.read.schema(by_batch(status)).parquet(f"{path}/status"))

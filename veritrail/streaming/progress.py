@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from veritrail.streaming.runs import append_to_files, finish, state_on_disk
 
 EVENTS = "analysis_id long, event string, subject string, answered_count long, total long"
-MAX_THEMES = 10_000
+ROW = "analysis_id long, question_pk long, theme_id int, display_order int, dimension string, name string, questions long, total long"
 
 # Spark first loads the processor in a Python process of the driver that knows no shipped
 # packages, so the processor travels with its code.
@@ -24,83 +24,69 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 def distinct_in_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Map-side combine: an analysis sends at most its catalogue per incoming batch, however hot it is."""
     for pdf in batches:
-        yield pdf.drop_duplicates()
+        yield pdf.drop_duplicates(["analysis_id", "question_pk"])
 
 
 class ProgressTracker(StatefulProcessor):
     """Remembers an analysis's answered questions and says what is new.
 
-    ``themes`` maps theme -> (display order, dimension, name, questions). The state is one
-    list per analysis, at most as long as the catalogue.
+    Every row brings its theme's order, dimension, name and size and the catalogue's total. The states are maps, so
+    a batch reads and writes the entries of its own questions, themes and dimensions only.
     """
 
-    def __init__(self, themes: dict[int, tuple[int, str, str, int]]):
-        self.themes = themes
-        self.total = sum(t[3] for t in themes.values())
-
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("answered", "questions array<bigint>, themes array<int>")
+        self.questions = handle.getMapState("questions", "question_pk long", "known boolean")
+        self.themes = handle.getMapState("themes", "theme_id int", "answered long")
+        self.dimensions = handle.getMapState("dimensions", "dimension string", "known boolean")
+        self.count = handle.getValueState("answered", "n long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        stored = self.state.get() if self.state.exists() else ([], [])
-        theme_of = dict(zip(stored[0], stored[1]))
-        before = self._per_theme(theme_of)
-        known = len(theme_of)
-        for pdf in rows:
-            for question, theme in zip(pdf["question_pk"].tolist(), pdf["theme_id"].tolist()):
-                theme_of.setdefault(int(question), int(theme))
-        if len(theme_of) == known:
+        given = pd.concat(list(rows)).drop_duplicates("question_pk")
+        new = given[[not self.questions.containsKey((int(q),)) for q in given["question_pk"]]]
+        if new.empty:
             return
-        self.state.update((list(theme_of), list(theme_of.values())))
-        events = self._events(before, self._per_theme(theme_of), known, len(theme_of))
-        yield pd.DataFrame(
-            [(key[0], *event) for event in events],
-            columns=["analysis_id", "event", "subject", "answered_count", "total"],
-        )
-
-    def _per_theme(self, theme_of: dict[int, int]) -> dict[int, int]:
-        counts: dict[int, int] = {}
-        for theme in theme_of.values():
-            counts[theme] = counts.get(theme, 0) + 1
-        return counts
-
-    def _events(self, before: dict[int, int], now: dict[int, int], known: int, answered: int) -> list[tuple]:
+        known = self.count.get()[0] if self.count.exists() else 0
+        for question in new["question_pk"]:
+            self.questions.updateValue((int(question),), (True,))
+        answered, total = known + len(new), int(new["total"].iloc[0])
+        self.count.update((answered,))
         events = []
-        dimensions = {self.themes[t][1] for t in before}
-        for theme in sorted(now, key=lambda t: self.themes[t][0]):
-            _, dimension, name, questions = self.themes[theme]
-            if theme not in before:
-                if dimension not in dimensions:
-                    dimensions.add(dimension)
-                    events.append(("dimension_start", dimension, 0, self.total))
-                events.append(("theme_start", name, 0, questions))
-            if before.get(theme, 0) < questions <= now[theme]:
-                events.append(("theme_complete", name, now[theme], questions))
-        events.append(("progress", None, answered, self.total))
-        if known < self.total <= answered:
-            events.append(("analysis_complete", None, answered, self.total))
-        return events
+        for (_, theme), part in new.groupby(["display_order", "theme_id"]):
+            row = part.iloc[0]
+            name, dimension, size = row["name"], row["dimension"], int(row["questions"])
+            place = (int(theme),)
+            before = self.themes.getValue(place)[0] if self.themes.containsKey(place) else 0
+            self.themes.updateValue(place, (before + len(part),))
+            if not before:
+                if not self.dimensions.containsKey((dimension,)):
+                    self.dimensions.updateValue((dimension,), (True,))
+                    events.append(("dimension_start", dimension, 0, total))
+                events.append(("theme_start", name, 0, size))
+            if before < size <= before + len(part):
+                events.append(("theme_complete", name, before + len(part), size))
+        events.append(("progress", None, answered, total))
+        if known < total <= answered:
+            events.append(("analysis_complete", None, answered, total))
+        yield pd.DataFrame([(key[0], *event) for event in events],
+                           columns=["analysis_id", "event", "subject", "answered_count", "total"])
 
     def close(self) -> None:
         pass
 
 
-def theme_catalogue(themes: DataFrame) -> dict[int, tuple[int, str, str, int]]:
-    """Theme -> (display order, dimension, name, question_count). A catalogue, so of checked size."""
-    rows = themes.select("theme_id", "display_order", "dimension", "name", "question_count").limit(MAX_THEMES + 1).collect()
-    if len(rows) > MAX_THEMES:
-        raise ValueError(f"more than {MAX_THEMES} themes: not a theme catalogue")
-    return {r.theme_id: (r.display_order, r.dimension, r.name, r.question_count) for r in rows}
-
+def progress_events(stream: DataFrame, themes: DataFrame) -> DataFrame:
+    """Events from ``stream(analysis_id, question_pk, theme_id)``; repeated answers count once, unknown themes not.
 
-def progress_events(stream: DataFrame, themes: dict[int, tuple[int, str, str, int]]) -> DataFrame:
-    """Events from ``stream(analysis_id, question_pk, theme_id)``; repeated answers count once."""
-    new = stream.select("analysis_id", "question_pk", F.col("theme_id").cast("int").alias("theme_id"))
-    combined = new.where(F.col("theme_id").isin(list(themes))).mapInPandas(
-        distinct_in_batch, "analysis_id long, question_pk long, theme_id int"
-    )
-    return combined.groupBy("analysis_id").transformWithStateInPandas(
-        statefulProcessor=ProgressTracker(themes), outputStructType=EVENTS, outputMode="Append", timeMode="None"
+    ``themes`` has theme_id, display_order, dimension, name and question_count; each row takes its theme's along.
+    """
+    total = themes.agg(F.coalesce(F.sum("question_count"), F.lit(0))).first()[0]
+    catalogue = themes.select(F.col("theme_id").cast("int").alias("theme_id"), F.col("display_order").cast("int").alias("display_order"),
+                              "dimension", "name", F.col("question_count").cast("long").alias("questions"))
+    rows = stream.select("analysis_id", "question_pk", F.col("theme_id").cast("int").alias("theme_id")).join(catalogue, "theme_id")
+    rows = rows.select("analysis_id", "question_pk", "theme_id", "display_order", "dimension", "name", "questions",
+                       F.lit(total).cast("long").alias("total"))
+    return rows.mapInPandas(distinct_in_batch, ROW).groupBy("analysis_id").transformWithStateInPandas(
+        statefulProcessor=ProgressTracker(), outputStructType=EVENTS, outputMode="Append", timeMode="None"
     )
 
 
@@ -108,5 +94,5 @@ def track_progress(stream: DataFrame, themes: DataFrame, path: str) -> DataFrame
     """Append progress events to the table under ``path``."""
     spark = stream.sparkSession
     with state_on_disk(spark):
-        finish(append_to_files(progress_events(stream, theme_catalogue(themes)), path))
-    return spark.read.parquet(f"{path}/data")
+        finish(append_to_files(progress_events(stream, themes), path))
+    return spark.read.schema(EVENTS).parquet(f"{path}/data")
