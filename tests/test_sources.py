@@ -90,3 +90,12 @@ def test_page_files_are_decoded_with_replacement(spark, tmp_path):
     (tmp_path / "a.html").write_bytes("olá ".encode() + b"\xff" + b" fim")
     row = read_page_files(spark, str(tmp_path)).select(F.element_at(F.split("url", "/"), -1).alias("f"), "html").first()
     assert (row.f, row.html) == ("a.html", "olá � fim")
+
+
+def test_page_files_take_their_address_from_the_manifest(spark, tmp_path):
+    (tmp_path / "site").mkdir()
+    for name in ("a.html", "b.html"):
+        (tmp_path / "site" / name).write_text(name)
+    manifest = spark.createDataFrame([("site/a.html", "https://x.org/ri/")], "path string, url string")
+    rows = {r.html: r.url for r in read_page_files(spark, str(tmp_path), manifest).collect()}
+    assert rows["a.html"] == "https://x.org/ri/" and rows["b.html"].endswith("/site/b.html")

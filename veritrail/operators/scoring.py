@@ -46,7 +46,7 @@ def weight_themes(scores: DataFrame, companies: DataFrame, themes: DataFrame, we
 
 def _weighted_mean(condition=None):
     """Exact weighted mean of theme scores: decimal sums, so row order cannot change it."""
-    weight = F.col("weight").cast("decimal(12,6)")
+    weight = F.col("weight").cast("decimal(22,10)")
     points = F.col("raw_score").cast("decimal(4,2)") * weight
     if condition is not None:
         weight, points = F.when(condition, weight), F.when(condition, points)

@@ -31,7 +31,7 @@ SELECT page_id, html, {sql_clean(f"array_to_string({sql_nodes('article')}, chr(1
 
 
 def page_texts(fx):
-    return P.extract_pages(fx.spread("d_pages", "page_id"))
+    return P.extract_pages(fx["d_pages"])
 
 
 @query("page_text", """
@@ -78,7 +78,7 @@ FROM (SELECT page_id, text, {sql_blocks('text')} AS b FROM {{o_page_text}}
 
 @query("web_chunks", "SELECT doc_id AS page_id, chunk_index, content, token_count FROM {o_web_chunks}")
 def _(fx):
-    chunks = flows.chunk_web_pages(fx.spread("d_pages", "page_id"), ["page_id"])
+    chunks = flows.chunk_web_pages(fx["d_pages"], ["page_id"])
     return chunks.select("page_id", "chunk_index", "content", "token_count")
 
 
@@ -130,7 +130,7 @@ UNION ALL SELECT page_id, 4, CAST(generate_subscripts(raw, 1) - 1 AS INT), unnes
 
 
 def found_links(fx):
-    return K.find_links(fx.spread("d_pages", "page_id"))
+    return K.find_links(fx["d_pages"])
 
 
 def ranked_links(fx):

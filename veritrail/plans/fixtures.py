@@ -221,12 +221,6 @@ class Fixtures:
             self._frames[name] = frame
         return self._frames[name]
 
-
-    def spread(self, name: str, key: str) -> DataFrame:
-        """A table of long texts over all cores: the test files have one row group each, so one task would read it."""
-        frame, cores = self[name], self.spark.sparkContext.defaultParallelism
-        return frame.repartition(cores, key) if frame.rdd.getNumPartitions() <= cores else frame
-
     def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         """The result of ``build``, written to the shared folder once per session and read from there.
 

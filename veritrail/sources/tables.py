@@ -22,7 +22,17 @@ def decoded(content: Column) -> Column:
     return F.make_valid_utf8(content.cast("string"))
 
 
-def read_page_files(spark: SparkSession, path: str) -> DataFrame:
-    """Stored pages (one file each) as ``url`` and ``html``."""
+def read_page_files(spark: SparkSession, path: str, manifest: DataFrame | None = None) -> DataFrame:
+    """Stored pages (one file each) as ``url`` and ``html``.
+
+    ``manifest`` (path, url) gives the address a page came from, against which its links are resolved; ``path`` is the
+    end of the file's path below the folder. Pages it does not list keep their file path as address.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.col("path").alias("url"), decoded(F.col("content")).alias("html"))
+    pages = files.select("path", decoded(F.col("content")).alias("html"))
+    if manifest is None:
+        return pages.select(F.col("path").alias("url"), "html")
+    root = path.rstrip("/").rsplit("/", 1)[-1]
+    below = F.substring_index("path", f"/{root}/", -1)
+    named = pages.withColumn("_below", below).join(manifest.select(F.ltrim("path", F.lit("/")).alias("_below"), "url"), "_below", "left")
+    return named.select(F.coalesce("url", "path").alias("url"), "html")
