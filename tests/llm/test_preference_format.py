@@ -1,19 +1,6 @@
 import itertools
-import os
 
-import pytest
-
-from tests.compare import compare, connect
 from veritrail.llm import preference_format as pf
-from veritrail.llm.queries import CHECKS, QUERIES
-
-FOLDER = "/root/testdata/sf0.01"
-
-
-@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables not there")
-def test_query_equals_sql(spark):
-    problem, rows = compare(spark, connect(FOLDER), FOLDER, QUERIES["op2_preference_format"], CHECKS["op2_preference_format"])
-    assert problem is None and rows > 0, problem
 
 
 def plain(chosen, rejected):

@@ -134,7 +134,24 @@ def op7_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spaced_seeds.find_overlaps(documents(spark, sf_dir).select("doc_id", "text"), benchmark)
 
 
-@query("op5_minmax_dedup")
+OP5_SQL = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+         WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM texts),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(d, r) AS (SELECT doc_id, doc_id FROM sizes UNION SELECT reach.d, edges.b FROM reach JOIN edges ON edges.a = reach.r),
+lowest AS (SELECT d, min(r) AS r FROM reach GROUP BY d)
+SELECT t.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(r, t.doc_id) AS component_id, t.doc_id = coalesce(r, t.doc_id) AS kept
+FROM texts t LEFT JOIN sizes z ON z.doc_id = t.doc_id LEFT JOIN lowest l ON l.d = t.doc_id"""
+
+
+@query("op5_minmax_dedup", OP5_SQL)
 def op5_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax_dedup.classes(documents(spark, sf_dir).select("doc_id", "text"))
 
@@ -144,7 +161,26 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_texts(documents(spark, sf_dir).select("doc_id", "text"), ~lm_scoring.held_out(), lm_scoring.deleted())
 
 
-@query("op3_window_dedup")
+# Repeated starts at most 100 apart form one removed run.
+OP3_SQL = """
+WITH raw AS (SELECT doc_id, encode(coalesce(text, '')) AS h FROM documents),
+starts AS (SELECT doc_id, unnest(range(0, octet_length(h) - 99)) AS i, h FROM raw),
+strings AS (SELECT doc_id, i, md5(hex(array_slice(h, i + 1, i + 100))) AS s FROM starts),
+late AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS n FROM strings) WHERE n > 1),
+runs AS (SELECT doc_id, i, sum(CASE WHEN i - before <= 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (
+  SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM late)),
+spans AS (SELECT doc_id, run, min(i) AS a, max(i) + 100 AS b FROM runs GROUP BY 1, 2),
+placed AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM spans),
+cut AS (SELECT doc_id, sum(b - a) AS gone, count(*) AS n, max(b) AS last,
+               string_agg(CASE WHEN a > before THEN hex(array_slice(h, before + 1, a)) ELSE '' END, '' ORDER BY a) AS kept
+        FROM placed JOIN raw USING (doc_id) GROUP BY 1)
+SELECT doc_id, CAST(octet_length(h) AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || CASE WHEN coalesce(last, 0) < octet_length(h)
+                                               THEN hex(array_slice(h, coalesce(last, 0) + 1, octet_length(h))) ELSE '' END)) AS kept_sha256
+FROM raw LEFT JOIN cut USING (doc_id)"""
+
+
+@query("op3_window_dedup", OP3_SQL)
 def op3_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = window_dedup.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
