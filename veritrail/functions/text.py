@@ -106,14 +106,6 @@ def contains_any(text: Column, patterns: list[str]) -> Column:
     return hit
 
 
-def count_contained(text: Column, patterns: list[str]) -> Column:
-    """How many of the literal patterns occur in ``text``."""
-    total = F.lit(0)
-    for pattern in patterns:
-        total = total + F.contains(text, F.lit(pattern)).cast("int")
-    return total
-
-
 @lru_cache(maxsize=1)
 def _entity_literals() -> tuple[str, str]:
     """Named character references (``name`` -> text) as two delimiter-joined strings."""

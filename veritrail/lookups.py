@@ -172,16 +172,6 @@ ADMIN_SHEETS = [
 ]
 QUESTION_ID_PATTERN = r"^(\d+\.\d+(?:\.\d+)*)"
 UNSCORED_SHEETS = ["Controvérsias", "Materialidade", "Resultado"]
-THEME_NAMES = [  # a theme's sheet carries the theme's own name
-    "Recursos Hídricos", "Recursos Energéticos", "Sistema Gestão Socioambiental",
-    "Materiais básicos", "Resíduos Sólidos", "Efluentes líquidos", "Emissões atmosféricas",
-    "Mudanças Climáticas Mitigação", "Mudanças Climáticas Adaptação", "Ecossistemas",
-    "Saúde e segurança", "Condições de trabalho", "Gestão de carreira", "Diversidade",
-    "Segurança de dados", "Qualidade e segurança produtos", "Ecodesign", "Desenvolvimento",
-    "Direitos Humanos", "Temas sociais na cadeia", "Temas ambientais na cadeia",
-    "Remuneração executivos", "Conselho e Diretoria", "Minoritários", "Integridade",
-    "Transparência",
-]
 
 # --- fixed values: sizes ----------------------------------------------------------------
 CHUNK_WORDS = 500

@@ -250,7 +250,7 @@ FROM tree t LEFT JOIN (SELECT DISTINCT analysis_id, question_id FROM tree WHERE
   ON p.analysis_id = t.analysis_id AND length(t.question_id) - length(replace(t.question_id, '.', '')) >= 3
      AND p.question_id = regexp_replace(t.question_id, '\\.\\d+$', '')""")
 def _(fx):
-    placed = clean_answers(fx).join(fx["d_questions"].select("question_pk", "question_id"), "question_pk")
+    placed = stored_answers(fx).join(fx["d_questions"].select("question_pk", "question_id"), "question_pk")
     own = placed.select("analysis_id", "question_id", "answer")
     sub = placed.select(
         "analysis_id",
