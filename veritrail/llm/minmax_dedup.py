@@ -5,12 +5,13 @@ kept, so 64 permutations give 128 signature values. Bands of four values, all sm
 permutations, go to buckets; at a similarity of 0.75 a pair misses all 32 bands once in about 200,000 times. Links are
 confirmed on the full sets, and the classes are the connected components of the confirmed links.
 
-Documents with equal sets are one node. No bucket lists its pairs: in every round each bucket that still spans several
-classes tests members as pivots against the members of other classes, first one, then twice as many a round, best linked
-first. A bucket is done when it is one class or every pair was compared or shares a class; so no link between different
-texts is lost to a cap, and groups of real copies, whatever their size, end after a round or two. Hot buckets are split
-like any skewed join, counts and minima combine before the shuffle, and components come from label passing with shortcuts
-over tables; nothing is collected but counts.
+Documents with equal sets are one node. No bucket lists its pairs. First every bucket confirms its first member against
+the others, and the links give classes. Buckets that still span several classes are looked through: the members outside
+the bucket's largest class meet all members of other classes inside tasks, as sorted arrays of half hashes (which can only
+overstate a similarity) and each pair in the first bucket it shares only; what reaches the threshold there is confirmed on
+the full sets. So no link between different texts is lost to a cap, and the rows made grow with the members, not with
+their pairs. A large bucket is split into blocks of ``BLOCK`` members. Counts and minima combine before the shuffle, and
+components come from label passing with shortcuts over tables; nothing is collected but counts.
 
 Null and empty texts have empty sets and are linked with nothing. Fewer than five words are one shingle. Repeated rows
 and repeated ids are rows of their own; null ids never become a component id unless a class has no other. Other columns
@@ -23,12 +24,12 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritrail.llm.common import prepare
-from veritrail.operators.keys import top_per_key
 from veritrail.session import Job
 
 WORDS = 5
@@ -37,6 +38,7 @@ ROWS = 4  # signature values in a band
 MIN_PERCENT = 75
 MEMO = 200_000
 AT_ONCE = 400_000  # shingles hashed together
+BLOCK = 1_500  # members of a bucket compared in one task
 
 
 @lru_cache(maxsize=1)
@@ -146,21 +148,30 @@ def _signed(docs: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """(node, set) of rows with a text."""
+    """(node, set, half, bands) of rows with a text: the set, its hashes cut to 32 bits, and its buckets."""
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
-            found = [shingler.shingles(t).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in found], pa.binary()),
-                                              pa.array(found, pa.binary())], names=["node", "set"])
+            for start in range(0, batch.num_rows, 128):
+                found = [shingler.shingles(t) for t in batch.column("text").slice(start, 128).to_pylist()]
+                found = [s for s in found if len(s)]
+                if not found:
+                    continue
+                half = [np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes() for s in found]
+                bands = [row.tobytes() for row in band_keys(signatures(found))]
+                raw = [s.tobytes() for s in found]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([xxhash.xxh3_128_digest(s) for s in raw], pa.binary()), pa.array(raw, pa.binary()),
+                     pa.array(half, pa.binary()), pa.array(bands, pa.binary())], names=["node", "set", "half", "bands"])
 
-    return docs.select("text").mapInArrow(run, "node binary, set binary")
+    return docs.select("text").mapInArrow(run, "node binary, set binary, half binary, bands binary")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (pivot, node) that are links."""
+    sets = sets.select("node", "set")
     left = pairs.join(sets, "node")
     both = left.join(sets.select(F.col("node").alias("pivot"), F.col("set").alias("pivot_set")), "pivot")
 
@@ -222,7 +233,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: i
     return job.finish(result.withColumnRenamed("key", key))
 
 
-def _linked(rows: DataFrame, members: DataFrame, job: Job, percent: int) -> DataFrame:
+def _linked(rows: DataFrame, members: DataFrame, job: Job, percent: int) -> DataFrame | None:
     """(node, label): the class of every node that has a link."""
     wanted = members.select(F.col("first_key").alias("key")).distinct()
     some = rows.where("text IS NOT NULL")
@@ -230,43 +241,73 @@ def _linked(rows: DataFrame, members: DataFrame, job: Job, percent: int) -> Data
         some.where("key IS NULL"))  # a set whose rows all lack an id
     sets = _sets(sources).dropDuplicates(["node"]).join(members.select("node").distinct(), "node", "left_semi")
     sets = job.keep(sets, "sets")
-    links = labels = used = None
-    active, step, width = members, 0, 1
-    while True:
-        # one row per member of a bucket that still spans several classes
-        if labels is not None:
-            active = active.drop("label").join(labels, "node", "left")
-        else:
-            active = active.withColumn("label", F.lit(None).cast("binary"))
-        active = active.withColumn("label", F.coalesce("label", "node"))
-        split = active.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-        active = job.keep(active.join(split.select("bucket"), "bucket"), f"active{step}")
-        fresh = active if used is None else active.join(used, ["bucket", "node"], "left_anti")
-        degree = None if links is None else links.select(F.col("pivot").alias("node")).unionByName(
-            links.select("node")).groupBy("node").agg(F.count("*").alias("degree"))
-        fresh = fresh.withColumn("degree", F.lit(0).cast("long")) if degree is None else fresh.join(
-            degree, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0).cast("long")))
-        pivots = _first(fresh, width)
-        pivots = job.keep(pivots.select("bucket", "node", "label", "size"), f"pivots{step}")
-        if pivots.isEmpty():
-            break
-        used = pivots.select("bucket", "node") if used is None else used.unionByName(pivots.select("bucket", "node"))
-        small = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
-        pairs = active.join(pivots.select("bucket", F.col("node").alias("pivot"), F.col("label").alias("pivot_label"),
-                                          F.col("size").alias("pivot_size")), "bucket").where(
-            (F.col("label") != F.col("pivot_label")) & small(F.col("size"), F.col("pivot_size")))
-        if step:  # later pivots may meet one another: a pair once
-            pairs = pairs.select(F.least("pivot", "node").alias("pivot"), F.greatest("pivot", "node").alias("node"))
-        pairs = pairs.select("pivot", "node").distinct()
-        new = job.keep(_confirmed(pairs, sets, percent), f"links{step}")
-        links = new if links is None else links.unionByName(new)
-        if not new.isEmpty():
-            labels = components(links.select(F.col("pivot").alias("a"), F.col("node").alias("b")), job, f"classes{step}")
-        step, width = step + 1, width * 2
-    return labels
-
-
-def _first(members: DataFrame, count: int) -> DataFrame:
-    """Up to ``count`` members of every bucket: most links first, then the smallest id."""
-    order = [F.col("degree").desc(), F.col("first_key"), F.col("node")]
-    return top_per_key(members, ["bucket"], order, count, "_n").drop("_n")
+
+    heads = members.groupBy("bucket").agg(F.min(F.struct(F.col("first_key").isNull(), "first_key", "node", "size")).alias("head"))
+    heads = heads.select("bucket", F.col("head.node").alias("pivot"), F.col("head.size").alias("pivot_size"))
+    near = 100 * F.least("size", "pivot_size") >= percent * F.greatest("size", "pivot_size")
+    pairs = members.join(heads, "bucket").where((F.col("node") != F.col("pivot")) & near).select("pivot", "node").distinct()
+    links = job.keep(_confirmed(pairs, sets, percent), "links0")
+    labels = None if links.isEmpty() else components(_edges(links), job, "classes0")
+
+    more = job.keep(_confirmed(_across(members, labels, sets, job, percent), sets, percent), "links1")
+    if more.isEmpty():
+        return labels
+    return components(_edges(links.unionByName(more)), job, "classes1")
+
+
+def _edges(links: DataFrame) -> DataFrame:
+    return links.select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+
+
+def _across(members: DataFrame, labels: DataFrame | None, sets: DataFrame, job: Job, percent: int) -> DataFrame:
+    """(pivot, node): pairs of different classes that share a bucket and may be links."""
+    if labels is None:
+        placed = members.select("bucket", "node", F.col("node").alias("label"))
+    else:
+        placed = members.select("bucket", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    sizes = placed.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    split = sizes.groupBy("bucket").agg(F.count("*").alias("classes"), F.sum("n").alias("n"),
+                                        F.max(F.struct("n", "label")).alias("largest")).where("classes > 1")
+    blocks = lambda n: F.ceil(n / F.lit(float(BLOCK))).cast("int")
+    split = split.select("bucket", F.col("largest.label").alias("main"), blocks(F.col("n")).alias("blocks"),
+                         blocks(F.col("n") - F.col("largest.n")).alias("other_blocks"))
+    active = job.keep(placed.join(split, "bucket").withColumn("other", F.col("label") != F.col("main")).drop("main"), "active")
+    every = F.sequence(F.lit(0), F.col("other_blocks") - 1)
+    mine = active.select("bucket", "node", "label", "other", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"),
+                         F.explode(every).alias("other_block"), F.lit(False).alias("asks"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    asking = active.where("other").select(
+        "bucket", "node", "label", "other", F.explode(every).alias("block"),
+        F.pmod(F.xxhash64("node"), "other_blocks").cast("int").alias("other_block"), F.lit(True).alias("asks"))
+    rows = mine.unionByName(asking).join(sets.select("node", "half", "bands"), "node")
+    least = (percent - 1) / 100  # half hashes may merge two shingles of a set: stay below the threshold
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        bucket = frame["bucket"].iloc[0]
+        left, right = frame[~frame["asks"]], frame[frame["asks"]]
+        if left.empty or right.empty:
+            return pd.DataFrame({"pivot": [], "node": []})
+        bands = np.stack([np.frombuffer(b, np.int64) for b in left["bands"]])
+        halves = [np.frombuffer(h, np.uint32) for h in left["half"]]
+        sizes = np.array([len(h) for h in halves])
+        nodes, labels, other = left["node"].to_numpy(), left["label"].to_numpy(), left["other"].to_numpy()
+        out = []
+        for node, label, half, keys in zip(right["node"], right["label"], right["half"], right["bands"]):
+            own, keys = np.frombuffer(half, np.uint32), np.frombuffer(keys, np.int64)
+            first = np.argmax(bands == keys, axis=1)
+            take = (keys[first] == bucket) & (labels != label) & (~other | (nodes > node))
+            take &= np.minimum(sizes, len(own)) >= least * np.maximum(sizes, len(own))
+            at = np.flatnonzero(take)
+            if not len(at):
+                continue
+            values = np.concatenate([halves[i] for i in at])
+            place = np.searchsorted(own, values)
+            place[place == len(own)] = 0
+            starts = np.cumsum(sizes[at]) - sizes[at]
+            shared = np.add.reduceat((own[place] == values).astype(np.int64), starts)
+            close = at[shared >= least * (sizes[at] + len(own) - shared)]
+            out += [(node, nodes[i]) for i in close]
+        return pd.DataFrame(out, columns=["pivot", "node"])
+
+    found = rows.groupBy("bucket", "block", "other_block").applyInPandas(run, "pivot binary, node binary")
+    return job.keep(found, "across").distinct()
