@@ -18,16 +18,16 @@ FROM (SELECT *, row_number() OVER (PARTITION BY theme_id ORDER BY display_order,
 
 # Two replies for a batch: the first leaves questions out, the second has those and some again. Ids are spelled loosely.
 VIEWS["d_reply_items"] = """
-SELECT a.analysis_id, b.theme_id, b.batch, r.reply, a.question_pk,
-       CASE (a.question_pk + r.reply) % 5 WHEN 1 THEN concat('  ', b.question_id) WHEN 2 THEN concat('ID ', b.question_id)
+SELECT a.analysis_id, b.theme_id, b.batch, a.reply, a.question_pk,
+       CASE (a.question_pk + a.reply) % 5 WHEN 1 THEN concat('  ', b.question_id) WHEN 2 THEN concat('ID ', b.question_id)
             WHEN 3 THEN concat(b.question_id, '.9') ELSE b.question_id END AS question_id,
-       CASE (a.analysis_id + a.question_pk + r.reply) % 5 WHEN 0 THEN NULL WHEN 1 THEN 'sim' WHEN 2 THEN 'Nao' WHEN 3 THEN 'N/A'
+       CASE (a.analysis_id + a.question_pk + a.reply) % 5 WHEN 0 THEN NULL WHEN 1 THEN 'sim' WHEN 2 THEN 'Nao' WHEN 3 THEN 'N/A'
             ELSE 'Sim' END AS answer,
-       concat('Motivo ', CAST(a.question_pk AS STRING), ' da resposta ', CAST(r.reply AS STRING)) AS justification,
+       concat('Motivo ', CAST(a.question_pk AS STRING), ' da resposta ', CAST(a.reply AS STRING)) AS justification,
        CASE WHEN a.question_pk % 2 = 0 THEN 'n/a' ELSE concat('Relatorio ', CAST(a.question_pk AS STRING), '.pdf') END AS source_reference
-FROM {d_asked} a JOIN {d_batches} b ON b.question_pk = a.question_pk
-JOIN (SELECT 0 AS reply, 3 AS skip UNION ALL SELECT 1, 2) r
-  ON (r.reply = 0 AND (a.question_pk + a.analysis_id) % 3 <> 0) OR (r.reply = 1 AND (a.question_pk + a.analysis_id) % 3 <> 1)
+FROM (SELECT analysis_id, question_pk, 0 AS reply FROM {d_asked} WHERE (question_pk + analysis_id) % 3 <> 0
+      UNION ALL SELECT analysis_id, question_pk, 1 FROM {d_asked} WHERE (question_pk + analysis_id) % 3 <> 1) a
+JOIN {d_batches} b ON b.question_pk = a.question_pk
 WHERE (a.question_pk + a.analysis_id) % 11 <> 0"""
 
 
