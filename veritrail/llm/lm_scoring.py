@@ -36,8 +36,8 @@ from veritrail.llm.common import fold, prepare
 from veritrail.session import Job
 
 ORDER = 2
-BLOCK_TOKENS = 600_000
-BUCKET_KEYS = 1_000_000
+BLOCK_TOKENS = 400_000
+BUCKET_KEYS = 500_000
 GRID = 16  # steps of an octave in the histogram of estimates
 NEVER = -(1 << 20)  # grid value of an estimate of zero
 ROUNDS = 40
@@ -49,6 +49,19 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(32))
 
 
+def packed(values: np.ndarray, ascending: bool = False) -> bytes:
+    """64-bit numbers, compressed byte place by byte place; ascending ones by their differences."""
+    if ascending:
+        values = np.diff(values, prepend=values.dtype.type(0))
+    return pa.compress(values.view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, size: int, kind: type, ascending: bool = False) -> np.ndarray:
+    raw = pa.decompress(data, decompressed_size=int(size) * 8, codec="zstd", asbytes=True)
+    values = np.frombuffer(raw, np.uint8).reshape(8, -1).T.copy().view(kind).reshape(-1)
+    return np.cumsum(values, dtype=kind) if ascending else values
+
+
 def _blocks(docs: DataFrame) -> DataFrame:
     """(block, kind, keys, held, train, lengths, words, tokens): kind 1 holds the part deleted for the weights.
 
@@ -131,7 +144,7 @@ class Grams:
 
 
 def _asked(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
-    """(n, bucket, block, kind, keys, counts): the distinct n-grams of every block with their training counts."""
+    """(n, bucket, block, kind, size, keys, counts): the distinct n-grams of every block with their training counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,36 +160,37 @@ def _asked(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([n] * len(full), pa.int32()), pa.array(full, pa.int32()),
                          pa.array([row["block"]] * len(full), pa.string()), pa.array([row["kind"]] * len(full), pa.int32()),
-                         pa.array([keys[cuts[b]:cuts[b + 1]].tobytes() for b in full], pa.binary()),
-                         pa.array([counts[cuts[b]:cuts[b + 1]].tobytes() for b in full], pa.binary())],
-                        names=["n", "bucket", "block", "kind", "keys", "counts"])
+                         pa.array([cuts[b + 1] - cuts[b] for b in full], pa.int64()),
+                         pa.array([packed(keys[cuts[b]:cuts[b + 1]], True) for b in full], pa.binary()),
+                         pa.array([packed(counts[cuts[b]:cuts[b + 1]]) for b in full], pa.binary())],
+                        names=["n", "bucket", "block", "kind", "size", "keys", "counts"])
 
     return blocks.select("block", "kind", "train", "lengths", "words", "tokens").mapInArrow(
-        run, "n int, bucket int, block string, kind int, keys binary, counts binary")
+        run, "n int, bucket int, block string, kind int, size long, keys binary, counts binary")
 
 
 def _totals(asked: DataFrame) -> DataFrame:
-    """(n, bucket, block, kind, all, deleted, tokens, deleted_tokens, distinct): the totals every block asked for; the
-    bucket's own sums stand in one of its rows."""
+    """(n, bucket, block, kind, size, all, deleted, tokens, deleted_tokens, distinct): the totals every block asked for;
+    the bucket's own sums stand in one of its rows."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        sizes = [len(k) // 8 for k in frame["keys"]]
-        keys = np.frombuffer(b"".join(frame["keys"]), np.uint64)
-        counts = np.frombuffer(b"".join(frame["counts"]), np.int64)
+        sizes = frame["size"].tolist()
+        keys = np.concatenate([unpacked(k, n, np.uint64, True) for k, n in zip(frame["keys"], sizes)])
+        counts = np.concatenate([unpacked(c, n, np.int64) for c, n in zip(frame["counts"], sizes)])
         distinct, at = np.unique(keys, return_inverse=True)
         every = np.zeros(len(distinct), np.int64)
         gone = np.zeros(len(distinct), np.int64)
         np.add.at(every, at, counts)
         np.add.at(gone, at, counts * np.repeat(frame["kind"].to_numpy(), sizes))
         ends = np.cumsum(sizes)
-        cut = lambda values: [values[at[e - s:e]].tobytes() for s, e in zip(sizes, ends)]
+        cut = lambda values: [packed(values[at[e - s:e]]) for s, e in zip(sizes, ends)]
         own = lambda value: [int(value)] + [0] * (len(frame) - 1)
-        return frame[["n", "bucket", "block", "kind"]].assign(
+        return frame[["n", "bucket", "block", "kind", "size"]].assign(
             all=cut(every), deleted=cut(gone), tokens=own(every.sum()), deleted_tokens=own(gone.sum()),
             distinct=own((every > 0).sum()))
 
     return asked.groupBy("n", "bucket").applyInPandas(
-        run, "n int, bucket int, block string, kind int, all binary, deleted binary, tokens long, deleted_tokens long, distinct long")
+        run, "n int, bucket int, block string, kind int, size long, all binary, deleted binary, tokens long, deleted_tokens long, distinct long")
 
 
 def _estimates(grams: Grams, counts: list[np.ndarray], tokens: int, texts: int, vocabulary: int):
@@ -207,8 +221,9 @@ def _per_block(blocks: DataFrame, totals: DataFrame, order: int, use, schema: st
         every, gone = [], []
         for n in range(1, order + 1):
             of = right[right["n"] == n]
-            every.append(np.frombuffer(b"".join(of["all"]), np.int64))
-            gone.append(np.frombuffer(b"".join(of["deleted"]), np.int64))
+            whole = lambda column: np.concatenate([unpacked(x, m, np.int64) for x, m in zip(of[column], of["size"])])  # noqa: E731,B023
+            every.append(whole("all"))
+            gone.append(whole("deleted"))
         return use(row, grams, every, gone)
 
     return blocks.groupBy("block").cogroup(totals.groupBy("block")).applyInPandas(run, schema)
