@@ -5,10 +5,10 @@ kept, so 64 permutations give 128 signature values. Bands of four values, all sm
 permutations, go to buckets; at a similarity of 0.75 a pair misses all 32 bands once in about 200,000 times. Links are
 confirmed on the full sets, and the classes are the connected components of the confirmed links.
 
-Documents with equal sets are one node. No bucket lists its pairs. First every bucket confirms its first member against
-the others, and the links give classes. Buckets that still span several classes are looked through: the members outside
-the bucket's largest class meet all members of other classes inside tasks, as sorted arrays of half hashes (which can only
-overstate a similarity) and each pair in the first bucket it shares only; what reaches the threshold there is confirmed on
+Documents with equal sets are one node. No bucket lists its pairs. First every node is confirmed against the
+first members of its buckets, the two smallest of them, and the links give classes. Buckets that still span several classes are looked through: the members outside
+the bucket's largest class meet all members of other classes inside tasks, as sorted arrays of hashes cut to 24 bits, and each
+pair in the first bucket it shares only; what comes near the threshold there is confirmed on
 the full sets. So no link between different texts is lost to a cap, and the rows made grow with the members, not with
 their pairs. A large bucket is split into blocks of ``BLOCK`` members. Counts and minima combine before the shuffle, and
 components come from label passing with shortcuts over tables; nothing is collected but counts.
@@ -111,6 +111,19 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = MIN_PERCENT) -> bool:
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
+def shortened(found: np.ndarray) -> bytes:
+    """A set's hashes cut to 24 bits, as their number and compressed differences."""
+    short = np.unique((found >> np.uint64(40)).astype(np.uint32))
+    steps = np.diff(short, prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes()
+    return len(short).to_bytes(4, "little") + pa.compress(steps, codec="zstd", asbytes=True)
+
+
+def unshortened(data: bytes) -> np.ndarray:
+    size = int.from_bytes(data[:4], "little")
+    steps = np.frombuffer(pa.decompress(data[4:], decompressed_size=4 * size, codec="zstd", asbytes=True), np.uint8)
+    return np.cumsum(steps.reshape(4, -1).T.copy().view(np.uint32).reshape(-1), dtype=np.uint32)
+
+
 def _signed(docs: DataFrame) -> DataFrame:
     """(key, n_shingles, node, bands) of every row (key, text); no node and no bands for an empty set."""
     import xxhash
@@ -148,7 +161,7 @@ def _signed(docs: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """(node, set, half, bands) of rows with a text: the set, its hashes cut to 32 bits, and its buckets."""
+    """(node, set, short, bands) of rows with a text: the set, its hashes cut to 24 bits, and its buckets."""
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,14 +172,14 @@ def _sets(docs: DataFrame) -> DataFrame:
                 found = [s for s in found if len(s)]
                 if not found:
                     continue
-                half = [np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes() for s in found]
+                short = [shortened(s) for s in found]
                 bands = [row.tobytes() for row in band_keys(signatures(found))]
                 raw = [s.tobytes() for s in found]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([xxhash.xxh3_128_digest(s) for s in raw], pa.binary()), pa.array(raw, pa.binary()),
-                     pa.array(half, pa.binary()), pa.array(bands, pa.binary())], names=["node", "set", "half", "bands"])
+                     pa.array(short, pa.binary()), pa.array(bands, pa.binary())], names=["node", "set", "short", "bands"])
 
-    return docs.select("text").mapInArrow(run, "node binary, set binary, half binary, bands binary")
+    return docs.select("text").mapInArrow(run, "node binary, set binary, short binary, bands binary")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -243,9 +256,12 @@ def _linked(rows: DataFrame, members: DataFrame, job: Job, percent: int) -> Data
     sets = job.keep(sets, "sets")
 
     heads = members.groupBy("bucket").agg(F.min(F.struct(F.col("first_key").isNull(), "first_key", "node", "size")).alias("head"))
-    heads = heads.select("bucket", F.col("head.node").alias("pivot"), F.col("head.size").alias("pivot_size"))
+    heads = heads.select("bucket", F.col("head.node").alias("pivot"), F.col("head.first_key").alias("pivot_key"),
+                         F.col("head.size").alias("pivot_size"))
     near = 100 * F.least("size", "pivot_size") >= percent * F.greatest("size", "pivot_size")
-    pairs = members.join(heads, "bucket").where((F.col("node") != F.col("pivot")) & near).select("pivot", "node").distinct()
+    met = members.join(heads, "bucket").where((F.col("node") != F.col("pivot")) & near)
+    firsts = met.groupBy("node").agg(F.slice(F.array_sort(F.collect_set(F.struct("pivot_key", "pivot"))), 1, 2).alias("p"))  # of 32
+    pairs = firsts.select("node", F.explode("p.pivot").alias("pivot")).select("pivot", "node")
     links = job.keep(_confirmed(pairs, sets, percent), "links0")
     labels = None if links.isEmpty() else components(_edges(links), job, "classes0")
 
@@ -279,8 +295,8 @@ def _across(members: DataFrame, labels: DataFrame | None, sets: DataFrame, job:
     asking = active.where("other").select(
         "bucket", "node", "label", "other", F.explode(every).alias("block"),
         F.pmod(F.xxhash64("node"), "other_blocks").cast("int").alias("other_block"), F.lit(True).alias("asks"))
-    rows = mine.unionByName(asking).join(sets.select("node", "half", "bands"), "node")
-    least = (percent - 1) / 100  # half hashes may merge two shingles of a set: stay below the threshold
+    rows = mine.unionByName(asking).join(sets.select("node", "short", "bands"), "node")
+    least = (percent - 2) / 100  # cut hashes may merge shingles of a set: stay below the threshold
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         bucket = frame["bucket"].iloc[0]
@@ -288,19 +304,19 @@ def _across(members: DataFrame, labels: DataFrame | None, sets: DataFrame, job:
         if left.empty or right.empty:
             return pd.DataFrame({"pivot": [], "node": []})
         bands = np.stack([np.frombuffer(b, np.int64) for b in left["bands"]])
-        halves = [np.frombuffer(h, np.uint32) for h in left["half"]]
-        sizes = np.array([len(h) for h in halves])
+        shorts = [unshortened(s) for s in left["short"]]
+        sizes = np.array([len(s) for s in shorts])
         nodes, labels, other = left["node"].to_numpy(), left["label"].to_numpy(), left["other"].to_numpy()
         out = []
-        for node, label, half, keys in zip(right["node"], right["label"], right["half"], right["bands"]):
-            own, keys = np.frombuffer(half, np.uint32), np.frombuffer(keys, np.int64)
+        for node, label, short, keys in zip(right["node"], right["label"], right["short"], right["bands"]):
+            own, keys = unshortened(short), np.frombuffer(keys, np.int64)
             first = np.argmax(bands == keys, axis=1)
             take = (keys[first] == bucket) & (labels != label) & (~other | (nodes > node))
             take &= np.minimum(sizes, len(own)) >= least * np.maximum(sizes, len(own))
             at = np.flatnonzero(take)
             if not len(at):
                 continue
-            values = np.concatenate([halves[i] for i in at])
+            values = np.concatenate([shorts[i] for i in at])
             place = np.searchsorted(own, values)
             place[place == len(own)] = 0
             starts = np.cumsum(sizes[at]) - sizes[at]
