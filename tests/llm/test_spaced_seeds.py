@@ -1,6 +1,8 @@
 import os
 import random
+from fractions import Fraction
 
+import numpy as np
 import pytest
 
 from veritrail.llm import spaced_seeds as ss
@@ -52,3 +54,46 @@ def test_empty_tables(spark):
     assert ss.find_overlaps(docs.where("false"), bench).count() == 0
     assert ss.find_overlaps(docs, bench.where("false")).count() == 0
     assert ss.keep_clean(docs, bench.where("false")).count() == 1
+
+
+def plain_best(equal, least, share):
+    """(most equal words, size, start) of all stretches, listed one by one."""
+    found = [(-sum(equal[i:j]), j - i, i) for i in range(len(equal)) for j in range(i + least, len(equal) + 1)
+             if sum(equal[i:j]) >= share * (j - i)]
+    return min(found) if found else None
+
+
+def test_best_stretch_is_that_of_a_full_search():
+    rng = random.Random(5)
+    for _ in range(3_000):
+        equal = [rng.random() < rng.choice((0.6, 0.8, 0.9)) for _ in range(rng.randint(1, 40))]
+        least, share = rng.choice((1, 5, 13)), rng.choice((0.5, 0.8, 0.85, 1.0))
+        want, got = plain_best(equal, least, Fraction(str(share))), ss.best_stretch(np.array(equal), least, share)
+        assert (None if got is None else (-got[2], got[1] - got[0], got[0])) == want
+
+
+def test_every_hit_alignment_with_a_qualifying_stretch_is_reported():
+    rng = random.Random(6)
+    hasher = ss.Hasher()
+    for _ in range(1_500):
+        size = rng.randint(13, 40)
+        item = [f"w{rng.randrange(10**9)}" for _ in range(size)]
+        text = [f"n{rng.randrange(10**9)}" for _ in range(rng.randint(0, 6))]
+        changed = set(rng.sample(range(size), rng.randint(0, size // 4)))
+        text += [f"x{rng.randrange(10**9)}" if i in changed else w for i, w in enumerate(item)]
+        text += [f"n{rng.randrange(10**9)}" for _ in range(rng.randint(0, 6))]
+        block = ss.Benchmark([(1, " ".join(item))])
+        words = hasher.hashes(" ".join(text))
+        found = block.overlaps(words, np.array([0, len(words)]), 13, 0.8)
+        want = []
+        for _, shift in block.alignments(words).tolist():
+            places = range(max(0, -shift), min(size, len(text) - shift))
+            best = plain_best([item[i] == text[i + shift] for i in places], 13, Fraction(4, 5))
+            want += [best] if best else []
+        assert [-r[6] for r in found] == ([min(want)[0]] if want else [])
+
+
+@pytest.mark.parametrize("size, changed", [(14, {6, 7}), (13, {12}), (16, {1, 8, 14}), (30, {5, 6, 12, 13, 20, 21})])
+def test_substitutions_near_an_end_or_side_by_side(size, changed):
+    stretch = ss.best_stretch(np.array([i not in changed for i in range(size)]), 13, 0.8)
+    assert stretch is not None and stretch[2] >= 0.8 * (stretch[1] - stretch[0])

@@ -3,8 +3,8 @@
 Words are lower-cased (A-Z) and freed of ASCII punctuation at their ends; what is only punctuation is no word. A mask
 marks which of some consecutive words count; the hash of the marked words at every place of a benchmark item and of a
 training text is a seed, so a substituted word between the marks does not break it. Seeds that meet give an alignment of
-text and item; along it the best stretch is taken (one for an equal word, minus ``PENALTY`` for another), and it counts
-as an overlap if it has ``min_words`` words, or the whole of a shorter item, and at least ``min_similarity`` of them equal.
+text and item; any stretch along it counts as an overlap if it has at least ``min_words`` words, or the whole of a shorter
+item, and at least ``min_similarity`` of them are equal, wherever the others stand.
 Items too short for the masks are looked for whole and unchanged.
 
 The training texts stay where they are. Benchmark items are taken in blocks of a bounded size, each broadcast; one block
@@ -12,13 +12,14 @@ is the ordinary case of the same loop. Hits are verified where they are found, s
 costs each text its own check and no more.
 
 Null or empty texts and items overlap nothing. Repeated rows are each reported. Long texts are read whole. Of several
-stretches of one text and item the one with most equal words is reported, ties to the first.
+stretches of one text and item the one with most equal words is reported, ties to the shortest, then to the first.
 """
 
 from __future__ import annotations
 
 import string
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,6 @@ from veritrail.llm.common import prepare
 MASKS = ("1110100111", "110110010011", "1011001110101")
 MIN_WORDS = 13
 MIN_SIMILARITY = 0.8
-PENALTY = 3
 BLOCK_BYTES = 4 << 20  # of benchmark text in one broadcast
 MEMO = 200_000
 _PUNCTUATION = string.punctuation.encode()
@@ -78,6 +78,27 @@ def seeds(hashes: np.ndarray, mask: str) -> np.ndarray:
     return total ^ (total >> np.uint64(31))
 
 
+def best_stretch(equal: np.ndarray, least: int, min_similarity: float) -> tuple[int, int, int] | None:
+    """(start, stop, equal words) of the stretch of at least ``least`` words that has most equal words among those with
+    a share of ``min_similarity``; ties to the shortest, then to the first."""
+    share = Fraction(min_similarity).limit_denominator(1_000_000)
+    matched = np.concatenate([[0], np.cumsum(equal, dtype=np.int64)])
+    # a stretch has the share if this does not fall from its start to its stop: whole numbers, so no rounding
+    level = share.denominator * matched - share.numerator * np.arange(len(matched))
+    highest = np.maximum.accumulate(level[::-1])[::-1]  # of any later stop; never rises
+    start = np.arange(len(matched))
+    stop = np.searchsorted(-highest, -level, side="right") - 1  # the last possible one
+    start = start[stop - start >= least]
+    if not len(start):
+        return None
+    gain = matched[stop[start]] - matched[start]
+    most = gain.max()
+    start = start[gain == most]
+    stop = np.maximum(np.searchsorted(matched, matched[start] + most), start + least)  # the first with as many
+    first = int(np.argmin(stop - start))
+    return int(start[first]), int(stop[first]), int(most)
+
+
 class Benchmark:
     """The seeds of one block of items."""
 
@@ -142,17 +163,15 @@ class Benchmark:
                 part = equal[lo - begin:hi - begin]
                 if part.sum() < min(min_words, len(own)) * min_similarity:
                     continue
-                sums = np.concatenate([[0], np.cumsum(np.where(part, 1, -PENALTY))])
-                gain = sums - np.minimum.accumulate(sums)
-                stop = int(np.argmax(gain))
-                start = int(np.flatnonzero(sums[:stop + 1] == sums[:stop + 1].min())[-1])
-                matched, size = int(part[start:stop].sum()), stop - start
-                if size < min(min_words, len(own)) or matched < min_similarity * size:
+                stretch = best_stretch(part, min(min_words, len(own)), min_similarity)
+                if stretch is None:
                     continue
+                start, stop, matched = stretch
+                size = stop - start
                 place = int(lo + start + shift - starts[text])
                 row = (text, self.ids[item], place, place + size, int(lo + start), int(lo + stop), matched)
                 old = best.get((text, item))
-                if old is None or (-matched, place) < (-old[6], old[2]):
+                if old is None or (-matched, size, place) < (-old[6], old[3] - old[2], old[2]):
                     best[text, item] = row
         return list(best.values())
 
