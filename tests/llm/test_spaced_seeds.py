@@ -1,4 +1,5 @@
 import os
+import itertools
 import random
 from fractions import Fraction
 
@@ -97,3 +98,14 @@ def test_every_hit_alignment_with_a_qualifying_stretch_is_reported():
 def test_substitutions_near_an_end_or_side_by_side(size, changed):
     stretch = ss.best_stretch(np.array([i not in changed for i in range(size)]), 13, 0.8)
     assert stretch is not None and stretch[2] >= 0.8 * (stretch[1] - stretch[0])
+
+
+@pytest.mark.parametrize("size, changed", [(13, 2), (15, 3), (20, 4), (25, 5)])
+def test_masks_meet_every_pattern_of_substitutions(size, changed):
+    """All minimal stretches that qualify: longer ones contain one of these."""
+    masks = [sum(1 << i for i, c in enumerate(m) if c == "1") << at for m in ss.MASKS for at in range(size - len(m) + 1)]
+    patterns = np.array([sum(1 << i for i in places) for places in itertools.combinations(range(size), changed)])
+    met = np.zeros(len(patterns), bool)
+    for mask in masks:
+        met |= (patterns & mask) == 0
+    assert met.all()
