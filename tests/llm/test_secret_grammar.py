@@ -86,3 +86,14 @@ def test_redact_and_empty_tables(spark):
     out = {r.doc_id: r.text for r in sg.redact(sg.find_secrets(docs)).collect()}
     assert out == {1: "a <secret> z", 2: None, 3: "clean", 4: "<secret>"}
     assert sg.find_secrets(docs.where("false")).count() == 0
+
+
+def test_tokens_around_a_base_secret_are_scored_too(spark):
+    rng = random.Random(4)
+    key = lambda: "px_" + "".join(rng.choice("0123456789abcdef") for _ in range(16)) + "QRS"
+    rows = [(i, f"token = {key()} end") for i in range(120)] + [(500, f"see {key()} here"), (501, "see ordinationes here")]
+    found = sg.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).persist()
+    spans = {r.doc_id: [tuple(s) for s in r.spans] for r in found.collect()}
+    assert spans[500] == [("format", 4, 26), ("hex", 7, 23)] and spans[501] == []
+    assert {r.doc_id: r.text for r in sg.redact(found).collect()}[500] == "see <secret> here"
+    found.unpersist()

@@ -4,8 +4,9 @@ Three patterns find the base secrets. Their values are labelled credentials: for
 values (``SAMPLE`` with the smallest hashes, whatever document they stand in) becomes a prefix tree over character
 classes, and states whose outgoing and ending frequencies agree within the Hoeffding bound are merged (red and blue
 states, one fold at a time) into a probabilistic automaton. A sample of other long tokens gives the automaton of ordinary
-text. Then every token of every text is scored: if some credential automaton accepts it and explains it better than
-ordinary text does, by ``margin`` nats a character, its span is added as kind ``format``. Base spans always stay.
+text. Then every token of every text is scored, with base secrets in it or not: if some credential automaton accepts it
+and explains it better than ordinary text does, by ``margin`` nats a character, its span is added as kind ``format``.
+Base spans always stay.
 
 Null and empty texts have no spans. Without labelled credentials nothing is added. Repeated rows are scanned each for
 itself. Places are code points, the end is exclusive. Other columns pass through; ones named like an output are replaced.
@@ -271,7 +272,7 @@ def find_secrets(docs: DataFrame, text: str = "text", sample: int = SAMPLE, marg
             for t in batch.column(text).to_pylist():
                 base = base_spans(t) if t else []
                 found = [(start, number, end) for start, number, end, _ in base]
-                added = [(s, len(KINDS), e) for s, e, token in free_tokens(t, base) if scorer.accepts(token)] if t else []
+                added = [(m.start(), len(KINDS), m.end()) for m in TOKEN.finditer(t or "") if scorer.accepts(m.group())]
                 names = (*KINDS, ADDED)
                 as_rows = lambda spans: [{"kind": names[k], "start": s, "end": e} for s, k, e in spans]
                 bases.append(as_rows(found))
