@@ -65,6 +65,16 @@ def test_late_answers_are_not_lost(spark, tmp_path):
     assert deliver_answers(stream, ["id"], str(tmp_path / "out")).count() == 3
 
 
+def test_an_id_sent_again_with_another_day_is_delivered_once(spark, tmp_path):
+    folder = tmp_path / "in"
+    again = lambda n, time: (*answer(n)[:4], time)
+    add(spark, folder, [answer(1), answer(2)], ANSWERS, "1")
+    add(spark, folder, [again(1, START + timedelta(days=3)), again(2, None), answer(3)], ANSWERS, "2")
+    add(spark, folder, [again(3, START - timedelta(days=9)), again(1, START + timedelta(days=5))], ANSWERS, "3")
+    stream = read_table_stream(spark, str(folder), files_per_batch=1)
+    assert sorted(r.id for r in deliver_answers(stream, ["id"], str(tmp_path / "out")).collect()) == ["a1", "a2", "a3"]
+
+
 EVENTS = "analysis_id long, kind string, ts timestamp"
 
 

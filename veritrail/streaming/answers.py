@@ -15,10 +15,10 @@ from veritrail.streaming.runs import finish, per_batch
 def deliver_answers(stream: DataFrame, ids: Sequence[str], path: str, time: str = "created_at") -> DataFrame:
     """Append every answer once to the table under ``path``; a second run continues where this one ended.
 
-    The delivered table is its own memory: it is divided by batch and by the day of ``time``, and a batch is compared
-    with the earlier batches' rows of its own days only. So nothing grows in a state store, and an answer is delivered
-    however late it comes. The same id has the same time. Within a batch's day rows stand in created order; a repeated
-    batch replaces its own folder.
+    The delivered table is its own memory: a batch is compared with the ids of all earlier batches, of which only the id
+    columns are read. So nothing grows in a state store, an answer is delivered however late it comes, and one that is
+    sent again with another ``time`` stays as first delivered. The table is divided by batch and by the day of ``time``;
+    within a batch's day rows stand in created order, and a repeated batch replaces its own folder.
     """
     spark = stream.sparkSession
     ids = list(ids)
@@ -28,10 +28,8 @@ def deliver_answers(stream: DataFrame, ids: Sequence[str], path: str, time: str
     def write(batch_df: DataFrame, batch: int) -> None:
         session = batch_df.sparkSession
         new = batch_df.dropDuplicates(ids).withColumn("day", F.to_date(time))
-        days = [r.day for r in new.select("day").distinct().collect()]  # calendar days of one batch
-        if batch and days:
-            of_days = F.col("day").isin([d for d in days if d is not None])
-            old = session.read.schema(shape).parquet(table).where((F.col("batch") < batch) & (of_days | F.col("day").isNull()))
+        if batch:
+            old = session.read.schema(shape).parquet(table).where(F.col("batch") < batch)
             old = old.select(*[F.col(c).alias(f"_{c}") for c in ids])
             same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ids])
             new = new.join(old, same, "left_anti")
