@@ -86,3 +86,20 @@ def test_star_of_copies_and_empty_table(spark):
     done = [(r.doc_id, r.n_shingles, r.component_id) for r in mm.classes(df).collect()]
     assert sorted(done) == sorted(plain_classes(rows))
     assert mm.classes(df.where("false")).count() == 0
+
+
+def test_cut_sets_lose_no_link():
+    rng = np.random.default_rng(3)
+    # 6 of 8 values shared, two of the shared ones equal in their first 24 bits
+    same = np.array([1, 2, 3, 4, 5, 5], np.uint64) * np.uint64(1 << 40) + np.arange(6, dtype=np.uint64)
+    pairs = [[np.sort(np.append(same, np.uint64(last << 40))) for last in (8, 9)]]
+    for _ in range(2_000):
+        pool = (rng.integers(40, size=30, dtype=np.uint64) << np.uint64(40)) + np.arange(30, dtype=np.uint64)
+        pairs.append([np.sort(rng.choice(pool, rng.integers(15, 30), replace=False)) for _ in range(2)])
+    links = 0
+    for a, b in pairs:
+        x, y = (mm.unshortened(mm.shortened(s)) for s in (a, b))
+        if mm.similar(a, b, 75):
+            links += 1
+            assert mm.may_be_similar(len(np.intersect1d(x, y)), len(a), len(x), len(b), len(y), 75)
+    assert mm.similar(*pairs[0], 75) and links > 100

@@ -8,7 +8,7 @@ confirmed on the full sets, and the classes are the connected components of the
 Documents with equal sets are one node. No bucket lists its pairs. First every node is confirmed against the
 first members of its buckets, the two smallest of them, and the links give classes. Buckets that still span several classes are looked through: the members outside
 the bucket's largest class meet all members of other classes inside tasks, as sorted arrays of hashes cut to 24 bits, and each
-pair in the first bucket it shares only; what comes near the threshold there is confirmed on
+pair in the first bucket it shares only; what may reach the threshold, whatever the cut merged, is confirmed on
 the full sets. So no link between different texts is lost to a cap, and the rows made grow with the members, not with
 their pairs. A large bucket is split into blocks of ``BLOCK`` members. Counts and minima combine before the shuffle, and
 components come from label passing with shortcuts over tables; nothing is collected but counts.
@@ -124,6 +124,13 @@ def unshortened(data: bytes) -> np.ndarray:
     return np.cumsum(steps.reshape(4, -1).T.copy().view(np.uint32).reshape(-1), dtype=np.uint32)
 
 
+def may_be_similar(shared, size, short, other_size, other_short, percent: int):
+    """False only for pairs of sets that are no link, from what their cut sets share: of the values that both sets have,
+    cutting merges at most as many as it merges in either."""
+    most = shared + np.minimum(size - short, other_size - other_short)
+    return 100 * most >= percent * (size + other_size - most)
+
+
 def _signed(docs: DataFrame) -> DataFrame:
     """(key, n_shingles, node, bands) of every row (key, text); no node and no bands for an empty set."""
     import xxhash
@@ -161,7 +168,7 @@ def _signed(docs: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """(node, set, short, bands) of rows with a text: the set, its hashes cut to 24 bits, and its buckets."""
+    """(node, set, short, bands, full) of rows with a text: the set, its hashes cut to 24 bits, its buckets, its size."""
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,9 +184,10 @@ def _sets(docs: DataFrame) -> DataFrame:
                 raw = [s.tobytes() for s in found]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([xxhash.xxh3_128_digest(s) for s in raw], pa.binary()), pa.array(raw, pa.binary()),
-                     pa.array(short, pa.binary()), pa.array(bands, pa.binary())], names=["node", "set", "short", "bands"])
+                     pa.array(short, pa.binary()), pa.array(bands, pa.binary()), pa.array(list(map(len, found)), pa.int32())],
+                    names=["node", "set", "short", "bands", "full"])
 
-    return docs.select("text").mapInArrow(run, "node binary, set binary, short binary, bands binary")
+    return docs.select("text").mapInArrow(run, "node binary, set binary, short binary, bands binary, full int")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -295,8 +303,7 @@ def _across(members: DataFrame, labels: DataFrame | None, sets: DataFrame, job:
     asking = active.where("other").select(
         "bucket", "node", "label", "other", F.explode(every).alias("block"),
         F.pmod(F.xxhash64("node"), "other_blocks").cast("int").alias("other_block"), F.lit(True).alias("asks"))
-    rows = mine.unionByName(asking).join(sets.select("node", "short", "bands"), "node")
-    least = (percent - 2) / 100  # cut hashes may merge shingles of a set: stay below the threshold
+    rows = mine.unionByName(asking).join(sets.select("node", "short", "bands", "full"), "node")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         bucket = frame["bucket"].iloc[0]
@@ -306,13 +313,14 @@ def _across(members: DataFrame, labels: DataFrame | None, sets: DataFrame, job:
         bands = np.stack([np.frombuffer(b, np.int64) for b in left["bands"]])
         shorts = [unshortened(s) for s in left["short"]]
         sizes = np.array([len(s) for s in shorts])
+        full = left["full"].to_numpy(np.int64)
         nodes, labels, other = left["node"].to_numpy(), left["label"].to_numpy(), left["other"].to_numpy()
         out = []
-        for node, label, short, keys in zip(right["node"], right["label"], right["short"], right["bands"]):
+        for node, label, short, keys, size in zip(*(right[c] for c in ("node", "label", "short", "bands", "full"))):
             own, keys = unshortened(short), np.frombuffer(keys, np.int64)
             first = np.argmax(bands == keys, axis=1)
             take = (keys[first] == bucket) & (labels != label) & (~other | (nodes > node))
-            take &= np.minimum(sizes, len(own)) >= least * np.maximum(sizes, len(own))
+            take &= 100 * np.minimum(full, size) >= percent * np.maximum(full, size)
             at = np.flatnonzero(take)
             if not len(at):
                 continue
@@ -321,7 +329,7 @@ def _across(members: DataFrame, labels: DataFrame | None, sets: DataFrame, job:
             place[place == len(own)] = 0
             starts = np.cumsum(sizes[at]) - sizes[at]
             shared = np.add.reduceat((own[place] == values).astype(np.int64), starts)
-            close = at[shared >= least * (sizes[at] + len(own) - shared)]
+            close = at[may_be_similar(shared, full[at], sizes[at], size, len(own), percent)]
             out += [(node, nodes[i]) for i in close]
         return pd.DataFrame(out, columns=["pivot", "node"])
 
