@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrail.llm import byte_bpe, differencing, language_id, lm_scoring, minmax_dedup, one_bit_codes, preference_format, secret_grammar, spaced_seeds, window_dedup
+from veritrail.llm import byte_bpe, differencing, language_id, lm_scoring, minmax_dedup, one_bit_codes, periodic_runs, preference_format, secret_grammar, spaced_seeds, window_dedup
+from veritrail.functions.text import let
 from veritrail.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -186,3 +187,56 @@ def op3_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
     return done.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
                        F.sha2("kept", 256).alias("kept_sha256"))
+
+
+# crc32 by its definition; pairs of equal words q apart form a stretch as long as their places are consecutive.
+OP13_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w,
+    xor(4294967295, list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT)),
+      lambda c, d: list_reduce([xor(c, d), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1))), 4294967295)) AS h FROM documents),
+placed AS (SELECT *, len(w) AS n, (h // 10) AS g, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM texts),
+changed AS (
+  SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(0, n), lambda i: CASE WHEN i < a THEN w[i + 1]
+         ELSE w[a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1] END) END AS w FROM placed),
+words AS (SELECT doc_id, n, unnest(w) AS word, unnest(range(0, n)) AS i FROM changed),
+equal AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 3 * (y.i - x.i) <= x.n),
+stretches AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM (
+  SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM equal) GROUP BY doc_id, q, island),
+runs AS (SELECT doc_id, start, length, min(q) AS period FROM stretches WHERE length >= 24 AND length >= 3 * q GROUP BY 1, 2, 3),
+counted AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed FROM runs GROUP BY 1),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length::DOUBLE / period DESC, start, period) = 1),
+dropped AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t FROM words ANTI JOIN dropped USING (doc_id, i) GROUP BY 1)
+SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length, CAST(period AS BIGINT) AS period,
+       CAST(1000 * length // period AS BIGINT) AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(k.t, '')) AS collapsed_sha256
+FROM texts t LEFT JOIN counted USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept k USING (doc_id)"""
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """A tenth of the documents (by hash of the id) with a suffix that repeats its first words, as op13's rows ask for."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def repeated(w):
+        a = F.pmod(g, F.size(w))
+        p = 1 + F.floor((F.size(w) - a) / (3 + g % 8))
+        return let(F.struct(a.alias("a"), p.alias("p")), lambda v: F.array_join(F.transform(w, lambda x, i: F.when(
+            i < v["a"], x).otherwise(F.get(w, (v["a"] + (i - v["a"]) % v["p"]).cast("int")))), " "))
+
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    return docs.withColumn("text", F.when((h % 10 == 0) & F.col("text").rlike(r"[^\x20\x09-\x0D]"), let(words, repeated)).otherwise(F.col("text")))
+
+
+@query("op13_periodic_runs", OP13_SQL)
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(with_repeats(documents(spark, sf_dir).select("doc_id", "text")))
+    # greatest length / period by exact products, then the smallest start, then period
+    better = lambda a, b: F.when(a["length"] * b["period"] >= b["length"] * a["period"], a).otherwise(b)
+    first = F.get("runs", F.lit(0))
+    best = F.when(F.size("runs") > 0, F.aggregate("runs", first, better))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
