@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrail.llm import byte_bpe, differencing, language_id, lm_scoring, minmax_dedup, one_bit_codes, periodic_runs, preference_format, secret_grammar, spaced_seeds, window_dedup
+from veritrail.llm import byte_bpe, differencing, document_tree, language_id, lm_scoring, minmax_dedup, one_bit_codes, periodic_runs, preference_format, secret_grammar, spaced_seeds, window_dedup
 from veritrail.functions.text import let
 from veritrail.llm.common import documents
 
@@ -240,3 +240,26 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
         F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
         F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+OP11_SQL = r"""
+WITH texts AS (
+  SELECT 0 AS side, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+listed AS (SELECT side, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM texts),
+terms AS (SELECT side, id, unnest(t) AS term FROM listed),
+docs AS (SELECT id, len(t) AS n FROM listed WHERE side = 0 AND len(t) > 0),
+whole AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM docs),
+asked AS (SELECT id AS item_id, term, count(*) AS times FROM terms WHERE side = 1 GROUP BY 1, 2),
+tf AS (SELECT id AS doc_id, term, count(*) AS tf FROM terms WHERE side = 0 AND term IN (SELECT term FROM asked) GROUP BY 1, 2),
+weight AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * max(n_docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, whole GROUP BY 1),
+scored AS (SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM asked JOIN tf USING (term) JOIN weight USING (term) JOIN docs ON docs.id = doc_id, whole GROUP BY 1, 2)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 10"""
+
+
+@query("op11_document_tree", OP11_SQL)
+def op11_document_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet").select("item_id", "text")
+    return document_tree.rank_documents(documents(spark, sf_dir).select("doc_id", "text"), benchmark)
