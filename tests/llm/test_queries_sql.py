@@ -13,7 +13,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 def test_one_query_per_operator():
     known = queries()
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(known) and set(CHECKS) <= set(oracle_sql())
 
 

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrail.llm import byte_bpe, differencing, document_tree, language_id, lm_scoring, minmax_dedup, one_bit_codes, periodic_runs, preference_format, secret_grammar, spaced_seeds, window_dedup
+from veritrail.llm import byte_bpe, differencing, document_tree, language_id, line_labels, lm_scoring, minmax_dedup, one_bit_codes, periodic_runs, preference_format, secret_grammar, spaced_seeds, window_dedup
 from veritrail.functions.text import let
 from veritrail.llm.common import documents
 
@@ -263,3 +263,11 @@ FROM scored WHERE score > 0 QUALIFY rank <= 10"""
 def op11_document_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet").select("item_id", "text")
     return document_tree.rank_documents(documents(spark, sf_dir).select("doc_id", "text"), benchmark)
+
+
+@query("op12_line_labels")
+def op12_line_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    field = line_labels.fit(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet").select("doc_id", "quality"))
+    return line_labels.label_lines(docs, field).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_words")
