@@ -44,7 +44,7 @@ def test_questions_to_scores(spark):
         (1, 1, 2, json.dumps([{"question_id": "1.1.6", "answer": "Sim"}])),
         (1, 2, 1, json.dumps({"question_id": "2.1.1", "answer": "Não", "justification": "trecho"})),
     ], "analysis_id long, theme_id int, batch long, payload string")
-    records = flows.take_in_answers(asked, replies, questions, hits)
+    records = flows.take_in_answers(flows.question_slots(asked, questions), replies, questions, hits)
     rows = {r.question_pk: r for r in records.collect()}
     assert {q: (r.answer, r.score) for q, r in rows.items()} == {
         11: ("Sim", 10.0), 12: ("Não", 0.0), 13: ("N/A", 0.0), 14: ("N/A", 0.0), 15: ("N/A", 0.0), 16: ("Sim", 10.0), 20: ("Não", 10.0)}
@@ -72,9 +72,25 @@ def test_second_reply_white_space_and_missing_values(spark):
         (1, 1, 1, 2, "nothing"),
     ], "analysis_id long, theme_id int, batch long, reply int, payload string")
     hits = spark.createDataFrame([], "company_id long, report_year int, query_id int, rank int, filename string, page_number int, page_range array<int>")
-    rows = {r.question_pk: r for r in flows.take_in_answers(asked, replies, questions, hits).collect()}
+    rows = {r.question_pk: r for r in flows.take_in_answers(flows.question_slots(asked, questions), replies, questions, hits).collect()}
     assert len(rows) == 2 and rows[1].answer == "Sim"
     assert (rows[2].answer, rows[2].justification, rows[2].confidence_score) == ("N/A", "porque", 0.7)
     from veritrail.sources.payloads import rejected_replies
     odd = rejected_replies(replies, ["analysis_id", "reply"]).collect()
     assert sorted((r.reply, r.reason, r.payload) for r in odd) == [(1, "not an object", "x"), (2, "no answer", "nothing")]
+
+
+def test_a_resumed_run_reaches_its_questions(spark):
+    questions = spark.createDataFrame([(i, 1, i, f"1.1.{i}", f"texto {i}", "Sim", "social") for i in range(1, 13)],
+                                      "question_pk long, theme_id int, display_order int, question_id string, question_text string, expected_answer string, dimension string")
+    asked = questions.selectExpr("1L AS analysis_id", "7L AS company_id", "2024 AS report_year", "question_pk")
+    stored = asked.where("question_pk <= 6").selectExpr("analysis_id", "question_pk", "'Não' AS answer", "10.0D AS score")
+    hits = spark.createDataFrame([], "company_id long, report_year int, query_id int, rank int, filename string, page_number int, page_range array<int>, content string")
+    slots = flows.question_slots(asked, questions, stored)
+    prompts = {(r.batch, r.question_text) for r in flows.prompt_slots(slots, hits).collect()}
+    assert sorted(b for b, _ in prompts) == [1, 2] and all("1.1.12" in t for b, t in prompts if b == 2)
+    reply = lambda ids: json.dumps([{"question_id": f"1.1.{i}", "answer": "Sim"} for i in ids])
+    replies = spark.createDataFrame([(1, 1, 1, 0, reply([7, 8])), (1, 1, 1, 1, reply([9, 10, 11])), (1, 1, 2, 0, reply([12]))],
+                                    "analysis_id long, theme_id int, batch long, reply int, payload string")
+    rows = flows.resume_analyses(stored, slots, replies, questions, hits).collect()
+    assert sorted((r.question_pk, r.answer) for r in rows) == [(i, "Não" if i <= 6 else "Sim") for i in range(1, 13)]

@@ -117,12 +117,22 @@ def match_answers(questions: DataFrame, answers: DataFrame, batch: Sequence[str]
 def fill_answers(questions: DataFrame, answers: DataFrame, keys: Sequence[str] = ANSWER_KEY) -> DataFrame:
     """Every asked question gets an answer; the missing ones get the not-applicable default.
 
-    An answer that came without a value keeps its texts and confidence; only the value is the default.
     Both sides are fact tables; the texts of the answers make size estimates too low, hence the merge join.
     """
-    found = F.col("_given").isNotNull()
-    return questions.join(answers.withColumn("_given", F.lit(True)).hint("merge"), list(keys), "left").select(
-        *questions.columns,
+    joined = questions.join(answers.withColumn("_given", F.lit(True)).hint("merge"), list(keys), "left")
+    texts = ["answer", "justification", "source_reference", "improvement_points", "confidence_score"]
+    return with_defaults(joined.select(*questions.columns, "_given", *texts))
+
+
+def with_defaults(rows: DataFrame) -> DataFrame:
+    """Rows with the answer columns and ``_given``: where that is not true, the not-applicable default.
+
+    An answer that came without a value keeps its texts and confidence; only the value is the default.
+    """
+    found = F.coalesce("_given", F.lit(False))
+    texts = ["answer", "justification", "source_reference", "improvement_points", "confidence_score"]
+    return rows.select(
+        *[c for c in rows.columns if c not in (*texts, "_given")],
         F.coalesce("answer", F.lit(L.NOT_APPLICABLE)).alias("answer"),
         F.when(found, F.col("justification")).otherwise(F.lit(L.DEFAULT_JUSTIFICATION)).alias("justification"),
         F.when(found, F.col("source_reference")).alias("source_reference"),

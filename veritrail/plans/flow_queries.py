@@ -29,12 +29,32 @@ FROM (SELECT analysis_id, question_pk, 0 AS reply FROM {d_asked} WHERE (question
       UNION ALL SELECT analysis_id, question_pk, 1 FROM {d_asked} WHERE (question_pk + analysis_id) % 3 <> 1) a
 JOIN {d_batches} b ON b.question_pk = a.question_pk
 WHERE (a.question_pk + a.analysis_id) % 11 <> 0"""
+VIEWS["d_slots"] = """
+SELECT a.analysis_id, a.company_id, a.report_year, a.question_pk, b.question_id, b.theme_id, b.batch
+FROM {d_asked} a JOIN {d_batches} b ON b.question_pk = a.question_pk"""
 
+# What a resumed run still has to ask, numbered anew, and the replies to its batches: two attempts, ids spelled loosely.
+VIEWS["d_open_slots"] = """
+SELECT analysis_id, company_id, report_year, question_pk, question_id, theme_id, CAST(floor((position - 1) / 5) AS BIGINT) + 1 AS batch
+FROM (SELECT a.*, q.question_id, q.theme_id,
+             row_number() OVER (PARTITION BY a.analysis_id, q.theme_id ORDER BY q.display_order, q.question_pk) AS position
+      FROM {d_asked} a JOIN {d_questions} q ON q.question_pk = a.question_pk
+      WHERE a.question_pk % 3 <> 0 OR NOT EXISTS (SELECT 1 FROM {d_answers_raw} r
+            WHERE r.analysis_id = a.analysis_id AND r.question_pk = a.question_pk AND r.answer <> 'talvez')) p"""
+VIEWS["d_open_items"] = """
+SELECT s.analysis_id, s.theme_id, s.batch, t.reply, s.question_pk,
+       CASE (s.question_pk + t.reply) % 4 WHEN 1 THEN concat(s.question_id, ' ') WHEN 2 THEN concat('[', s.question_id, ']') ELSE s.question_id END AS question_id,
+       CASE (s.analysis_id + s.question_pk + t.reply) % 4 WHEN 0 THEN 'não' WHEN 1 THEN 'sim' WHEN 2 THEN 'Sim' ELSE 'N/A' END AS answer,
+       concat('Retomada ', CAST(s.question_pk AS STRING), ' tentativa ', CAST(t.reply AS STRING)) AS justification,
+       CASE WHEN s.question_pk % 3 = 0 THEN 'n/a' ELSE concat('Anexo ', CAST(s.question_pk AS STRING), '.pdf') END AS source_reference
+FROM {d_open_slots} s JOIN (SELECT 0 AS reply UNION ALL SELECT 1 AS reply) t ON (s.question_pk + s.analysis_id) % 2 <= t.reply
+WHERE s.question_pk % 13 <> 0"""
 
-def reply_payloads(fx):
+
+def reply_payloads(fx, view="d_reply_items"):
     """The items as replies: led by line breaks and tabs; the second ones bare arrays with an element that is no object."""
     fields = ["question_id", "answer", "justification", "source_reference"]
-    items = fx["d_reply_items"].select(*BATCH, "reply", F.struct("question_pk", *fields).alias("item"))
+    items = fx[view].select(*BATCH, "reply", F.struct("question_pk", *fields).alias("item"))
     rows = items.groupBy(*BATCH, "reply").agg(F.array_sort(F.collect_list("item")).alias("items"))
     texts = F.array_join(F.transform("items", lambda i: F.to_json(F.struct(*[i[f].alias(f) for f in fields]))), ", ")
     first = F.concat(F.lit("\n\t{\"answers\": [\n"), texts, F.lit("]}\n"))
@@ -42,11 +62,13 @@ def reply_payloads(fx):
     return rows.select(*BATCH, "reply", F.when(F.col("reply") == 0, first).otherwise(second).alias("payload"))
 
 
-@query("take_in_answers", f"""
+def sql_records(items: str, slots: str) -> str:
+    """The answer records of ``slots`` from the reply ``items``, both names of views."""
+    return f"""
 WITH placed AS (SELECT *, reply * 1000 + row_number() OVER (PARTITION BY analysis_id, theme_id, batch, reply ORDER BY question_pk) AS ordinal,
-                       lower(trim(question_id)) AS k FROM {{d_reply_items}}),
+                       lower(trim(question_id)) AS k FROM {{{items}}}),
 keyed AS (SELECT analysis_id, theme_id, batch, k, min(ordinal) AS place, max(ordinal) AS latest FROM placed GROUP BY ALL),
-asked AS (SELECT a.*, b.theme_id, b.batch, lower(b.question_id) AS k FROM {{d_asked}} a JOIN {{d_batches}} b USING (question_pk)),
+asked AS (SELECT b.analysis_id, b.company_id, b.report_year, b.question_pk, b.theme_id, b.batch, lower(b.question_id) AS k FROM {{{slots}}} b),
 exact AS (SELECT a.*, e.latest FROM asked a LEFT JOIN keyed e USING (analysis_id, theme_id, batch, k)),
 loose AS (SELECT x.analysis_id, x.theme_id, x.batch, x.k, arg_min(r.latest, (r.place, r.k)) AS latest
           FROM exact x JOIN keyed r ON r.analysis_id = x.analysis_id AND r.theme_id = x.theme_id AND r.batch = x.batch
@@ -63,11 +85,35 @@ SELECT analysis_id, question_pk, a AS answer, CASE WHEN got THEN justification E
             ELSE source_reference END AS source_reference,
        CASE WHEN a <> 'N/A' AND a = q.expected_answer THEN 10.0::DOUBLE ELSE 0.0::DOUBLE END AS score
 FROM normal n JOIN {{d_questions}} q USING (question_pk) LEFT JOIN sources s
-  ON s.company_id = n.company_id AND s.report_year = n.report_year AND s.query_id = n.theme_id""")
+  ON s.company_id = n.company_id AND s.report_year = n.report_year AND s.query_id = n.theme_id"""
+
+
+RECORD = ["analysis_id", "question_pk", "answer", "justification", "source_reference", "score"]
+
+
+def catalogue(fx):
+    return fx["d_questions"].join(fx["d_themes"].select("theme_id", "dimension"), "theme_id")
+
+
+@query("take_in_answers", sql_records("d_reply_items", "d_slots"))
+def _(fx):
+    return flows.take_in_answers(fx["d_slots"], reply_payloads(fx), catalogue(fx), hybrid_texts(fx)).select(*RECORD)
+
+
+# The answers a resumed run starts with, as stored records.
+VIEWS["d_stored_records"] = """
+SELECT a.analysis_id, a.question_pk, 'Sim' AS answer, 'antes' AS justification, 'antes.pdf' AS source_reference, 10.0E0 AS score
+FROM {d_asked} a WHERE NOT EXISTS (SELECT 1 FROM {d_open_slots} s WHERE s.analysis_id = a.analysis_id AND s.question_pk = a.question_pk)"""
+
+
+@query("resume_answers", f"""
+SELECT analysis_id, question_pk, answer, justification, source_reference, score FROM ({sql_records("d_open_items", "d_open_slots")})
+UNION ALL SELECT * FROM {{d_stored_records}}""")
 def _(fx):
-    questions = fx["d_questions"].join(fx["d_themes"].select("theme_id", "dimension"), "theme_id")
-    records = flows.take_in_answers(fx["d_asked"], reply_payloads(fx), questions, hybrid_texts(fx))
-    return records.select("analysis_id", "question_pk", "answer", "justification", "source_reference", "score")
+    stored = fx["d_stored_records"]
+    questions = catalogue(fx).withColumn("question_text", F.col("question_id"))
+    slots = flows.question_slots(fx["d_asked"], questions, stored)
+    return flows.resume_analyses(stored, slots, reply_payloads(fx, "d_open_items"), questions, hybrid_texts(fx))
 
 
 @query("rejected_replies", """

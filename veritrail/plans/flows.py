@@ -57,41 +57,57 @@ def retrieve(themes: DataFrame, questions: DataFrame, chunks: DataFrame, documen
     return written(hits.join(texts, HIT), "hits")
 
 
-def build_prompts(asked: DataFrame, questions: DataFrame, hits: DataFrame, answers: DataFrame | None = None) -> DataFrame:
-    """One prompt row per analysis, theme and five asked questions.
+def question_slots(asked: DataFrame, questions: DataFrame, answers: DataFrame | None = None) -> DataFrame:
+    """The questions still to be asked, each with its place: theme, position and batch of its analysis.
 
-    ``asked`` has analysis_id, company_id, report_year, question_pk. With the ``answers`` an analysis already has,
-    only the remaining questions are asked: a resumed analysis goes on where it stopped.
+    ``asked`` has analysis_id, company_id, report_year, question_pk. With the ``answers`` an analysis already has, only
+    the remaining questions are numbered. Batch numbers hold for one run only: prompts and replies of a run must both
+    use the slots made at its start, or answers would be looked for in other batches than they were asked in.
+    The table is written, so it stays the same when answers arrive meanwhile.
     """
     open_questions = asked if answers is None else A.remaining_questions(asked, answers)
-    wanted = open_questions.join(questions.select("question_pk", "question_id", "question_text", "theme_id", "display_order"), "question_pk")
-    contexts = R.theme_context(hits, SCOPE).drop("chunks")
-    batches = R.question_batches(wanted, scope=["analysis_id"])
-    return R.prompt_rows(batches, contexts, SCOPE, ["analysis_id"])
+    wanted = open_questions.select("analysis_id", *SCOPE, "question_pk").join(
+        questions.select("question_pk", "question_id", "question_text", "theme_id", "display_order"), "question_pk")
+    return written(R.question_batches(wanted, scope=["analysis_id"]), "slots")
+
+
+def prompt_slots(slots: DataFrame, hits: DataFrame) -> DataFrame:
+    """One prompt row per analysis, theme and batch of ``slots``."""
+    return R.prompt_rows(slots, R.theme_context(hits, SCOPE).drop("chunks"), SCOPE, ["analysis_id"])
+
+
+def build_prompts(asked: DataFrame, questions: DataFrame, hits: DataFrame, answers: DataFrame | None = None) -> DataFrame:
+    """One prompt row per analysis, theme and five asked questions; of a resumed analysis only for what is still open."""
+    return prompt_slots(question_slots(asked, questions, answers), hits)
 
 
-def take_in_answers(asked: DataFrame, replies: DataFrame, questions: DataFrame, hits: DataFrame) -> DataFrame:
-    """JSON replies -> one stored answer record per asked question.
+def take_in_answers(slots: DataFrame, replies: DataFrame, questions: DataFrame, hits: DataFrame) -> DataFrame:
+    """JSON replies -> one stored answer record per slot.
 
-    ``asked`` has analysis_id, company_id, report_year, question_pk; ``replies`` has
-    analysis_id, theme_id, batch and payload, and ``reply`` (its number in the batch) where a batch
-    is asked again; ``questions`` carries the theme's dimension. What could not be read is in
+    ``slots`` are those the prompts were made of: analysis_id, company_id, report_year, question_pk, question_id,
+    theme_id, batch; ``replies`` has analysis_id, theme_id, batch and payload, and ``reply`` (its number in the batch)
+    where a batch is asked again; ``questions`` carries the theme's dimension. What could not be read is in
     ``sources.payloads.rejected_replies``.
     """
     batch = ["analysis_id", "theme_id", "batch"]
-    batches = R.question_batches(questions).select("question_pk", "question_id", "theme_id", "batch")
     fields = ["answer", "justification", "source_reference", "improvement_points", "confidence_score"]
     numbered = replies if "reply" in replies.columns else replies.withColumn("reply", F.lit(0))
     given = ingest_answers(numbered, [*batch, "reply"]).withColumn("answer_row", F.struct(*fields)).withColumn(
         "ordinal", F.struct("reply", "ordinal"))
-    expected = asked.join(batches, "question_pk")
+    expected = slots.select(*batch, *SCOPE, "question_pk", "question_id")
     matched = A.match_answers(expected, given.select(*batch, "question_id", "ordinal", "answer_row"), batch)
-    found = matched.where(F.col("answer_row").isNotNull()).select("analysis_id", "question_pk", "answer_row.*")
-    filled = A.fill_answers(expected, found)
+    # hits and misses come from the same match, so the questions are not joined to their answers once more
+    known = F.col("answer_row").isNotNull()
+    filled = A.with_defaults(matched.select(*expected.columns, known.alias("_given"), "answer_row.*"))
     sources = R.derived_source(hits, SCOPE).withColumnRenamed("query_id", "theme_id")
     return A.answer_records(A.backfill_source(filled, sources, [*SCOPE, "theme_id"]).drop("theme_id"), questions)
 
 
+def resume_analyses(stored: DataFrame, slots: DataFrame, replies: DataFrame, questions: DataFrame, hits: DataFrame) -> DataFrame:
+    """All answer records of resumed analyses: the ``stored`` ones as they are, and one for every slot of the resumed run."""
+    return stored.unionByName(take_in_answers(slots, replies, questions, hits).select(*stored.columns))
+
+
 def score_analyses(answers: DataFrame, questions: DataFrame, themes: DataFrame, companies: DataFrame,
                    weights: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Stored answers (unique per question) -> weighted theme scores and overall scores, always from all answers."""
