@@ -21,6 +21,8 @@ from veritrail import lookups as L
 from veritrail.functions.answers import strip_question_id
 from veritrail.functions.text import words
 from veritrail.operators.keys import top_per_key, unfold_array
+from veritrail.operators.vectors import by_dimension, comparable
+from veritrail.session import ship_package
 
 BLOCK_BYTES = 8 << 20  # of query vectors or words that go to the tasks at once
 CELLS_PER_STEP = 4_000_000
@@ -63,22 +65,18 @@ def _result_schema(chunks: DataFrame, columns: Sequence[str], queries: DataFrame
     return ", ".join([f"`{c}` {types[c]}" for c in columns] + [f"query_id {query_type}", f"score {score}"])
 
 
-def _unit(vectors: pd.Series) -> np.ndarray:
-    """Rows scaled to length 1; a zero vector is like nothing."""
-    matrix = np.stack(vectors.to_numpy()).astype("float64")
-    length = np.linalg.norm(matrix, axis=1, keepdims=True)
-    return np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
-
-
-def _cosine_hits(pdf: pd.DataFrame, matrix: np.ndarray, query_ids: list, scope: list[str], keys: list[str],
-                 k: int, threshold: float) -> Iterator[pd.DataFrame]:
+def _cosine_hits(pdf: pd.DataFrame, queries: dict[int, tuple[np.ndarray, np.ndarray]], query_ids: list, scope: list[str],
+                 keys: list[str], k: int, threshold: float) -> Iterator[pd.DataFrame]:
     step = max(1, CELLS_PER_STEP // max(1, len(query_ids)))
     for start in range(0, len(pdf), step):
         part = pdf.iloc[start : start + step]
-        similarity = np.round(_unit(part["embedding"]) @ matrix.T, 9)
-        row, query = np.nonzero(similarity >= threshold)
-        if len(row):
-            yield _pick(part, scope, keys, row, query, similarity[row, query], query_ids, k)
+        for dimension, (place, rows) in by_dimension(part["embedding"]).items():
+            if dimension in queries:
+                asked, matrix = queries[dimension]
+                similarity = np.round(rows @ matrix.T, 9)
+                row, query = np.nonzero(similarity >= threshold)
+                if len(row):
+                    yield _pick(part, scope, keys, place[row], asked[query], similarity[row, query], query_ids, k)
 
 
 def vector_topk(chunks: DataFrame, queries: DataFrame, keys: Sequence[str], scope: Sequence[str] = (),
@@ -86,21 +84,23 @@ def vector_topk(chunks: DataFrame, queries: DataFrame, keys: Sequence[str], scop
                 block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Cosine top-k: ``queries(query_id, embedding)`` against ``chunks(*scope, *keys, embedding)``.
 
-    Similarity is rounded to nine digits; equal ones rank by ``keys``.
+    Similarity is rounded to nine digits; equal ones rank by ``keys``. A query is compared with the vectors of its own
+    dimension; null and empty vectors and those with null or non-finite components take no part.
     """
     scope, keys = list(scope), list(keys)
-    known = chunks.where(F.col("embedding").isNotNull()).select(*scope, *keys, "embedding")
-    asked = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding")
+    ship_package(chunks.sparkSession)
+    known = chunks.where(comparable("embedding")).select(*scope, *keys, "embedding")
+    asked = queries.where(comparable("embedding")).select("query_id", "embedding")
     schema = _result_schema(chunks, scope + keys, queries, "double")
     hits = None
     for block in _blocks(asked, F.size("embedding") * 8, block_bytes):
         query_ids = block["query_id"].tolist()
-        matrix = chunks.sparkSession.sparkContext.broadcast(_unit(block["embedding"]) if len(block) else np.zeros((0, 1)))
+        matrices = chunks.sparkSession.sparkContext.broadcast(by_dimension(block["embedding"]))
 
-        def score(batches: Iterator[pd.DataFrame], matrix=matrix, query_ids=query_ids) -> Iterator[pd.DataFrame]:
+        def score(batches: Iterator[pd.DataFrame], matrices=matrices, query_ids=query_ids) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 if len(pdf) and query_ids:
-                    yield from _cosine_hits(pdf, matrix.value, query_ids, scope, keys, k, threshold)
+                    yield from _cosine_hits(pdf, matrices.value, query_ids, scope, keys, k, threshold)
 
         found = known.mapInPandas(score, schema)
         hits = found if hits is None else hits.unionByName(found)
@@ -176,6 +176,7 @@ def keyword_topk(chunks: DataFrame, queries: DataFrame, keys: Sequence[str], sco
     any word do not count, equal scores rank by ``keys``.
     """
     scope, keys = list(scope), list(keys)
+    ship_package(chunks.sparkSession)
     lowered = chunks.select(*scope, *keys, F.lower("content").alias("content")).where(F.col("content").isNotNull())
     schema = _result_schema(chunks, scope + keys, queries, "int")
     hits = None

@@ -210,6 +210,7 @@ class Fixtures:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
         self._frames: dict[str, DataFrame] = {}
+        self._made: dict[str, str] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._frames:
@@ -231,6 +232,12 @@ class Fixtures:
             self._frames[name] = written(build(), name)
         return self._frames[name]
 
+    def made(self, name: str, build: Callable[[], str]) -> str:
+        """The path that ``build`` wrote to, made once per session."""
+        if name not in self._made:
+            self._made[name] = build()
+        return self._made[name]
+
 
 _open: dict[tuple[int, str], Fixtures] = {}
 

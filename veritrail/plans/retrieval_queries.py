@@ -8,10 +8,12 @@ from veritrail import lookups as L
 from veritrail.operators import answers as A
 from veritrail.operators import documents as D
 from veritrail.operators import retrieval as R
+from veritrail.operators import vector_index as V
 from veritrail.plans.checks import LATEST, sql_rank
 from veritrail.plans.registry import query
 from veritrail.plans.scoring_queries import usable_details
 from veritrail.plans.source_queries import text_chunks
+from veritrail.session import work_path
 
 SCOPE = ["company_id", "report_year"]
 KEYS = ["doc_id", "chunk_index"]
@@ -52,6 +54,38 @@ def _(fx):
     return named.select("query_id", "rank", "doc_id", "filename", F.round("score", 6).alias("similarity"))
 
 
+def stored_index(fx):
+    """The chunk vectors' index of these tables, built once per session in the shared folder."""
+    def build():
+        path = work_path(fx.spark, "vector-index")
+        V.build_index(chunk_vectors(fx), path, KEYS, SCOPE, bucket_rows=16)
+        return path
+    return fx.made("vector-index", build)
+
+
+# Reading every cell of one table must give what the exact search gives.
+@query("indexed_topk", f"""
+SELECT query_id, CAST(rank AS INT) AS rank, doc_id, round(score, 6) AS similarity
+FROM ({sql_rank("{o_vector_pairs} WHERE score >= 0.3", '', 20)})""")
+def _(fx):
+    hits = V.search_index(fx.spark, stored_index(fx), query_vectors(fx), KEYS, recall=1.0)
+    return hits.select("query_id", "rank", "doc_id", F.round("score", 6).alias("similarity"))
+
+
+# The pruned search against the exact one: at least 95% of all hits, and not all rows read.
+@query("index_recall", f"""
+SELECT query_id, count(*) AS hits, TRUE AS enough, TRUE AS pruned FROM ({sql_rank("{o_vector_pairs} WHERE score >= 0.3", '', 20)}) GROUP BY 1""")
+def _(fx):
+    path, queries = stored_index(fx), fx.stored("query-vectors", lambda: query_vectors(fx))
+    exact = R.vector_topk(chunk_vectors(fx), queries, KEYS).select("query_id", "doc_id")
+    found = V.search_index(fx.spark, path, queries, KEYS).select("query_id", "doc_id", F.lit(1).alias("found"))
+    counts = exact.join(found, ["query_id", "doc_id"], "left").groupBy("query_id").agg(
+        F.count("*").alias("hits"), F.count("found").alias("found"))
+    enough = counts.select(F.sum("found") >= 0.95 * F.sum("hits")).scalar()
+    pruned = V.index_reading(fx.spark, path, queries).select(F.sum("rows_read") < F.sum("rows")).scalar()
+    return counts.select("query_id", "hits", enough.alias("enough"), pruned.alias("pruned"))
+
+
 @query("keyword_topk", f"""
 SELECT company_id, report_year, query_id, CAST(rank AS INT) AS rank, doc_id, chunk_index, CAST(score AS INT) AS score
 FROM ({sql_rank('{o_keyword_pairs}', 'company_id, report_year', 20)})""")
