@@ -120,7 +120,7 @@ def _cells(spark: SparkSession, path: str) -> tuple[pd.DataFrame, int, int]:
 
 
 def _phi(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (1 + np.vectorize(math.erf)(x / math.sqrt(2)))
+    return 0.5 * (1 + np.vectorize(math.erf, otypes=[float])(x / math.sqrt(2)))
 
 
 def chances(query: np.ndarray, table: int, bits: int, cosine: float) -> np.ndarray:

@@ -8,6 +8,7 @@ from veritrail import lookups as L
 from veritrail.operators import answers as A
 from veritrail.operators import documents as D
 from veritrail.operators import retrieval as R
+from veritrail.operators import text_index as X
 from veritrail.operators import vector_index as V
 from veritrail.plans.checks import LATEST, sql_rank
 from veritrail.plans.registry import query
@@ -94,6 +95,18 @@ def _(fx):
     return hits.select(*SCOPE, "query_id", "rank", *KEYS, "score")
 
 
+@query("indexed_keywords", f"""
+SELECT company_id, report_year, query_id, CAST(rank AS INT) AS rank, doc_id, chunk_index, CAST(score AS INT) AS score
+FROM ({sql_rank('{o_keyword_pairs}', 'company_id, report_year', 20)})""")
+def _(fx):
+    def build():
+        path = work_path(fx.spark, "text-index")
+        X.build_text_index(searchable_chunks(fx), path, KEYS, SCOPE, segment_chunks=512)
+        return path
+    hits = X.search_text_index(fx.spark, fx.made("text-index", build), query_texts(fx), KEYS, SCOPE)
+    return hits.select(*SCOPE, "query_id", "rank", *KEYS, "score")
+
+
 def hybrid(fx):
     """Queries 0-9 have a vector and a text, the others a text only."""
     vectors = R.vector_topk(chunk_vectors(fx), query_vectors(fx).withColumn("query_id", F.col("query_id").cast("long")), KEYS, SCOPE)
