@@ -8,7 +8,9 @@ from veritrail.operators import chunking as C
 from veritrail.operators import documents as D
 from veritrail.plans.registry import query
 from veritrail.plans.scoring_queries import clean_answers, theme_scores
+from veritrail.session import work_path
 from veritrail.sources import cells, payloads
+from veritrail.sources.document_store import DocumentStore
 
 
 @query("ready_documents", """
@@ -105,6 +107,23 @@ def _(fx):
     return result
 
 
+# Three uploads in order of age, then the companies of a sector are deleted, and the touched buckets compacted.
+@query("stored_chunks", """
+WITH latest AS (SELECT doc_id, company_id FROM {d_documents}
+  QUALIFY row_number() OVER (PARTITION BY company_id, filename ORDER BY doc_id DESC) = 1)
+SELECT doc_id, chunk_index, content FROM {o_chunks} JOIN latest USING (doc_id)
+WHERE company_id NOT IN (SELECT company_id FROM {d_companies} WHERE sector = 'Outro')""")
+def _(fx):
+    store = DocumentStore(fx.spark, work_path(fx.spark, "document-store"), buckets=16)
+    documents, chunks = fx["d_documents"].drop("text"), text_chunks(fx).select("doc_id", "chunk_index", "content")
+    third = F.floor(3 * F.col("doc_id") / (documents.select(F.max("doc_id")).first()[0] + 1))
+    for upload in range(3):
+        store.put(documents.where(third == upload), chunks.where(third == upload))
+    store.remove_companies(fx["d_companies"].where("sector = 'Outro'"))
+    store.compact()
+    return store.chunks()
+
+
 @query("seed_questions", """
 SELECT q.question_pk, q.question_id, CASE WHEN EXISTS (SELECT 1 FROM {d_answers_raw} a WHERE a.question_pk = q.question_pk
        AND a.answer = 'sim' AND a.report_year = 1996) THEN 'stored' ELSE 'seeded' END AS origin FROM {d_questions} q""")
