@@ -16,7 +16,7 @@ def all_segmentations(word, probability):
     if not word:
         return 1.0
     return sum(probability(word[:n]) * all_segmentations(word[n:], probability)
-               for n in range(1, min(li.LONGEST, len(word)) + 1) if probability(word[:n]))
+               for n in range(1, len(word) + 1) if probability(word[:n]))
 
 
 def test_forward_pass_sums_all_segmentations():
@@ -75,7 +75,7 @@ def plain_log_sum(word, number, column):
     logs = [0.0]
     for end in range(1, len(word) + 1):
         terms = []
-        for size in range(1, min(li.LONGEST, end) + 1):
+        for size in range(1, min(40, end) + 1):  # no piece is that long
             piece = word[end - size:end]
             p = column[number[piece]] if piece in number else li.STRANGE if size == 1 else 0.0
             if p:
@@ -102,7 +102,7 @@ def test_long_words_have_the_sums_of_a_pass_in_logs():
     assert np.isfinite(logs).all()
     for word, row in zip(words, logs):
         for i in range(2):
-            want = sum(plain_log_sum(s, number, table[:, i]) for s in li.in_stretches(word))
+            want = plain_log_sum(li.START + word, number, table[:, i])
             assert np.isclose(row[i], want, rtol=1e-10)
 
 
@@ -114,12 +114,29 @@ def test_expected_counts_of_long_words():
     table = rng.random((len(pieces.names) + 1, 3)) ** 8 / 100 + 1e-12
     table[0] = 0
     for word in long_words(pieces):
-        for stretch in li.in_stretches(word):
-            found, shares = li.Lattice([stretch], pieces).expected(table, np.array([[2.0, 1.0, 0.0]]))
-            strange = sum(c not in pieces.names for c in stretch)
-            assert np.isfinite(shares).all()
-            assert np.allclose((shares[found > 0] * lengths[found[found > 0], None]).sum(axis=0),
-                               np.array([2.0, 1.0, 0.0]) * (len(stretch) - strange), rtol=1e-9)
+        marked = li.START + word
+        found, shares = li.Lattice([marked], pieces).expected(table, np.array([[2.0, 1.0, 0.0]]))
+        strange = sum(c not in pieces.names for c in marked)
+        assert np.isfinite(shares).all()
+        assert np.allclose((shares[found > 0] * lengths[found[found > 0], None]).sum(axis=0),
+                           np.array([2.0, 1.0, 0.0]) * (len(marked) - strange), rtol=1e-9)
+
+
+def test_every_piece_and_no_cut(monkeypatch):
+    """The whole vocabulary takes part, and words of any length are summed as one, also over windows."""
+    pieces = li.piece_ids(PATH)
+    number = {name: i for i, name in enumerate(pieces.names, 1)}
+    assert pieces.longest > 8 and max(map(len, pieces.names)) == pieces.longest < 40
+    rng = np.random.default_rng(5)
+    table = rng.random((len(pieces.names) + 1, 2)) / 1000
+    table[0] = 0
+    longest = [n.replace(li.START, "") for n in pieces.names if len(n) == pieces.longest][:3]
+    words = [*longest, "internationalization", "thandorinhouse" * 6, "verwaltungsgericht" * 17, "x" * 300]
+    for window in (4_096, 20, 50):
+        monkeypatch.setattr(li, "WINDOW", window)
+        for word, row in zip(words, li.log_probabilities(words, pieces, table)):
+            for i in range(2):
+                assert np.isclose(row[i], plain_log_sum(li.START + word, number, table[:, i]), rtol=1e-10)
 
 
 def test_one_long_run_spoils_neither_fit_nor_prediction(spark):

@@ -2,7 +2,7 @@
 
 The pieces are those of a fixed public vocabulary. Each language has a probability for every piece; a word's probability
 in a language is the sum over all ways to cut it into pieces of the product of their probabilities, found by a forward
-pass. The piece probabilities are fitted by expectation-maximisation: a forward and a backward pass over the training
+pass over all pieces and the whole word, however long. The piece probabilities are fitted by expectation-maximisation: a forward and a backward pass over the training
 words give the expected count of every piece under all segmentations, in tasks; the driver only sees the table of
 (language, piece) sums, as long as the vocabulary. Letters outside the vocabulary stand as pieces of their own that
 share one small probability, so every word has a score. The sums of long words carry powers of two, so none becomes 0.
@@ -37,12 +37,14 @@ ROUNDS = 3
 START = "▁"  # marks the beginning of a word in the vocabulary
 STRANGE = 1e-7  # probability of a letter that is no piece
 AT_ONCE = 60_000  # tokens that are looked up together
-LONGEST = 8  # characters of the longest piece that is used
-RESCALE = 16  # characters after which the sums over segmentations are brought back to about 1
+WINDOW = 4_096  # characters of a long word that are looked up at once
+CELLS = 1 << 18  # characters of words that are summed together
+RESCALE = 8  # characters after which the sums over segmentations are brought back to about 1
 
 
 class Pieces:
-    """The usable pieces, numbered from 1 (0 is no piece), found by 64-bit hashes of their characters."""
+    """The pieces of letters, numbered from 1, and behind them the other beginnings of pieces, found by 64-bit hashes of
+    their characters; 0 is neither."""
 
     BITS = 22
 
@@ -52,21 +54,24 @@ class Pieces:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         names = (model.id_to_piece(i) for i in range(model.get_piece_size())
                  if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i)))
-        self.names = sorted({p for p in names if len(p) <= LONGEST and all(c.isalpha() or c == START for c in p)})
-        hashes = [np.uint64(0)]
-        for name in self.names:
+        self.names = sorted({p for p in names if p and all(c.isalpha() or c == START for c in p)})
+        self.longest = max(map(len, self.names), default=1)
+        begun = {name[:i] for name in self.names for i in range(1, len(name))}.difference(self.names)
+        self.hashes = np.zeros(len(self.names) + len(begun) + 1, np.uint64)
+        for i, name in enumerate([*self.names, *sorted(begun)], 1):
             value = np.zeros(1, np.uint64)
             for code in np.array([ord(c) for c in name], np.uint64):
                 value = self.extend(value, code)
-            hashes.append(value[0])
-        self.hashes = np.array(hashes)
-        # two tables: what shares a place in the first stands in the second
-        places = self._places(self.hashes, 0)
-        _, first = np.unique(places[1:], return_index=True)
-        self.tables = [np.zeros(1 << self.BITS, np.int32), np.zeros(1 << self.BITS, np.int32)]
-        self.tables[0][places[first + 1]] = first + 1
-        rest = np.setdiff1d(np.arange(1, len(self.hashes)), first + 1)
-        self.tables[1][self._places(self.hashes[rest], 20)] = rest
+            self.hashes[i] = value[0]
+        # several tables: what shares a place in one stands in the next
+        self.tables: list[np.ndarray] = []
+        rest = np.arange(1, len(self.hashes))
+        while len(rest) or not self.tables:
+            places = self._places(self.hashes[rest], len(self.tables))
+            _, first = np.unique(places, return_index=True)
+            self.tables.append(np.zeros(1 << self.BITS, np.int32))
+            self.tables[-1][places[first]] = rest[first]
+            rest = np.delete(rest, first)
 
     @staticmethod
     def extend(values: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -74,17 +79,16 @@ class Pieces:
         mixed = (values ^ codes.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         return mixed ^ (mixed >> np.uint64(29))
 
-    def _places(self, hashes: np.ndarray, shift: int) -> np.ndarray:
-        return ((hashes >> np.uint64(shift)) & np.uint64((1 << self.BITS) - 1)).astype(np.int64)
+    def _places(self, hashes: np.ndarray, table: int) -> np.ndarray:
+        return ((hashes >> np.uint64(11 * table % 42)) & np.uint64((1 << self.BITS) - 1)).astype(np.int64)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
-        """The numbers of the pieces with these hashes."""
+        """The numbers of the pieces and beginnings of pieces with these hashes."""
         number = self.tables[0][self._places(hashes, 0)]
-        missed = np.flatnonzero(self.hashes[number] != hashes)
-        if len(missed):
-            other = self.tables[1][self._places(hashes[missed], 20)]
-            number[missed] = np.where(self.hashes[other] == hashes[missed], other, 0)
-        return number
+        for table in range(1, len(self.tables)):
+            missed = np.flatnonzero(self.hashes[number] != hashes)
+            number[missed] = self.tables[table][self._places(hashes[missed], table)]
+        return np.where(self.hashes[number] == hashes, number, 0)
 
 
 @lru_cache(maxsize=2)
@@ -103,16 +107,22 @@ class Lattice:
     """All segmentations of words of one length (with the start mark), as piece numbers by end and piece length."""
 
     def __init__(self, words: list[str], pieces: Pieces):
-        self.length = len(words[0])
+        self.length, self.longest = len(words[0]), pieces.longest
         codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), self.length)
-        self.piece: dict[tuple[int, int], np.ndarray] = {}
+        self.piece: dict[tuple[int, int], np.ndarray] = {}  # by end and length; lengths beyond 1 only where there are any
         for begin in range(self.length):
-            value = np.zeros(len(words), np.uint64)
-            for size in range(1, min(LONGEST, self.length - begin) + 1):
-                value = Pieces.extend(value, codes[:, begin + size - 1])
-                self.piece[(begin + size, size)] = pieces.find(value)
-        self.spans = list(self.piece)
-        self.used = {span: bool(column.any()) for span, column in self.piece.items()}
+            value, row = np.zeros(len(words), np.uint64), np.arange(len(words))
+            for size in range(1, min(self.longest, self.length - begin) + 1):
+                value = Pieces.extend(value, codes[row, begin + size - 1])
+                number = pieces.find(value)
+                whole = (number > 0) & (number <= len(pieces.names))
+                if size == 1 or whole.any():
+                    column = np.zeros(len(words), np.int32)
+                    column[row[whole]] = number[whole]
+                    self.piece[(begin + size, size)] = column
+                value, row = value[number > 0], row[number > 0]  # others begin no longer piece
+                if not len(row):
+                    break
 
     def _probability(self, span: tuple[int, int], table: np.ndarray) -> np.ndarray:
         """Languages' probabilities of the pieces in one place: words x languages."""
@@ -121,37 +131,42 @@ class Lattice:
             found = np.where(self.piece[span][:, None] == 0, STRANGE, found)
         return found
 
-    def _summed(self, table: np.ndarray, ahead: bool) -> tuple[list[np.ndarray], list[np.ndarray | int]]:
-        """Sums of all places from one end of the words to the other, and the powers of two that they are to be taken by.
+    def _summed(self, table: np.ndarray, ahead: bool, before: tuple | None = None) -> tuple[list[np.ndarray], list[np.ndarray | int], list]:
+        """Sums of all places from one end of the words to the other, the powers of two that they are to be taken by, and
+        the last sums, from which the next window of a long word goes on.
 
         After every ``RESCALE`` characters the sums still needed are divided by the power of two of the largest of them,
-        so no sum becomes 0; in shorter words nothing is divided."""
+        so no sum becomes 0; in shorter words nothing is divided. ``before`` has the characters at the beginning that
+        were summed already, their last sums and power."""
         length = self.length
         near = [np.ones((len(self.piece[(1, 1)]), table.shape[1]))]  # the last places, the nearest one first
         power: np.ndarray | int = 0
+        done = 0
+        if before is not None:
+            done, near, power = before
         sums, powers = [near[0]], [power]
-        for step in range(1, length + 1):
+        for step in range(done + 1, length + 1):
             total = 0.0
-            for size in range(1, min(LONGEST, step) + 1):
+            for size in range(1, min(self.longest, step) + 1):
                 span = (step if ahead else length - step + size, size)
-                if size == 1 or self.used[span]:
+                if span in self.piece:
                     total = total + near[size - 1] * self._probability(span, table)
-            near = [total, *near[:LONGEST - 1]]
+            near = [total, *near[:self.longest - 1]]
             if step % RESCALE == 0 and step < length:
                 by = np.frexp(np.maximum.reduce(near))[1]
                 near = [np.ldexp(n, -by) for n in near]
                 power = power + by
             sums.append(near[0])
             powers.append(power)
-        return (sums, powers) if ahead else (sums[::-1], powers[::-1])
+        return (sums, powers, near) if ahead else (sums[::-1], powers[::-1], near)
 
     def forward(self, table: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray | int]]:
         """The summed probability of every beginning of the words, with its power of two."""
-        return self._summed(table, True)
+        return self._summed(table, True)[:2]
 
     def backward(self, table: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray | int]]:
         """The summed probability of every rest of the words, with its power of two."""
-        return self._summed(table, False)
+        return self._summed(table, False)[:2]
 
     def log_sums(self, table: np.ndarray) -> np.ndarray:
         """The log of the summed probability of the whole words."""
@@ -167,42 +182,48 @@ class Lattice:
                                            for of, by in ((ahead, up), (behind, down)))
         weight = weight / ahead[-1]
         found, shares = [np.zeros(0, int)], [np.zeros((0, table.shape[1]))]
-        for end, size in self.spans:
-            if self.used[(end, size)]:
-                share = weight * ahead[end - size] * table[self.piece[(end, size)]] * behind[end]
+        for (end, size), column in self.piece.items():
+            if column.any():
+                share = weight * ahead[end - size] * table[column] * behind[end]
                 shares.append(np.ldexp(share, up[end - size] + down[end] - up[-1]) if long else share)
-                found.append(self.piece[(end, size)])
+                found.append(column)
         return np.concatenate(found), np.concatenate(shares)
 
 
-def by_length(words: list[str], most: int = 4_096) -> Iterator[list[str]]:
-    """Groups of words of the same length."""
+def long_log_sum(word: str, pieces: Pieces, table: np.ndarray) -> np.ndarray:
+    """``Lattice.log_sums`` of one long word, window after window: the last sums of each go over into the next."""
+    before, context = None, 0
+    for start in range(0, len(word), WINDOW):
+        context = min(start, pieces.longest - 1)
+        if before is not None:
+            before = (context, *before)
+        sums, powers, near = Lattice([word[start - context:start + WINDOW]], pieces)._summed(table, True, before)
+        before = (near, powers[-1])
+    return np.log(sums[-1][0]) + np.broadcast_to(powers[-1], sums[-1].shape)[0] * np.log(2.0)
+
+
+def by_length(words: list[str]) -> Iterator[list[str]]:
+    """Groups of words of the same length, of bounded size."""
     groups: dict[int, list[str]] = {}
     for word in words:
         groups.setdefault(len(word), []).append(word)
-    for group in groups.values():
+    for length, group in groups.items():
+        most = max(1, min(4_096, CELLS // max(1, length)))
         for start in range(0, len(group), most):
             yield group[start:start + most]
 
 
-def in_stretches(word: str, most: int = 64) -> list[str]:
-    """A word as lattices take it: with the start mark; a very long one in stretches that follow one another."""
-    marked = START + word
-    return [marked[i:i + most] for i in range(0, len(marked), most)]
-
-
 def log_probabilities(words: list[str], pieces: Pieces, table: np.ndarray) -> np.ndarray:
     """Words x languages: the log of the summed probability of each word's segmentations."""
-    number: dict[str, int] = {}
-    owner, part = [], []
-    for i, word in enumerate(words):
-        for stretch in in_stretches(word):
-            owner.append(i)
-            part.append(number.setdefault(stretch, len(number)))
-    logs = np.zeros((len(number), table.shape[1]))
+    number = {START + word: i for i, word in enumerate(words)}
+    logs = np.zeros((len(words), table.shape[1]))
     for group in by_length(list(number)):
-        logs[[number[s] for s in group]] = Lattice(group, pieces).log_sums(table)
-    return summed(owner, logs[part], len(words))
+        if len(group[0]) > WINDOW:
+            for word in group:
+                logs[number[word]] = long_log_sum(word, pieces, table)
+        else:
+            logs[[number[w] for w in group]] = Lattice(group, pieces).log_sums(table)
+    return logs
 
 
 def summed(owner: list[int], rows: np.ndarray, size: int) -> np.ndarray:
@@ -257,8 +278,8 @@ def fit(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "tex
                 def add() -> None:
                     for group in by_length(list(counts)):
                         weight = np.zeros((len(group), len(languages)))
-                        for i, stretch in enumerate(group):
-                            for language, n in counts[stretch].items():
+                        for i, word in enumerate(group):
+                            for language, n in counts[word].items():
                                 weight[i, place[language]] += n
                         found, shares = Lattice(group, ids).expected(now, weight)
                         for i in range(len(languages)):
@@ -267,9 +288,8 @@ def fit(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "tex
 
                 for batch in batches:
                     for language, word, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                        for stretch in in_stretches(word):
-                            of = counts.setdefault(stretch, {})
-                            of[language] = of.get(language, 0) + n
+                        of = counts.setdefault(START + word, {})
+                        of[language] = of.get(language, 0) + n
                     if len(counts) > 20_000:
                         add()
                 add()
