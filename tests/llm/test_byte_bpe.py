@@ -28,7 +28,8 @@ def texts():
 @pytest.mark.parametrize("chunk,overlap", [(16, 8), (50, 20), (32_768, 1024)])
 def test_chunks_give_the_ids_of_the_whole_text(spark, encoder, chunk, overlap):
     rows = list(enumerate(texts()))
-    docs = spark.createDataFrame([(i, t, "other", i) for i, t in rows], "doc_id long, text string, raw string, key int")
+    docs = spark.createDataFrame([(i, t, "other", i, "k", 1, 2) for i, t in rows],
+                                 "doc_id long, text string, raw string, key int, _key string, piece int, no int")
     done = byte_bpe.decode(byte_bpe.encode(docs, chunk_chars=chunk, overlap_chars=overlap)).collect()
     assert len(done) == len(rows)
     by_id = dict(rows)
@@ -36,6 +37,7 @@ def test_chunks_give_the_ids_of_the_whole_text(spark, encoder, chunk, overlap):
         text = by_id[row.doc_id] or ""
         assert list(row.ids) == encoder.encode_ordinary(text), (row.doc_id, text)
         assert bytes(row.raw) == text.encode()
+        assert row._key == "k" and (row.piece, row.no) == (1, 2)
         assert row.key == row.doc_id and row.text == by_id[row.doc_id]
 
 
@@ -47,3 +49,14 @@ def test_neighbours_are_cut_at_the_first_shared_boundary():
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert byte_bpe.decode(byte_bpe.encode(docs)).count() == 0
+
+
+def test_boundaries_by_range_and_ids_outside(spark):
+    text = "it's a  long\n\n text, 12 x" * 20
+    whole = byte_bpe.boundaries(text, True)
+    assert byte_bpe.boundaries(text, True, 30, 400) == [p for p in whole if p <= 30 or p >= 400]
+    bad = spark.createDataFrame([([1, 10_000_000],)], "ids array<int>")
+    with pytest.raises(Exception, match="outside the vocabulary"):
+        byte_bpe.decode(bad).collect()
+    nulls = spark.createDataFrame([(1, None), (2, []), (3, [0, 1])], "doc_id long, ids array<int>")
+    assert [len(r.raw) for r in byte_bpe.decode(nulls).orderBy("doc_id").collect()][:2] == [0, 0]

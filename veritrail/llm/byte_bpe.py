@@ -17,12 +17,17 @@ Other columns pass through; a column named like an output is replaced.
 from __future__ import annotations
 
 import base64
+import uuid
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
+import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,33 +38,49 @@ CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 1_024
 LOOKAHEAD = 2  # characters after a pre-token that can still change where it ends
 
+_NO_IDS = np.zeros(0, np.uint32)
+
 
 @lru_cache(maxsize=4)
 def _vocabulary(path: str):
-    """The rank file as an encoder and as bytes by id; once per worker."""
+    """The rank file as an encoder, and its words one after another with the place of each id; once per worker."""
     import tiktoken
 
     with open(path, "rb") as file:
         ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, file)}
     encoder = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return encoder, {rank: word for word, rank in ranks.items()}
+    by_rank = {rank: word for word, rank in ranks.items()}
+    listed = [by_rank.get(i, b"") for i in range(max(by_rank, default=-1) + 1)]
+    sizes = np.fromiter(map(len, listed), np.int64, len(listed))
+    return encoder, (np.frombuffer(b"".join(listed), np.uint8), np.cumsum(sizes) - sizes, sizes)
 
 
-def boundaries(text: str, last: bool) -> list[int]:
-    """Where the text may be cut: 0 and the ends of pre-tokens, as far as what follows cannot move them.
+def boundaries(text: str, last: bool, first: int | None = None, second: int = 0) -> list[int]:
+    """Where the text may be cut: 0 and the ends of pre-tokens, as far as what follows cannot move them; with ``first``
+    only those up to it and from ``second`` on.
 
     Not after white space: a run of it is split by what comes behind it, which a piece that ends there does not show.
     """
     import regex
 
     limit = len(text) if last else len(text) - LOOKAHEAD
-    found = [0]
-    for match in regex.finditer(public_tokenizers.PATTERN, text):
-        if match.end() > limit:
-            break
-        if not regex.match(r"\s", text[match.end() - 1]):
-            found.append(match.end())
-    return found
+    sizes = list(map(len, regex.findall(public_tokenizers.PATTERN, text)))
+    if sum(sizes) != len(text):  # the pattern leaves characters out
+        ends = [m.end() for m in regex.finditer(public_tokenizers.PATTERN, text)]
+    else:
+        ends = list(accumulate(sizes))
+    del ends[bisect_right(ends, limit):]
+    within = lambda place: first is None or place <= first or place >= second
+    return [0] + [e for e in ends if within(e) and not text[e - 1].isspace()]
+
+
+def places(bytes_of: tuple[np.ndarray, np.ndarray, np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the ids one after another, and how many each has. Ids outside the vocabulary raise."""
+    words, start, sizes = bytes_of
+    if len(ids) and (ids.min() < 0 or ids.max() >= len(sizes) or not sizes[ids].all()):
+        raise KeyError("an id is outside the vocabulary")
+    size = sizes[ids]
+    return words[np.repeat(start[ids] - (np.cumsum(size) - size), size) + np.arange(size.sum())], size
 
 
 def _with_column(frame: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
@@ -80,8 +101,11 @@ def _encode_rows(df: DataFrame, text: str, ids: str, path: str) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, 128):
                 rows = batch.slice(start, 128)
-                found = [encoder.encode_ordinary(t) if t else [] for t in rows.column(text).to_pylist()]
-                yield _with_column(rows, ids, pa.array(found, pa.list_(pa.int32())))
+                # without special tokens there is none to be allowed or refused
+                found = [encoder.encode_to_numpy(t, disallowed_special=()) if t else _NO_IDS for t in rows.column(text).to_pylist()]
+                ends = np.cumsum([0, *map(len, found)])
+                listed = pa.array(np.concatenate([_NO_IDS, *found]).astype(np.int32))
+                yield _with_column(rows, ids, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), listed))
 
     return df.mapInArrow(run, _schema_with(df, ids, T.ArrayType(T.IntegerType())))
 
@@ -105,7 +129,7 @@ def _edges(chunks: DataFrame, chunk: int, overlap: int) -> DataFrame:
         for frame in frames:
             heads, tails = [], []
             for part, start, last in zip(frame["part"], frame["start"], frame["last"]):
-                found = boundaries(part, last)
+                found = boundaries(part, last, overlap, chunk)
                 heads.append([start + b for b in found if b <= overlap])
                 tails.append([start + b for b in found if b >= chunk])
             yield frame[["key", "no"]].assign(heads=heads, tails=tails)
@@ -152,8 +176,9 @@ def encode(docs: DataFrame, vocabulary: str | None = None, text: str = "text", i
     size = F.coalesce(F.length(text), F.lit(0))
     short = _encode_rows(docs.where(size <= chunk_chars), text, ids, path)
 
-    long = docs.where(size > chunk_chars).withColumn("_key", F.sha2(F.col(text), 256))
-    chunks = _chunks(long.select(F.col("_key").alias("key"), F.col(text).alias("text")), chunk_chars, overlap_chars)
+    own = f"key_{uuid.uuid4().hex}"  # no column of the caller's has this name
+    long = docs.where(size > chunk_chars).withColumn(own, F.sha2(F.col(text), 256))
+    chunks = _chunks(long.select(F.col(own).alias("key"), F.col(text).alias("text")), chunk_chars, overlap_chars)
     parts = _parts(_edges(chunks, chunk_chars, overlap_chars), chunk_chars)
     stretch = F.substring("part", F.col("begin") + 1,
                           F.when(F.col("end").isNull(), F.length("part")).otherwise(F.col("end") - F.col("begin")))
@@ -165,9 +190,9 @@ def encode(docs: DataFrame, vocabulary: str | None = None, text: str = "text", i
     encoded = (
         _encode_rows(pieces, "piece_text", "piece_ids", path)
         .groupBy("key").agg(F.sort_array(F.collect_list(F.struct("piece", "piece_ids"))).alias("p"))
-        .select(F.col("key").alias("_key"), F.flatten("p.piece_ids").alias(ids))
+        .select(F.col("key").alias(own), F.flatten("p.piece_ids").alias(ids))
     )
-    return short.unionByName(long.join(encoded, "_key").drop("_key"))
+    return short.unionByName(long.join(encoded, own).drop(own))
 
 
 def decode(df: DataFrame, vocabulary: str | None = None, ids: str = "ids", raw: str = "raw") -> DataFrame:
@@ -180,7 +205,11 @@ def decode(df: DataFrame, vocabulary: str | None = None, ids: str = "ids", raw:
         for batch in batches:
             for start in range(0, batch.num_rows, 128):
                 rows = batch.slice(start, 128)
-                found = [b"".join(map(words.__getitem__, row or ())) for row in rows.column(ids).to_pylist()]
-                yield _with_column(rows, raw, pa.array(found, pa.binary()))
+                column = rows.column(ids)
+                counts = np.asarray(pc.fill_null(pc.list_value_length(column), 0))
+                found, size = places(words, column.flatten().to_numpy(zero_copy_only=False))
+                ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(counts)])]
+                flat = found.tobytes()
+                yield _with_column(rows, raw, pa.array([flat[a:b] for a, b in zip(ends[:-1], ends[1:])], pa.binary()))
 
     return df.mapInArrow(run, _schema_with(df, raw, T.BinaryType()))
