@@ -14,24 +14,30 @@ from veritrail.llm import byte_bpe, language_id, minmax_dedup, secret_grammar, s
 from veritrail.session import Job
 
 LEAST_LANGUAGE_SCORE = 0.5
+OUTPUTS = ["ids", "n_tokens", "same_bytes"]
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """The row as one column beside what the operators read, so that no name of theirs meets one of the table's."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), "doc_id", "text")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts whose language is not certain enough go: no letters, or no language with half of the weight."""
     model = language_id.fit(docs, ~language_id.held_out())
-    told = language_id.predict(docs.withColumn("_own", F.struct(*docs.columns)), model)
+    told = language_id.predict(_packed(docs), model)
     sure = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
-    return told.where(sure).select("_own.*")
+    return told.where(sure).select("own.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every class of near-duplicates the document with the smallest id stays; texts without a word all stay."""
-    keyed = docs.withColumn("_row", F.struct("doc_id", F.sha2("text", 256).alias("sha")))
-    found = minmax_dedup.classes(keyed.select("_row", "text"), key="_row")
-    stay = found.where("kept").select("_row", (F.col("n_shingles") == 0).alias("_empty")).distinct()
-    first = F.row_number().over(Window.partitionBy("_row").orderBy(F.lit(1)))
-    kept = keyed.join(stay, keyed["_row"].eqNullSafe(stay["_row"])).select(keyed["*"], "_empty")
-    return kept.withColumn("_copy", first).where("_empty OR _copy = 1").select(*docs.columns)
+    keyed = _packed(docs).withColumn("row", F.struct("doc_id", F.sha2("text", 256).alias("sha")))
+    found = minmax_dedup.classes(keyed.select("row", "text"), key="row")
+    stay = found.where("kept").select(F.col("row").alias("stay"), (F.col("n_shingles") == 0).alias("empty")).distinct()
+    first = F.row_number().over(Window.partitionBy("row").orderBy(F.lit(1)))
+    kept = keyed.join(stay, F.col("row").eqNullSafe(F.col("stay"))).select("own", "row", "empty")
+    return kept.withColumn("copy", first).where("empty OR copy = 1").select("own.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,17 +48,18 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked in the text, and the number of characters follows; all documents stay."""
-    masked = secret_grammar.redact(secret_grammar.find_secrets(docs))
-    size = F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return masked.withColumn("n_chars", size).select(*docs.columns)
+    masked = secret_grammar.redact(secret_grammar.find_secrets(_packed(docs)))
+    size = F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("own.n_chars"))
+    changed = {"text": F.col("text"), "n_chars": size}
+    return masked.select(*[changed.get(c, F.col(f"own.`{c}`")).alias(c) for c in docs.columns])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its ids, their number, and whether they decode to the same bytes."""
-    coded = byte_bpe.decode(byte_bpe.encode(docs))
+    coded = byte_bpe.decode(byte_bpe.encode(_packed(docs)))
     same = F.col("raw") == F.coalesce("text", F.lit("")).cast("binary")
-    return coded.select(*[c for c in docs.columns if c not in ("ids", "n_tokens", "same_bytes")], "ids",
-                        F.size("ids").cast("long").alias("n_tokens"), same.alias("same_bytes"))
+    own = [F.col(f"own.`{c}`").alias(c) for c in docs.columns if c not in OUTPUTS]
+    return coded.select(*own, "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("same_bytes"))
 
 
 STAGES = [
