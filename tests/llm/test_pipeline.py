@@ -54,3 +54,17 @@ def test_stages_keep_columns_rows_and_clean_documents(spark):
             assert out.columns == docs.columns and out.schema == docs.schema
         assert out.count() == left, name
         assert stage(spark, docs.where("false"), FOLDER).count() == 0
+
+
+NAMES = ["own", "row", "stay", "empty", "copy", "raw", "spans", "base_spans", "lang_pred", "score", "key", "node", "bucket", "label",
+         "_own", "_row", "_copy", "_empty", "_key", "piece", "no", "part", "kept", "sha", "item_id", "lines"]
+
+
+def test_no_name_of_the_operators_meets_a_column(spark):
+    rows = [(i, f"the house number {i} and the garden of {i * 7} with trees {i * 3} and a wall", "en", "s", 9) for i in range(12)]
+    docs = spark.createDataFrame([r + tuple(f"{n} {r[0]}" for n in NAMES) for r in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in NAMES))
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, FOLDER)
+    done = docs.collect()
+    assert len(done) == 12 and all(r[n] == f"{n} {r.doc_id}" for r in done for n in NAMES)
