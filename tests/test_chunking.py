@@ -91,7 +91,7 @@ def test_pages_are_not_split_into_sentences(spark):
 def test_backlog_numbers_run_over_buckets(spark):
     rows = [(d, i, f"text {d}", None if d % 2 else [1.0]) for d in range(100) for i in range(d % 3 + 1)]
     chunks = spark.createDataFrame(rows, "doc_id long, chunk_index int, content string, embedding array<double>")
-    got = C.embedding_backlog(chunks, doc_bucket=7).orderBy("chunk_index", "doc_id").collect()
+    got = C.embedding_backlog(chunks).orderBy("chunk_index", "doc_id").collect()
     expected = sorted((i, d) for d, i, _, e in rows if e is None)
     assert [(r.chunk_index, r.doc_id) for r in got] == expected
     assert [r.batch for r in got] == [n // 20 + 1 for n in range(len(expected))]

@@ -1,8 +1,9 @@
 from datetime import datetime, timedelta
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from veritrail.streaming.answers import deliver_answers
+from veritrail.streaming.answers import add_to_filter, deliver_answers, delivered_after, may_contain
 from veritrail.streaming.ingest import ingest_documents
 from veritrail.streaming.progress import track_progress
 from veritrail.streaming.runs import read_table_stream
@@ -125,3 +126,30 @@ def test_ingest_by_batch(spark, tmp_path):
     add(spark, folder, [(4, 2023, 1, "novo")], schema, "3")
     chunks, status = ingest_documents(stream(), str(tmp_path / "out"))
     assert status.count() == 6 and chunks.count() == 4
+
+
+def test_delivery_is_numbered_in_created_order_and_resumable(spark, tmp_path):
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    add(spark, folder, [answer(n) for n in (9, 3, 30, 12)], ANSWERS, "1")
+    add(spark, folder, [answer(n) for n in (3, 1, 40, 9, 41)], ANSWERS, "2")
+    stream = lambda: read_table_stream(spark, str(folder), files_per_batch=1)
+    rows = deliver_answers(stream(), ["id"], out, buckets=4).orderBy("sequence").collect()
+    assert [r.sequence for r in rows] == list(range(1, 8))
+    batches = [[r.id for r in rows[:4]], [r.id for r in rows[4:]]] if len(rows) == 7 else None
+    assert ["a3", "a9", "a12", "a30"] in batches or ["a1", "a3", "a9", "a40", "a41"] == [r.id for r in rows[:5]]
+    add(spark, folder, [answer(n) for n in (2, 30, 50)], ANSWERS, "3")
+    deliver_answers(stream(), ["id"], out, buckets=4)
+    later = delivered_after(spark, out, 6).orderBy("sequence").collect()
+    assert [(r.sequence, r.id) for r in later] == [(7, rows[6].id), (8, "a2"), (9, "a50")]
+    assert delivered_after(spark, out, 9).count() == 0
+
+
+def test_filters_never_miss():
+    rng = np.random.default_rng(1)
+    held, added = None, []
+    for _ in range(3):
+        new = rng.integers(-2 ** 63, 2 ** 63 - 1, 2_000)
+        held, added = add_to_filter(held, new), [*added, *new]
+        assert may_contain(held, np.array(added)).all()
+    assert may_contain(held, rng.integers(-2 ** 63, 2 ** 63 - 1, 10_000)).mean() < 0.01
+    assert not may_contain(None, np.array(added)).any()

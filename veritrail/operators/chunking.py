@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritrail import lookups as L
 from veritrail.functions.numbers import exact_round
 from veritrail.functions.text import SPACE, let, non_empty, word_count
-from veritrail.operators.keys import running_number, unfold_array
+from veritrail.operators.keys import ordered_number, unfold_array
 
 _BLANK_LINE = rf"\n[{SPACE}]*\n"
 _SENTENCE_END = rf"(?<=[.!?])[{SPACE}]+"
@@ -137,22 +137,27 @@ def chunk_stats(chunks: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def embedding_backlog(chunks: DataFrame, doc_bucket: int = 100_000) -> DataFrame:
+def embedding_backlog(chunks: DataFrame) -> DataFrame:
     """Chunks without a vector in chunk order, cut to the model's input length, in numbered batches.
 
-    ``chunks`` needs a numeric ``doc_id``. Numbering runs over the whole backlog by
-    (chunk_index, doc_id); it is done in buckets of that order, not in one task.
+    Numbering runs over the whole backlog by (chunk_index, doc_id), in ranges of that order; ids may be of any type.
     """
-    open_chunks = chunks.where(F.col("embedding").isNull())
-    numbered = running_number(
-        open_chunks.select("doc_id", "chunk_index", F.substring("content", 1, L.EMBEDDING_CHARS).alias("input")),
-        [], [F.col("chunk_index"), F.floor(F.col("doc_id") / doc_bucket)],
-        [F.col("chunk_index"), F.col("doc_id")], "position",
-    )
-    total = open_chunks.select(F.ceil(F.count("*") / L.EMBEDDING_BATCH)).scalar()
+    open_chunks = chunks.where(F.col("embedding").isNull()).select(
+        "doc_id", "chunk_index", F.substring("content", 1, L.EMBEDDING_CHARS).alias("input"))
+    numbered = ordered_number(open_chunks, [F.col("chunk_index"), F.col("doc_id")], "position", purpose="backlog")
+    total = numbered.select(F.ceil(F.count("*") / L.EMBEDDING_BATCH)).scalar()
     batch = F.floor((F.col("position") - 1) / L.EMBEDDING_BATCH) + 1
     return numbered.select("doc_id", "chunk_index", "input", batch.alias("batch"), total.alias("batches"))
 
 
+def document_batches(chunks: DataFrame) -> DataFrame:
+    """The open chunks of every document in batches of its own, as they are embedded right after it was stored."""
+    position = F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_index"))
+    count = F.count("*").over(Window.partitionBy("doc_id"))
+    return chunks.where(F.col("embedding").isNull()).select(
+        "doc_id", "chunk_index", F.substring("content", 1, L.EMBEDDING_CHARS).alias("input"),
+        (F.floor((position - 1) / L.EMBEDDING_BATCH) + 1).alias("batch"), F.ceil(count / L.EMBEDDING_BATCH).alias("batches"))
+
+
 def embedding_coverage(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.count("embedding").alias("embedded"), F.count("*").alias("chunks"))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veritrail.session import written
+
 
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first ``k`` rows of every key in ``order``, numbered from 1.
@@ -53,3 +55,25 @@ def running_number(
         .withColumn(name, F.col("_offset") + F.col("_inside"))
         .drop(*keys, "_inside", "_offset")
     )
+
+
+def ordered_number(df: DataFrame, order: Sequence[Column], name: str, first: int = 1, purpose: str = "ordered") -> DataFrame:
+    """Row numbers from ``first`` over the whole table in ``order``, for columns of any type.
+
+    The rows are dealt by ranges of the order and written, so a row's range is fixed; only the number of rows per range
+    (as many as shuffle partitions) is added up on the driver. No task sees more than a range. Rows equal in the whole
+    order are interchangeable, and a crowd of them stays in one range.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id())
+    stored = written(ranged, purpose)
+    sizes = {r["_range"]: r["count"] for r in stored.groupBy("_range").count().collect()}
+    rows, total = [], first - 1
+    for part in sorted(sizes):
+        rows.append((part, total))
+        total += sizes[part]
+    offsets = F.broadcast(spark.createDataFrame(rows, "_range int, _offset long"))  # one row per range
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return stored.withColumn("_inside", inside).join(offsets, "_range").withColumn(
+        name, F.col("_offset") + F.col("_inside")).drop("_range", "_offset", "_inside")

@@ -68,7 +68,18 @@ SELECT doc_id, chunk_index, left(content, 8000) AS input,
        CAST(ceil(count(*) OVER () / 20) AS BIGINT) AS batches
 FROM {o_chunks} WHERE NOT EXISTS (SELECT 1 FROM {embeddings} WHERE vec_id = doc_id)""")
 def _(fx):
-    return C.embedding_backlog(embedded_chunks(fx), doc_bucket=500)
+    return C.embedding_backlog(embedded_chunks(fx))
+
+
+# Chunks of the documents of two in three, as if the others had their vectors.
+@query("document_batches", """
+SELECT doc_id, chunk_index, left(content, 8000) AS input,
+       CAST((row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) - 1) // 20 + 1 AS BIGINT) AS batch,
+       CAST(ceil(count(*) OVER (PARTITION BY doc_id) / 20) AS BIGINT) AS batches
+FROM {o_chunks} WHERE doc_id % 3 <> 0""")
+def _(fx):
+    vector = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit(1.0)))
+    return C.document_batches(text_chunks(fx).withColumn("embedding", vector))
 
 
 @query("embedding_coverage", """
