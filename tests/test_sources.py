@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from veritrail.operators.reports import export_detail
 from veritrail.sources.cells import extract_questionnaire, extraction_summary
-from veritrail.sources.payloads import ingest_answers
+from veritrail.sources.payloads import ingest_answers, rejected_replies
 from veritrail.sources.sinks import write_chunks, write_export, write_json
 from veritrail.sources.tables import read_chunks, read_page_files
 
@@ -99,3 +99,11 @@ def test_page_files_take_their_address_from_the_manifest(spark, tmp_path):
     manifest = spark.createDataFrame([("site/a.html", "https://x.org/ri/")], "path string, url string")
     rows = {r.html: r.url for r in read_page_files(spark, str(tmp_path), manifest).collect()}
     assert rows["a.html"] == "https://x.org/ri/" and rows["b.html"].endswith("/site/b.html")
+
+
+def test_objects_without_a_question_id_are_rejected(spark):
+    rows = [(1, '{"data": [{"question_id": "1.1"}]}'), (2, '[{"question_id": " "}, {"question_id": "1.2", "answer": "Sim"}, {"answer": "Sim"}]'), (3, '{"question_id": 7}')]
+    frame = spark.createDataFrame(rows, "i int, payload string")
+    assert {(r.i, r.question_id) for r in ingest_answers(frame, ["i"]).where("trim(question_id) <> ''").collect()} == {(2, "1.2"), (3, "7")}
+    odd = sorted((r.i, r.reason, r.payload) for r in rejected_replies(frame, ["i"]).collect())
+    assert odd == [(1, "no question id", rows[0][1]), (2, "no question id", '{"answer": "Sim"}'), (2, "no question id", '{"question_id": " "}')]

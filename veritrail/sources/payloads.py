@@ -30,11 +30,15 @@ def _is_object(element: Column) -> Column:
     return strip(element).startswith("{")
 
 
+def _has_text(value: Column) -> Column:
+    return F.coalesce(strip(value) != "", F.lit(False))
+
+
 def ingest_answers(replies: DataFrame, keep: Sequence[str], payload: str = "payload") -> DataFrame:
     """Accepts a bare array, an object that wraps the array (or one answer) under a known name, or one answer.
 
-    Text that is not JSON gives no rows. The first wrapper name present counts. Ids and
-    confidences may come as numbers or as strings.
+    Text that is not JSON gives no rows. The first wrapper name present counts. Ids and confidences may come as numbers
+    or as strings. An object without a question id gives a row that no question takes; it is among the rejected ones.
     """
     # elements are read one by one: one that is no object does not spoil the others
     rows = unfold_array(replies, keep, _elements(payload), "_element", "ordinal").where(_is_object(F.col("_element")))
@@ -44,10 +48,13 @@ def ingest_answers(replies: DataFrame, keep: Sequence[str], payload: str = "payl
 
 
 def rejected_replies(replies: DataFrame, keep: Sequence[str], payload: str = "payload") -> DataFrame:
-    """What ``ingest_answers`` leaves out: whole replies without an answer, and elements that are no object."""
+    """What leads to no answer: whole replies without an object, elements that are none, and objects without a question id."""
     parts = replies.select(*keep, F.col(payload).alias("payload"), _elements(payload).alias("_elements"))
     empty = parts.where(~F.coalesce(F.exists("_elements", lambda e: F.coalesce(_is_object(e), F.lit(False))), F.lit(False)))
     whole = empty.select(*keep, F.lit("no answer").alias("reason"), "payload")
     odd = unfold_array(parts.join(empty.select(*keep), list(keep), "left_anti"), keep, F.col("_elements"), "_element", "_at")
-    odd = odd.where(~F.coalesce(_is_object(F.col("_element")), F.lit(False)))
-    return whole.unionByName(odd.select(*keep, F.lit("not an object").alias("reason"), F.col("_element").alias("payload")))
+    is_object = F.coalesce(_is_object(F.col("_element")), F.lit(False))
+    # the id is read as the answers' fields are, and only of objects
+    named = _has_text(F.from_json(F.when(is_object, F.col("_element")), ANSWER)["question_id"])
+    odd = odd.where(~named).withColumn("reason", F.when(is_object, F.lit("no question id")).otherwise(F.lit("not an object")))
+    return whole.unionByName(odd.select(*keep, "reason", F.col("_element").alias("payload")))
