@@ -7,19 +7,27 @@ state. Extra columns pass through all stages.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veritrail.llm import byte_bpe, language_id, minmax_dedup, secret_grammar, spaced_seeds
 from veritrail.session import Job
 
 LEAST_LANGUAGE_SCORE = 0.5
+READ = ["doc_id", "text"]
 OUTPUTS = ["ids", "n_tokens", "same_bytes"]
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """The row as one column beside what the operators read, so that no name of theirs meets one of the table's."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), "doc_id", "text")
+    """Key and text, and the rest of the row as one column, so that no name of the operators meets one of the table's;
+    the text is carried once."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in READ]).alias("own"), *READ)
+
+
+def _columns(like: DataFrame, **changed: Column) -> list[Column]:
+    """The columns of ``like`` out of a packed row, some of them changed."""
+    packed = {c: F.col(c) if c in READ else F.col(f"own.`{c}`") for c in like.columns}
+    return [column.alias(c) for c, column in (packed | changed).items()]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +35,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.fit(docs, ~language_id.held_out())
     told = language_id.predict(_packed(docs), model)
     sure = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
-    return told.where(sure).select("own.*")
+    return told.where(sure).select(*_columns(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +44,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = minmax_dedup.classes(keyed.select("row", "text"), key="row")
     stay = found.where("kept").select(F.col("row").alias("stay"), (F.col("n_shingles") == 0).alias("empty")).distinct()
     first = F.row_number().over(Window.partitionBy("row").orderBy(F.lit(1)))
-    kept = keyed.join(stay, F.col("row").eqNullSafe(F.col("stay"))).select("own", "row", "empty")
-    return kept.withColumn("copy", first).where("empty OR copy = 1").select("own.*")
+    kept = keyed.join(stay, F.col("row").eqNullSafe(F.col("stay"))).select("own", *READ, "row", "empty")
+    return kept.withColumn("copy", first).where("empty OR copy = 1").select(*_columns(docs))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,16 +58,15 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Secrets are masked in the text, and the number of characters follows; all documents stay."""
     masked = secret_grammar.redact(secret_grammar.find_secrets(_packed(docs)))
     size = F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("own.n_chars"))
-    changed = {"text": F.col("text"), "n_chars": size}
-    return masked.select(*[changed.get(c, F.col(f"own.`{c}`")).alias(c) for c in docs.columns])
+    return masked.select(*_columns(docs, n_chars=size))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its ids, their number, and whether they decode to the same bytes."""
     coded = byte_bpe.decode(byte_bpe.encode(_packed(docs)))
     same = F.col("raw") == F.coalesce("text", F.lit("")).cast("binary")
-    own = [F.col(f"own.`{c}`").alias(c) for c in docs.columns if c not in OUTPUTS]
-    return coded.select(*own, "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("same_bytes"))
+    kept = _columns(docs.drop(*OUTPUTS))
+    return coded.select(*kept, "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("same_bytes"))
 
 
 STAGES = [
