@@ -6,10 +6,10 @@ permutations, go to buckets; at a similarity of 0.75 a pair misses all 32 bands
 confirmed on the full sets, and the classes are the connected components of the confirmed links.
 
 Documents with equal sets are one node. No bucket lists its pairs. First every node is confirmed against the
-first members of its buckets, the two smallest of them, and the links give classes. Buckets that still span several classes are looked through: the members outside
-the bucket's largest class meet all members of other classes inside tasks, as sorted arrays of hashes cut to 24 bits, and each
-pair in the first bucket it shares only; what may reach the threshold, whatever the cut merged, is confirmed on
-the full sets. So no link between different texts is lost to a cap, and the rows made grow with the members, not with
+first members of its buckets, the two smallest of them, and the links give classes. Buckets that still span several classes are
+looked through, one of those with the same members: the members outside the bucket's largest class meet all members of other
+classes inside tasks, as sorted arrays of hashes cut to 24 bits, and each pair in the smallest bucket it shares only; what may
+reach the threshold, whatever the cut merged, is confirmed on the full sets. So no link between different texts is lost to a cap, and the rows made grow with the members, not with
 their pairs. A large bucket is split into blocks of ``BLOCK`` members. Counts and minima combine before the shuffle, and
 components come from label passing with shortcuts over tables; nothing is collected but counts.
 
@@ -124,6 +124,12 @@ def unshortened(data: bytes) -> np.ndarray:
     return np.cumsum(steps.reshape(4, -1).T.copy().view(np.uint32).reshape(-1), dtype=np.uint32)
 
 
+@lru_cache(maxsize=1)
+def marks() -> np.ndarray:
+    """A mark for every cut hash; whoever sets some clears them again."""
+    return np.zeros(1 << 24, np.bool_)
+
+
 def may_be_similar(shared, size, short, other_size, other_short, percent: int):
     """False only for pairs of sets that are no link, from what their cut sets share: of the values that both sets have,
     cutting merges at most as many as it merges in either."""
@@ -167,27 +173,43 @@ def _signed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"key {kind}, n_shingles long, node binary, bands array<long>")
 
 
+def _zipped(rows: DataFrame) -> DataFrame:
+    """(key, zipped) of every row (key, text): the text is compressed before it is moved."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = batch.column("text").cast(pa.binary()).to_pylist()
+            zipped = [len(t).to_bytes(8, "little") + pa.compress(t, codec="zstd", asbytes=True) for t in raw]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(zipped, pa.binary())], names=["key", "zipped"])
+
+    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, zipped binary")
+
+
+def _unzipped(data: bytes) -> str:
+    raw = pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    return raw.decode("utf-8", "surrogatepass")
+
+
 def _sets(docs: DataFrame) -> DataFrame:
-    """(node, set, short, bands, full) of rows with a text: the set, its hashes cut to 24 bits, its buckets, its size."""
+    """(node, set, short, full) of rows with a text: the set, its hashes cut to 24 bits, its size."""
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
             for start in range(0, batch.num_rows, 128):
-                found = [shingler.shingles(t) for t in batch.column("text").slice(start, 128).to_pylist()]
+                found = [shingler.shingles(_unzipped(t)) for t in batch.column("zipped").slice(start, 128).to_pylist()]
                 found = [s for s in found if len(s)]
                 if not found:
                     continue
                 short = [shortened(s) for s in found]
-                bands = [row.tobytes() for row in band_keys(signatures(found))]
                 raw = [s.tobytes() for s in found]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([xxhash.xxh3_128_digest(s) for s in raw], pa.binary()), pa.array(raw, pa.binary()),
-                     pa.array(short, pa.binary()), pa.array(bands, pa.binary()), pa.array(list(map(len, found)), pa.int32())],
-                    names=["node", "set", "short", "bands", "full"])
+                     pa.array(short, pa.binary()), pa.array(list(map(len, found)), pa.int32())],
+                    names=["node", "set", "short", "full"])
 
-    return docs.select("text").mapInArrow(run, "node binary, set binary, short binary, bands binary, full int")
+    return docs.select("zipped").mapInArrow(run, "node binary, set binary, short binary, full int")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -232,20 +254,20 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: i
     job = Job(spark, "minmax-dedup")
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     signed = job.keep(_signed(rows), "signed")
-    nodes = signed.where("node IS NOT NULL").groupBy("node").agg(
-        F.min("key").alias("first_key"), F.first("bands").alias("bands"), F.first("n_shingles").alias("size"))
-    buckets = nodes.select("node", "first_key", "size", F.explode("bands").alias("bucket"))
+    nodes = job.keep(signed.where("node IS NOT NULL").groupBy("node").agg(
+        F.min("key").alias("first_key"), F.first("bands").alias("bands"), F.first(F.col("n_shingles").cast("int")).alias("size")),
+        "nodes")
+    buckets = nodes.select("node", "size", F.explode("bands").alias("bucket"))
     crowded = buckets.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     members = job.keep(buckets.join(crowded.select("bucket"), "bucket"), "members")
     labels = None
     if not members.isEmpty():
-        labels = _linked(rows, members, job, percent)
+        labels = _linked(rows, nodes, members, job, percent)
     own = signed.select("key", "n_shingles", "node")
     if labels is None:
-        found = own.groupBy("node").agg(F.min("key").alias("component_id"))
+        found = nodes.select("node", F.col("first_key").alias("component_id"))
     else:
-        firsts = own.where("node IS NOT NULL").groupBy("node").agg(F.min("key").alias("first_key"))
-        named = firsts.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        named = nodes.select("node", "first_key").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         lowest = named.groupBy("label").agg(F.min("first_key").alias("component_id"))
         found = named.join(lowest, "label").select("node", "component_id")
     full = own.where("node IS NOT NULL").join(found, "node").select("key", "n_shingles", "component_id")
@@ -254,22 +276,22 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: i
     return job.finish(result.withColumnRenamed("key", key))
 
 
-def _linked(rows: DataFrame, members: DataFrame, job: Job, percent: int) -> DataFrame | None:
+def _linked(rows: DataFrame, nodes: DataFrame, members: DataFrame, job: Job, percent: int) -> DataFrame | None:
     """(node, label): the class of every node that has a link."""
-    wanted = members.select(F.col("first_key").alias("key")).distinct()
+    met = members.select("node").distinct()
+    wanted = nodes.select("node", F.col("first_key").alias("key")).join(met, "node", "left_semi").select("key")
     some = rows.where("text IS NOT NULL")
-    sources = some.join(wanted, "key", "left_semi").unionByName(
-        some.where("key IS NULL"))  # a set whose rows all lack an id
-    sets = _sets(sources).dropDuplicates(["node"]).join(members.select("node").distinct(), "node", "left_semi")
+    sources = _zipped(some).join(wanted, "key", "left_semi").unionByName(
+        _zipped(some.where("key IS NULL")))  # a set whose rows all lack an id
+    sets = _sets(sources).dropDuplicates(["node"]).join(met, "node", "left_semi")
     sets = job.keep(sets, "sets")
 
-    heads = members.groupBy("bucket").agg(F.min(F.struct(F.col("first_key").isNull(), "first_key", "node", "size")).alias("head"))
-    heads = heads.select("bucket", F.col("head.node").alias("pivot"), F.col("head.first_key").alias("pivot_key"),
-                         F.col("head.size").alias("pivot_size"))
+    heads = members.groupBy("bucket").agg(F.min(F.struct("node", "size")).alias("head"))
+    heads = heads.select("bucket", F.col("head.node").alias("pivot"), F.col("head.size").alias("pivot_size"))
     near = 100 * F.least("size", "pivot_size") >= percent * F.greatest("size", "pivot_size")
     met = members.join(heads, "bucket").where((F.col("node") != F.col("pivot")) & near)
-    firsts = met.groupBy("node").agg(F.slice(F.array_sort(F.collect_set(F.struct("pivot_key", "pivot"))), 1, 2).alias("p"))  # of 32
-    pairs = firsts.select("node", F.explode("p.pivot").alias("pivot")).select("pivot", "node")
+    firsts = met.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("pivot")), 1, 2).alias("p"))  # of 32
+    pairs = firsts.select("node", F.explode("p").alias("pivot")).select("pivot", "node")
     links = job.keep(_confirmed(pairs, sets, percent), "links0")
     labels = None if links.isEmpty() else components(_edges(links), job, "classes0")
 
@@ -289,9 +311,13 @@ def _across(members: DataFrame, labels: DataFrame | None, sets: DataFrame, job:
         placed = members.select("bucket", "node", F.col("node").alias("label"))
     else:
         placed = members.select("bucket", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    sizes = placed.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    split = sizes.groupBy("bucket").agg(F.count("*").alias("classes"), F.sum("n").alias("n"),
-                                        F.max(F.struct("n", "label")).alias("largest")).where("classes > 1")
+    marked = [F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
+    sizes = placed.groupBy("bucket", "label").agg(F.count("*").alias("n"), *marked)
+    split = sizes.groupBy("bucket").agg(
+        F.count("*").alias("classes"), F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("largest"),
+        F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).where("classes > 1")
+    # buckets with the same members hold the same pairs: one of them is enough
+    split = split.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket"), F.max("largest").alias("largest"))
     blocks = lambda n: F.ceil(n / F.lit(float(BLOCK))).cast("int")
     split = split.select("bucket", F.col("largest.label").alias("main"), blocks(F.col("n")).alias("blocks"),
                          blocks(F.col("n") - F.col("largest.n")).alias("other_blocks"))
@@ -303,32 +329,36 @@ def _across(members: DataFrame, labels: DataFrame | None, sets: DataFrame, job:
     asking = active.where("other").select(
         "bucket", "node", "label", "other", F.explode(every).alias("block"),
         F.pmod(F.xxhash64("node"), "other_blocks").cast("int").alias("other_block"), F.lit(True).alias("asks"))
-    rows = mine.unionByName(asking).join(sets.select("node", "short", "bands", "full"), "node")
+    places = active.groupBy("node").agg(F.collect_list("bucket").alias("places"))  # 32 at most
+    rows = mine.unionByName(asking).join(sets.select("node", "short", "full").join(places, "node"), "node")
+    rows = rows.withColumn("earlier", F.filter("places", lambda place: place < F.col("bucket"))).drop("places")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        bucket = frame["bucket"].iloc[0]
         left, right = frame[~frame["asks"]], frame[frame["asks"]]
         if left.empty or right.empty:
             return pd.DataFrame({"pivot": [], "node": []})
-        bands = np.stack([np.frombuffer(b, np.int64) for b in left["bands"]])
+        earlier = [np.asarray(places, np.int64) for places in left["earlier"]]
+        owner = np.repeat(np.arange(len(earlier)), [len(places) for places in earlier])
+        earlier = np.concatenate(earlier)
         shorts = [unshortened(s) for s in left["short"]]
         sizes = np.array([len(s) for s in shorts])
         full = left["full"].to_numpy(np.int64)
         nodes, labels, other = left["node"].to_numpy(), left["label"].to_numpy(), left["other"].to_numpy()
+        marked = marks()
         out = []
-        for node, label, short, keys, size in zip(*(right[c] for c in ("node", "label", "short", "bands", "full"))):
-            own, keys = unshortened(short), np.frombuffer(keys, np.int64)
-            first = np.argmax(bands == keys, axis=1)
-            take = (keys[first] == bucket) & (labels != label) & (~other | (nodes > node))
+        for node, label, short, places, size in zip(*(right[c] for c in ("node", "label", "short", "earlier", "full"))):
+            take = (labels != label) & (~other | (nodes > node))
             take &= 100 * np.minimum(full, size) >= percent * np.maximum(full, size)
+            take[owner[np.isin(earlier, np.asarray(places, np.int64))]] = False  # met in a smaller bucket
             at = np.flatnonzero(take)
             if not len(at):
                 continue
+            own = unshortened(short)
             values = np.concatenate([shorts[i] for i in at])
-            place = np.searchsorted(own, values)
-            place[place == len(own)] = 0
+            marked[own] = True
             starts = np.cumsum(sizes[at]) - sizes[at]
-            shared = np.add.reduceat((own[place] == values).astype(np.int64), starts)
+            shared = np.add.reduceat(marked[values], starts, dtype=np.int64)
+            marked[own] = False
             close = at[may_be_similar(shared, full[at], sizes[at], size, len(own), percent)]
             out += [(node, nodes[i]) for i in close]
         return pd.DataFrame(out, columns=["pivot", "node"])
