@@ -40,7 +40,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every class of near-duplicates the document with the smallest id stays; texts without a word all stay."""
-    keyed = _packed(docs).withColumn("row", F.struct("doc_id", F.sha2("text", 256).alias("sha")))
+    keyed = _packed(docs).withColumn("row", F.struct("doc_id", F.unhex(F.sha2("text", 256)).alias("sha")))
     found = minmax_dedup.classes(keyed.select("row", "text"), key="row")
     stay = found.where("kept").select(F.col("row").alias("stay"), (F.col("n_shingles") == 0).alias("empty")).distinct()
     first = F.row_number().over(Window.partitionBy("row").orderBy(F.lit(1)))
