@@ -103,3 +103,28 @@ def test_cut_sets_lose_no_link():
             links += 1
             assert mm.may_be_similar(len(np.intersect1d(x, y)), len(a), len(x), len(b), len(y), 75)
     assert mm.similar(*pairs[0], 75) and links > 100
+
+
+def test_small_blocks_and_many_classes(spark, monkeypatch):
+    """Families near the threshold: buckets with several classes, split into many blocks, against all pairs."""
+    monkeypatch.setattr(mm, "BLOCK", 7)
+    draw, docs = random.Random(3), []
+    for family in range(4):
+        for _ in range(40):
+            words = [f"w{family}_{i}" for i in range(120)]
+            for _ in range(draw.randrange(6)):
+                words[draw.randrange(120)] = f"x{draw.random()}"
+            docs.append((len(docs), " ".join(words)))
+    sets = [set(mm.Shingler().shingles(text).tolist()) for _, text in docs]
+    smallest = list(range(len(docs)))
+    moved = True
+    while moved:
+        moved = False
+        for a in range(len(docs)):
+            for b in range(a):
+                shared = len(sets[a] & sets[b])
+                if 100 * shared >= 75 * (len(sets[a]) + len(sets[b]) - shared) and smallest[a] != smallest[b]:
+                    smallest[a] = smallest[b] = min(smallest[a], smallest[b])
+                    moved = True
+    found = mm.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in found} == dict(enumerate(smallest))
