@@ -6,7 +6,8 @@ training text is a seed, so a substituted word between the marks does not break
 text and item; any stretch along it counts as an overlap if it has at least ``min_words`` words, or the whole of a shorter
 item, and at least ``min_similarity`` of them are equal, wherever the others stand.
 The masks miss no overlap of at least 13 words with 80% of them equal; with smaller limits some may have no seed.
-Items too short for the masks are looked for whole and unchanged.
+Items too short for them have masks of their own, four words in five at most, which miss no copy with 80% of its words equal;
+below five words that share leaves no word to change, and such items are looked for unchanged.
 
 The training texts stay where they are. Benchmark items are taken in blocks of a bounded size, each broadcast; one block
 is the ordinary case of the same loop. Hits are verified where they are found, so a passage in a third of all texts
@@ -33,6 +34,10 @@ from veritrail.llm.common import prepare
 # 15 with 3, 20 with 4 and 25 with 5. Every stretch of 13 words or more with 80% equal contains one of these: from 26
 # words on, one of its two halves has the share too.
 MASKS = ("11101111", "11010010111", "111110011", "1100100010111", "1110101001001", "1111111")
+# Fixed masks for shorter items: they meet every five words with one changed, and so 5 to 9 words with one and 10 to 12 with
+# two, as one half of the latter has at most one.
+SHORT_MASKS = ("1111", "11011", "10111", "11101")
+SHORT_WORDS = 5
 MIN_WORDS = 13
 MIN_SIMILARITY = 0.8
 BLOCK_BYTES = 4 << 20  # of benchmark text in one broadcast
@@ -71,6 +76,13 @@ def _factors(mask: str) -> list[tuple[int, np.uint64]]:
     return [(i, np.uint64(int(rng.integers(1 << 62)) * 2 + 1)) for i, c in enumerate(mask) if c == "1"]
 
 
+def masks_of(size: int) -> tuple[str, ...]:
+    """The masks for an item of ``size`` words."""
+    if size >= max(map(len, MASKS)):
+        return MASKS
+    return SHORT_MASKS if size >= SHORT_WORDS else ("1" * size,)
+
+
 def seeds(hashes: np.ndarray, mask: str) -> np.ndarray:
     """The seed at every place where the mask fits."""
     size = len(hashes) - len(mask) + 1
@@ -117,9 +129,8 @@ class Benchmark:
                 self.words.append(words)
         self.by_mask: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         gathered: dict[str, list[tuple[np.ndarray, int]]] = {}
-        longest = max(map(len, MASKS))
         for i, words in enumerate(self.words):
-            for mask in MASKS if len(words) >= longest else ("1" * len(words),):
+            for mask in masks_of(len(words)):
                 gathered.setdefault(mask, []).append((seeds(words, mask), i))
         for mask, parts in gathered.items():
             hashes = np.concatenate([p for p, _ in parts])
