@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 
 from veritrail.streaming.answers import add_to_filter, deliver_answers, delivered_after, may_contain
 from veritrail.streaming.ingest import ingest_documents
-from veritrail.streaming.progress import track_progress
+from veritrail.streaming.progress import track_progress, track_scores
 from veritrail.streaming.runs import read_table_stream
-from veritrail.streaming.stalls import stalled_analyses, watch_stalls
+from veritrail.streaming.stalls import stall_events, stalled_analyses, watch_stalls
 
 START = datetime(2024, 1, 1)
 ANSWERS = "id string, analysis_id long, question_pk long, theme_id int, created_at timestamp"
@@ -153,3 +153,86 @@ def test_filters_never_miss():
         assert may_contain(held, np.array(added)).all()
     assert may_contain(held, rng.integers(-2 ** 63, 2 ** 63 - 1, 10_000)).mean() < 0.01
     assert not may_contain(None, np.array(added)).any()
+
+
+def test_stall_events_come_without_a_further_event_of_the_analysis(spark, tmp_path):
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    at = lambda seconds: START + timedelta(seconds=seconds)
+    stream = lambda: read_table_stream(spark, str(folder), files_per_batch=1)
+
+    def told():
+        found = stall_events(stream(), out, "20 seconds", 100, 200, 300)
+        return sorted((r.analysis_id, int((r.stalled_at - START).total_seconds()), r.reason, r.partial_answers) for r in found.collect())
+
+    add(spark, folder, [(1, "started", at(0)), (2, "answer", at(15)), (2, "answer", at(10)), (None, "answer", at(1)), (3, "answer", None)],
+        EVENTS, "1")
+    assert told() == []
+    add(spark, folder, [(1, "answer", at(50)), (9, "answer", at(114)), (3, "heartbeat", at(95))], EVENTS, "2")
+    assert told() == []  # the deadline of 2 is 115, the watermark 94
+    add(spark, folder, [(9, "answer", at(140))], EVENTS, "3")
+    assert told() == [(2, 115, "no progress", 2)]  # 2 itself sent nothing
+    add(spark, folder, [(2, "answer", at(145)), (1, "answer", at(148)), (9, "answer", at(230)), (9, "started", at(240))], EVENTS, "4")
+    assert told() == [(2, 115, "no progress", 2)]  # alive again; 1 came in time
+    add(spark, folder, [(9, "heartbeat", at(450))], EVENTS, "5")
+    later = [(1, 248, "no progress", 2), (2, 115, "no progress", 2), (2, 245, "no progress", 3), (3, 395, "no start time", 0),
+             (9, 330, "no progress", 3)]
+    assert told() == later
+    assert told() == later  # nothing new, nothing told again
+
+
+def test_stall_events_do_not_depend_on_the_batches(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    times = np.sort(rng.integers(0, 5_000, 400))
+    rows = [(int(rng.integers(1, 9)), str(rng.choice(["answer", "answer", "heartbeat", "started"])), START + timedelta(seconds=int(t)))
+            for t in times]
+    results = []
+    for name, size in (("one", 400), ("some", 130)):
+        for n, start in enumerate(range(0, 400, size)):
+            part = rows[start:start + size]
+            add(spark, tmp_path / name, [part[i] for i in rng.permutation(len(part))], EVENTS, str(n))
+        stream = read_table_stream(spark, str(tmp_path / name), files_per_batch=1)
+        found = stall_events(stream, str(tmp_path / f"{name}-out"), "10 seconds", 60, 90, 70)
+        results.append(sorted(map(tuple, found.collect())))
+    assert results[0] == results[1] and len(results[0]) > 20
+
+
+def test_stored_answers_start_the_progress(spark, tmp_path):
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    themes = spark.createDataFrame([(0, 2, "social", "Zero", 2), (1, 1, "social", "Um", 2), (2, 3, "governance", "Dois", 1)],
+                                   "theme_id int, display_order int, dimension string, name string, question_count long")
+    stored = spark.createDataFrame([answer(0), answer(1), answer(0), answer(2, analysis=2), answer(5, analysis=3)], ANSWERS)
+    stream = lambda: read_table_stream(spark, str(folder), files_per_batch=1)
+
+    def events():
+        return sorted((r.analysis_id, r.event, r.subject or "", r.answered_count, r.total)
+                      for r in track_progress(stream(), themes, out, stored).collect())
+
+    add(spark, folder, [answer(0), answer(1), answer(4), answer(2, analysis=2)], ANSWERS, "1")
+    first = [(1, "progress", "", 3, 5), (1, "theme_complete", "Um", 2, 2)]
+    assert events() == first
+    add(spark, folder, [answer(2), answer(3), answer(4), answer(5, analysis=3)], ANSWERS, "2")
+    second = [(1, "analysis_complete", "", 5, 5), (1, "dimension_start", "governance", 0, 5), (1, "progress", "", 5, 5),
+              (1, "theme_complete", "Dois", 1, 1), (1, "theme_complete", "Zero", 2, 2), (1, "theme_start", "Dois", 0, 1)]
+    assert events() == sorted(first + second)
+
+
+def test_completed_themes_carry_the_score_of_their_time(spark, tmp_path):
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    themes = spark.createDataFrame([(0, 1, "social", "Zero", 2), (1, 2, "social", "Um", 1)],
+                                   "theme_id int, display_order int, dimension string, name string, question_count long")
+    questions = spark.createDataFrame([(n, n % 3, "Sim") for n in range(6)], "question_pk long, theme_id int, expected_answer string")
+    given = {0: "Sim", 1: "Não"}
+
+    def answers():
+        return spark.createDataFrame([(1, 7, 2024, q, a) for q, a in given.items()],
+                                     "analysis_id long, company_id long, report_year int, question_pk long, answer string")
+
+    def scores():
+        stream = read_table_stream(spark, str(folder), files_per_batch=1)
+        return sorted((r.theme_id, r.answered_count, r.raw_score) for r in track_scores(stream, themes, questions, answers, out).collect())
+
+    add(spark, folder, [answer(0), answer(1)], ANSWERS, "1")
+    assert scores() == [(1, 1, 0.0)]
+    given.update({1: "Sim", 3: "Não"})  # the first theme's answer is mended later; its completion was told already
+    add(spark, folder, [answer(3)], ANSWERS, "2")
+    assert scores() == [(0, 2, 5.0), (1, 1, 0.0)]

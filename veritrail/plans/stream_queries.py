@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from veritrail.plans.checks import sql_rating
 from veritrail.plans.fixtures import VIEWS
 from veritrail.plans.registry import query
+from veritrail.plans.scoring_queries import stored_answers
 from veritrail.session import work_path
 from veritrail.streaming.answers import deliver_answers, delivered_after
 from veritrail.streaming.ingest import ingest_documents
-from veritrail.streaming.progress import track_progress
+from veritrail.streaming.progress import track_progress, track_scores
 from veritrail.streaming.runs import read_table_stream
-from veritrail.streaming.stalls import watch_stalls
+from veritrail.streaming.stalls import stall_events, watch_stalls
 
 ANSWER_ID = ["l_orderkey", "l_linenumber", "analysis_id", "question_pk", "created_at", "answer"]
 
@@ -59,6 +61,40 @@ def _(fx):
     return track_progress(stream, themes, work_path(fx.spark, "progress"))
 
 
+# The answers of the first two lines are stored already when the stream of all answers begins.
+@query("resumed_progress", f"""
+WITH themes AS (SELECT theme_id, name, dimension, CAST({_NEEDED} AS BIGINT) AS needed FROM {{d_themes}}),
+whole AS (SELECT CAST(sum(needed) AS BIGINT) AS total FROM themes),
+counts AS (SELECT analysis_id, theme_id, count(DISTINCT question_pk) AS n,
+    count(DISTINCT question_pk) FILTER (WHERE l_linenumber <= 2) AS k FROM {{d_answers_raw}} JOIN {{d_questions}} USING (question_pk) GROUP BY 1, 2),
+sides AS (SELECT analysis_id, dimension, sum(k) AS k FROM counts JOIN themes USING (theme_id) GROUP BY 1, 2),
+totals AS (SELECT analysis_id, CAST(sum(n) AS BIGINT) AS answered, CAST(sum(k) AS BIGINT) AS k FROM counts GROUP BY 1)
+SELECT analysis_id, 'dimension_start' AS event, dimension AS subject, 0::BIGINT AS answered_count, total FROM sides, whole WHERE k = 0
+UNION ALL SELECT analysis_id, 'theme_start', name, 0, needed FROM counts JOIN themes USING (theme_id) WHERE k = 0
+UNION ALL SELECT analysis_id, 'theme_complete', name, n, needed FROM counts JOIN themes USING (theme_id) WHERE k < needed AND n >= needed
+UNION ALL SELECT analysis_id, 'progress', NULL, answered, total FROM totals, whole WHERE answered > k
+UNION ALL SELECT analysis_id, 'analysis_complete', NULL, answered, total FROM totals, whole WHERE k < total AND answered >= total""")
+def _(fx):
+    questions = fx["d_questions"].select("question_pk", "theme_id")
+    stream = stream_of(fx, "d_answers_raw", "lineitem").select("analysis_id", "question_pk").join(questions, "question_pk")
+    stored = fx["d_answers_raw"].where("l_linenumber <= 2").join(questions, "question_pk")
+    themes = fx["d_themes"].withColumn("question_count", F.expr(_NEEDED))
+    return track_progress(stream, themes, work_path(fx.spark, "progress"), stored)
+
+
+@query("completion_scores", f"""
+WITH themes AS (SELECT theme_id, {_NEEDED} AS needed FROM {{d_themes}}),
+counts AS (SELECT analysis_id, theme_id, count(DISTINCT question_pk) AS answered_count
+  FROM {{d_answers_raw}} JOIN {{d_questions}} USING (question_pk) GROUP BY 1, 2)
+SELECT analysis_id, CAST(theme_id AS INT) AS theme_id, answered_count, raw_score, {sql_rating('raw_score')} AS rating
+FROM counts JOIN themes USING (theme_id) LEFT JOIN {{o_theme_scores}} USING (analysis_id, theme_id) WHERE answered_count >= needed""")
+def _(fx):
+    questions = fx["d_questions"].select("question_pk", "theme_id")
+    stream = stream_of(fx, "d_answers_raw", "lineitem").select("analysis_id", "question_pk").join(questions, "question_pk")
+    themes = fx["d_themes"].withColumn("question_count", F.expr(_NEEDED))
+    return track_scores(stream, themes, fx["d_questions"], lambda: stored_answers(fx), work_path(fx.spark, "scores"))
+
+
 @query("stream_stalls", """
 WITH seen AS (SELECT analysis_id, max(ts) FILTER (WHERE kind = 'answer') AS last_answer,
     min(ts) FILTER (WHERE kind = 'started') AS started_at, max(ts) FILTER (WHERE kind = 'heartbeat') AS heartbeat_at,
@@ -77,6 +113,23 @@ def _(fx):
     return stalled.select("analysis_id", "partial_answers", "reason")
 
 
+# Every stall that the watermark, an hour behind the newest event, has passed.
+@query("stall_events", """
+WITH signs AS (SELECT analysis_id, epoch_us(ts) // 1000 AS ms, count(*) FILTER (WHERE kind = 'answer') AS n,
+    bool_or(kind = 'started') AS s, bool_or(kind = 'heartbeat') AS h FROM {d_progress} GROUP BY 1, 2),
+running AS (SELECT analysis_id, ms, max(CASE WHEN n > 0 THEN ms END) OVER w AS last_answer, min(CASE WHEN s THEN ms END) OVER w AS started_at,
+    max(CASE WHEN h THEN ms END) OVER w AS heartbeat_at, CAST(sum(n) OVER w AS BIGINT) AS partial_answers, lead(ms) OVER w AS following
+  FROM signs WINDOW w AS (PARTITION BY analysis_id ORDER BY ms)),
+timed AS (SELECT *, greatest(CASE WHEN last_answer IS NOT NULL THEN last_answer + 43200000 ELSE started_at + 86400000 END,
+    heartbeat_at + 36000000) AS due FROM running)
+SELECT DISTINCT analysis_id, make_timestamp(due * 1000) AS stalled_at, partial_answers,
+       CASE WHEN last_answer IS NOT NULL THEN 'no progress' WHEN started_at IS NULL THEN 'no start time' ELSE 'no answers' END AS reason
+FROM timed WHERE due < coalesce(following, due + 1) AND due < (SELECT max(epoch_us(ts) // 1000) - 3600000 FROM {d_progress})""")
+def _(fx):
+    stream = stream_of(fx, "d_progress", "events")
+    return stall_events(stream, work_path(fx.spark, "stall-events"), "1 hour", 43200, 86400, 36000)
+
+
 @query("stream_ingest", """
 SELECT doc_id, report_year, CASE WHEN n IS NULL OR doc_id % 50 = 0 THEN 'error' ELSE 'ready' END AS status,
        CASE WHEN doc_id % 50 = 0 THEN 0 ELSE coalesce(n, 0) END AS chunk_count,

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from veritrail.streaming.runs import append_to_files, finish, state_on_disk
+from veritrail.operators.scoring import theme_scores
+from veritrail.streaming.runs import append_to_files, finish, per_batch, state_on_disk
 
 EVENTS = "analysis_id long, event string, subject string, answered_count long, total long"
 ROW = "analysis_id long, question_pk long, theme_id int, display_order int, dimension string, name string, questions long, total long"
@@ -40,11 +41,22 @@ class ProgressTracker(StatefulProcessor):
         self.dimensions = handle.getMapState("dimensions", "dimension string", "known boolean")
         self.count = handle.getValueState("answered", "n long")
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        """Answers stored before the stream began are known; nothing is said about them."""
+        self._take(initialState)
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        given = pd.concat(list(rows)).drop_duplicates("question_pk")
+        events = self._take(pd.concat(list(rows)))
+        if events:
+            yield pd.DataFrame([(key[0], *event) for event in events],
+                               columns=["analysis_id", "event", "subject", "answered_count", "total"])
+
+    def _take(self, rows: pd.DataFrame) -> list[tuple]:
+        """Remember the rows' questions; what is new as (event, subject, answered_count, total)."""
+        given = rows.drop_duplicates("question_pk")
         new = given[[not self.questions.containsKey((int(q),)) for q in given["question_pk"]]]
         if new.empty:
-            return
+            return []
         known = self.count.get()[0] if self.count.exists() else 0
         for question in new["question_pk"]:
             self.questions.updateValue((int(question),), (True,))
@@ -67,32 +79,65 @@ class ProgressTracker(StatefulProcessor):
         events.append(("progress", None, answered, total))
         if known < total <= answered:
             events.append(("analysis_complete", None, answered, total))
-        yield pd.DataFrame([(key[0], *event) for event in events],
-                           columns=["analysis_id", "event", "subject", "answered_count", "total"])
+        return events
 
     def close(self) -> None:
         pass
 
 
-def progress_events(stream: DataFrame, themes: DataFrame) -> DataFrame:
-    """Events from ``stream(analysis_id, question_pk, theme_id)``; repeated answers count once, unknown themes not.
-
-    ``themes`` has theme_id, display_order, dimension, name and question_count; each row takes its theme's along.
-    """
+def _catalogued(answers: DataFrame, themes: DataFrame) -> DataFrame:
+    """Answers of known themes; each row takes its theme's columns along."""
     total = themes.agg(F.coalesce(F.sum("question_count"), F.lit(0))).first()[0]
     catalogue = themes.select(F.col("theme_id").cast("int").alias("theme_id"), F.col("display_order").cast("int").alias("display_order"),
                               "dimension", "name", F.col("question_count").cast("long").alias("questions"))
-    rows = stream.select("analysis_id", "question_pk", F.col("theme_id").cast("int").alias("theme_id")).join(catalogue, "theme_id")
-    rows = rows.select("analysis_id", "question_pk", "theme_id", "display_order", "dimension", "name", "questions",
+    rows = answers.select("analysis_id", "question_pk", F.col("theme_id").cast("int").alias("theme_id")).join(catalogue, "theme_id")
+    return rows.select("analysis_id", "question_pk", "theme_id", "display_order", "dimension", "name", "questions",
                        F.lit(total).cast("long").alias("total"))
-    return rows.mapInPandas(distinct_in_batch, ROW).groupBy("analysis_id").transformWithStateInPandas(
-        statefulProcessor=ProgressTracker(), outputStructType=EVENTS, outputMode="Append", timeMode="None"
+
+
+def progress_events(stream: DataFrame, themes: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """Events from ``stream(analysis_id, question_pk, theme_id)``; repeated answers count once, unknown themes not.
+
+    ``themes`` has theme_id, display_order, dimension, name and question_count. ``stored`` has the columns of the stream:
+    answers that were there before it, of which no event is told again. They are the first batch's initial state.
+    """
+    known = None
+    if stored is not None:
+        known = _catalogued(stored, themes).dropDuplicates(["analysis_id", "question_pk"]).groupBy("analysis_id")
+    return _catalogued(stream, themes).mapInPandas(distinct_in_batch, ROW).groupBy("analysis_id").transformWithStateInPandas(
+        statefulProcessor=ProgressTracker(), outputStructType=EVENTS, outputMode="Append", timeMode="None", initialState=known
     )
 
 
-def track_progress(stream: DataFrame, themes: DataFrame, path: str) -> DataFrame:
+def track_progress(stream: DataFrame, themes: DataFrame, path: str, stored: DataFrame | None = None) -> DataFrame:
     """Append progress events to the table under ``path``."""
     spark = stream.sparkSession
     with state_on_disk(spark):
-        finish(append_to_files(progress_events(stream, themes), path))
+        finish(append_to_files(progress_events(stream, themes, stored), path))
     return spark.read.schema(EVENTS).parquet(f"{path}/data")
+
+
+def track_scores(stream: DataFrame, themes: DataFrame, questions: DataFrame, read_answers: Callable[[], DataFrame], path: str,
+                 stored: DataFrame | None = None) -> DataFrame:
+    """(analysis_id, theme_id, answered_count, raw_score, rating) of every theme that completes, with its score at that time.
+
+    ``read_answers`` gives the stored answers, normalised and unique; it is called for every batch, so what was stored
+    in the meantime counts. Only the answers of the batch's analyses are read into the scores. A repeated batch replaces its folders.
+    """
+    spark = stream.sparkSession
+
+    def write(batch: DataFrame, number: int) -> None:
+        at = f"{path}/events/batch={number}"
+        batch.write.mode("overwrite").parquet(at)
+        done = spark.read.schema(EVENTS).parquet(at).where("event = 'theme_complete'")
+        done = done.join(themes.select(F.col("name").alias("subject"), F.col("theme_id").cast("int").alias("theme_id")), "subject")
+        answers = read_answers().join(done.select("analysis_id").distinct(), "analysis_id", "left_semi")
+        scores = theme_scores(answers, questions).select(
+            "analysis_id", F.col("theme_id").cast("int").alias("theme_id"), "raw_score", "rating")
+        scored = done.select("analysis_id", "theme_id", "answered_count").join(scores, ["analysis_id", "theme_id"], "left")
+        scored.write.mode("overwrite").parquet(f"{path}/scores/batch={number}")
+
+    with state_on_disk(spark):
+        finish(per_batch(progress_events(stream, themes, stored), path, write))
+    return spark.read.schema("analysis_id long, theme_id int, answered_count long, raw_score double, rating string").parquet(
+        f"{path}/scores/batch=*")
