@@ -128,6 +128,23 @@ def test_ingest_by_batch(spark, tmp_path):
     assert status.count() == 6 and chunks.count() == 4
 
 
+def test_a_table_in_several_files_is_read_whole(spark, tmp_path):
+    rows = [(n, 2024, 1, "texto" if n else " ") for n in range(4)]
+    documents = spark.createDataFrame(rows, "doc_id long, report_year int, page_count long, text string")
+    documents.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    _, status = ingest_documents(read_table_stream(spark, str(tmp_path), "documents.parquet"), str(tmp_path / "out"))
+    assert sorted((r.doc_id, r.status) for r in status.collect()) == [(0, "error"), (1, "ready"), (2, "ready"), (3, "ready")]
+
+
+def test_a_stream_without_files_gives_empty_tables(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    stream = spark.readStream.schema("doc_id long, report_year int, page_count long, text string").parquet(str(folder))
+    assert [t.count() for t in ingest_documents(stream, str(tmp_path / "out"))] == [0, 0]
+    stream = spark.readStream.schema(ANSWERS).parquet(str(folder))
+    assert deliver_answers(stream, ["id"], str(tmp_path / "answers")).count() == 0
+
+
 def test_delivery_is_numbered_in_created_order_and_resumable(spark, tmp_path):
     folder, out = tmp_path / "in", str(tmp_path / "out")
     add(spark, folder, [answer(n) for n in (9, 3, 30, 12)], ANSWERS, "1")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from veritrail.operators.keys import first_per_key, ordered_number
-from veritrail.session import Job, ship_package
+from veritrail.session import Job, read_folder, ship_package
 from veritrail.streaming.runs import finish, per_batch
 
 BUCKETS = 64  # folders of delivered ids in a batch
@@ -120,7 +120,7 @@ def deliver_answers(stream: DataFrame, ids: Sequence[str], path: str, time: str
             job.drop(name)
 
     finish(per_batch(stream, path, write))
-    return spark.read.schema(shape).parquet(f"{path}/data").drop("batch")
+    return read_folder(spark, f"{path}/data", shape).drop("batch")
 
 
 def delivered_after(spark: SparkSession, path: str, seen: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from veritrail.operators.chunking import chunk_texts
+from veritrail.session import read_folder
 from veritrail.sources.sinks import write_chunks
 from veritrail.streaming.runs import finish, per_batch
 
@@ -39,5 +40,4 @@ def ingest_documents(stream: DataFrame, path: str) -> tuple[DataFrame, DataFrame
 
     finish(per_batch(stream, path, write))
     by_batch = lambda schema: StructType([*schema.fields, StructField("batch", LongType())])
-    return (spark.read.schema(by_batch(shape)).parquet(f"{path}/chunks"),
-            spark.read.schema(by_batch(status)).parquet(f"{path}/status"))
+    return read_folder(spark, f"{path}/chunks", by_batch(shape)), read_folder(spark, f"{path}/status", by_batch(status))
