@@ -1,11 +1,12 @@
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from veritrail.streaming.answers import add_to_filter, deliver_answers, delivered_after, may_contain
 from veritrail.streaming.ingest import ingest_documents
-from veritrail.streaming.progress import track_progress, track_scores
+from veritrail.streaming.progress import ProgressTracker, track_progress, track_scores
 from veritrail.streaming.runs import read_table_stream
 from veritrail.streaming.stalls import stall_events, stalled_analyses, watch_stalls
 
@@ -253,3 +254,55 @@ def test_completed_themes_carry_the_score_of_their_time(spark, tmp_path):
     given.update({1: "Sim", 3: "Não"})  # the first theme's answer is mended later; its completion was told already
     add(spark, folder, [answer(3)], ANSWERS, "2")
     assert scores() == [(0, 2, 5.0), (1, 1, 0.0)]
+
+
+class _Handle:
+    """State in memory that counts its round trips."""
+
+    def __init__(self):
+        self.calls, self.maps, self.values = 0, {}, {}
+
+    def getMapState(self, name, *_):
+        return _State(self, self.maps.setdefault(name, {}))
+
+    def getValueState(self, name, *_):
+        return _State(self, self.values.setdefault(name, {}))
+
+
+class _State:
+    def __init__(self, handle, held):
+        self.handle, self.held = handle, held
+
+    def getValue(self, key):
+        self.handle.calls += 1
+        return self.held.get(key)
+
+    def updateValue(self, key, value):
+        self.handle.calls += 1
+        self.held[key] = value
+
+    def get(self):
+        return self.getValue(None)
+
+    def update(self, value):
+        self.updateValue(None, value)
+
+    containsKey = lambda self, key: self.getValue(key) is not None
+    exists = lambda self: self.get() is not None
+
+
+def test_progress_state_is_read_by_pages_not_by_question():
+    def rows(questions):
+        return pd.DataFrame([(1, q, q % 2, q % 2, "social", f"T{q % 2}", 300, 600) for q in questions],
+                            columns=["analysis_id", "question_pk", "theme_id", "display_order", "dimension", "name", "questions", "total"])
+
+    handle, tracker = _Handle(), ProgressTracker()
+    tracker.init(handle)
+    say = lambda questions: [r for part in tracker.handleInputRows((1,), iter([rows(questions)]), None)
+                             for r in part.itertuples(index=False, name=None)]
+    far = [-5, 2**40, 2**40 + 1]  # ids of pages of their own
+    told = say([*range(500), *range(500), *far])
+    assert ("progress", 503, 600) == (told[-1][1], *told[-1][3:]) and handle.calls <= 10
+    assert say([3, 499, *far]) == []  # known ones
+    told = say([2**40, 2**40 + 2, *range(490, 596)])
+    assert [e[1] for e in told] == ["theme_complete", "theme_complete", "progress", "analysis_complete"] and told[2][3] == 600

@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -15,7 +16,9 @@ from veritrail.operators.scoring import theme_scores
 from veritrail.streaming.runs import append_to_files, finish, per_batch, state_on_disk
 
 EVENTS = "analysis_id long, event string, subject string, answered_count long, total long"
-ROW = "analysis_id long, question_pk long, theme_id int, display_order int, dimension string, name string, questions long, total long"
+
+ANSWERED = "analysis_id long, question_pk long, theme_id int"
+PAGE_BITS = 16  # two bytes say which question of a page
 
 # Spark first loads the processor in a Python process of the driver that knows no shipped
 # packages, so the processor travels with its code.
@@ -25,21 +28,21 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 def distinct_in_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Map-side combine: an analysis sends at most its catalogue per incoming batch, however hot it is."""
     for pdf in batches:
-        yield pdf.drop_duplicates(["analysis_id", "question_pk"])
+        yield pdf.drop_duplicates()
 
 
 class ProgressTracker(StatefulProcessor):
     """Remembers an analysis's answered questions and says what is new.
 
-    Every row brings its theme's order, dimension, name and size and the catalogue's total. The states are maps, so
-    a batch reads and writes the entries of its own questions, themes and dimensions only.
+    Every row brings its theme's order, dimension, name and size and the catalogue's total. Every access to the state is
+    a round trip, so questions are kept in pages of 65,536 neighbouring ids, two sorted bytes each (128 KB at most), and
+    the themes' counts and the dimensions, as few as the catalogue has, in one value. A batch reads and writes the pages
+    of its own questions only.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.questions = handle.getMapState("questions", "question_pk long", "known boolean")
-        self.themes = handle.getMapState("themes", "theme_id int", "answered long")
-        self.dimensions = handle.getMapState("dimensions", "dimension string", "known boolean")
-        self.count = handle.getValueState("answered", "n long")
+        self.pages = handle.getMapState("pages", "page long", "offsets binary")
+        self.reached = handle.getValueState("reached", "themes array<int>, counts array<long>, dimensions array<string>")
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         """Answers stored before the stream began are known; nothing is said about them."""
@@ -51,31 +54,46 @@ class ProgressTracker(StatefulProcessor):
             yield pd.DataFrame([(key[0], *event) for event in events],
                                columns=["analysis_id", "event", "subject", "answered_count", "total"])
 
+    def _new(self, questions: np.ndarray) -> np.ndarray:
+        """The places of the first row of every question that was not known; from now on it is."""
+        distinct, first = np.unique(questions, return_index=True)
+        pages, starts = np.unique(distinct >> PAGE_BITS, return_index=True)
+        new = []
+        for page, start, end in zip(pages.tolist(), starts, [*starts[1:], len(distinct)]):
+            offsets = (distinct[start:end] & ((1 << PAGE_BITS) - 1)).astype(np.uint16)
+            held = self.pages.getValue((page,))
+            known = np.frombuffer(held[0], np.uint16) if held else np.empty(0, np.uint16)
+            fresh = ~np.isin(offsets, known)
+            if fresh.any():
+                self.pages.updateValue((page,), (np.union1d(known, offsets).tobytes(),))
+                new.append(first[start:end][fresh])
+        return np.concatenate(new) if new else np.empty(0, np.int64)
+
     def _take(self, rows: pd.DataFrame) -> list[tuple]:
         """Remember the rows' questions; what is new as (event, subject, answered_count, total)."""
-        given = rows.drop_duplicates("question_pk")
-        new = given[[not self.questions.containsKey((int(q),)) for q in given["question_pk"]]]
-        if new.empty:
+        new = self._new(rows["question_pk"].to_numpy(np.int64))
+        if not len(new):
             return []
-        known = self.count.get()[0] if self.count.exists() else 0
-        for question in new["question_pk"]:
-            self.questions.updateValue((int(question),), (True,))
-        answered, total = known + len(new), int(new["total"].iloc[0])
-        self.count.update((answered,))
+        held = self.reached.get()
+        counts, dimensions = (dict(zip(held[0], held[1])), list(held[2])) if held else ({}, [])
+        columns = {c: rows[c].to_numpy() for c in ("theme_id", "display_order", "dimension", "name", "questions")}
+        themes, first, sizes = np.unique(columns["theme_id"][new], return_index=True, return_counts=True)
+        known, total = sum(counts.values()), int(rows["total"].iloc[0])
         events = []
-        for (_, theme), part in new.groupby(["display_order", "theme_id"]):
-            row = part.iloc[0]
-            name, dimension, size = row["name"], row["dimension"], int(row["questions"])
-            place = (int(theme),)
-            before = self.themes.getValue(place)[0] if self.themes.containsKey(place) else 0
-            self.themes.updateValue(place, (before + len(part),))
+        for place, theme, added in sorted(zip(new[first].tolist(), themes.tolist(), sizes.tolist()),
+                                          key=lambda t: (columns["display_order"][t[0]], t[1])):
+            name, dimension, size = columns["name"][place], columns["dimension"][place], int(columns["questions"][place])
+            before = counts.get(theme, 0)
+            counts[theme] = before + added
             if not before:
-                if not self.dimensions.containsKey((dimension,)):
-                    self.dimensions.updateValue((dimension,), (True,))
+                if dimension not in dimensions:
+                    dimensions.append(dimension)
                     events.append(("dimension_start", dimension, 0, total))
                 events.append(("theme_start", name, 0, size))
-            if before < size <= before + len(part):
-                events.append(("theme_complete", name, before + len(part), size))
+            if before < size <= before + added:
+                events.append(("theme_complete", name, before + added, size))
+        self.reached.update((list(counts), list(counts.values()), dimensions))
+        answered = known + len(new)
         events.append(("progress", None, answered, total))
         if known < total <= answered:
             events.append(("analysis_complete", None, answered, total))
@@ -85,14 +103,18 @@ class ProgressTracker(StatefulProcessor):
         pass
 
 
+def _answered(answers: DataFrame) -> DataFrame:
+    return answers.select(F.col("analysis_id").cast("long").alias("analysis_id"), F.col("question_pk").cast("long").alias("question_pk"),
+                          F.col("theme_id").cast("int").alias("theme_id")).dropna()
+
+
 def _catalogued(answers: DataFrame, themes: DataFrame) -> DataFrame:
     """Answers of known themes; each row takes its theme's columns along."""
     total = themes.agg(F.coalesce(F.sum("question_count"), F.lit(0))).first()[0]
     catalogue = themes.select(F.col("theme_id").cast("int").alias("theme_id"), F.col("display_order").cast("int").alias("display_order"),
                               "dimension", "name", F.col("question_count").cast("long").alias("questions"))
-    rows = answers.select("analysis_id", "question_pk", F.col("theme_id").cast("int").alias("theme_id")).join(catalogue, "theme_id")
-    return rows.select("analysis_id", "question_pk", "theme_id", "display_order", "dimension", "name", "questions",
-                       F.lit(total).cast("long").alias("total"))
+    return answers.join(catalogue, "theme_id").select("analysis_id", "question_pk", "theme_id", "display_order", "dimension", "name", "questions",
+                                                      F.lit(total).cast("long").alias("total"))
 
 
 def progress_events(stream: DataFrame, themes: DataFrame, stored: DataFrame | None = None) -> DataFrame:
@@ -103,8 +125,9 @@ def progress_events(stream: DataFrame, themes: DataFrame, stored: DataFrame | No
     """
     known = None
     if stored is not None:
-        known = _catalogued(stored, themes).dropDuplicates(["analysis_id", "question_pk"]).groupBy("analysis_id")
-    return _catalogued(stream, themes).mapInPandas(distinct_in_batch, ROW).groupBy("analysis_id").transformWithStateInPandas(
+        known = _catalogued(_answered(stored).distinct(), themes).groupBy("analysis_id")
+    combined = _answered(stream).mapInPandas(distinct_in_batch, ANSWERED)
+    return _catalogued(combined, themes).groupBy("analysis_id").transformWithStateInPandas(
         statefulProcessor=ProgressTracker(), outputStructType=EVENTS, outputMode="Append", timeMode="None", initialState=known
     )
 
