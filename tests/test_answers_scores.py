@@ -89,6 +89,14 @@ def test_match_answers_hot_batch(spark):
     assert A.match_answers(q, b, ["batch"]).where("match = 'contained'").count() == 2000
 
 
+def test_parts_that_no_id_of_the_batch_can_equal_are_left_out(spark):
+    wanted = spark.createDataFrame([(1, "2.3.4"), (1, "x")], "batch int, _key string")
+    sizes = wanted.groupBy("batch").agg(F.collect_set(F.length("_key")).alias("n"), A.marks(F.col("_key")).alias("m"))
+    reply = F.lit("pergunta 2.3.4: abcdefghij x").alias("reply")
+    parts, every = sizes.select(A._cuts(reply, F.col("n"), F.col("m")), A._cuts(reply, F.col("n"), F.lit(-1).cast("long"))).first()
+    assert {"2.3.4", "x"} <= set(parts) <= set(every) and len(parts) < len(every) / 4
+
+
 def test_fill_and_remaining(spark):
     asked = spark.createDataFrame([(1, 1), (1, 2)], "analysis_id long, question_pk long")
     got = spark.createDataFrame(
