@@ -107,3 +107,9 @@ def test_objects_without_a_question_id_are_rejected(spark):
     assert {(r.i, r.question_id) for r in ingest_answers(frame, ["i"]).where("trim(question_id) <> ''").collect()} == {(2, "1.2"), (3, "7")}
     odd = sorted((r.i, r.reason, r.payload) for r in rejected_replies(frame, ["i"]).collect())
     assert odd == [(1, "no question id", rows[0][1].replace(" ", "")), (2, "no question id", '{"answer":"Sim"}'), (2, "no question id", '{"question_id":" "}')]
+
+
+def test_replies_with_equal_keys_are_judged_apart(spark):
+    frame = spark.createDataFrame([(1, "nada"), (1, '[{"question_id": "1.1"}, 5]'), (None, "7")], "i int, payload string")
+    odd = sorted((r.i or 0, r.reason, r.payload) for r in rejected_replies(frame, ["i"]).collect())
+    assert odd == [(0, "no answer", "7"), (1, "no answer", "nada"), (1, "not an object", "5")]
