@@ -153,3 +153,29 @@ def test_one_long_run_spoils_neither_fit_nor_prediction(spark):
     done = {r.doc_id: r for r in li.predict(docs, (languages, table)).collect()}
     assert all(0 <= r.score <= 1 for r in done.values())
     assert [done[i].lang_pred for i in (0, 20, 50, 51, 53)] == ["en", "de", "en", "de", "de"]
+
+
+def test_frequent_names_stay_remembered():
+    """Rare names beyond the limit push out one another, not the frequent ones; every row is right all the same."""
+    computed = []
+
+    def compute(names):
+        computed.extend(names)
+        return np.array([[float(len(n)), float(hash(n) % 997)] for n in names]).reshape(len(names), 2)
+
+    known = li.Remembered(40, 2)
+    often = [f"often{'x' * i}" for i in range(8)]
+    for turn in range(30):
+        names = often * 3 + [f"rare{turn}-{i}" for i in range(9)] * 2
+        assert np.array_equal(known.rows_of(names, compute), np.array([[len(n), hash(n) % 997] for n in names], float))
+        assert len(known.place) <= 40
+    assert len(computed) == len(often) + 30 * 9
+    many = [f"many{i}" for i in range(300)]  # more than are ever remembered
+    assert known.rows_of(many, compute)[:, 0].tolist() == [len(n) for n in many]
+    assert known.rows_of([], compute).shape == (0, 2)
+
+
+def test_words_of_tokens():
+    for token, words in [("word", ["word"]), ("\"Word,\"", ["word"]), ("(a-B).", ["a", "b"]), ("...", []), ("x1y", ["x", "y"]),
+                         ("ΑΣ.", ["ας"]), ("", []), ("“q”", ["q"])]:
+        assert li.words_of(token) == words

@@ -19,7 +19,7 @@ Repeated rows each get their answer. Other columns pass through; ones named like
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -36,7 +36,9 @@ PER_LANGUAGE = 800  # documents of a language that the fit takes, about
 ROUNDS = 3
 START = "▁"  # marks the beginning of a word in the vocabulary
 STRANGE = 1e-7  # probability of a letter that is no piece
+MARKS = ".,;:!?\"'()[]"  # no letters; stand around words most often
 AT_ONCE = 60_000  # tokens that are looked up together
+TOKENS, WORDS = 200_000, 120_000  # that a worker remembers
 WINDOW = 4_096  # characters of a long word that are looked up at once
 CELLS = 1 << 18  # characters of words that are summed together
 RESCALE = 8  # characters after which the sums over segmentations are brought back to about 1
@@ -85,10 +87,12 @@ class Pieces:
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """The numbers of the pieces and beginnings of pieces with these hashes."""
         number = self.tables[0][self._places(hashes, 0)]
+        missed = np.flatnonzero(self.hashes[number] != hashes)
         for table in range(1, len(self.tables)):
-            missed = np.flatnonzero(self.hashes[number] != hashes)
             number[missed] = self.tables[table][self._places(hashes[missed], table)]
-        return np.where(self.hashes[number] == hashes, number, 0)
+            missed = missed[self.hashes[number[missed]] != hashes[missed]]
+        number[missed] = 0
+        return number
 
 
 @lru_cache(maxsize=2)
@@ -98,8 +102,9 @@ def piece_ids(path: str) -> Pieces:
 
 def words_of(token: str) -> list[str]:
     """The runs of letters of a token in lower case."""
-    if token.isalpha():
-        return [token.lower()]
+    bare = token.strip(MARKS)
+    if bare.isalpha():
+        return [bare.lower()]
     return "".join(c if c.isalpha() else " " for c in token).lower().split()
 
 
@@ -110,19 +115,22 @@ class Lattice:
         self.length, self.longest = len(words[0]), pieces.longest
         codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), self.length)
         self.piece: dict[tuple[int, int], np.ndarray] = {}  # by end and length; lengths beyond 1 only where there are any
-        for begin in range(self.length):
-            value, row = np.zeros(len(words), np.uint64), np.arange(len(words))
-            for size in range(1, min(self.longest, self.length - begin) + 1):
-                value = Pieces.extend(value, codes[row, begin + size - 1])
-                number = pieces.find(value)
-                whole = (number > 0) & (number <= len(pieces.names))
-                if size == 1 or whole.any():
-                    column = np.zeros(len(words), np.int32)
-                    column[row[whole]] = number[whole]
-                    self.piece[(begin + size, size)] = column
-                value, row = value[number > 0], row[number > 0]  # others begin no longer piece
-                if not len(row):
-                    break
+        # all beginnings at once, size by size: place = beginning * words + word, so a beginning's places are neighbours
+        letters = np.ascontiguousarray(codes.T).reshape(-1)
+        place, value = np.arange(len(letters)), np.zeros(len(letters), np.uint64)
+        for size in range(1, min(self.longest, self.length) + 1):
+            inside = np.searchsorted(place, (self.length - size + 1) * len(words))
+            place, value = place[:inside], value[:inside]
+            value = Pieces.extend(value, letters[place + (size - 1) * len(words)])
+            number = pieces.find(value)
+            whole = (number > 0) & (number <= len(pieces.names))
+            columns = np.zeros((self.length - size + 1, len(words)), np.int32)
+            columns.reshape(-1)[place[whole]] = number[whole]
+            for begin in range(len(columns)) if size == 1 else np.flatnonzero(columns.any(axis=1)).tolist():
+                self.piece[(begin + size, size)] = columns[begin] if size == 1 else columns[begin].copy()
+            place, value = place[number > 0], value[number > 0]  # others begin no longer piece
+            if not len(place):
+                break
 
     def _probability(self, span: tuple[int, int], table: np.ndarray) -> np.ndarray:
         """Languages' probabilities of the pieces in one place: words x languages."""
@@ -226,7 +234,42 @@ def log_probabilities(words: list[str], pieces: Pieces, table: np.ndarray) -> np
     return logs
 
 
-def summed(owner: list[int], rows: np.ndarray, size: int) -> np.ndarray:
+class Remembered:
+    """Rows of numbers by name. Beyond ``limit`` names the half asked for most stays; the others are computed again when
+    they come back, which changes no row."""
+
+    def __init__(self, limit: int, width: int):
+        self.limit = limit
+        self.place: dict[str, int] = {}  # in the order of the places
+        self.rows, self.asked = np.zeros((limit, width)), np.zeros(limit, np.int64)
+
+    def rows_of(self, names: list[str], compute: Callable[[list[str]], np.ndarray]) -> np.ndarray:
+        """A row for each of ``names``; ``compute`` gives those of names that are not remembered."""
+        most = self.limit // 2
+        if len(names) > most:
+            return np.concatenate([self.rows_of(names[i:i + most], compute) for i in range(0, len(names), most)])
+        new = list(set(names).difference(self.place))
+        if len(self.place) + len(new) > self.limit:
+            self._forget()
+            new = list(set(names).difference(self.place))
+        if new:
+            start = len(self.place)
+            self.rows[start:start + len(new)] = compute(new)
+            self.asked[start:start + len(new)] = 0
+            self.place.update(zip(new, range(start, start + len(new))))
+        at = np.fromiter(map(self.place.__getitem__, names), np.int64, len(names))
+        self.asked += np.bincount(at, minlength=self.limit)
+        return self.rows[at]
+
+    def _forget(self) -> None:
+        names = list(self.place)
+        keep = np.sort(np.argsort(-self.asked[:len(names)], kind="stable")[:self.limit // 2])
+        self.rows[:len(keep)] = self.rows[keep]
+        self.asked[:len(keep)] = self.asked[keep] // 2
+        self.place = {names[at]: i for i, at in enumerate(keep.tolist())}
+
+
+def summed(owner: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
     """The rows of every owner added up."""
     return np.stack([np.bincount(owner, rows[:, i], size) for i in range(rows.shape[1])], axis=1)
 
@@ -316,41 +359,27 @@ def predict(docs: DataFrame, model, text: str = "text", vocabulary: str | None =
     languages, table = model
     shared = spark.sparkContext.broadcast(table)
     docs = docs.drop("lang_pred", "score")
-    limit = 150_000  # tokens remembered by a worker; forgotten all at once, which changes no result
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, ids = shared.value, piece_ids(path)
-        rows: dict[str, int] = {}
-        known = np.zeros((limit * 2, len(languages)))
-        letters = np.zeros(limit * 2, dtype=np.int64)
-
-        def learn(new: list[str]) -> None:
-            words: dict[str, int] = {}
-            owner, part, size = [], [], []
-            for i, token in enumerate(new):
-                rows[token] = len(rows)
-                of = words_of(token)
-                size.append(sum(map(len, of)))
-                owner += [i] * len(of)
-                part += [words.setdefault(w, len(words)) for w in of]
-            logs = log_probabilities(list(words), ids, table)
-            at = rows[new[0]]
-            known[at:at + len(new)] = summed(owner, logs[part], len(new))
-            letters[at:at + len(new)] = size
+        tokens_known, words_known = Remembered(TOKENS, len(languages) + 1), Remembered(WORDS, len(languages))
+
+        def learn(new: list[str]) -> np.ndarray:
+            """The tokens' log probabilities, and behind them their letters."""
+            of = [words_of(token) for token in new]
+            words = [w for some in of for w in some]
+            logs = words_known.rows_of(words, lambda unknown: log_probabilities(unknown, ids, table))
+            letters = np.fromiter(map(len, words), np.float64, len(words))
+            owner = np.repeat(np.arange(len(of)), np.fromiter(map(len, of), np.int64, len(of)))
+            return summed(owner, np.column_stack([logs, letters]), len(new))
 
         def add(some: list[tuple[int, list[str]]], total: np.ndarray, count: np.ndarray) -> None:
             """Add the tokens' log probabilities and letters to their texts'."""
             tokens = [t for _, part in some for t in part]
             owner = np.repeat([i for i, _ in some], [len(part) for _, part in some])
-            new = list(set(tokens).difference(rows))
-            if len(rows) + len(new) > limit:
-                rows.clear()
-                new = list(set(tokens))
-            if new:
-                learn(new)
-            at = np.fromiter(map(rows.__getitem__, tokens), dtype=np.int64, count=len(tokens))
-            total += summed(owner, known[at], len(total))
-            count += np.bincount(owner, letters[at], len(count)).astype(np.int64)
+            sums = summed(owner, tokens_known.rows_of(tokens, learn), len(total))
+            total += sums[:, :-1]
+            count += sums[:, -1].astype(np.int64)
 
         for batch in batches:
             total, count = np.zeros((batch.num_rows, len(languages))), np.zeros(batch.num_rows, np.int64)
