@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tests.test_retrieval import TEXTS, brute_words
@@ -48,3 +49,24 @@ def test_tokens_are_found_by_their_parts(spark, tmp_path):
 def test_numbers_survive_packing():
     for numbers in ([], [0], [0, 1, 65_535], list(range(0, 60_000, 7))):
         assert X.unpack(X.pack(np.array(numbers, np.int64))).tolist() == numbers
+
+
+def test_many_lists_are_packed_like_each():
+    lists = [np.sort(np.random.default_rng(i).choice(65_536, size, replace=False)) for i, size in enumerate([1, 5, 900, 2, 65_536, 1])]
+    starts = np.cumsum([0, *map(len, lists)])[:-1]
+    packed = X.pack_lists(np.concatenate(lists), starts)
+    assert packed == [X.pack(numbers) for numbers in lists]
+    owner, numbers = X.unpack_lists(packed)
+    assert numbers.tolist() == np.concatenate(lists).tolist() and owner.tolist() == np.repeat(range(6), [*map(len, lists)]).tolist()
+    assert X.pack_lists(np.zeros(0, int), np.zeros(0, int)) == []
+
+
+def test_counts_of_a_segment_are_those_of_its_chunks():
+    terms = pd.DataFrame([(q, w) for q, of in {7: ["ener", "agua"], 8: ["agua"], 9: ["ener", "sol"], 5: ["fim"]}.items() for w in of],
+                         columns=["query_id", "word"])
+    found = pd.DataFrame([("ener", [0, 4]), ("agua", [1, 4]), ("ener", [4, 5]), ("sol", [4])], columns=["word", "chunks"])
+    found["chunks"] = [X.pack(np.array(x)) for x in found["chunks"]]
+    of = {"ener": {0, 4, 5}, "agua": {1, 4}, "sol": {4}, "fim": set()}
+    queries = X._Queries(terms)
+    want = [[sum(chunk in of[w] for w in terms[terms["query_id"] == q]["word"]) for q in queries.ids] for chunk in range(7)]
+    assert queries.counts(found, 7).tolist() == want

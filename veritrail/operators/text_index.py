@@ -48,6 +48,22 @@ def unpack(packed: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(packed, "<u2"), dtype=np.int64)
 
 
+def pack_lists(lists: np.ndarray, starts: np.ndarray) -> list[bytes]:
+    """``pack`` of many lists that lie end to end, none of them empty."""
+    steps = np.diff(lists, prepend=0)
+    steps[starts] = lists[starts]
+    joined, ends = steps.astype("<u2").tobytes(), [*(2 * starts[1:]).tolist(), 2 * len(lists)]
+    return [joined[start:end] for start, end in zip((2 * starts).tolist(), ends)]
+
+
+def unpack_lists(packed: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(list, number) of all numbers of many packed lists."""
+    sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 2
+    steps = np.frombuffer(b"".join(packed), "<u2").astype(np.int64)
+    owner, starts, sums = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes, np.cumsum(steps)
+    return owner, sums - (sums - steps)[starts][owner]
+
+
 def _slot(term: Column, slots: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(slots)).cast("int")
 
@@ -58,9 +74,10 @@ def _segment(pdf: pd.DataFrame, number: int, keep: list[str]) -> pd.DataFrame:
     chunk = np.repeat(np.arange(len(own)), [len(t) for t in own])
     code, tokens = pd.factorize(np.array([t for of in own for t in of], object))
     order = np.lexsort((chunk, code))
-    lists = np.split(chunk[order], np.flatnonzero(np.diff(code[order])) + 1) if len(order) else []
-    chunks = pdf[keep].assign(kind="chunk", segment=number, token=None, chunks=[pack(np.array([i])) for i in range(len(pdf))])
-    rows = pd.DataFrame({"kind": "token", "segment": number, "token": tokens, "chunks": [pack(x) for x in lists]})
+    starts = np.flatnonzero(np.diff(code[order], prepend=-1))
+    places = np.arange(len(pdf))
+    chunks = pdf[keep].assign(kind="chunk", segment=number, token=None, chunks=pack_lists(places, places))
+    rows = pd.DataFrame({"kind": "token", "segment": number, "token": tokens, "chunks": pack_lists(chunk[order], starts)})
     return pd.concat([chunks, rows.reindex(columns=chunks.columns)], ignore_index=True)
 
 
@@ -155,17 +172,23 @@ class _Queries:
         self.ids = list(dict.fromkeys(terms["query_id"]))
         self.words = {w: i for i, w in enumerate(dict.fromkeys(terms["word"]))}
         place = {q: i for i, q in enumerate(self.ids)}
-        self.of: list[list[int]] = [[] for _ in self.words]
+        of: list[list[int]] = [[] for _ in self.words]
         for query, word in zip(terms["query_id"], terms["word"]):
-            self.of[self.words[word]].append(place[query])
+            of[self.words[word]].append(place[query])
+        self.sizes = np.array([len(q) for q in of], int)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.queries = np.array([q for some in of for q in some], int)
 
     def counts(self, found: pd.DataFrame, chunks: int) -> np.ndarray:
         """chunks x queries: how many of the query's words each chunk of a segment has."""
-        out = np.zeros((chunks, len(self.ids)), np.int32)
-        for word, part in found.groupby("word", sort=False):
-            having = np.unique(np.concatenate([unpack(p) for p in part["chunks"]]))
-            out[np.ix_(having, self.of[self.words[word]])] += 1
-        return out
+        token, chunk = unpack_lists(found["chunks"])
+        word = np.fromiter(map(self.words.__getitem__, found["word"]), np.int64, len(found))[token]
+        pair = np.unique(chunk * len(self.words) + word)
+        chunk, word = pair // len(self.words), pair % len(self.words)
+        times = self.sizes[word]
+        entry = np.repeat(self.first[word] - np.cumsum(times) + times, times) + np.arange(times.sum())
+        cells = np.repeat(chunk, times) * len(self.ids) + self.queries[entry]
+        return np.bincount(cells, minlength=chunks * len(self.ids)).reshape(chunks, len(self.ids)).astype(np.int32)
 
 
 def _scorer(asked, scope: list[str], keys: list[str], k: int):
@@ -174,7 +197,7 @@ def _scorer(asked, scope: list[str], keys: list[str], k: int):
     def score(found: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         if not len(found) or not len(own):
             return pd.DataFrame(columns=[*scope, *keys, "query_id", "score"])
-        own = own.iloc[np.argsort([unpack(c)[0] for c in own["chunks"]])].reset_index(drop=True)
+        own = own.iloc[np.argsort(unpack_lists(own["chunks"])[1])].reset_index(drop=True)
         counts = asked.value.counts(found, len(own))
         row, query = np.nonzero(counts)
         return _pick(own, scope, keys, row, query, counts[row, query], asked.value.ids, k)
