@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,3 +138,21 @@ def test_prompts(spark):
     assert [(r.company_id, r.batch, r.questions, r.context) for r in rows] == [
         (1, 1, 5, "c1"), (1, 2, 2, "c1"), (2, 1, 5, "c2"), (2, 2, 2, "c2"), (3, 1, 5, none), (3, 2, 2, none)]
     assert rows[1].question_text == "1. [ID: 1.1.6] Pergunta 6\n2. [ID: 1.1.7] Pergunta 7"
+
+
+def test_words_of_a_large_batch_are_counted_in_parts(monkeypatch):
+    """What is found with repeats is never held for all texts of a batch at once, and the counts do not depend on the parts."""
+    terms = pd.DataFrame({"query_id": [1, 1, 1, 2, 2], "word": ["pala", "palav", "palavra", "avra", "vra1"]})
+    texts = pd.Series([" ".join(f"palavra{i % 7}{j}" for j in range(200)) for i in range(3_000)] + ["", "x", "avra"])
+    index = R._TermIndex(terms)
+    for text in texts[:7]:
+        index.counts(pd.Series([text]))  # what is remembered of the tokens stays
+    tracemalloc.start()
+    row, query, score = index.counts(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20
+    assert len(row) == 6_001 and (row[-1], query[-1], score[-1]) == (3_002, 1, 1)
+    assert [sorted(zip(query[row == i].tolist(), score[row == i].tolist())) for i in (0, 1, 3_000)] == [[(0, 3), (1, 1)], [(0, 3), (1, 2)], []]
+    monkeypatch.setattr(R, "COUNTED_CHARS", 50)
+    assert [c.tolist() for c in index.counts(texts)] == [row.tolist(), query.tolist(), score.tolist()]
