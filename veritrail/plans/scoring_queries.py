@@ -14,6 +14,7 @@ from veritrail.operators import answers as A
 from veritrail.operators import scoring as S
 from veritrail.operators.routing import route_questions
 from veritrail.plans.checks import EARLIEST, LATEST, NORMAL, RAW_ORDER, sql_rating
+from veritrail.plans.fixtures import VIEWS
 from veritrail.plans.registry import query
 
 ID = ["analysis_id", "question_pk"]
@@ -145,8 +146,9 @@ QUALIFY row_number() OVER (PARTITION BY analysis_id, question_pk ORDER BY {LATES
 
 
 def usable_details(fx):
-    usable = fx["d_answer_details"].where(F.col("answer") != "talvez")
-    return A.keep_last(usable, RAW_ORDER)
+    """The latest usable answers; their texts are made of the rows that stay, so none is sorted or shuffled to be dropped."""
+    usable = fx["d_answers_raw"].where(F.col("answer") != "talvez")
+    return fx.spark.sql(VIEWS["d_answer_details"], d_answers_raw=A.keep_last(usable, RAW_ORDER))
 
 
 @query("fill_answers", f"""
