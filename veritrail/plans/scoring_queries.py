@@ -40,7 +40,8 @@ def overall_scores(fx):
 
 # The stored tables that reports, exports and evaluations read.
 def stored_answers(fx):
-    return fx.stored("answers", lambda: clean_answers(fx))
+    kept = ["analysis_id", "company_id", "report_year", "question_pk", "created_at", "confidence_score", "answer"]
+    return fx.stored("answers", lambda: clean_answers(fx).select(*kept))
 
 
 def stored_theme_scores(fx):
