@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from veritrail.operators import answers as A
 from veritrail.operators import reports as R
 from veritrail.plans import scoring_queries as Q
 from veritrail.plans.fixtures import fixtures
@@ -24,3 +25,32 @@ def test_control_characters_are_listed_one_by_one(spark):
     kept = "".join(c for c in text if c in "\t\n\r" or not (ord(c) < 0x20 or 0x7F <= ord(c) < 0xA0))
     assert spark.range(1).select(R._printable(F.lit(text))).first()[0] == kept
     assert "-" not in R._CONTROL
+
+
+def test_stored_answers_leave_out_what_only_orders_them(spark):
+    columns = Q.stored_answers(fixtures(spark, FOLDER)).columns
+    assert columns == ["analysis_id", "company_id", "report_year", "question_pk", "created_at", "confidence_score", "answer"]
+
+
+def test_question_texts_are_not_joined_before_the_scores(spark):
+    answers = spark.createDataFrame([(1, 1, "Sim"), (1, 2, "Não"), (2, 9, "Sim")], "analysis_id int, question_pk int, answer string")
+    questions = spark.createDataFrame([(1, 5, "um"), (2, 6, "dois")], "question_pk int, theme_id int, question_text string")
+    themes = spark.createDataFrame([(5, "T", "social", 1)], "theme_id int, name string, dimension string, display_order int")
+    scores = spark.createDataFrame([(1, 5, 2.5, "D")], "analysis_id int, theme_id int, raw_score double, rating string")
+    found = R.analysis_results(answers, questions, themes, scores)
+    got = {(r["analysis_id"], r["question_pk"]): tuple(r) for r in found.collect()}
+    assert got == {(1, 1): (1, 5, 1, "Sim", "um", "T", "social", 1, 2.5, "D"),
+                   (1, 2): (1, 6, 2, "Não", "dois", None, None, None, None, None),
+                   (2, 9): (2, None, 9, "Sim", None, None, None, None, None, None)}
+    lines = [line for line in optimized(found).splitlines() if "Join LeftOuter" in line]
+    with_score = [line for line in lines if "analysis_id" in line]
+    assert len(lines) == 4 and lines.index(with_score[0]) == 2  # the last but one to be read, so the second to be joined
+
+
+def test_records_are_cut_before_their_questions_are_looked_up(spark):
+    fx = fixtures(spark, FOLDER)
+    questions = fx["d_questions"].join(fx["d_themes"].select("theme_id", "dimension"), "theme_id")
+    records = A.answer_records(fx["d_answer_details"], questions)
+    above, join, below = optimized(records).partition("Join Inner")
+    assert join and "substring" not in above and "substring" in below
+    assert "SortMergeJoin" not in records._jdf.queryExecution().executedPlan().toString()
