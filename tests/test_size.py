@@ -1,11 +1,18 @@
 """What the larger jobs sort, shuffle and measure: small tests of how the work is laid out."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from veritrail.operators import answers as A
 from veritrail.operators import reports as R
 from veritrail.plans import scoring_queries as Q
 from veritrail.plans.fixtures import fixtures
+from veritrail.plans.registry import spark_queries
+from veritrail.session import Job
+from veritrail.sources.payloads import ingest_answers
+from veritrail.streaming.answers import deliver_answers
+from veritrail.streaming.runs import read_table_stream
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -54,3 +61,29 @@ def test_records_are_cut_before_their_questions_are_looked_up(spark):
     above, join, below = optimized(records).partition("Join Inner")
     assert join and "substring" not in above and "substring" in below
     assert "SortMergeJoin" not in records._jdf.queryExecution().executedPlan().toString()
+
+
+def test_replies_are_not_trimmed_at_both_ends(spark):
+    item = '{"question_id": "1.1", "answer": "Sim"}'
+    texts = [f" \n{item}　\t", f"\x1c[{item}]  ", f' {{"answers": {item}}} ']
+    replies = spark.createDataFrame(list(enumerate(texts)), "i int, payload string")
+    found = ingest_answers(replies, ["i"])
+    assert sorted((r.i, r.question_id, r.answer) for r in found.collect()) == [(i, "1.1", "Sim") for i in range(3)]
+    assert not re.search(r"(?i)(?<![lr])trim\(", optimized(found))
+
+
+def test_numbered_answers_are_written_once(spark, tmp_path, monkeypatch):
+    kept, keep = [], Job.keep
+    monkeypatch.setattr(Job, "keep", lambda job, df, name, *by: kept.append(name) or keep(job, df, name, *by))
+    rows = [(f"a{i}", f"2024-01-{i % 28 + 1:02d}") for i in range(200)]
+    spark.createDataFrame(rows, "id string, created_at string").write.parquet(str(tmp_path / "in"))
+    stream = read_table_stream(spark, str(tmp_path / "in"))
+    found = deliver_answers(stream, ["id"], str(tmp_path / "out"), buckets=4).orderBy("sequence").collect()
+    assert [(r.created_at, r.id, r.sequence) for r in found] == [(d, a, n + 1) for n, (d, a) in enumerate(sorted((d, a) for a, d in rows))]
+    assert spark.read.parquet(str(tmp_path / "out" / "ids")).count() == 200 and kept == ["new"]
+
+
+def test_slots_of_the_replies_are_a_table(spark):
+    fx = fixtures(spark, FOLDER)
+    spark_queries()["take_in_answers"](spark, FOLDER)
+    assert "slots" in fx._frames

@@ -109,14 +109,16 @@ def deliver_answers(stream: DataFrame, ids: Sequence[str], path: str, time: str
                 seen = job.keep(maybe.join(old, same(maybe, old), "left_semi"), "seen")
                 fresh = job.keep(new.join(seen, same(new, seen), "left_anti"), "fresh")
         numbered = ordered_number(fresh, [F.col(time).asc_nulls_last(), *[F.col(c) for c in ids]], "sequence", delivered + 1)
-        numbered = job.keep(numbered, "numbered")
-        numbered.select(*stream.columns, "sequence").repartitionByRange("sequence").sortWithinPartitions("sequence").write.mode(
-            "overwrite").parquet(f"{path}/data/batch={batch}")
+        # written once, in the order the numbers were made in; what follows reads the delivered rows themselves
+        numbered.select(*stream.columns, "sequence").sortWithinPartitions("sequence").write.mode("overwrite").option(
+            "compression", "zstd").parquet(f"{path}/data/batch={batch}")
+        numbered = session.read.schema(shape).parquet(f"{path}/data/batch={batch}").withColumn("hash", hashed).withColumn(
+            "bucket", F.pmod("hash", F.lit(buckets)).cast("int"))
         numbered.select(*ids, "bucket").hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/ids/batch={batch}")
         _grown(numbered, filters).write.mode("overwrite").parquet(f"{path}/filters/batch={batch}")
         numbered.agg(F.count("*").alias("rows"), F.coalesce(F.max("sequence"), F.lit(delivered)).alias("last")).write.mode(
             "overwrite").parquet(f"{path}/ledger/batch={batch}")
-        for name in ("new", "maybe", "seen", "fresh", "numbered"):
+        for name in ("new", "maybe", "seen", "fresh"):
             job.drop(name)
 
     finish(per_batch(stream, path, write))
