@@ -87,3 +87,8 @@ def test_slots_of_the_replies_are_a_table(spark):
     fx = fixtures(spark, FOLDER)
     spark_queries()["take_in_answers"](spark, FOLDER)
     assert "slots" in fx._frames
+
+
+def test_answers_are_numbered_once_for_the_themes_of_a_log(spark):
+    plan = optimized(spark_queries()["replay_log"](spark, FOLDER))
+    assert plan.count("Window [row_number()") == 2  # the answers and the events; the themes reached are a table

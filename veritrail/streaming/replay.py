@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritrail.functions.answers import strip_question_id
+from veritrail.session import written
 
 _ORDER = ["phase", "theme_order", "theme_id", "kind", "place"]
 
@@ -44,9 +45,10 @@ def replay_log(answers: DataFrame, questions: DataFrame, themes: DataFrame, them
     numbered = placed.withColumn(
         "answered", F.row_number().over(by_analysis.orderBy("theme_order", "theme_id", "display_order", "question_pk"))
     )
-    reached = numbered.groupBy("analysis_id", "theme_id", "theme_order", "dimension", "name").agg(
+    # a few dozen rows per analysis, read five times below
+    reached = written(numbered.groupBy("analysis_id", "theme_id", "theme_order", "dimension", "name").agg(
         F.max("answered").alias("answered")
-    )
+    ), "reached")
     before = F.lag("dimension").over(by_analysis.orderBy("theme_order", "theme_id"))
     turns = reached.withColumn("_before", before).where(
         F.col("_before").isNull() | (F.col("_before") != F.col("dimension"))
