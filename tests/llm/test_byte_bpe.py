@@ -1,11 +1,15 @@
 import base64
 import random
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from veritrail.llm import byte_bpe
+from veritrail.llm.common import ARROW_BYTES, prepare
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -60,3 +64,34 @@ def test_boundaries_by_range_and_ids_outside(spark):
         byte_bpe.decode(bad).collect()
     nulls = spark.createDataFrame([(1, None), (2, []), (3, [0, 1])], "doc_id long, ids array<int>")
     assert [len(r.raw) for r in byte_bpe.decode(nulls).orderBy("doc_id").collect()][:2] == [0, 0]
+
+
+def test_long_rows_are_taken_by_size(spark, monkeypatch):
+    rows = pa.RecordBatch.from_arrays([pa.array(range(300))], names=["doc_id"])
+    sizes = np.array([10] * 150 + [900, 5, 400, 400, 400] + [0] * 145)
+    slices = list(byte_bpe.by_size(rows, sizes, 1_000))
+    assert [i for _, part in slices for i in part.column(0).to_pylist()] == list(range(300))
+    for start, part in slices:
+        assert part.num_rows <= 128 and (part.num_rows == 1 or sizes[start:start + part.num_rows].sum() <= 1_000)
+    assert list(byte_bpe.by_size(rows.slice(0, 0), sizes[:0], 1_000)) == []
+
+    _, words = byte_bpe._vocabulary(PATH)
+    ids = np.random.default_rng(1).integers(0, 40_000, 1_000)
+    asked, plain = [], byte_bpe.places
+    whole, counts = plain(words, ids)
+    monkeypatch.setattr(byte_bpe, "places", lambda words, ids: (asked.append(len(ids)), plain(words, ids))[1])
+    raw, size = byte_bpe.joined_bytes(words, ids, most=64)
+    assert raw == whole.tobytes() and size.tolist() == counts.tolist() and max(asked) == 64
+    assert byte_bpe.joined_bytes(words, ids[:0])[0] == b""
+
+
+def test_arrow_batches_are_bounded_in_bytes(spark):
+    prepare(spark)
+    docs = spark.range(600).select(F.repeat(F.lit("abcd efgh"), 10_000).alias("text")).coalesce(1)
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["bytes"])
+
+    seen = [r.bytes for r in docs.mapInArrow(run, "bytes long").collect()]
+    assert sum(seen) > 50_000_000 and max(seen) < 2 * ARROW_BYTES

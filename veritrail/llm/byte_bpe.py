@@ -37,6 +37,8 @@ from veritrail.llm.common import prepare
 CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 1_024
 LOOKAHEAD = 2  # characters after a pre-token that can still change where it ends
+CHARS_AT_ONCE = 1 << 20  # of texts encoded together
+IDS_AT_ONCE = 1 << 17  # decoded together
 
 _NO_IDS = np.zeros(0, np.uint32)
 
@@ -83,6 +85,24 @@ def places(bytes_of: tuple[np.ndarray, np.ndarray, np.ndarray], ids: np.ndarray)
     return words[np.repeat(start[ids] - (np.cumsum(size) - size), size) + np.arange(size.sum())], size
 
 
+def joined_bytes(bytes_of: tuple[np.ndarray, np.ndarray, np.ndarray], ids: np.ndarray, most: int = IDS_AT_ONCE) -> tuple[bytes, np.ndarray]:
+    """``places`` as bytes, at most ``most`` ids at a time: the place of every byte takes many times the byte."""
+    found = [places(bytes_of, ids[start:start + most]) for start in range(0, len(ids), most)]
+    return b"".join(raw.tobytes() for raw, _ in found), np.concatenate([np.zeros(0, np.int64), *[size for _, size in found]])
+
+
+def by_size(batch: pa.RecordBatch, sizes: np.ndarray, most: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The batch in slices (start, rows) of 128 rows at most, and of ``most`` in size but for single larger rows."""
+    start, total = 0, 0
+    for row, size in enumerate(sizes.tolist()):
+        if row > start and (total + size > most or row - start == 128):
+            yield start, batch.slice(start, row - start)
+            start, total = row, 0
+        total += size
+    if batch.num_rows > start:
+        yield start, batch.slice(start)
+
+
 def _with_column(frame: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
     kept = [i for i, n in enumerate(frame.schema.names) if n != name]
     return pa.RecordBatch.from_arrays([frame.column(i) for i in kept] + [values],
@@ -99,8 +119,8 @@ def _encode_rows(df: DataFrame, text: str, ids: str, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, _ = _vocabulary(path)
         for batch in batches:
-            for start in range(0, batch.num_rows, 128):
-                rows = batch.slice(start, 128)
+            sizes = np.asarray(pc.fill_null(pc.utf8_length(batch.column(text)), 0))
+            for _, rows in by_size(batch, sizes, CHARS_AT_ONCE):
                 # without special tokens there is none to be allowed or refused
                 found = [encoder.encode_to_numpy(t, disallowed_special=()) if t else _NO_IDS for t in rows.column(text).to_pylist()]
                 ends = np.cumsum([0, *map(len, found)])
@@ -203,13 +223,11 @@ def decode(df: DataFrame, vocabulary: str | None = None, ids: str = "ids", raw:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, words = _vocabulary(path)
         for batch in batches:
-            for start in range(0, batch.num_rows, 128):
-                rows = batch.slice(start, 128)
-                column = rows.column(ids)
-                counts = np.asarray(pc.fill_null(pc.list_value_length(column), 0))
-                found, size = places(words, column.flatten().to_numpy(zero_copy_only=False))
+            counted = np.asarray(pc.fill_null(pc.list_value_length(batch.column(ids)), 0))
+            for start, rows in by_size(batch, counted, IDS_AT_ONCE):
+                counts = counted[start:start + rows.num_rows]
+                flat, size = joined_bytes(words, rows.column(ids).flatten().to_numpy(zero_copy_only=False))
                 ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(counts)])]
-                flat = found.tobytes()
                 yield _with_column(rows, raw, pa.array([flat[a:b] for a, b in zip(ends[:-1], ends[1:])], pa.binary()))
 
     return df.mapInArrow(run, _schema_with(df, raw, T.BinaryType()))

@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from veritrail.session import ship_package
 
-ARROW_ROWS = 512  # rows in one Arrow batch: long texts then stay within a worker's memory
+ARROW_ROWS = 512  # rows in one Arrow batch, and bytes, about: long texts then stay within a worker's memory
+ARROW_BYTES = 4 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Ready a session for the operators that run Python in tasks: package shipped, batches kept small."""
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark
 
 
