@@ -91,3 +91,28 @@ def test_exact_search_takes_any_dimension(spark):
     queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.0, 0.0]), (3, [1.0]), (4, [None, 1.0])], "query_id int, embedding array<double>")
     hits = R.vector_topk(chunks, queries, KEYS).select("query_id", "doc_id", F.round("score", 6)).collect()
     assert sorted(map(tuple, hits)) == [(1, 1, 1.0), (2, 2, 1.0)]
+
+
+def test_many_small_buckets_share_folders(spark, tmp_path):
+    middle, vectors = clustered(3_000, 16, 5)
+    chunks = spark.createDataFrame(rows_of(vectors), SHAPE)
+    queries = spark.createDataFrame([(q, m.tolist()) for q, m in enumerate(middle[:8])], "query_id int, embedding array<double>")
+    path = tmp_path / "index"
+    V.build_index(chunks.where("doc_id % 2 = 0"), str(path), KEYS, SCOPE, bits=11)
+    V.add_to_index(chunks.where("doc_id % 2 = 1"), str(path))
+    cells = V._cells(spark, str(path))[0]
+    folders = list((path / "vectors").glob("cell=*"))
+    assert len(folders) <= 2 * 256 < len(cells) and cells["rows"].sum() == 2 * 3_000
+    exact = ranked(R.vector_topk(chunks, queries, KEYS, SCOPE, threshold=0.8))
+    assert ranked(V.search_index(spark, str(path), queries, KEYS, SCOPE, threshold=0.8, recall=1.0)) == exact
+    found = ranked(V.search_index(spark, str(path), queries, KEYS, SCOPE, threshold=0.8))
+    wanted, got = ({(c, q, d) for (c, q, _), (d, _) in x.items()} for x in (exact, found))
+    assert len(wanted) > 300 and len(wanted & got) >= 0.95 * len(wanted) and len(got) == len(found)
+    # what only shares a folder is not compared
+    reading = V.index_reading(spark, str(path), queries, threshold=0.8).collect()
+    assert sum(r.rows_read for r in reading) < 0.7 * sum(r.rows for r in reading)
+
+
+def test_buckets_share_a_folder_up_to_its_rows():
+    assert V._shared_bits(10_000, 8) == 0 and V._shared_bits(600_000, 14) == 6
+    assert V._shared_bits(100_000_000, 11) == 0 and V._shared_bits(0, 14) == 6

@@ -1,10 +1,12 @@
 """A stored index of chunk vectors: hash buckets by random projections, read only where a query may have its neighbours.
 
 ``build_index`` scales every vector to length 1 and projects it on ``bits`` random directions per table; the signs are
-its bucket. The vectors are stored once per table, in one folder per bucket (``cell``), and a small table of cells keeps
-how many rows each has. The number of bits follows from the number of rows, so that a bucket has about ``bucket_rows``.
+its bucket (``cell``). The vectors are stored once per table, in one folder per bucket; where there are many and small
+ones, up to ``FOLDER_ROWS`` rows of neighbouring buckets share a folder, so that the folders to write and list are a few hundred or
+grow with the rows, not with the buckets. A small table of cells keeps how many rows each has. The number of bits follows from
+the number of rows, so that a bucket has about ``bucket_rows``.
 
-``search_index`` reads only the cells a query needs. A neighbour at cosine ``c`` lies on the other side of a direction on
+``search_index`` reads only the folders and compares only the cells a query needs. A neighbour at cosine ``c`` lies on the other side of a direction on
 which the query has the coordinate ``m`` with probability Phi(-c |m| / sqrt(1 - c^2)); so the chance of each bucket is known
 before anything is read. Cells are probed in the order of chance per stored row, over all tables, until a neighbour at
 ``threshold`` is missed with a chance of ``1 - recall`` at most; nearer ones are missed more rarely. Buckets that have no
@@ -26,17 +28,19 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from veritrail import lookups as L
 from veritrail.operators.keys import top_per_key
-from veritrail.operators.retrieval import BLOCK_BYTES, _blocks, _pick, _result_schema
+from veritrail.operators.retrieval import BLOCK_BYTES, CELLS_PER_STEP, _blocks, _pick, _result_schema
 from veritrail.operators.vectors import by_dimension, comparable
 from veritrail.session import ship_package
 
 TABLES = 2
 MOST_BITS = 14
 BUCKET_ROWS = 50_000  # rows of a bucket, about; a bucket is the least that is read
+FOLDER_ROWS = 50_000  # rows of a folder, about, where several buckets share one
+FOLDER_BITS = 8  # with so many bits or fewer every bucket has its own folder
 RECALL = 0.97
 
 
@@ -59,8 +63,14 @@ def _cell(dimension: int, table: int, bucket: int) -> str:
     return f"d{dimension}t{table}b{bucket}"
 
 
-def _placed(vectors: DataFrame, keep: list[str], tables: int, bits: int) -> DataFrame:
-    """One row per vector and table, with its cell."""
+def _shared_bits(rows: int, bits: int) -> int:
+    """How many of the last bits the buckets of a folder differ in."""
+    fitting = math.floor(math.log2(max(1.0, FOLDER_ROWS * 2**bits / max(1, rows))))
+    return max(0, min(bits - FOLDER_BITS, fitting))
+
+
+def _placed(vectors: DataFrame, keep: list[str], tables: int, bits: int, shared: int) -> DataFrame:
+    """One row per vector and table, with its bucket and folder (``cell``: of the buckets in it the name without the shared bits)."""
     types = {f.name: f.dataType.simpleString() for f in vectors.schema}
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -69,11 +79,11 @@ def _placed(vectors: DataFrame, keep: list[str], tables: int, bits: int) -> Data
             for dimension, (at, rows) in by_dimension(pdf["embedding"]).items():
                 found = [buckets(rows, t, bits) for t in range(tables)]
                 for i, position in enumerate(at):
-                    cells[position] = [_cell(dimension, t, b[i]) for t, b in enumerate(found)] if rows[i].any() else []
+                    cells[position] = [(int(b[i]), _cell(dimension, t, b[i] >> shared)) for t, b in enumerate(found)] if rows[i].any() else []
             yield pdf.assign(cells=cells)
 
-    schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + ", cells array<string>"
-    return vectors.mapInPandas(place, schema).withColumn("cell", F.explode("cells")).drop("cells")
+    schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + ", cells array<struct<bucket: int, cell: string>>"
+    return vectors.mapInPandas(place, schema).select(*keep, F.explode("cells").alias("_at")).select(*keep, "_at.bucket", "_at.cell")
 
 
 def build_index(vectors: DataFrame, path: str, keys: Sequence[str], scope: Sequence[str] = (), tables: int = TABLES,
@@ -82,41 +92,46 @@ def build_index(vectors: DataFrame, path: str, keys: Sequence[str], scope: Seque
     spark, keep = vectors.sparkSession, [*scope, *keys, "embedding"]
     ship_package(spark)
     rows = vectors.where(comparable("embedding")).select(*keep)
+    count = rows.count()
     if bits is None:
-        bits = min(MOST_BITS, max(0, math.ceil(math.log2(max(1, rows.count() / bucket_rows)))))
+        bits = min(MOST_BITS, max(0, math.ceil(math.log2(max(1, count / bucket_rows)))))
     spark.createDataFrame([], rows.schema).write.mode("overwrite").parquet(f"{path}/layout")
-    _store(rows, path, tables, bits, "overwrite")
+    _store(rows, path, tables, bits, _shared_bits(count, bits), "overwrite")
 
 
 def add_to_index(vectors: DataFrame, path: str) -> None:
-    """Append more vectors to the index under ``path``; its tables and bits stay."""
+    """Append more vectors to the index under ``path``; its tables, bits and folders stay."""
     spark = vectors.sparkSession
     ship_package(spark)
-    _, tables, bits = _cells(spark, path)
-    _store(vectors.where(comparable("embedding")).select(*_stored(spark, path).names[:-1]), path, tables, bits, "append")
+    _, tables, bits, shared = _cells(spark, path)
+    _store(vectors.where(comparable("embedding")).select(*_stored(spark, path).names[:-2]), path, tables, bits, shared, "append")
 
 
 def _stored(spark: SparkSession, path: str) -> StructType:
-    """The columns of the stored vectors, the cell last."""
-    return StructType([*spark.read.parquet(f"{path}/layout").schema.fields, StructField("cell", StringType())])
+    """The columns of the stored vectors, the bucket and the folder last."""
+    own = spark.read.parquet(f"{path}/layout").schema.fields
+    return StructType([*own, StructField("bucket", IntegerType()), StructField("cell", StringType())])
 
 
-def _store(rows: DataFrame, path: str, tables: int, bits: int, mode: str) -> None:
-    # a cell is written by one task, a crowded one by several
-    _placed(rows, rows.columns, tables, bits).hint("rebalance", "cell").write.mode(mode).partitionBy("cell").parquet(f"{path}/vectors")
+def _store(rows: DataFrame, path: str, tables: int, bits: int, shared: int, mode: str) -> None:
+    # a folder is written by one task, a crowded one by several
+    placed = _placed(rows, rows.columns, tables, bits, shared).hint("rebalance", "cell").sortWithinPartitions("cell", "bucket")
+    placed.write.mode(mode).partitionBy("cell").parquet(f"{path}/vectors")
     spark = rows.sparkSession
-    counts = spark.read.schema(_stored(spark, path)).parquet(f"{path}/vectors").groupBy("cell").agg(F.count("*").alias("rows"))
+    counts = spark.read.schema(_stored(spark, path)).parquet(f"{path}/vectors").groupBy("cell", "bucket").agg(F.count("*").alias("rows"))
     number = lambda letter: F.regexp_extract("cell", rf"{letter}(\d+)", 1).cast("int")
-    counts.select("cell", number("d").alias("dim"), number("t").alias("table"), number("b").alias("bucket"), "rows").unionByName(
-        spark.createDataFrame([(None, None, tables, bits, None)], "cell string, dim int, table int, bucket int, rows long")
+    counts.select("cell", number("d").alias("dim"), number("t").alias("table"), "bucket", "rows").unionByName(
+        spark.createDataFrame([(None, shared, tables, bits, None)], "cell string, dim int, table int, bucket int, rows long")
     ).coalesce(1).write.mode("overwrite").parquet(f"{path}/cells")
 
 
-def _cells(spark: SparkSession, path: str) -> tuple[pd.DataFrame, int, int]:
-    """The cells of an index, its number of tables and of bits (the row without a name)."""
+def _cells(spark: SparkSession, path: str) -> tuple[pd.DataFrame, int, int, int]:
+    """The cells of an index, its number of tables and of bits, and the bits that the buckets of a folder do not share
+    a name by (the row without a name)."""
     rows = spark.read.parquet(f"{path}/cells").toPandas()
     layout = rows[rows["cell"].isna()].iloc[0]
-    return rows[rows["cell"].notna()].astype({"dim": int, "table": int, "bucket": int, "rows": int}), int(layout["table"]), int(layout["bucket"])
+    cells = rows[rows["cell"].notna()].astype({"dim": int, "table": int, "bucket": int, "rows": int})
+    return cells, int(layout["table"]), int(layout["bucket"]), int(layout["dim"])
 
 
 def _phi(x: np.ndarray) -> np.ndarray:
@@ -169,11 +184,24 @@ def _probes(block: pd.DataFrame, cells: pd.DataFrame, bits: int, cosine: float,
     return {cell: np.array(queries) for cell, queries in found.items()}
 
 
-def _hits(pdf: pd.DataFrame, cell: str, probes: dict, matrices: dict, query_ids: list, bits: int, scope: list[str],
-          keys: list[str], k: int, threshold: float) -> pd.DataFrame | None:
-    """What the rows of one cell give for the queries that read it."""
-    dimension, table, bucket = map(int, re.findall(r"\d+", cell))
-    asked = probes[dimension, table, bucket]
+def _read_together(pdf: pd.DataFrame, probes: dict) -> Iterator[tuple[int, int, np.ndarray, pd.DataFrame]]:
+    """(dimension, table, queries, rows) of one batch: the rows of all cells that the same queries read, some at a time.
+    Rows of other cells, which only share a folder with one that is read, are left out."""
+    groups: dict[tuple[int, int, bytes], tuple[np.ndarray, list[np.ndarray]]] = {}
+    for (cell, bucket), at in pdf.groupby(["cell", "bucket"], sort=False).indices.items():
+        dimension, table, _ = map(int, re.findall(r"\d+", cell))
+        asked = probes.get((dimension, table, int(bucket)))
+        if asked is not None:
+            groups.setdefault((dimension, table, asked.tobytes()), (asked, []))[1].append(at)
+    for (dimension, table, _), (asked, places) in groups.items():
+        rows, step = np.concatenate(places), max(1, CELLS_PER_STEP // len(asked))
+        for start in range(0, len(rows), step):
+            yield dimension, table, asked, pdf.iloc[rows[start:start + step]].reset_index(drop=True)
+
+
+def _hits(pdf: pd.DataFrame, dimension: int, table: int, asked: np.ndarray, probes: dict, matrices: dict, query_ids: list, bits: int,
+          scope: list[str], keys: list[str], k: int, threshold: float) -> pd.DataFrame | None:
+    """What rows of one table give for the queries ``asked``, all of which read their cells."""
     order, matrix = matrices[dimension]
     rows = by_dimension(pdf["embedding"])[dimension][1]
     similarity = np.round(rows @ matrix[np.searchsorted(order, asked)].T, 9)
@@ -189,7 +217,8 @@ def _hits(pdf: pd.DataFrame, cell: str, probes: dict, matrices: dict, query_ids:
 
 
 def read_cells(spark: SparkSession, path: str, cells: list[str]) -> DataFrame:
-    """The rows of some cells; no other folder is listed or read."""
+    """The rows in the folders of some cells (named without the bits that the buckets of a folder differ in); no other is
+    listed or read."""
     shape, folders = _stored(spark, path), [f"{path}/vectors/cell={c}" for c in cells]
     reader = spark.read.schema(shape).option("basePath", f"{path}/vectors")
     return reader.parquet(*folders) if folders else spark.createDataFrame([], shape)
@@ -201,25 +230,25 @@ def search_index(spark: SparkSession, path: str, queries: DataFrame, keys: Seque
     """Cosine top-k of ``queries(query_id, embedding)`` over the index under ``path``; columns as ``vector_topk``."""
     scope, keys = list(scope), list(keys)
     ship_package(spark)
-    cells, _, bits = _cells(spark, path)
+    cells, _, bits, shared_bits = _cells(spark, path)
     asked = queries.where(comparable("embedding")).select("query_id", "embedding")
     hits = None
     for block in _blocks(asked, F.size("embedding") * 8, block_bytes):
         probes = _probes(block, cells, bits, threshold, recall)
-        names = [_cell(*cell) for cell in sorted(probes)]
-        rows = read_cells(spark, path, names)
+        folders = sorted({(dimension, table, bucket >> shared_bits) for dimension, table, bucket in probes})
+        rows = read_cells(spark, path, [_cell(*folder) for folder in folders])
         matrices = by_dimension(block["embedding"]) if len(block) else {}
         shared, query_ids = spark.sparkContext.broadcast((probes, matrices)), block["query_id"].tolist()
 
         def score(batches: Iterator[pd.DataFrame], shared=shared, query_ids=query_ids, bits=bits) -> Iterator[pd.DataFrame]:
             own, matrices = shared.value
             for pdf in batches:
-                for cell, part in pdf.groupby("cell", sort=False):
-                    found = _hits(part.reset_index(drop=True), cell, own, matrices, query_ids, bits, scope, keys, k, threshold)
+                for dimension, table, asked, part in _read_together(pdf, own):
+                    found = _hits(part, dimension, table, asked, own, matrices, query_ids, bits, scope, keys, k, threshold)
                     if found is not None:
                         yield found
 
-        part = rows.select(*scope, *keys, "embedding", "cell").mapInPandas(
+        part = rows.select(*scope, *keys, "embedding", "bucket", "cell").mapInPandas(
             score, _result_schema(rows, scope + keys, queries, "double"))
         hits = part if hits is None else hits.unionByName(part)
     return top_per_key(hits, [*scope, "query_id"], [F.desc("score"), *[F.col(c) for c in keys]], k)
@@ -227,8 +256,9 @@ def search_index(spark: SparkSession, path: str, queries: DataFrame, keys: Seque
 
 def index_reading(spark: SparkSession, path: str, queries: DataFrame, threshold: float = L.SIMILARITY_THRESHOLD,
                   recall: float = RECALL, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(query_id, cells_read, rows_read, cells, rows): how much of one table's rows each query reads."""
-    cells, _, bits = _cells(spark, path)
+    """(query_id, cells_read, rows_read, cells, rows): the cells each query is compared with and their rows, to one table's.
+    Rows that only share a folder with them are read too, but not counted."""
+    cells, _, bits, _ = _cells(spark, path)
     sizes = {(r.dim, r.table, r.bucket): r.rows for r in cells.itertuples()}
     asked, out = queries.where(comparable("embedding")).select("query_id", "embedding"), []
     for block in _blocks(asked, F.size("embedding") * 8, block_bytes):
