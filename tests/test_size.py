@@ -9,6 +9,8 @@ from veritrail.operators import reports as R
 from veritrail.plans import scoring_queries as Q
 from veritrail.plans.fixtures import fixtures
 from veritrail.plans.registry import spark_queries
+from veritrail.plans.retrieval_queries import searchable_chunks
+from veritrail.plans.source_queries import text_chunks
 from veritrail.session import Job
 from veritrail.sources.payloads import ingest_answers
 from veritrail.streaming.answers import deliver_answers
@@ -92,3 +94,13 @@ def test_slots_of_the_replies_are_a_table(spark):
 def test_answers_are_numbered_once_for_the_themes_of_a_log(spark):
     plan = optimized(spark_queries()["replay_log"](spark, FOLDER))
     assert plan.count("Window [row_number()") == 2  # the answers and the events; the themes reached are a table
+
+
+def test_texts_of_searchable_chunks_are_not_shuffled(spark):
+    fx = fixtures(spark, FOLDER)
+    found = searchable_chunks(fx)
+    documents = fx["d_documents"].where("status = 'ready'").select("company_id", "report_year", "doc_id", "filename")
+    joined = text_chunks(fx).join(documents, "doc_id").select(*found.columns)
+    assert found.count() == joined.count() > 0 and found.exceptAll(joined).isEmpty()
+    assert "Join" not in optimized(found)
+    assert not {"company_id", "report_year", "filename", "status"} & set(text_chunks(fx).columns)
