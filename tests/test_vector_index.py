@@ -116,3 +116,22 @@ def test_many_small_buckets_share_folders(spark, tmp_path):
 def test_buckets_share_a_folder_up_to_its_rows():
     assert V._shared_bits(10_000, 8) == 0 and V._shared_bits(600_000, 14) == 6
     assert V._shared_bits(100_000_000, 11) == 0 and V._shared_bits(0, 14) == 6
+
+
+def test_crowded_buckets_are_not_left_out():
+    """A bucket with many rows costs more to read, but a neighbour is likelier to be one of them."""
+    rng = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    crowd = unit(rng.normal(size=64))
+    rows = unit(np.concatenate([rng.normal(size=(8_000, 64)), crowd + rng.normal(size=(400, 64)) * 0.001]))
+    own = [V.buckets(rows, t, 10) for t in (0, 1)]
+    known = {t: np.unique(own[t], return_counts=True) for t in (0, 1)}
+    found = wanted = 0
+    for other in rng.normal(size=(20, 64)):
+        query = unit(0.45 * crowd + 0.9 * unit(other))
+        near = np.flatnonzero(rows @ query >= 0.3)
+        chosen = V.choose_cells(query, known, 10, 0.3, 0.97)
+        read = {t: {b for at, b in chosen if at == t} for t in (0, 1)}
+        found += sum(any(int(own[t][i]) in read[t] for t in (0, 1)) for i in near)
+        wanted += len(near)
+    assert wanted > 5_000 and found >= 0.95 * wanted, (found, wanted)

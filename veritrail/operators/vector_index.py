@@ -8,8 +8,9 @@ the number of rows, so that a bucket has about ``bucket_rows``.
 
 ``search_index`` reads only the folders and compares only the cells a query needs. A neighbour at cosine ``c`` lies on the other side of a direction on
 which the query has the coordinate ``m`` with probability Phi(-c |m| / sqrt(1 - c^2)); so the chance of each bucket is known
-before anything is read. Cells are probed in the order of chance per stored row, over all tables, until a neighbour at
-``threshold`` is missed with a chance of ``1 - recall`` at most; nearer ones are missed more rarely. Buckets that have no
+before anything is read; weighted with the bucket's rows, it also allows for crowds. Cells are probed in the order of both chances per
+stored row, over all tables, until a neighbour at ``threshold`` is missed with a chance of ``1 - recall`` at most by either; nearer ones are
+missed more rarely. Buckets that have no
 rows cost nothing. With ``recall=1`` every cell of one table is read and the result is that of the exact search.
 
 Scores are the exact cosines. A vector met in several tables is scored in the first whose probes have it, so no rows are
@@ -154,18 +155,21 @@ def choose_cells(query: np.ndarray, known: dict[int, tuple[np.ndarray, np.ndarra
     if recall >= 1:
         table = min(known)
         return [(table, int(b)) for b in known[table][0]]
-    waiting: dict[int, list[tuple[float, int, int]]] = {}
+    waiting: dict[int, list[tuple[float, float, int, int]]] = {}
     for table, (bucket, rows) in known.items():
         chance = chances(query, table, bits, cosine)[bucket] + 1e-300
         chance = chance / chance.sum()  # a neighbour is a row, so it is in a bucket that has rows
-        order = np.argsort(chance / rows, kind="stable")
-        waiting[table] = list(zip(chance[order], rows[order], bucket[order]))
-    missed, chosen = dict.fromkeys(known, 1.0), []
-    while math.prod(missed.values()) > 1 - recall and any(waiting.values()):
+        held = chance * rows / (chance * rows).sum()  # and likelier one of many rows than of few
+        order = np.argsort((chance + held) / rows, kind="stable")
+        waiting[table] = list(zip(chance[order], held[order], rows[order], bucket[order]))
+    missed, unheld, chosen = dict.fromkeys(known, 1.0), dict.fromkeys(known, 1.0), []
+    while max(math.prod(missed.values()), math.prod(unheld.values())) > 1 - recall and any(waiting.values()):
         # the cell that makes a miss least likely for the rows it costs
-        table = max((t for t in waiting if waiting[t]), key=lambda t: waiting[t][-1][0] / (missed[t] * waiting[t][-1][1]))
-        chance, _, bucket = waiting[table].pop()
+        gain = lambda cell, t: (cell[0] / missed[t] + cell[1] / unheld[t]) / cell[2]
+        table = max((t for t in waiting if waiting[t]), key=lambda t: gain(waiting[t][-1], t))
+        chance, held, _, bucket = waiting[table].pop()
         missed[table] = max(1e-12, missed[table] - chance)
+        unheld[table] = max(1e-12, unheld[table] - held)
         chosen.append((table, int(bucket)))
     return chosen
 
