@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from veritrail.streaming.answers import add_to_filter, deliver_answers, delivered_after, may_contain
 from veritrail.streaming.ingest import ingest_documents
-from veritrail.streaming.progress import ProgressTracker, track_progress, track_scores
+from veritrail.streaming.progress import PackedProgress, ProgressTracker, packed_in_task, track_progress, track_scores
 from veritrail.streaming.runs import read_table_stream
 from veritrail.streaming.stalls import stall_events, stalled_analyses, watch_stalls
 
@@ -306,3 +306,52 @@ def test_progress_state_is_read_by_pages_not_by_question():
     assert say([3, 499, *far]) == []  # known ones
     told = say([2**40, 2**40 + 2, *range(490, 596)])
     assert [e[1] for e in told] == ["theme_complete", "theme_complete", "progress", "analysis_complete"] and told[2][3] == 600
+
+
+def test_progress_of_many_analyses_is_kept_in_shared_pages():
+    rng, calls = np.random.default_rng(5), []
+    catalogue = pd.DataFrame([(t, 9 - t, f"D{t % 3}", f"T{t}", 40) for t in range(8)],
+                             columns=["theme_id", "display_order", "dimension", "name", "questions"])
+    handle, tracker = _Handle(), PackedProgress(catalogue)
+    tracker.init(handle)
+    known, ids = {}, rng.choice(10**9, 300, replace=False).tolist()
+    for batch in range(4):
+        rows = [(ids[i], int(q) * 1000) for i, q in zip(rng.integers(0, 300 if batch < 3 else 2, 9_000), rng.integers(0, 120, 9_000))]
+        flat = pd.DataFrame([(a, q, q // 1000 % 8) for a, q in rows], columns=["analysis_id", "question_pk", "theme_id"])
+        parts = [flat.iloc[:5_000], flat.iloc[5_000:]]
+        packed = pd.DataFrame([(0, *[p[c].to_numpy() for c in flat.columns]) for p in parts], columns=["bucket", *flat.columns])
+        handle.calls = 0
+        told = [r for part in tracker.handleInputRows((0,), iter([packed]), None) for r in part.itertuples(index=False, name=None)]
+        calls.append(handle.calls)
+        want = set()
+        for a in {a for a, _ in rows}:
+            had = known.setdefault(a, set())
+            now = had | {q for b, q in rows if b == a}
+            count = lambda seen, t: sum(q // 1000 % 8 == t for q in seen)
+            for t in range(8):
+                if not count(had, t) and count(now, t):
+                    want.add((a, "theme_start", f"T{t}", 0, 40))
+                if count(had, t) < 40 <= count(now, t):
+                    want.add((a, "theme_complete", f"T{t}", count(now, t), 40))
+                if count(now, t) and not any(count(had, s) for s in range(8) if s % 3 == t % 3):
+                    want.add((a, "dimension_start", f"D{t % 3}", 0, 320))
+            if now != had:
+                want.add((a, "progress", None, len(now), 320))
+            known[a] = now
+        assert len(told) == len(want) and set(told) == want
+        places = [(ids.index(a), event) for a, event, *_ in told]
+        assert all(e == "progress" for (a, e), (b, _) in zip(places, [*places[1:], (None, None)]) if a != b)  # an analysis's events lie together
+    assert max(calls) < 200 and calls[3] < 100  # not per analysis or question
+
+
+def test_answers_are_packed_by_bucket():
+    rng = np.random.default_rng(6)
+    flat = pd.DataFrame({"analysis_id": [7] * 40_000 + rng.integers(-10**12, 10**12, 4_000).tolist(),
+                         "question_pk": [*range(20_000), *range(20_000), *range(4_000)], "theme_id": 1})
+    rows = pd.concat(packed_in_task(iter([flat.iloc[:30_000], flat.iloc[30_000:]])))
+    assert len(rows) < 1_030 and max(map(len, rows["question_pk"])) <= 1 << 14
+    back = [(a, q) for r in rows.itertuples() for a, q in zip(r.analysis_id, r.question_pk)]
+    assert len(back) == len(set(back)) == 24_000 and set(back) == set(zip(flat["analysis_id"], flat["question_pk"]))
+    buckets = {}
+    for r in rows.itertuples():
+        assert all(buckets.setdefault(a, r.bucket) == r.bucket for a in set(r.analysis_id.tolist()))
