@@ -89,6 +89,34 @@ def test_match_answers_hot_batch(spark):
     assert A.match_answers(q, b, ["batch"]).where("match = 'contained'").count() == 2000
 
 
+def test_match_answers_with_crowded_batches_among_others(spark):
+    generator = random.Random(8)
+    ids = [f"{a}.{b}{c}" for a in range(1, 13) for b in range(1, 9) for c in ("", ".1", ".12")]
+    spelled = ["{}", " {} ", "Q{}", "{}.1", "ID {}", "{}!"]
+    questions, answers, expected = [], [], {}
+    for batch, size in enumerate([0, 1, 5, 63, 64, 65, 66, 300, 40, 70]):
+        asked = generator.sample(ids, 30)
+        replies = [(n, generator.choice(spelled).format(generator.choice(ids)), f"{batch}-{n}") for n in range(size)]
+        questions += [(batch, p, q) for p, q in enumerate(asked)]
+        answers += [(batch, *r) for r in replies]
+        expected[batch] = brute_match(asked, replies)
+    questions.append((None, 0, "1.1"))
+    q = spark.createDataFrame(questions, "batch int, position int, question_id string")
+    a = spark.createDataFrame(answers + [(None, 1, "1.1", "nowhere")], "batch long, ordinal int, question_id string, answer_row string")
+    rows = A.match_answers(q, a, ["batch"]).collect()
+    assert {(r.batch, r.position): r.answer_row for r in rows} == {
+        (b, p): row for b, found in expected.items() for p, row in enumerate(found)} | {(None, 0): None}
+    assert len(rows) == len(questions) and {r.match for r in rows} == {"exact", "contained", "none"}
+    assert all((r.match == "none") == (r.answer_row is None) for r in rows)
+
+
+def test_match_answers_shuffles_both_sides_once(spark):
+    q = spark.range(40).selectExpr("id % 9 AS batch", "concat('9.', id) AS question_id")
+    a = spark.range(80).selectExpr("id % 9 AS batch", "id AS ordinal", "concat('id 9.', id) AS question_id", "CAST(id AS STRING) AS answer_row")
+    plan = A.match_answers(q, a, ["batch"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2
+
+
 def test_parts_that_no_id_of_the_batch_can_equal_are_left_out(spark):
     wanted = spark.createDataFrame([(1, "2.3.4"), (1, "x")], "batch int, _key string")
     sizes = wanted.groupBy("batch").agg(F.collect_set(F.length("_key")).alias("n"), A.marks(F.col("_key")).alias("m"))
