@@ -2,7 +2,8 @@
 
 import json
 
-from veritrail.plans import flows
+from veritrail.plans import flow_queries, flows
+from veritrail.plans.fixtures import fixtures
 
 WEB = "<html><body><nav>menu</nav><article>" + "".join(f"<p>Bloco {i} " + "texto " * 60 + "</p>" for i in range(12)) + "</article></body></html>"
 
@@ -94,3 +95,14 @@ def test_a_resumed_run_reaches_its_questions(spark):
                                     "analysis_id long, theme_id int, batch long, reply int, payload string")
     rows = flows.resume_analyses(stored, slots, replies, questions, hits).collect()
     assert sorted((r.question_pk, r.answer) for r in rows) == [(i, "Não" if i <= 6 else "Sim") for i in range(1, 13)]
+
+
+def test_replies_are_dealt_before_their_texts_are_made(spark):
+    fx = fixtures(spark, "/root/testdata/sf0.001")
+    for view, slots in (("d_reply_items", "d_slots"), ("d_open_items", "d_open_slots")):
+        table = fx.stored(f"{slots}-test", lambda: fx[slots])
+        items = flow_queries.reply_items(fx, view, table)
+        assert items.columns == fx[view].columns and items.count() == fx[view].count()
+        assert items.exceptAll(fx[view]).isEmpty()
+        plan = flow_queries.reply_payloads(fx, view, table)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") + plan.count("Join") <= 1
